@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, simhash_dedup, toxicity
+from . import langid, media, quality, simhash_dedup, toxicity
 from .common import table
 
 
@@ -26,8 +26,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_dedup, op4_quality, op7_langid, op8_toxicity)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op4_quality, op7_langid, op8_toxicity, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
