@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, media, packing, quality, sharding, simhash_dedup, toxicity
+from . import decontaminate, langid, media, packing, pii, quality, sharding, simhash_dedup, toxicity
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(rows, "doc_id", [f"shard-{k:03d}" for k in range(64)])
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,7 +48,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_sharding, op4_quality, op5_packing, op6_decontamination, op7_langid, op8_toxicity, op10_media)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op2_sharding, op3_pii, op4_quality, op5_packing, op6_decontamination, op7_langid, op8_toxicity, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
