@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, media, packing, pii, quality, sharding, simhash_dedup, toxicity
+from . import decontaminate, html_extract, langid, media, packing, pii, quality, sharding, simhash_dedup, toxicity
 from .common import table
 
 
@@ -43,12 +44,20 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_sharding, op3_pii, op4_quality, op5_packing, op6_decontamination, op7_langid, op8_toxicity, op10_media)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op2_sharding, op3_pii, op4_quality, op5_packing, op6_decontamination, op7_langid, op8_toxicity, op9_html, op10_media, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
