@@ -100,12 +100,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 def oracle(masks: tuple[str, ...] = MASKS, share: float = 0.8) -> str:
     """The same by DuckDB over documents and benchmark, with the masked words themselves as keys (items shorter than a mask: all words)."""
     span = len(masks[0])
-    split = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '')"
+    split = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
     def keyed(rows: str, key: str) -> str:
         cases = [
-            f"SELECT {key}, w, at, concat_ws(' ', '{k}', {', '.join(f'w[at + {i + 1}]' for i, c in enumerate(mask) if c == '1')}) AS seed "
-            f"FROM (SELECT {key}, w, unnest(range(0, len(w) - {span} + 1)) AS at FROM {rows} WHERE len(w) >= {span})"
+            f"SELECT {key}, w, pos, concat_ws(' ', '{k}', {', '.join(f'w[pos + {i + 1}]' for i, c in enumerate(mask) if c == '1')}) AS seed "
+            f"FROM (SELECT {key}, w, unnest(range(0, len(w) - {span} + 1)) AS pos FROM {rows} WHERE len(w) >= {span})"
             for k, mask in enumerate(masks)
         ]
         return " UNION ALL ".join(cases)
@@ -114,13 +114,13 @@ def oracle(masks: tuple[str, ...] = MASKS, share: float = 0.8) -> str:
 WITH d AS (SELECT doc_id, {split} AS w FROM documents),
 b AS (SELECT DISTINCT item_id, {split} AS w FROM benchmark),
 dk AS ({keyed("d", "doc_id")}
-  UNION ALL SELECT doc_id, w, at, concat_ws(' ', 'short', list_aggregate(w[at + 1:at + n], 'string_agg', ' ')) AS seed
-  FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS at FROM d, (SELECT DISTINCT len(w) AS n FROM b WHERE len(w) BETWEEN 1 AND {span - 1}) WHERE len(w) >= n)),
+  UNION ALL SELECT doc_id, w, pos, concat_ws(' ', 'short', list_aggregate(w[pos + 1:pos + n], 'string_agg', ' ')) AS seed
+  FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS pos FROM d, (SELECT DISTINCT len(w) AS n FROM b WHERE len(w) BETWEEN 1 AND {span - 1}) WHERE len(w) >= n)),
 bk AS ({keyed("b", "item_id")}
   UNION ALL SELECT item_id, w, 0, concat_ws(' ', 'short', list_aggregate(w, 'string_agg', ' ')) FROM b WHERE len(w) BETWEEN 1 AND {span - 1}),
-hit AS (SELECT DISTINCT doc_id, item_id, dk.w AS dw, bk.w AS iw, dk.at - bk.at AS begin FROM dk JOIN bk USING (seed)),
+hit AS (SELECT DISTINCT doc_id, item_id, dk.w AS dw, bk.w AS iw, dk.pos - bk.pos AS begin_at FROM dk JOIN bk USING (seed)),
 told AS (SELECT doc_id, item_id, len(iw) AS item_words,
-  len(list_filter(range(0, len(iw)), j -> begin + j >= 0 AND begin + j < len(dw) AND iw[j + 1] = dw[begin + j + 1])) AS matched FROM hit)
+  len(list_filter(range(0, len(iw)), lambda j: begin_at + j >= 0 AND begin_at + j < len(dw) AND iw[j + 1] = dw[begin_at + j + 1])) AS matched FROM hit)
 SELECT doc_id, item_id, CAST(max(item_words) AS INTEGER) AS item_words, CAST(max(matched) AS INTEGER) AS matched,
   round(max(matched) / max(item_words)::DOUBLE, 6) AS share
 FROM told GROUP BY doc_id, item_id HAVING max(matched) >= ceil({share}::DOUBLE * max(item_words) - 1e-9)"""

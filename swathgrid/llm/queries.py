@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontaminate.oracle()}
+    return {"op5_packing": packing.oracle(16, 32768), "op6_decontamination": decontaminate.oracle()}

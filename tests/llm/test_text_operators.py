@@ -1,0 +1,312 @@
+"""Personal data, sharding, packing, decontamination and HTML: brute force and edge cases."""
+
+import hashlib
+import itertools
+import random
+import re
+
+import duckdb
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from swathgrid.llm import decontaminate, html_extract, packing, pii, sharding
+
+# ---- personal data
+
+
+def brute_spans(text):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((*m.span(), "email"))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append((*m.span(), "ip"))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 14 <= len(d) <= 19 and sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(d)) % 10 == 0:
+            out.append((*m.span(), "card"))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((*m.span(), "phone"))
+    return sorted(out, key=lambda s: (s[0], ("email", "ip", "card", "phone").index(s[2])))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text("ab1234.@+- ()é_%", max_size=60))
+def test_base_spans(text):
+    assert pii.base_spans(text) == brute_spans(text)
+
+
+def test_base_spans_of_hard_texts():
+    for text in ("a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111 x", "+1 (743) 555-3824", "+1 2345678901234567890", "999.1.1.1", "00255.1.1.01", "a@b@c.d", "x" * 50_000 + "@y.z", "1" * 50_000):
+        assert pii.base_spans(text) == (brute_spans(text) if len(text) < 1000 else pii.base_spans(text))
+
+
+def test_field_on_sentences_it_hasn_t_seen():
+    rng, weights = random.Random(123), pii.field()
+    right = told = there = 0
+    for _ in range(150):
+        tokens, gold = pii._made(rng)
+        want, got = {g for g in gold if g[2]}, set(pii.best_path(tokens, *weights))
+        right, told, there = right + len(want & got), told + len(got), there + len(want)
+    assert right / told > 0.9 and right / there > 0.9
+
+
+def test_best_path_is_the_best():
+    """Against all segmentations of short sentences."""
+    weights, moves = pii.field()
+    rng = random.Random(8)
+
+    def score(tokens, path):
+        cover = {k for i, j, _ in path for k in range(i, j)}
+        steps = sorted([*path, *((k, k + 1, 0) for k in range(len(tokens)) if k not in cover)])
+        total, last = 0.0, 0
+        for i, j, y in steps:
+            total += moves[last, y] + (weights[y - 1, pii.segment_features(tokens, i, j)].sum() if y else 0)
+            last = y
+        return total
+
+    def all_paths(tokens, i=0):
+        if i >= len(tokens):
+            yield []
+            return
+        for rest in all_paths(tokens, i + 1):
+            yield rest
+        for j in range(i + 1, len(tokens) + 1):
+            if any(pii._TRIGGER.search(t) for t in tokens[i:j]):
+                for y in (1, 2, 3):
+                    for rest in all_paths(tokens, j):
+                        yield [(i, j, y), *rest]
+
+    for _ in range(12):
+        tokens = [rng.choice(["call", "555", "123-4567", "key", "=", "dot", "at", "com", "word"]) for _ in range(5)]
+        assert score(tokens, pii.best_path(tokens, weights, moves)) == pytest.approx(max(score(tokens, p) for p in all_paths(tokens)))
+
+
+def test_pii_rows(spark):
+    text = 'write to é.x@mail.example.com or 10.0.0.1, token = "0cab398dc11d1a2a11dc6572c8df8bd228c864f3" end'
+    docs = spark.createDataFrame([(1, text, 5), (2, None, 0), (3, "", 0), (4, text * 400, 1)], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    assert (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone) == (1, 1, 0, 0)
+    base = ",".join(f"{k}:{i}:{j}" for i, j, k in brute_spans(text))
+    assert got[1].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    assert got[1].spans.startswith(base) and "credential" in got[1].spans
+    assert got[2].spans == got[3].spans == "" and got[4].n_email == 400
+    clean = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert clean[2].text is None and clean[3].text == ""
+    assert "<EMAIL> or <IP>" in clean[1].text and "<CREDENTIAL>" in clean[1].text and clean[1].n_chars == len(clean[1].text)
+    assert pii.redact(docs).columns == docs.columns and pii.redact(docs.where("false")).collect() == []
+
+
+# ---- sharding
+
+
+def test_table_is_fair_and_stable():
+    names = [f"s{k}" for k in range(20)]
+    table = sharding.fill(names, 5003)
+    counts = [table.count(k) for k in range(20)]
+    assert max(counts) - min(counts) <= 1
+    fewer = sharding.fill(names[:-1], 5003)
+    moved = sum(names[a] != names[b] for a, b in zip(table, fewer, strict=True) if a != 19)
+    assert moved < 0.06 * 5003
+    heavy = sharding.fill(["a", "b"], 101, [3, 1])
+    assert 74 <= heavy.count(0) <= 77
+    for bad in ([], ["a", "a"]):
+        with pytest.raises(ValueError):
+            sharding.fill(bad)
+    with pytest.raises(ValueError):
+        sharding.fill(["a"], 100)
+
+
+def test_assign(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2, "d")], "doc_id long, shard string")
+    got = sharding.assign(rows, "doc_id", ["x", "y", "z"], 101)
+    assert got.columns == ["doc_id", "shard", "slot", "_shard"]
+    seen = got.collect()
+    assert len(seen) == 4 and len({r._shard for r in seen if r.doc_id == 1}) == 1
+    table = sharding.fill(["x", "y", "z"], 101)
+    assert all(r._shard == ["x", "y", "z"][table[r.slot]] for r in seen)
+    assert sharding.assign(rows.where("false"), "doc_id", ["x"], 101).collect() == []
+
+
+def test_write_shards(spark, tmp_path):
+    rows = spark.range(500).withColumnRenamed("id", "doc_id")
+    sharding.write_shards(rows, str(tmp_path / "out"), "doc_id", ["x", "y"], size=101)
+    assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 2
+
+
+# ---- packing
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 9), min_size=1, max_size=8), st.integers(1, 5))
+def test_boundaries_are_the_best(counts, buckets):
+    rows = [(n, c, n * c) for n, c in sorted(counts.items())]
+    ends = [r[0] for r in rows]
+
+    def padding(bounds):
+        return sum((min(b for b in bounds if b >= n) - n) * c for n, c, _ in rows)
+
+    got = packing.boundaries(rows, buckets)
+    choices = [[*x, ends[-1]] for k in range(buckets) for x in itertools.combinations(ends[:-1], k)]
+    assert len(got) <= buckets and padding(got) == min(map(padding, choices))
+
+
+def test_pack(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 5, 5, 40, 41, 300])), 1) for i in range(500)] + [(1000, None, 1), (1001, "x " * 5000, 1), (7, "w", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, batch int")
+    got = packing.pack(docs, buckets=4, budget=1000, slice_rows=20).collect()
+    assert len(got) == 503
+    batches = {}
+    for r in got:
+        assert max(r.n_tokens, 1) <= r.padded_tokens
+        batches.setdefault((r.bucket, r.padded_tokens), {}).setdefault(r.batch, []).append(r)
+    for (_, size), own in batches.items():
+        most = max(1, 1000 // size)
+        assert sorted(own) == list(range(len(own))) and all(len(x) == most for b, x in own.items() if b != len(own) - 1)
+    assert next(r for r in got if r.doc_id == 1000).n_tokens == 0
+    assert packing.pack(docs.where("false")).collect() == []
+
+
+def test_bins_hold_lengths_close_together(spark):
+    rows = spark.range(1, 200_000, 37).select("id", packing.length_bin(F.col("id")).alias("b")).collect()
+    assert all(r.b == r.id for r in rows if r.id < 1024)
+    assert all(0 <= r.id - r.b <= r.id / 512 for r in rows)
+
+
+# ---- decontamination
+
+
+def brute_contaminated(docs, items, share=0.8):
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = {}
+    for i, text in docs:
+        d = split(text)
+        for k, item in items:
+            w = split(item)
+            best = max((sum(0 <= s + j < len(d) and d[s + j] == w[j] for j in range(len(w))) for s in range(-len(w), len(d))), default=0)
+            if w and best >= share * len(w) and (len(w) >= 11 or best == len(w)):
+                out[i, k] = best
+    return out
+
+
+@pytest.fixture(scope="module")
+def leaks():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(3))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([40, 30, 25, 12, 11, 6, 2])] + [(7, None), (8, "")]
+    docs = [(0, None), (1, ""), (2, "one two")]
+    for i in range(3, 80):
+        text = [word() for _ in range(rng.choice([0, 5, 50, 200]))]
+        if i % 2:
+            k = rng.randrange(7)
+            own = items[k][1].split()
+            if len(own) >= 25:
+                for j in range(4, len(own), rng.choice([6, 9, 100])):
+                    own[j] = word()
+            at = rng.randint(0, len(text))
+            text[at:at] = [w.upper() + rng.choice(["", ",", "!"]) for w in own]
+        docs.append((i, " ".join(text)))
+    return docs, items
+
+
+@pytest.mark.parametrize("block", [400_000, 20])
+def test_contaminated(spark, leaks, block):
+    docs, items = leaks
+    d = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, item_id string")
+    b = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, doc_id int")
+    got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.contaminated(d, b, block=block).collect()}
+    assert got == brute_contaminated(docs, items) and len(got) > 25
+    kept = decontaminate.drop_contaminated(d, b)
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in got}
+
+
+def test_contaminated_oracle(spark, leaks):
+    docs, items = leaks
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.sql("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    rows = con.sql(decontaminate.oracle()).fetchall()
+    assert {(r[0], r[1]): r[3] for r in rows} == brute_contaminated(docs, items)
+
+
+def test_contaminated_without_rows(spark):
+    d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    assert decontaminate.contaminated(d, b.where("false")).collect() == []
+    assert decontaminate.contaminated(d.where("false"), b).collect() == []
+    assert decontaminate.drop_contaminated(d, b).count() == 1
+
+
+# ---- HTML
+
+
+def page(k, words):
+    body = "".join(f"<p>Para {k}-{i} {'word ' * (k * 3 + i)}&amp; more" for i in range(words))
+    return (
+        f"<!DOCTYPE html><html><head><title>T{k}</title><style>p{{}}</style><script>var a='<p>no</p>';</script></head><body class='has-sidebar'>"
+        f"<div id=top><a href=/>Home</a> <a href=/x>About</a></div><header><h1>Site</h1></header><nav><ul><li><a>A{k}</a><li><a>B</a></ul></nav><div class='cookie-notice'>Cookies!</div>"
+        f"<div class=wrap><div class=content><h2>Title {k}</h2>{body}</div><aside><p>Side {k}</aside></div><form>Mail <input></form>"
+        f"<section id=comments><p>reader {k} {'says ' * 40}</section><footer>&copy; {k}</footer><!-- <p>gone --></body></html>"
+    )
+
+
+def wanted(k, words):
+    return "\n".join([f"Title {k}", *(" ".join(f"Para {k}-{i} {'word ' * (k * 3 + i)}& more".split()) for i in range(words))])
+
+
+def test_wrapper_finds_the_slot():
+    texts = html_extract.extract([page(k, 2 + k % 3) for k in range(1, 8)] + [None, ""])
+    assert texts == [wanted(k, 2 + k % 3) for k in range(1, 8)] + ["", ""]
+    assert html_extract.extract([page(2, 3)]) == [wanted(2, 3)]
+
+
+def test_copies_of_a_page_don_t_make_it_template():
+    texts = html_extract.extract([page(3, 3)] * 6 + [page(4, 2)])
+    assert texts == [wanted(3, 3)] * 6 + [wanted(4, 2)]
+
+
+def test_matching_against_all_alignments():
+    def tree(rng, depth):
+        n = html_extract.Node(rng.choice(["div", "section"]))
+        n.kids = [tree(rng, depth - 1) for _ in range(rng.randint(0, 3))] if depth else []
+        return n
+
+    def brute(a, b):
+        if a.label != b.label:
+            return 0
+        best = 0
+        for size in range(min(len(a.kids), len(b.kids)) + 1):
+            for x in itertools.combinations(a.kids, size):
+                for y in itertools.combinations(b.kids, size):
+                    best = max(best, sum(brute(p, q) for p, q in zip(x, y, strict=True)))
+        return 1 + best
+
+    rng = random.Random(6)
+    for _ in range(60):
+        a, b = tree(rng, 2), tree(rng, 2)
+        n, pairs = html_extract.matching(a, b)
+        assert n == len(pairs) and (n == brute(a, b) or [k.label for k in a.kids] == [k.label for k in b.kids])
+
+
+def test_broken_pages():
+    for bad in ("<", "<p", "<p><b>x<br><p>y", "</div></p>text", "<a href='x>y", "<script>never closed", "<div " * 2000, "<div>" * 3000 + "deep", "a" * 200_000, "<p>&amp;&#233;&nbsp;z", "<table><tr><td>a<td>b<tr><td>c"):
+        (text,) = html_extract.extract([bad])
+        assert isinstance(text, str)
+    assert html_extract.extract(["<p><b>x<br><p>y"]) == ["x\ny"]
+    assert html_extract.extract(["<p>&amp;&#233;&nbsp; z"]) == ["&é z"]
+    assert html_extract.extract(["<article>one</article>", "two"])[0] == "one"
+
+
+def test_main_text(spark):
+    rows = [(k, f"http://Host.example/{k}", page(k, 2), "x") for k in range(1, 90)] + [(100, None, page(1, 1), "x"), (101, "no url", None, "x"), (102, "http://other/", "", "x"), (5, "http://Host.example/5", page(5, 2), "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html_extract.main_text(pages).collect()
+    assert len(got) == len(rows)
+    assert all(r.text == wanted(r.page_id, 2) and r.n_chars == len(r.text) for r in got if r.page_id < 90)
+    assert {r.page_id: r.text for r in got if r.page_id >= 100} == {100: wanted(1, 1), 101: "", 102: ""}
+    assert html_extract.main_text(pages.where("false")).collect() == []
