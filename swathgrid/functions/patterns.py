@@ -30,9 +30,9 @@ def nadir_angle(lon, lat, lon_nadir, lat_nadir, m=SPARK):
 
 def gaussian_raw(lon, lat, lon0, lat0, sigma_x, sigma_y, alpha, m=SPARK):
     """The Gaussian of metres along the parallel and the meridian, turned by alpha; not normalised."""
-    x = geo.vincenty(lon, lat0, lon0, lat0, m)
-    y = geo.vincenty(lon0, lat, lon0, lat0, m)
-    x, y = m.where(lon < lon0, -x, x), m.where(lat < lat0, -y, y)
+    # along a parallel and a meridian the sphere's distance has these closed forms, with the sign of the step
+    x = m.asin(m.cos(m.rad(lat0)) * m.sin(m.rad(lon - lon0) / 2)) * (2 * geo.R_VINCENTY)
+    y = m.rad(lat - lat0) * geo.R_VINCENTY
     c, s = m.cos(alpha), m.sin(alpha)
     a, b = x * c + y * s, y * c - x * s
     return m.exp(-(a * a / (2.0 * sigma_x * sigma_x) + b * b / (2.0 * sigma_y * sigma_y)))

@@ -1,8 +1,8 @@
 """Reconstructions that weigh a target's samples by their footprints: Backus-Gilbert and iterative (RSIR).
 
 Both need small dense algebra for each target: k samples by the cells of a local window. Spark brings each
-block of 16 x 16 targets together with their neighbours; in the task the block's targets are stacked and
-solved at once. A block holds at most 256 * k rows, whatever the size of the data.
+block of 32 x 32 targets together with their neighbours; in the task the block's targets are stacked and
+solved at once. A block holds at most 1024 * k rows, whatever the size of the data.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from ..functions import geo
 from ..functions.geo import NUMPY
 from ..functions.patterns import THRESHOLD, gaussian_radius, gaussian_raw, normalised
 
-BLOCK = 16
-#: Numbers in a stack of patterns (targets * samples * cells) that are worked on at once.
-STACK = 4_000_000
+BLOCK = 32
+#: Numbers in a stack of patterns (targets * samples * cells) that are worked on at once: what a core's cache holds.
+STACK = 60_000
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,9 @@ def _window(lon: np.ndarray, lat: np.ndarray, f: Footprints, reach: float) -> tu
 
 def _gaussians(cell_lon, cell_lat, inside, lon, lat, sx, sy, alpha, threshold) -> np.ndarray:
     """Patterns of points (targets x samples) on windows (targets x cells)."""
-    near = (cell_lon[:, None, :] - lon[:, :, None] + 180) % 360 - 180 + lon[:, :, None]  # the way that doesn't go round
+    near = cell_lon[:, None, :]
+    if (np.abs(lon) > 150).any() or (np.abs(cell_lat) > 80).any():  # the way that doesn't go round
+        near = (near - lon[:, :, None] + 180) % 360 - 180 + lon[:, :, None]
     raw = gaussian_raw(near, cell_lat[:, None, :], lon[:, :, None], lat[:, :, None], sx, sy, alpha, NUMPY)
     return normalised(np.where(inside[:, None, :], raw, 0.0), threshold)
 
@@ -82,7 +84,8 @@ def bg_weights(patterns: np.ndarray, target: np.ndarray, there: np.ndarray, smoo
     at = np.arange(k)
     g[:, at, at] += np.where(there, smoothing, scale[:, None])
     out = np.full(u.shape, np.nan)
-    good = (u.sum(-1) > 0) & (np.linalg.cond(g) < 1e13)
+    values = np.linalg.eigvalsh(g)  # g is symmetric, and singular if its least eigenvalue is next to nothing
+    good = (u.sum(-1) > 0) & (values[:, 0] > 1e-13 * values[:, -1])
     if good.any():
         solved = np.linalg.solve(g[good], np.stack([u[good], v[good]], -1))
         gu, gv = solved[..., 0], solved[..., 1]
@@ -108,12 +111,13 @@ def rsir(patterns: np.ndarray, target: np.ndarray, values: np.ndarray, iteration
     with np.errstate(divide="ignore", invalid="ignore"):
         for _ in range(iterations):
             f = np.where(weight > 0, np.einsum("tkc,tc->tk", h, a) / weight, np.nan)
-            d = np.sqrt(z / f)[:, :, None]
-            f3, a3 = f[:, :, None], a[:, None, :]
-            up = 1 / ((1 - 1 / d) / (2 * f3) + 1 / (a3 * d))
-            down = 0.5 * f3 * (1 - d) + a3 * d
-            u = np.where(d >= 1, up, down)
-            a = mean(np.where(h > 0, h * u, 0.0).sum(1))
+            d = np.sqrt(z / f)
+            rising = d >= 1
+            # upwards 1 / (p + q / a), downwards r + d * a: for each sample one of the two, over the cells
+            p, q, r = (1 - 1 / d) / (2 * f), 1 / d, 0.5 * f * (1 - d)
+            u = np.where(rising[:, :, None], 1 / (p[:, :, None] + q[:, :, None] / a[:, None, :]), r[:, :, None] + d[:, :, None] * a[:, None, :])
+            u *= h
+            a = mean(np.where(h > 0, u, 0.0).sum(1))
     seen = over > 0
     share = np.where(seen, target, 0.0)
     total = share.sum(-1)
