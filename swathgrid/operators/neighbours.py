@@ -42,45 +42,69 @@ def _checked(radius: float, k: int) -> None:
         raise ValueError("the number of neighbours must be a positive integer")
 
 
-def within_radius(samples: DataFrame, targets: DataFrame, radius: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, target_id, sample_id, distance): all pairs whose chord is at most `radius` metres.
+def within_radius(samples: DataFrame, targets: DataFrame, radius: float, keys: tuple[str, ...] = (), carry: tuple[str, ...] = (), spread: str = "samples") -> DataFrame:
+    """(keys, target_id, sample_id, distance, carry): all pairs whose chord is at most `radius` metres.
 
-    keys: columns of the samples, such as scan_direction, that tell separate searches apart. Positions that
-    are NULL or out of range match nothing.
+    keys: columns of the samples, such as scan_direction, that tell separate searches apart. carry: columns
+    of the samples that go along, so that no second join has to fetch them. spread: the side that is listed
+    under the cubes around each of its rows - the smaller one; the other side is shuffled once as it is.
+    Positions that are NULL or out of range match nothing.
     """
     _checked(radius, 1)
+    if spread not in ("samples", "targets"):
+        raise ValueError("spread must be samples or targets")
     side = max(radius, 1.0)
 
-    def placed(df: DataFrame, *columns: str) -> DataFrame:
+    def placed(df: DataFrame, mark: str, *columns: str) -> DataFrame:
         good = F.col("longitude").between(-360, 360) & F.col("latitude").between(-90, 90)
         x, y, z = geo.to_sphere(F.col("longitude"), F.col("latitude"))
-        return df.where(good).select(*columns, x.alias("_x"), y.alias("_y"), z.alias("_z")).withColumns({f"_c{a}": F.floor(F.col(f"_{a}") / side) for a in "xyz"})
-
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    s = placed(samples, "sample_id", *keys)
-    # the samples' side is listed under the 27 cubes around each: it is the smaller side of a full grid
-    steps = F.flatten(F.transform(around, lambda i: F.flatten(F.transform(around, lambda j: F.transform(around, lambda k: F.struct(i.alias("i"), j.alias("j"), k.alias("k")))))))
-    s = s.withColumn("_n", F.explode(steps)).select(
-        "sample_id", *keys, "_x", "_y", "_z", (F.col("_cx") + F.col("_n.i")).alias("_kx"), (F.col("_cy") + F.col("_n.j")).alias("_ky"), (F.col("_cz") + F.col("_n.k")).alias("_kz")
-    )
-    t = placed(targets, "target_id").withColumnsRenamed({"_x": "_tx", "_y": "_ty", "_z": "_tz"})
-    met = s.join(t, (F.col("_kx") == F.col("_cx")) & (F.col("_ky") == F.col("_cy")) & (F.col("_kz") == F.col("_cz")))
-    square = sum(((F.col(f"_{a}") - F.col(f"_t{a}")) ** 2 for a in "xyz"), F.lit(0.0))
-    return met.select(*keys, "target_id", "sample_id", F.sqrt(square).alias("distance")).where(F.col("distance") <= radius)
-
-
-def nearest(samples: DataFrame, targets: DataFrame, radius: float, k: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, target_id, sample_id, distance, rank): for each target the k nearest samples within the radius.
+        own = df.where(good).select(*columns, x.alias(f"_{mark}x"), y.alias(f"_{mark}y"), z.alias(f"_{mark}z"))
+        return own.withColumns({f"_{mark}k{a}": F.floor(F.col(f"_{mark}{a}") / side) for a in "xyz"})
+
+    def listed(df: DataFrame, mark: str) -> DataFrame:
+        """df under each cube around its rows that the radius reaches and the sphere passes through: about 11 of 27."""
+        for a in "xyz":
+            df = df.withColumn(f"_d{a}", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+        off, inner, outer = F.lit(0.0), F.lit(0.0), F.lit(0.0)
+        for a in "xyz":
+            low = (F.col(f"_{mark}k{a}") + F.col(f"_d{a}")) * side
+            high, at = low + side, F.col(f"_{mark}{a}")
+            off = off + F.pow(F.greatest(low - at, at - high, F.lit(0.0)), F.lit(2.0))
+            inner = inner + F.pow(F.greatest(low, -high, F.lit(0.0)), F.lit(2.0))
+            outer = outer + F.pow(F.greatest(F.abs(low), F.abs(high)), F.lit(2.0))
+        ball = geo.R_SEARCH * geo.R_SEARCH
+        kept = df.where((off <= side * side * 1.000001) & (inner <= ball * 1.000001) & (outer >= ball * 0.999999))
+        return kept.withColumns({f"_{mark}k{a}": F.col(f"_{mark}k{a}") + F.col(f"_d{a}") for a in "xyz"}).drop("_dx", "_dy", "_dz")
+
+    s, t = placed(samples, "s", "sample_id", *keys, *carry), placed(targets, "t", "target_id")
+    s, t = (listed(s, "s"), t) if spread == "samples" else (s, listed(t, "t"))
+    met = s.join(t, (F.col("_skx") == F.col("_tkx")) & (F.col("_sky") == F.col("_tky")) & (F.col("_skz") == F.col("_tkz")))
+    square = sum(((F.col(f"_s{a}") - F.col(f"_t{a}")) ** 2 for a in "xyz"), F.lit(0.0))
+    return met.select(*keys, "target_id", "sample_id", F.sqrt(square).alias("distance"), *carry).where(F.col("distance") <= radius)
+
+
+def nearest(samples: DataFrame, targets: DataFrame, radius: float, k: int, keys: tuple[str, ...] = (), carry: tuple[str, ...] = (), spread: str = "samples") -> DataFrame:
+    """(keys, target_id, sample_id, distance, carry, rank): for each target the k nearest samples within the radius.
 
     Equal distances (to the millimetre) go by sample_id. Targets without a sample don't appear. Spark ranks
-    in each partition before the shuffle, so at most k rows a partition and target are moved.
+    in each partition before the shuffle, so at most k rows a partition and target are moved; for k = 1 the
+    ranking is a minimum, which needs no sort.
     """
     _checked(radius, k)
-    pairs = within_radius(samples, targets, radius, keys)
+    pairs = within_radius(samples, targets, radius, keys, carry, spread)
+    if k == 1:
+        first = F.min(F.struct(F.round("distance", 3).alias("_d"), "sample_id", "distance", *carry)).alias("_first")
+        got = pairs.groupBy(*keys, "target_id").agg(first)
+        return got.select(*keys, "target_id", *(F.col(f"_first.{c}").alias(c) for c in ("sample_id", "distance", *carry)), F.lit(1).alias("rank"))
     order = Window.partitionBy(*keys, "target_id").orderBy(F.round("distance", 3), "sample_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def smaller_side(samples: DataFrame, targets: DataFrame) -> str:
+    """Which side a search should list under its cubes; counts both."""
+    return "targets" if targets.count() < samples.count() else "samples"
+
+
 def nearest_widening(samples: DataFrame, targets: DataFrame, radius: float, k: int, start: float, keys: tuple[str, ...] = (), factor: float = 2.0) -> DataFrame:
     """nearest() for a radius so large that its cubes would hold everything.
 
@@ -124,7 +148,9 @@ def orphans(samples: DataFrame, neighbours: DataFrame, keys: tuple[str, ...] = (
 
 
 def with_values(neighbours: DataFrame, samples: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    return neighbours.join(samples.select("sample_id", *keys, *columns), ["sample_id", *keys])
+    """neighbours with columns of the samples; those that the search carried along are there already."""
+    missing = [c for c in columns if c not in neighbours.columns]
+    return neighbours.join(samples.select("sample_id", *keys, *missing), ["sample_id", *keys]) if missing else neighbours
 
 
 def tile(row: Column, col: Column, size: int) -> tuple[Column, Column]:

@@ -127,7 +127,7 @@ def rsir(patterns: np.ndarray, target: np.ndarray, values: np.ndarray, iteration
 def _by_block(rows: DataFrame, keys: tuple[str, ...], variables: list[str], solve: Callable, extra: list[str]) -> DataFrame:
     """Group neighbour rows by block of targets and solve each stack of a block."""
     out = T.StructType(
-        [*(rows.schema[k] for k in keys), T.StructField("target_id", T.LongType()), T.StructField("cell_row", T.LongType()), T.StructField("cell_col", T.LongType()), *(T.StructField(v, T.DoubleType()) for v in [*variables, *extra])]
+        [*(rows.schema[k] for k in keys), T.StructField("target_id", T.LongType()), T.StructField("cell_row", T.LongType()), T.StructField("cell_col", T.LongType()), *(T.StructField(v, T.DoubleType()) for v in [*variables, *extra]), T.StructField("regridding_n_samples", T.LongType())]
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -143,6 +143,7 @@ def _by_block(rows: DataFrame, keys: tuple[str, ...], variables: list[str], solv
             return held
 
         res = first[[*keys, "target_id", "cell_row", "cell_col"]].copy()
+        res["regridding_n_samples"] = np.bincount(code)
         for c, column in solve(first["t_lon"].to_numpy(float), first["t_lat"].to_numpy(float), stacked).items():
             res[c] = column
         return res[out.names]
@@ -152,9 +153,13 @@ def _by_block(rows: DataFrame, keys: tuple[str, ...], variables: list[str], solv
 
 
 def _prepared(neighbours: DataFrame, samples: DataFrame, targets: DataFrame, columns: list[str], keys: tuple[str, ...]) -> DataFrame:
-    s = samples.select("sample_id", *keys, F.col("longitude").alias("s_lon"), F.col("latitude").alias("s_lat"), *columns)
+    if all(c in neighbours.columns for c in ("longitude", "latitude", *columns)):  # the search carried them along
+        rows = neighbours.withColumnsRenamed({"longitude": "s_lon", "latitude": "s_lat"})
+    else:
+        s = samples.select("sample_id", *keys, F.col("longitude").alias("s_lon"), F.col("latitude").alias("s_lat"), *columns)
+        rows = neighbours.select(*keys, "target_id", "sample_id", "distance", "rank").join(s, ["sample_id", *keys])
     t = targets.select("target_id", F.col("cell_row").cast("long").alias("cell_row"), F.col("cell_col").cast("long").alias("cell_col"), F.col("longitude").alias("t_lon"), F.col("latitude").alias("t_lat"))
-    return neighbours.join(s, ["sample_id", *keys]).join(t, "target_id")
+    return rows.join(t, "target_id")
 
 
 def _stacks(n: int, k: int, cells: int) -> Iterator[slice]:

@@ -1,6 +1,7 @@
 """Reductions of a target's neighbours that are plain aggregates: NN, DIB, IDS, their noise and counts.
 
-Each takes rows (keys, sample_id, distance, variables) and reduces all variables in one aggregation.
+Each takes rows (keys, sample_id, distance, variables) and reduces all variables in one aggregation, with
+the number of samples in the same pass if `count` asks for it.
 """
 
 from __future__ import annotations
@@ -9,15 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def nn(rows: DataFrame, keys: list[str], variables: list[str]) -> DataFrame:
+def _counted(count: bool) -> list[Column]:
+    return [F.count("*").alias("regridding_n_samples")] if count else []
+
+
+def nn(rows: DataFrame, keys: list[str], variables: list[str], count: bool = False) -> DataFrame:
     """The nearest sample's values; equal distances (to the millimetre) go by sample_id."""
     by = F.struct(F.round("distance", 3), "sample_id")
-    return rows.groupBy(*keys).agg(*(F.min_by(v, by).alias(v) for v in variables))
+    return rows.groupBy(*keys).agg(*(F.min_by(v, by).alias(v) for v in variables), *_counted(count))
 
 
-def dib(rows: DataFrame, keys: list[str], variables: list[str]) -> DataFrame:
+def dib(rows: DataFrame, keys: list[str], variables: list[str], count: bool = False) -> DataFrame:
     """The mean of the samples in the bucket."""
-    return rows.groupBy(*keys).agg(*(F.avg(v).alias(v) for v in variables))
+    return rows.groupBy(*keys).agg(*(F.avg(v).alias(v) for v in variables), *_counted(count))
 
 
 def _weighted(v: str, near: Column) -> Column:
@@ -27,7 +32,7 @@ def _weighted(v: str, near: Column) -> Column:
     return F.coalesce(exact, F.try_divide(F.sum(F.col(v) * w), F.sum(w)))
 
 
-def ids(rows: DataFrame, keys: list[str], variables: list[str], noise: list[str] = (), exact: float = 1e-6) -> DataFrame:
+def ids(rows: DataFrame, keys: list[str], variables: list[str], noise: list[str] = (), exact: float = 1e-6, count: bool = False) -> DataFrame:
     """Inverse-distance-squared means. noise: columns that follow the weights' squares instead.
 
     Samples within `exact` metres of the target would weigh infinitely much: then their mean is the value.
@@ -39,9 +44,9 @@ def ids(rows: DataFrame, keys: list[str], variables: list[str], noise: list[str]
     for n in noise:
         told = F.col(n).isNotNull()
         one, two = F.sum(F.when(told & ~near, w)), F.sum(F.when(told & ~near, w * w * F.col(n)))
-        own, count = F.sum(F.when(near, F.col(n))), F.sum((near & told).cast("int"))
-        out.append(F.when(hit == 1, F.try_divide(own, count * count)).otherwise(F.try_divide(two, one * one)).alias(n))
-    return rows.groupBy(*keys).agg(*out)
+        own, hits = F.sum(F.when(near, F.col(n))), F.sum((near & told).cast("int"))
+        out.append(F.when(hit == 1, F.try_divide(own, hits * hits)).otherwise(F.try_divide(two, one * one)).alias(n))
+    return rows.groupBy(*keys).agg(*out, *_counted(count))
 
 
 def n_samples(rows: DataFrame, keys: list[str]) -> DataFrame:

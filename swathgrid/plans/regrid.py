@@ -32,12 +32,23 @@ def _simple(reduce: Callable) -> Callable[[Task], DataFrame]:
     def run(t: Task) -> DataFrame:
         keys = ["scan_direction", "target_id"]
         rows = neighbours.with_values(t.neighbours, t.samples, [*t.variables, *t.noise], ("scan_direction",))
-        out = simple.ids(rows, keys, t.variables, t.noise) if reduce is simple.ids else reduce(rows, keys, [*t.variables, *t.noise])
-        return out.join(t.targets.select("target_id", "cell_row", "cell_col"), "target_id")
+        if reduce is simple.ids:
+            out = simple.ids(rows, keys, t.variables, t.noise, count=True)
+        else:
+            out = reduce(rows, keys, [*t.variables, *t.noise], count=True)
+        return _placed(out, t)
 
     return run
 
 
+def _placed(out: DataFrame, t: Task) -> DataFrame:
+    """out with cell_row and cell_col: by arithmetic on a grid, else from the targets."""
+    if t.config.grid_type == "L1C":
+        n = GRIDS[t.config.grid_definition].n_cols
+        return out.withColumns({"cell_row": F.expr(f"target_id div {n}"), "cell_col": F.col("target_id") % n})
+    return out.join(t.targets.select("target_id", "cell_row", "cell_col"), "target_id")
+
+
 def _footprints(c: Config, target: float) -> reconstruct.Footprints:
     return reconstruct.Footprints(c.MRF_grid_definition, *c.source_gaussian_params, target, threshold=c.source_antenna_threshold)
 
@@ -72,9 +83,8 @@ def _inverted(method: str) -> Callable[[Task], DataFrame]:
         same = c.MRF_grid_definition == c.grid_definition
         image = inversion.invert(t.samples, t.variables, f, method, c.max_chunk_size, c.chunk_buffer, c.regularisation_parameter, c.max_iterations, c.relative_tolerance, c.rows if same else None, c.cols if same else None, ("scan_direction",))
         if same:
-            return image.join(t.targets.select("target_id", F.col("cell_row").cast("long").alias("cell_row"), F.col("cell_col").cast("long").alias("cell_col")), ["cell_row", "cell_col"])
-        read = inversion.bilinear(image, t.targets, c.MRF_grid_definition, t.variables, ("scan_direction",))
-        return read.join(t.targets.select("target_id", "cell_row", "cell_col"), "target_id")
+            return image.withColumn("target_id", F.col("cell_row") * GRIDS[c.grid_definition].n_cols + F.col("cell_col"))
+        return _placed(inversion.bilinear(image, t.targets, c.MRF_grid_definition, t.variables, ("scan_direction",)), t)
 
     return run
 
@@ -113,10 +123,10 @@ def regrid(spark: SparkSession, samples: DataFrame, config: Config, targets: Dat
         aims = targets if targets is not None else neighbours.grid_targets(spark, c.grid_definition, c.projection_definition, c.rows, c.cols)
         near = None
         if c.regridding_algorithm not in ("LW", "CG"):
-            near = neighbours.nearest(own, aims, c.search_radius, c.max_neighbours, ("scan_direction",))
+            # what the algorithm needs of a sample goes along with the search, and the smaller side is spread
+            carried = dict.fromkeys([*variables, *noise, *(("longitude", "latitude") if c.regridding_algorithm in ("BG", "RSIR") else ())])
+            near = neighbours.nearest(own, aims, c.search_radius, c.max_neighbours, ("scan_direction",), tuple(carried), neighbours.smaller_side(own, aims))
         got = REGISTRY[c.regridding_algorithm](Task(c, own, aims, near, variables, noise))
-        if near is not None:
-            got = got.join(simple.n_samples(near, ["scan_direction", "target_id"]), ["scan_direction", "target_id"])
         got = got.withColumn("band", F.lit(band))
         out = got if out is None else out.unionByName(got)
     return out
@@ -128,8 +138,9 @@ def _without_search(samples: DataFrame, c: Config, variables: list[str], noise:
         placed = placed.where(F.col("cell_row").between(*c.rows) & F.col("cell_col").between(*c.cols))
     keys = [k for k in ("band", "scan_direction", "cell_row", "cell_col") if k in placed.columns]
     reduce = {"NN": simple.nn, "DIB": simple.dib}.get(c.regridding_algorithm)
-    out = reduce(placed, keys, [*variables, *noise]) if reduce else simple.ids(placed, keys, variables, noise)
-    return out.join(simple.n_samples(placed, keys), keys)
+    if reduce:
+        return reduce(placed, keys, [*variables, *noise], count=True)
+    return simple.ids(placed, keys, variables, noise, count=True)
 
 
 def unused(spark: SparkSession, samples: DataFrame, config: Config, targets: DataFrame | None = None) -> DataFrame:

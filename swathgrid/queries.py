@@ -364,9 +364,9 @@ n AS (SELECT *, row_number() OVER (PARTITION BY scan_direction, target_id ORDER
 NEAR = _near_sql(RADIUS, K)
 
 
-def near(spark: SparkSession, sf_dir: str, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near(spark: SparkSession, sf_dir: str, k: int = K, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     s, t = clean(spark, sf_dir), neighbours.grid_targets(spark, GRID)
-    return s, t, neighbours.nearest(s, t, RADIUS, k, WAY)
+    return s, t, neighbours.nearest(s, t, RADIUS, k, WAY, carry)
 
 
 @query(f"WITH {S}, {NEAR} SELECT scan_direction, target_id, sample_id, CAST(rank AS INTEGER) AS rank, {r('distance', 1, 'distance')} FROM n")
@@ -380,7 +380,7 @@ def knn_n_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reduced(spark: SparkSession, sf_dir: str, reduce: Callable, variables: list[str], *more) -> DataFrame:
-    s, _, n = near(spark, sf_dir)
+    s, _, n = near(spark, sf_dir, K, (*variables, *(more[0] if more else [])))
     return reduce(neighbours.with_values(n, s, [*variables, *(more[0] if more else [])], WAY), ["scan_direction", "target_id"], variables, *more)
 
 
@@ -550,20 +550,20 @@ FOOT = reconstruct.Footprints("EASE2_G36km", 60000.0, 60000.0, 36032.22)
 @query(f"WITH {S}, {_near_sql(RADIUS, 1)} SELECT n.scan_direction, target_id, {r('bt_h', 4, 'bt_h')}, {r('sqrt(nedt_h*nedt_h + 0.04e0)', 4, 'nedt_h')} FROM n JOIN c USING (sample_id)")
 def bg_one_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With one sample its weight is one, whatever the patterns are."""
-    s, t, n = near(spark, sf_dir, 1)
+    s, t, n = near(spark, sf_dir, 1, ("longitude", "latitude", "bt_h", "nedt_h"))
     out = reconstruct.backus_gilbert(n, s, t, ["bt_h"], FOOT, RADIUS, 0.0, ["nedt_h"], 0.2, WAY)
     return rounded(out.select("scan_direction", "target_id", "bt_h", "nedt_h"), 4, "bt_h", "nedt_h")
 
 
 @query()
 def bg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, t, n = near(spark, sf_dir)
+    s, t, n = near(spark, sf_dir, K, ("longitude", "latitude", "bt_h", "nedt_h"))
     return rounded(reconstruct.backus_gilbert(n, s, t, ["bt_h"], FOOT, RADIUS, 0.01, ["nedt_h"], 0.0, WAY), 4, "bt_h", "nedt_h")
 
 
 @query()
 def rsir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, t, n = near(spark, sf_dir)
+    s, t, n = near(spark, sf_dir, K, ("longitude", "latitude", "bt_h"))
     return rounded(reconstruct.reconstruct_rsir(n, s, t, ["bt_h"], FOOT, RADIUS, 15, WAY), 4, "bt_h")
 
 

@@ -27,13 +27,14 @@ def brute(s_lon, s_lat, t_lon, t_lat, radius, k):
     return out
 
 
-@pytest.mark.parametrize("radius,k", [(300_000.0, 3), (2_000_000.0, 1), (50_000.0, 10)])
-def test_nearest_everywhere(spark, radius, k):
+@pytest.mark.parametrize("radius,k,spread", [(300_000.0, 3, "samples"), (300_000.0, 3, "targets"), (2_000_000.0, 1, "samples"), (50_000.0, 10, "targets"), (9_000_000.0, 2, "samples")])
+def test_nearest_everywhere(spark, radius, k, spread):
     """Poles and the date line included."""
     rng = np.random.default_rng(3)
     s_lon, s_lat = rng.uniform(-180, 180, 400), np.degrees(np.arcsin(rng.uniform(-1, 1, 400)))
     t_lon, t_lat = np.concatenate([rng.uniform(-180, 180, 80), [0, 180, -180, 10]]), np.concatenate([rng.uniform(-90, 90, 80), [90, -90, 0, 89.9]])
-    got = neighbours.nearest(points(spark, s_lon, s_lat), points(spark, t_lon, t_lat, name="target_id"), radius, k).orderBy("target_id", "rank").collect()
+    got = neighbours.nearest(points(spark, s_lon, s_lat), points(spark, t_lon, t_lat, name="target_id"), radius, k, (), ("longitude",), spread).orderBy("target_id", "rank").collect()
+    assert all(r.longitude == s_lon[r.sample_id] for r in got)
     found = {}
     for r in got:
         found.setdefault(r.target_id, []).append(r.sample_id)
