@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..catalog import GRIDS
 from ..functions import geo
 from ..functions.geo import NUMPY
-from ..functions.patterns import THRESHOLD, gaussian_radius, gaussian_raw, normalised
+from ..functions.patterns import THRESHOLD, antenna_axes, attitude_from_motion, gaussian_radius, gaussian_raw, normalised, to_earth
 
 BLOCK = 32
 #: Numbers in a stack of patterns (targets * samples * cells) that are worked on at once: what a core's cache holds.
@@ -37,6 +37,39 @@ class Footprints:
     target: float = 18000.0
     alpha: float = 0.0
     threshold: float = THRESHOLD
+    source: Projected | None = None  # an instrument's patterns instead of Gaussian ones for the samples
+
+
+#: Columns of a sample that a projected antenna pattern needs.
+GEOMETRY = ("x_position", "y_position", "z_position", "x_velocity", "y_velocity", "z_velocity", "processing_scan_angle", "feed_horn_number")
+
+
+@dataclass(frozen=True)
+class Projected:
+    """Antenna patterns of an instrument, projected from the satellite: gain(phi, theta) by horn.
+
+    tilt and offsets (phi, theta of each horn) are in radians. radius: metres beyond which a footprint is
+    nothing. body_scan: scan angles count from the flight direction; otherwise from a quarter turn off it.
+    """
+
+    gains: dict[int, Callable[[np.ndarray, np.ndarray], np.ndarray]]
+    tilt: float
+    radius: float
+    offsets: dict[int, tuple[float, float]] | None = None
+    body_scan: bool = True
+
+    def on(self, lon: np.ndarray, lat: np.ndarray, inside: np.ndarray, sample: dict[str, np.ndarray]) -> np.ndarray:
+        """Shares (targets x samples x cells) on windows; samples that don't exist have NaN in their columns."""
+        shape = sample["x_position"].shape
+        out = np.zeros((*shape, lon.shape[1]))
+        for t, k in zip(*np.nonzero(~np.isnan(sample["x_position"])), strict=True):
+            at = {c: sample[c][t, k] for c in GEOMETRY}
+            position, velocity = (np.array([at[f"{a}_{w}"] for a in "xyz"]) for w in ("position", "velocity"))
+            horn, scan = int(at["feed_horn_number"]), math.radians(at["processing_scan_angle"])
+            axes = antenna_axes(self.tilt, scan if self.body_scan else math.pi / 2 - scan, *(self.offsets or {}).get(horn, (0.0, 0.0)))
+            share = to_earth(self.gains[horn], lon[t], lat[t], position, attitude_from_motion(position, velocity), axes) * inside[t]
+            out[t, k] = share / share.sum() if share.any() else 0.0
+        return out
 
 
 def _window(lon: np.ndarray, lat: np.ndarray, f: Footprints, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,12 +201,19 @@ def _stacks(n: int, k: int, cells: int) -> Iterator[slice]:
 
 
 def _reach(f: Footprints, radius: float) -> float:
-    return radius + gaussian_radius(f.sigma_x, f.sigma_y, f.threshold)
+    return radius + (f.source.radius if f.source else gaussian_radius(f.sigma_x, f.sigma_y, f.threshold))
+
+
+def _sources(window: tuple, f: Footprints, stacked: Callable, at: slice, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+    """The samples' patterns on the windows of a stack."""
+    if f.source:
+        return f.source.on(*window, {c: stacked(c)[at] for c in GEOMETRY})
+    return np.nan_to_num(_gaussians(*window, lon, lat, f.sigma_x, f.sigma_y, f.alpha, f.threshold))
 
 
 def backus_gilbert(neighbours: DataFrame, samples: DataFrame, targets: DataFrame, variables: list[str], f: Footprints, radius: float, smoothing: float = 0.0, noise: list[str] = (), uncertainty: float = 0.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, target_id, cell_row, cell_col, variables, noise). Targets without weights give NULL."""
-    rows = _prepared(neighbours, samples, targets, [*variables, *noise], keys)
+    rows = _prepared(neighbours, samples, targets, [*variables, *noise, *(GEOMETRY if f.source else ())], keys)
 
     def solve(t_lon: np.ndarray, t_lat: np.ndarray, stacked: Callable) -> dict[str, np.ndarray]:
         lon, lat = stacked("s_lon"), stacked("s_lat")
@@ -183,7 +223,7 @@ def backus_gilbert(neighbours: DataFrame, samples: DataFrame, targets: DataFrame
         for at in _stacks(len(t_lon), lon.shape[1], cells):
             window = _window(t_lon[at], t_lat[at], f, _reach(f, radius))
             there = ~np.isnan(lon[at])
-            p = np.nan_to_num(_gaussians(*window, lon[at], lat[at], f.sigma_x, f.sigma_y, f.alpha, f.threshold))
+            p = _sources(window, f, stacked, at, lon[at], lat[at])
             t = _gaussians(*window, t_lon[at][:, None], t_lat[at][:, None], f.target, f.target, 0.0, THRESHOLD)[:, 0]
             a = bg_weights(p, t, there, smoothing)
             none = np.isnan(a).any(-1)
@@ -200,7 +240,7 @@ def reconstruct_rsir(neighbours: DataFrame, samples: DataFrame, targets: DataFra
     """(keys, target_id, cell_row, cell_col, variables). With 0 iterations the start value is read through the target's pattern."""
     if iterations < 0:
         raise ValueError("the number of iterations must not be negative")
-    rows = _prepared(neighbours, samples, targets, variables, keys)
+    rows = _prepared(neighbours, samples, targets, [*variables, *(GEOMETRY if f.source else ())], keys)
 
     def solve(t_lon: np.ndarray, t_lat: np.ndarray, stacked: Callable) -> dict[str, np.ndarray]:
         lon, lat = stacked("s_lon"), stacked("s_lat")
@@ -209,7 +249,7 @@ def reconstruct_rsir(neighbours: DataFrame, samples: DataFrame, targets: DataFra
         cells = (2 * math.ceil(_reach(f, radius) / GRIDS[f.grid].res) + 1) ** 2
         for at in _stacks(len(t_lon), lon.shape[1], cells):
             window = _window(t_lon[at], t_lat[at], f, _reach(f, radius))
-            p = np.nan_to_num(_gaussians(*window, lon[at], lat[at], f.sigma_x, f.sigma_y, f.alpha, f.threshold))
+            p = _sources(window, f, stacked, at, lon[at], lat[at])
             t = _gaussians(*window, t_lon[at][:, None], t_lat[at][:, None], f.target, f.target, 0.0, THRESHOLD)[:, 0]
             for c in variables:
                 out[c][at] = rsir(p, t, held[c][at], iterations)

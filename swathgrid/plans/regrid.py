@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..catalog import GRIDS
 from ..config import Config
+from ..functions.patterns import footprint_radius
 from ..operators import inversion, neighbours, reconstruct, simple
-from ..sources import swath
+from ..sources import beam, swath
 
 NOT_AVERAGED = ("regridding_n_samples", "regridding_l1b_orphans")
 
@@ -26,6 +28,7 @@ class Task:
     neighbours: DataFrame | None
     variables: list[str]
     noise: list[str]
+    band: str = ""
 
 
 def _simple(reduce: Callable) -> Callable[[Task], DataFrame]:
@@ -49,20 +52,34 @@ def _placed(out: DataFrame, t: Task) -> DataFrame:
     return out.join(t.targets.select("target_id", "cell_row", "cell_col"), "target_id")
 
 
-def _footprints(c: Config, target: float) -> reconstruct.Footprints:
-    return reconstruct.Footprints(c.MRF_grid_definition, *c.source_gaussian_params, target, threshold=c.source_antenna_threshold)
+#: Angle (degrees) between the antenna's axis and straight down, and a satellite's height (m), where nothing else is known.
+TILT = {"CIMR": 46.886, "SMAP": 180 - 144.54}
+HEIGHT = {"CIMR": 830000.0, "SMAP": 685000.0}
+
+
+def _footprints(spark: SparkSession, c: Config, band: str, target: float) -> reconstruct.Footprints:
+    """Gaussian footprints, or an instrument's patterns from config.antenna_patterns_path projected to the ground."""
+    source = None
+    if c.source_antenna_method == "instrument":
+        if c.polarisation_method != "scalar":
+            raise ValueError("patterns are weighed by their scalar gain")
+        held = beam.load_patterns(spark, c.antenna_patterns_path, band, c.source_antenna_threshold, c.max_theta_antenna_patterns)
+        tilt = math.radians(TILT[c.type])
+        reach = max(footprint_radius(tilt, HEIGHT[c.type], p.widest()) for p in held.values())
+        source = reconstruct.Projected({k: p.scalar for k, p in held.items()}, tilt, reach, body_scan=c.type != "SMAP")
+    return reconstruct.Footprints(c.MRF_grid_definition, *c.source_gaussian_params, target, threshold=c.source_antenna_threshold, source=source)
 
 
 def _bg(t: Task) -> DataFrame:
     c = t.config
-    f = _footprints(c, GRIDS[c.grid_definition].res)
+    f = _footprints(t.samples.sparkSession, c, t.band, GRIDS[c.grid_definition].res)
     return reconstruct.backus_gilbert(t.neighbours, t.samples, t.targets, t.variables, f, c.search_radius, c.bg_smoothing, t.noise, c.antenna_pattern_uncertainty, ("scan_direction",))
 
 
 def _rsir(t: Task) -> DataFrame:
     """Brightness temperatures are reconstructed; all else, and the noise, follows inverse-square weights."""
     c = t.config
-    f = _footprints(c, GRIDS[c.grid_definition].res / 10)
+    f = _footprints(t.samples.sparkSession, c, t.band, GRIDS[c.grid_definition].res / 10)
     main = [v for v in t.variables if v.startswith("bt_")]
     out = reconstruct.reconstruct_rsir(t.neighbours, t.samples, t.targets, main, f, c.search_radius, c.rsir_iteration, ("scan_direction",))
     rest = [v for v in t.variables if v not in main]
@@ -79,7 +96,9 @@ def _inverted(method: str) -> Callable[[Task], DataFrame]:
         c = t.config
         if c.grid_type != "L1C":
             raise ValueError("inversion works on a grid")
-        f = _footprints(c, GRIDS[c.grid_definition].res)
+        if c.source_antenna_method != "gaussian":
+            raise ValueError("inversion takes Gaussian footprints")
+        f = _footprints(t.samples.sparkSession, c, t.band, GRIDS[c.grid_definition].res)
         same = c.MRF_grid_definition == c.grid_definition
         image = inversion.invert(t.samples, t.variables, f, method, c.max_chunk_size, c.chunk_buffer, c.regularisation_parameter, c.max_iterations, c.relative_tolerance, c.rows if same else None, c.cols if same else None, ("scan_direction",))
         if same:
@@ -124,9 +143,9 @@ def regrid(spark: SparkSession, samples: DataFrame, config: Config, targets: Dat
         near = None
         if c.regridding_algorithm not in ("LW", "CG"):
             # what the algorithm needs of a sample goes along with the search, and the smaller side is spread
-            carried = dict.fromkeys([*variables, *noise, *(("longitude", "latitude") if c.regridding_algorithm in ("BG", "RSIR") else ())])
+            carried = dict.fromkeys([*variables, *noise, *(("longitude", "latitude") if c.regridding_algorithm in ("BG", "RSIR") else ()), *(reconstruct.GEOMETRY if c.regridding_algorithm in ("BG", "RSIR") and c.source_antenna_method == "instrument" else ())])
             near = neighbours.nearest(own, aims, c.search_radius, c.max_neighbours, ("scan_direction",), tuple(carried), neighbours.smaller_side(own, aims))
-        got = REGISTRY[c.regridding_algorithm](Task(c, own, aims, near, variables, noise))
+        got = REGISTRY[c.regridding_algorithm](Task(c, own, aims, near, variables, noise, band))
         got = got.withColumn("band", F.lit(band))
         out = got if out is None else out.unionByName(got)
     return out

@@ -9,12 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo
+from ..functions.patterns import Tabulated
 
 POINTS = "set int, i int, j int, u double, v double, xcen double, ycen double, du double, dv double, nx int, ny int, xs double, ys double, co_re double, co_im double, cross_re double, cross_im double"
 _NUMBER = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
@@ -136,3 +138,16 @@ def preprocess(spark: SparkSession, path: str, out: str, max_theta: float = 90.0
     polar = to_polar(recentre(points) if centred else points, max_theta, res_theta, res_phi)
     pattern_table(polar).write.mode("ignore").partitionBy("band", "horn").parquet(out)
 
+
+
+def load_patterns(spark: SparkSession, path: str, band: str, threshold: float | None = None, max_theta: float | None = None) -> dict[int, Tabulated]:
+    """The patterns of a band's horns that preprocess() wrote. An instrument's lattices are small: they go to the driver."""
+    rows = spark.read.parquet(path).where(F.col("band") == band).toPandas()
+    out = {}
+    for horn, own in rows.groupby("horn"):
+        own = own.sort_values(["i_phi", "i_theta"])
+        n_phi, n_theta = own["i_phi"].nunique(), own["i_theta"].nunique()
+        tables = {f"G{k}{p}": own[f"g{k}{p}"].to_numpy().reshape(n_phi, n_theta) for k in range(1, 5) for p in "hv"}
+        phi, theta = np.radians(np.sort(own["phi"].unique())), np.radians(np.sort(own["theta"].unique()))
+        out[int(horn)] = Tabulated.of(phi, theta, tables, threshold, max_theta)
+    return out

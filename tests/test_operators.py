@@ -238,3 +238,23 @@ def test_tabulated_pattern_on_the_ground():
     assert share.sum() == pytest.approx(1) and share.argmax() == 60
     away = patterns.antenna_axes(math.radians(80), 0.0)
     assert math.isnan(patterns.boresight_to_earth(position, attitude, away)[0])
+
+
+def test_bg_with_projected_patterns(spark):
+    """An instrument straight above its samples: patterns are seen where the samples lie."""
+    phi, theta = np.linspace(0, 2 * np.pi, 37), np.linspace(0, np.radians(6), 31)
+    g = np.exp(-(theta[None, :] ** 2) / 0.0008) + 0 * phi[:, None]
+    horn = patterns.Tabulated.of(phi, theta, {f"G{k}{p}": g if k == 1 else 0 * g for k in range(1, 5) for p in "hv"})
+    lon, lat = np.array([10.0, 10.5, 11.0]), np.array([45.0, 45.2, 45.1])
+    up = np.stack(geo.to_ecef(lon, lat, NUMPY), 1) * (1 + 8e5 / 6.37e6)
+    east = np.stack([-np.sin(np.radians(lon)), np.cos(np.radians(lon)), 0 * lon], 1) * 7000
+    more = {f"{a}_position": up[:, i] for i, a in enumerate("xyz")} | {f"{a}_velocity": east[:, i] for i, a in enumerate("xyz")}
+    s = points(spark, lon, lat, bt_h=np.array([200.0, 210.0, 220.0]), processing_scan_angle=np.zeros(3), feed_horn_number=np.zeros(3, int), **more)
+    t = points(spark, lon[:1] + 0.01, lat[:1], name="target_id").withColumns({"cell_row": F.lit(0), "cell_col": F.lit(0)})
+    n = neighbours.nearest(s, t, 150000.0, 3)
+    source = reconstruct.Projected({0: horn.scalar}, 0.0, 100000.0)
+    f = reconstruct.Footprints("EASE2_G9km", target=15000.0, source=source)
+    got = reconstruct.backus_gilbert(n, s, t, ["bt_h"], f, 150000.0, 1e-4).first()
+    assert got.regridding_n_samples == 3 and abs(got.bt_h - 200) < 6
+    again = reconstruct.reconstruct_rsir(n, s, t, ["bt_h"], f, 150000.0, 3).first()
+    assert 190 < again.bt_h < 225

@@ -164,3 +164,32 @@ def test_entry_and_oracles(spark):
 def test_library_stands_without_the_other_part():
     code = "import sys; sys.modules['swathgrid.llm'] = None; import __spark_entry__ as e; assert e.llm is None and len(e.queries()) > 60"
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True, timeout=120)
+
+
+def test_command_line(spark, swath_rows, tmp_path, capsys):
+    from swathgrid import __main__ as cli
+
+    rows = swath_rows.select("sample_id", "scan_number", "sample_number", "longitude", "latitude", "bt_h", "processing_scan_angle")
+    rows.write.parquet(str(tmp_path / "in" / "L"))
+    rows.withColumn("longitude", F.col("longitude") + 0.1).write.parquet(str(tmp_path / "in" / "C"))
+    text = XML.replace("L C", "L").replace("<path>in<", f"<path>{tmp_path}/in<").replace(">out<", f">{tmp_path}/out<").replace("EASE2_G9km", "EASE2_G36km").replace("<reduced_grid_inds>1 2 3 4</reduced_grid_inds>", "")
+    (tmp_path / "c.xml").write_text(text)
+    cli.main(["run", str(tmp_path / "c.xml"), "--set", "search_radius=60000.0", "suffix=one"])
+    got, told = product.read_product(spark, capsys.readouterr().out.strip().splitlines()[-1])
+    assert got.count() > 100 and told["algorithm"] == "IDS"
+    cli.main(["run", str(tmp_path / "c.xml"), "--set", "grid_type=L1R", "target_band=('C',)", "search_radius=20000.0", "suffix=two"])
+    got, _ = product.read_product(spark, capsys.readouterr().out.strip().splitlines()[-1])
+    assert 0 < got.count() <= 2 * rows.count()
+
+
+def test_patterns_from_disk(spark, tmp_path):
+    from swathgrid.sources.beam import load_patterns
+
+    (tmp_path / "beams").mkdir()
+    (tmp_path / "beams" / "C2-12345-E-FR.grd").write_text(q.beam_text())
+    beam.preprocess(spark, str(tmp_path / "beams"), str(tmp_path / "out"), 3.0, 0.5, 30.0)
+    held = load_patterns(spark, str(tmp_path / "out"), "C", 0.001, 2.5)
+    assert set(held) == {2} and held[2].hco.shape == (13, 7) and held[2].widest() <= 0.06
+    c = Config(type="CIMR", source_band=("C",), target_band=("C",), search_radius=1.0, regridding_algorithm="BG", source_antenna_method="instrument", antenna_patterns_path=str(tmp_path / "out"), source_antenna_threshold=0.001)
+    f = regrid._footprints(spark, c, "C", 9000.0)
+    assert f.source is not None and f.source.radius > 1000 and set(f.source.gains) == {2}
