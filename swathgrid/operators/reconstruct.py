@@ -164,7 +164,7 @@ def _by_block(rows: DataFrame, keys: tuple[str, ...], variables: list[str], solv
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["target_id", "rank"])
+        pdf = pdf.assign(_n=pdf.groupby("target_id")["rank"].transform("size")).sort_values(["_n", "target_id", "rank"])
         code, ids = pd.factorize(pdf["target_id"])
         place = pdf.groupby("target_id", sort=False).cumcount().to_numpy()
         first = pdf.drop_duplicates("target_id")
@@ -195,9 +195,14 @@ def _prepared(neighbours: DataFrame, samples: DataFrame, targets: DataFrame, col
     return rows.join(t, "target_id")
 
 
-def _stacks(n: int, k: int, cells: int) -> Iterator[slice]:
-    size = max(1, STACK // max(1, k * cells))
-    return (slice(i, i + size) for i in range(0, n, size))
+def _stacks(lon: np.ndarray, cells: int) -> Iterator[tuple[slice, int]]:
+    """(targets, number of samples) of each stack; targets come in order of their number of samples, so none is padded."""
+    counts = (~np.isnan(lon)).sum(1)
+    for k in np.unique(counts).tolist():
+        first, last = np.searchsorted(counts, [k, k + 1]).tolist()
+        size = max(1, STACK // max(1, k * cells))
+        for i in range(first, last, size):
+            yield slice(i, min(i + size, last)), k
 
 
 def _reach(f: Footprints, radius: float) -> float:
@@ -207,7 +212,7 @@ def _reach(f: Footprints, radius: float) -> float:
 def _sources(window: tuple, f: Footprints, stacked: Callable, at: slice, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
     """The samples' patterns on the windows of a stack."""
     if f.source:
-        return f.source.on(*window, {c: stacked(c)[at] for c in GEOMETRY})
+        return f.source.on(*window, {c: stacked(c)[at, : lon.shape[1]] for c in GEOMETRY})
     return np.nan_to_num(_gaussians(*window, lon, lat, f.sigma_x, f.sigma_y, f.alpha, f.threshold))
 
 
@@ -220,17 +225,17 @@ def backus_gilbert(neighbours: DataFrame, samples: DataFrame, targets: DataFrame
         held = {c: stacked(c) for c in [*variables, *noise]}
         out = {c: np.full(len(t_lon), np.nan) for c in held}
         cells = (2 * math.ceil(_reach(f, radius) / GRIDS[f.grid].res) + 1) ** 2
-        for at in _stacks(len(t_lon), lon.shape[1], cells):
+        for at, k in _stacks(lon, cells):
             window = _window(t_lon[at], t_lat[at], f, _reach(f, radius))
-            there = ~np.isnan(lon[at])
-            p = _sources(window, f, stacked, at, lon[at], lat[at])
+            there = np.ones(lon[at, :k].shape, bool)
+            p = _sources(window, f, stacked, at, lon[at, :k], lat[at, :k])
             t = _gaussians(*window, t_lon[at][:, None], t_lat[at][:, None], f.target, f.target, 0.0, THRESHOLD)[:, 0]
             a = bg_weights(p, t, there, smoothing)
             none = np.isnan(a).any(-1)
             for c in variables:
-                out[c][at] = np.where(none, np.nan, np.nansum(a * held[c][at], -1))
+                out[c][at] = np.where(none, np.nan, np.nansum(a * held[c][at, :k], -1))
             for c in noise:
-                out[c][at] = np.where(none, np.nan, np.sqrt(np.nansum(a * a * held[c][at], -1) ** 2 + uncertainty**2))
+                out[c][at] = np.where(none, np.nan, np.sqrt(np.nansum(a * a * held[c][at, :k], -1) ** 2 + uncertainty**2))
         return out
 
     return _by_block(rows, keys, variables, solve, list(noise))
@@ -247,12 +252,12 @@ def reconstruct_rsir(neighbours: DataFrame, samples: DataFrame, targets: DataFra
         held = {c: stacked(c) for c in variables}
         out = {c: np.full(len(t_lon), np.nan) for c in variables}
         cells = (2 * math.ceil(_reach(f, radius) / GRIDS[f.grid].res) + 1) ** 2
-        for at in _stacks(len(t_lon), lon.shape[1], cells):
+        for at, k in _stacks(lon, cells):
             window = _window(t_lon[at], t_lat[at], f, _reach(f, radius))
-            p = _sources(window, f, stacked, at, lon[at], lat[at])
+            p = _sources(window, f, stacked, at, lon[at, :k], lat[at, :k])
             t = _gaussians(*window, t_lon[at][:, None], t_lat[at][:, None], f.target, f.target, 0.0, THRESHOLD)[:, 0]
             for c in variables:
-                out[c][at] = rsir(p, t, held[c][at], iterations)
+                out[c][at] = rsir(p, t, held[c][at, :k], iterations)
         return out
 
     return _by_block(rows, keys, variables, solve, [])
