@@ -1,0 +1,209 @@
+"""Near copies by the Jaccard similarity of shingle sets, by an exact prefix-filtered join.
+
+A near copy at similarity 0.8 is 9 of 64 SimHash bits away on average and may be farther, too far for any
+radius that a search can afford, so the pipeline's stage doesn't go by fingerprints. The shingles of all
+texts are put into one order, the frequent ones (by a sample) last. Two sets of similarity >= s
+then share a shingle among the first n - ceil(s n) + 1 of each: whatever the order, no pair is missed, and
+the order only decides how many candidates come up. Most of them go by a lower bound of the sets' difference
+(the bits in which their parities differ); the others are counted exactly before they are linked.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, free_name, per_batch, shared_folder
+from .components import connected_components
+from .simhash_dedup import shingle_hashes
+
+#: Similarity from which two texts are near copies, as a fraction: 4 of 5.
+SHARE = (4, 5)
+#: Rows of one shingle that meet in one task; a longer list is dealt out in pairs of chunks.
+BLOCK = 2048
+#: Nodes that are broadcast at once.
+BROADCAST = 400_000
+#: The order is chosen from one text in EVERY (of few texts more, up to SAMPLE) and the FREQUENT shingles
+#: that come up most in them, three times at least. A share, not a number: lists stay short as texts grow.
+EVERY, SAMPLE, FREQUENT = 8, 4096, 200_000
+
+
+def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's shingles in rising order; none without words."""
+    return np.unique(np.array(shingle_hashes(text, words, seed), np.uint64))
+
+
+def near(a: np.ndarray, b: np.ndarray, share: tuple[int, int] = SHARE) -> bool:
+    """Jaccard similarity of two sets in rising order >= share; two empty sets are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * sum(share) >= share[0] * (len(a) + len(b))
+
+
+def parities(own: np.ndarray) -> np.ndarray:
+    """For each of about 2 to 4 bits a member (a power of two), whether an odd number of the set's hashes falls on it; as octets."""
+    bits = 1 << max(6, (2 * len(own)).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
+
+
+def may_be_near(a: np.ndarray, b: np.ndarray, sizes: int, share: tuple[int, int] = SHARE) -> bool:
+    """False only if the parities (of sets of so many members together) show too many members that are in one set alone."""
+    if len(a) > len(b):
+        a, b = b, a
+    b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum()) * sum(share) <= sizes * (share[1] - share[0])
+
+
+def _frequent(docs: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes in rising order, in how many texts of a sample they are) for the most frequent ones."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, words, seed) for t in batch.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["key"])
+
+    step = min(EVERY, max(1, docs.count() // SAMPLE))
+    some = docs.where(F.pmod(F.xxhash64("_id"), F.lit(step)) == 0).select("_text")
+    seen = per_batch(some, "key long", work).groupBy("key").count().where("count >= 3").orderBy(F.desc("count"), "key").limit(FREQUENT).collect()
+    keys, counts = np.array([r[0] for r in seen], np.int64).view(np.uint64), np.array([r[1] for r in seen], np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def _candidates(share: tuple[int, int]):
+    """For mapInArrow over (key, pair, n, node, pos, own) sorted by (key, pair, n, node): pairs (a, b) that can be near."""
+    num, den = share
+
+    def met(key, pair, n, node, pos, own) -> pa.RecordBatch:
+        new = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1])) + 1
+        ends = np.repeat(np.append(new, len(key)), np.diff(np.concatenate([[0], new, [len(key)]])))
+        at, out, d = np.arange(len(key)), [np.empty((0, 2), np.int64)], 0
+        while len(at):
+            d += 1
+            at = at[at + d < ends[at]]
+            at = at[n[at] * den >= num * n[at + d]]  # sizes rise within a list: what is too long stays so
+            to = at + d
+            least = -(-num * (n[at] + n[to]) // (num + den))
+            ok = (np.minimum(n[at] - pos[at], n[to] - pos[to]) >= least) & (node[at] != node[to])
+            # a list dealt out in chunks: within a chunk only where it meets itself
+            ok &= (pair[at] < 0) | (own[at] != own[to])
+            x, y = node[at[ok]], node[to[ok]]
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+        found = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            if not len(rows[0]):
+                continue
+            last = int(np.flatnonzero((rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]))[0])
+            if last:
+                yield met(*(x[:last] for x in rows))
+            held = [x[last:] for x in rows]
+        if held is not None:
+            yield met(*held)
+
+    return run
+
+
+def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] = SHARE, seed: int = 42, block: int = BLOCK) -> DataFrame:
+    """(_id, component) for every row of docs with an id: rows are linked if their sets' similarity is at least share."""
+    spark, (num, den) = docs.sparkSession, share
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
+    order_of = spark.sparkContext.broadcast(_frequent(texts, words, seed))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, counts = order_of.value
+        nodes, sizes, firsts, sets, odd = [], [], [], [], []
+        for text in batch.column(1).to_pylist():
+            own = shingle_set(text, words, seed)
+            n, order = len(own), own
+            if n and len(keys):
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                order = own[np.argsort(np.where(keys[at] == own, counts[at], 0), kind="stable")]
+            nodes.append(xxhash.xxh64_intdigest(own.tobytes(), seed))
+            sizes.append(n)
+            firsts.append(order[: n + num * -n // den + 1 if n else 0].view(np.int64))
+            sets.append(own.tobytes())
+            odd.append(parities(own).tobytes())
+        columns = [batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(odd, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["_id", "node", "n", "firsts", "own_set", "odd"])
+
+    folder = f"{shared_folder(spark)}/jaccard-{uuid.uuid4()}"
+    per_batch(texts, "_id long, node long, n long, firsts array<long>, own_set binary, odd binary", work).write.parquet(folder)
+    held = spark.read.parquet(folder)
+
+    # equal texts have the same node: one of them stands for all
+    one = cut(held.groupBy("node").agg(F.min("_id").alias("_id")))
+    held.select("node", "n", "firsts", "odd").dropDuplicates(["node"]).write.parquet(f"{folder}-lists")
+    lists = spark.read.parquet(f"{folder}-lists")
+    listed = lists.select("node", "n", F.posexplode("firsts").alias("pos", "key"))
+    # which lists are long is guessed from a share of the nodes: it only decides how the work is dealt out
+    step = max(1, block // 64)
+    some = listed.where(F.pmod("node", F.lit(step)) == 0).groupBy("key").count().where(F.col("count") * step > block)
+    long = cut(some.select("key", F.ceil(F.col("count") * step / block).cast("int").alias("chunks")))
+    if long.isEmpty():
+        dealt = listed.select("key", F.lit(-1).alias("pair"), "n", "node", "pos", F.lit(0).alias("own"))
+    else:
+        own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+        dealt = (
+            listed.join(long, "key", "left").withColumn("own", F.coalesce(own, F.lit(0)))
+            .withColumn("other", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
+            .select("key", F.when(F.col("own") == F.col("other"), -1 - F.col("own")).otherwise(F.least("own", "other") * F.col("chunks") + F.greatest("own", "other")).cast("int").alias("pair"), "n", "node", "pos", "own")
+        )
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ready = dealt.repartition(max(12, parts), "key", "pair").sortWithinPartitions("key", "pair", "n", "node")
+    met = cut(ready.mapInArrow(_candidates(share), "a long, b long").distinct())
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, sizes = batch.column(2), batch.column(3), batch.column(4).to_pylist()
+            ok = [may_be_near(np.frombuffer(x[k].as_py(), np.uint8), np.frombuffer(y[k].as_py(), np.uint8), sizes[k], share) for k in range(batch.num_rows)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    first, second = (lists.select(F.col("node").alias(x), F.col("odd").alias(f"odd_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    both = met.join(first, "a").join(second, "b").select("a", "b", "odd_a", "odd_b", F.col("n_a") + F.col("n_b"))
+    pairs = cut(both.mapInArrow(likely, "a long, b long"))
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            ok = [near(np.frombuffer(x[k].as_py(), np.uint64), np.frombuffer(y[k].as_py(), np.uint64), share) for k in range(batch.num_rows)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    def linked(some: DataFrame) -> DataFrame:
+        need = cut(some.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(one, "node"))
+        need = F.broadcast(need) if need.count() <= BROADCAST else need
+        sets = held.select("node", "_id", "own_set").join(need, ["node", "_id"], "left_semi").select("node", "own_set")
+        first, second = (sets.select(F.col("node").alias(x), F.col("own_set").alias(f"set_{x}")) for x in "ab")
+        both = some.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b")
+        return cut(both.mapInArrow(verified, "a long, b long"))
+
+    # each node against its least partner first: that links most of a group, and only what is still apart is left
+    links = linked(cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
+    found = connected_components(links)
+    side = [found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab"]
+    apart = pairs.join(side[0], "a", "left").join(side[1], "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    classes = connected_components(links.union(linked(cut(apart.select("a", "b")))))
+    return held.select("_id", "node").join(classes, "node", "left").select("_id", F.coalesce("component", "node").alias("component"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs without near copies: of each group of linked texts the row with the smallest id stays.
+
+    Rows with a null id are all kept. Of rows that repeat an id all are kept or none. Texts without words are
+    copies of each other.
+    """
+    name = free_name(docs.columns, "component_id")
+    rows = near_sets(docs, id_col, text_col, **how)
+    least = rows.groupBy("component").agg(F.min("_id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    gone = rows.join(least, "component").where("_id != least").select(F.col("_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")

@@ -35,19 +35,23 @@ BLOCK = 2048
 SAMPLE = 4096
 
 
+def shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:
+    """The hash of each shingle of a text; a text of fewer words is one shingle, one without words has none."""
+    tokens = (text or "").encode().lower().split()
+    if len(tokens) <= words:
+        return [xxhash.xxh64_intdigest(b" ".join(tokens), seed)] if tokens else []
+    joined = b" ".join(tokens)
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(sizes + 1) - 1
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[i:j], seed) for i, j in zip((ends - sizes).tolist(), ends[words - 1 :].tolist(), strict=False)]
+
+
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     """SimHash over the hashes of all shingles of a text; 0 without words."""
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
+    hashes = shingle_hashes(text, words, seed)
+    if not hashes:
         return 0
-    if len(tokens) <= words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(tokens), seed)]
-    else:
-        joined = b" ".join(tokens)
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        ends = np.cumsum(sizes + 1) - 1
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[i:j], seed) for i, j in zip((ends - sizes).tolist(), ends[words - 1 :].tolist(), strict=False)]
     octets = np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(octets), 1 << 16):  # a very long text takes bounded memory
