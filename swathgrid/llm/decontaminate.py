@@ -1,14 +1,18 @@
-"""Benchmark decontamination by spaced seeds, in DataFrame functions only.
-
-A mask such as 1101011 says which words of a window are hashed and which are passed over, so a window
-still meets its copy when words at the passed-over places were replaced. The windows of all training
-texts are hashed where they are read and looked up among the benchmark's hashes, which are broadcast in
-blocks of a bounded number of rows; no training text is shuffled. Then the texts with hits are read
-again and laid beside the whole benchmark item at each hit, word by word, to count the agreeing words.
+"""Benchmark decontamination by blocks or spaced seeds, in DataFrame functions only.
+
+An item of n words of which k may differ is cut into k + 1 blocks of words. Wherever the replaced words are,
+one block is left whole, so looking up the blocks finds every text that holds enough of the item. (With
+masks given, a mask such as 1101011 says which words of a window are hashed and which are passed over; that
+is the SQL's way, which misses some.) The windows of all training texts are hashed where they are read and
+looked up among the benchmark's hashes, which are broadcast in blocks of a bounded number of rows; no
+training text is shuffled. Then the texts with hits are read again and laid beside the whole benchmark item
+at each hit, word by word, to count the agreeing words.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, free_name
 
-#: Fixed masks: 7 of 11 words are compared.
+#: Fixed masks of the SQL: 7 of 11 words are compared.
 MASKS = ("11101001011", "11010110011", "10111010101")
 #: Rows of benchmark hashes that are broadcast at once (about 30 bytes each).
 BLOCK = 400_000
@@ -28,50 +32,95 @@ def words(text: str) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
-def _windows(rows: DataFrame, key: str, masks: tuple[str, ...], short: list[int]) -> DataFrame:
-    """(key, _at, _seed): each window of rows' `_w`, hashed once for each mask, and whole windows of the short lengths.
+def _laid(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, _at, _0, _1, ...): the hashes of the words of each window of rows' `_w`.
 
     Only numbers go from row to row: the hash of each word, laid beside those of the words that follow it.
     """
-    span = len(masks[0])
     hashed = rows.select(key, F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"))
+    count = F.size("_h") - size + 1
+    beside = [F.slice("_h", k + 1, count).alias(f"_{k}") for k in range(size)]
+    return hashed.where(F.size("_h") >= size).select(key, F.inline(F.arrays_zip(F.sequence(F.lit(0), count - 1).alias("_at"), *beside)))
+
+
+def _whole(size: int) -> Column:
+    return F.xxhash64(F.lit(-size), *(f"_{i}" for i in range(size)))
 
-    def laid(size: int) -> DataFrame:
-        count = F.size("_h") - size + 1
-        beside = [F.slice("_h", k + 1, count).alias(f"_{k}") for k in range(size)]
-        return hashed.where(F.size("_h") >= size).select(key, F.inline(F.arrays_zip(F.sequence(F.lit(0), count - 1).alias("_at"), *beside)))
 
+def _windows(rows: DataFrame, key: str, masks: tuple[str, ...], short: list[int]) -> DataFrame:
+    """(key, _at, _seed): each window of rows' `_w`, hashed once for each mask, and whole windows of the short lengths."""
     seeds = [F.xxhash64(F.lit(k), *(f"_{i}" for i, c in enumerate(mask) if c == "1")) for k, mask in enumerate(masks)]
-    out = laid(span).select(key, "_at", F.array(*seeds).alias("_s")).select(key, "_at", F.explode("_s").alias("_seed"))
+    out = _laid(rows, key, len(masks[0])).select(key, "_at", F.array(*seeds).alias("_s")).select(key, "_at", F.explode("_s").alias("_seed"))
     for size in short:
-        out = out.union(laid(size).select(key, "_at", F.xxhash64(F.lit(-size), *(f"_{i}" for i in range(size))).alias("_seed")))
+        out = out.union(_laid(rows, key, size).select(key, "_at", _whole(size).alias("_seed")))
     return out
 
 
+def block_ends(n: int, share: float) -> list[int]:
+    """Where the blocks of an item of n words end: one more than words that may differ, so that one block stays whole."""
+    blocks = min(n, n - math.ceil(share * n - 1e-9) + 1)
+    return [n * (k + 1) // blocks for k in range(blocks)]
+
+
+def _item_blocks(items: DataFrame, share: float) -> tuple[DataFrame, list[int]]:
+    """((_item, _at, _seed) for the blocks of all items, the blocks' lengths in use)."""
+    sizes = sorted(r[0] for r in items.select(F.size("_w").alias("n")).distinct().collect())
+    by_size: dict[int, list[tuple[int, int]]] = {}  # a block's length: (item's length, place)
+    for n in sizes:
+        for a, b in itertools.pairwise([0, *block_ends(n, share)]):
+            by_size.setdefault(b - a, []).append((n, a))
+    spark = items.sparkSession
+    out = None
+    for size, places in sorted(by_size.items()):
+        at = F.broadcast(spark.createDataFrame(places, "_n int, _at int"))
+        own = _laid(items, "_item", size).join(items.select(F.col("_item").alias("_i"), F.size("_w").alias("_n")), F.col("_item").eqNullSafe(F.col("_i")))
+        own = own.join(at, ["_n", "_at"]).select("_item", "_at", _whole(size).alias("_seed"))
+        out = own if out is None else out.union(own)
+    return out if out is not None else items.select("_item", F.lit(0).alias("_at"), F.lit(0).cast("long").alias("_seed")), sorted(by_size)
+
+
+def _text_windows(rows: DataFrame, key: str, sizes: list[int]) -> DataFrame:
+    """(key, _at, _seed): each window of rows' `_w` of each length, from one pass over the words."""
+    if not sizes:
+        return rows.where("false").select(key, F.lit(0).alias("_at"), F.lit(0).cast("long").alias("_seed"))
+    hashed = rows.select(key, F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"))
+    # arrays_zip lays NULL beside the last words: a window that has one is not whole
+    beside = [F.slice("_h", k + 1, F.greatest(F.size("_h") - k, F.lit(0))).alias(f"_{k}") for k in range(sizes[-1])]
+    laid = hashed.where(F.size("_h") >= sizes[0]).select(key, F.inline(F.arrays_zip(F.sequence(F.lit(0), F.size("_h") - 1).alias("_at"), *beside)))
+    seeds = [F.when(F.col(f"_{size - 1}").isNotNull(), _whole(size)) for size in sizes]
+    return laid.select(key, "_at", F.explode(F.array(*seeds)).alias("_seed")).where("_seed is not null")
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    share: float = 0.8, masks: tuple[str, ...] = MASKS, block: int = BLOCK,
+    share: float = 0.8, masks: tuple[str, ...] | None = None, block: int = BLOCK,
 ) -> DataFrame:
     """(id, item, item_words, matched, share): each pair of a text and a benchmark item that it holds.
 
-    A pair counts if, laid side by side at a hit, at least `share` of the item's words agree (the most of
-    all its hits is told). Items shorter than a mask have to be in the text word for word; items and texts
-    without words match nothing. Null ids are kept as an id; repeated rows give one pair. Other columns are
+    A pair counts if, laid side by side somewhere, at least `share` of the item's words agree (the most of
+    all its hits is told). Every such pair is found; with masks only those that a mask hits, and then items
+    shorter than a mask have to be in the text word for word. Items and texts without words match nothing. Null ids are kept as an id; repeated rows give one pair. Other columns are
     not read.
     """
-    span, size = len(masks[0]), F.size("_w")
+    size = F.size("_w")
     items = cut(benchmark.select(F.col(item_col).alias("_item"), words(item_text_col).alias("_w")).where(size > 0).distinct())
-    short = sorted(r[0] for r in items.where(size < span).select(size.alias("n")).distinct().collect())  # fewer than span values
-    hashes = _windows(items.where(size >= span), "_item", masks, [])
-    for n in short:  # longer than a mask or not, an item of n words has one window of n words
-        hashes = hashes.union(_windows(items.where(size == n), "_item", masks, [n]))
+    if masks is None:
+        hashes, sizes = _item_blocks(items, share)
+        looked_up = lambda rows: _text_windows(rows, "_id", sizes)
+    else:
+        span = len(masks[0])
+        short = sorted(r[0] for r in items.where(size < span).select(size.alias("n")).distinct().collect())  # fewer than span values
+        hashes = _windows(items.where(size >= span), "_item", masks, [])
+        for n in short:  # longer than a mask or not, an item of n words has one window of n words
+            hashes = hashes.union(_windows(items.where(size == n), "_item", masks, [n]))
+        looked_up = lambda rows: _windows(rows, "_id", masks, short)
     hashes = hashes.select(F.col("_seed").alias("_key"), "_item", F.col("_at").alias("_iat"))
     blocks = max(1, -(-hashes.count() // block))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     found = []
     for k in range(blocks):
         own = F.pmod(F.xxhash64("_item"), F.lit(blocks)) == k
-        met = _windows(texts.select("_id", words("_text").alias("_w")), "_id", masks, short).join(F.broadcast(hashes.where(own)), F.col("_seed") == F.col("_key"))
+        met = looked_up(texts.select("_id", words("_text").alias("_w"))).join(F.broadcast(hashes.where(own)), F.col("_seed") == F.col("_key"))
         # where the item's first word would be in the text: the hits of one passage agree in that
         hits = cut(met.select("_id", "_item", (F.col("_at") - F.col("_iat")).alias("_begin")).distinct())
         told = hits.select(F.col("_id").alias("_hid"), F.col("_item").alias("_hitem"), "_begin")

@@ -223,6 +223,20 @@ def test_contaminated(spark, leaks, block):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in got}
 
 
+def test_contaminated_finds_every_placement_of_replaced_words(spark):
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in (1, 4, 5, 8, 10, 11, 12, 15, 20, 33)]
+    rng, docs, wanted = random.Random(4), [], set()
+    for n, item in items:
+        places = list(itertools.combinations(range(n), n // 5))
+        for lost in rng.sample(places, min(150, len(places))):
+            w = [x if k not in lost else "other" for k, x in enumerate(item.split())]
+            wanted.add((len(docs), n, n - n // 5))
+            docs.append((len(docs), " ".join(["a", *w, "b"])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.matched) for r in decontaminate.contaminated(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == wanted
+
+
 def test_contaminated_oracle(spark, leaks):
     docs, items = leaks
     con = duckdb.connect()
