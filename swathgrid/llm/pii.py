@@ -325,16 +325,37 @@ def field(sentences: int = 500, epochs: int = 5, seed: int = 17) -> tuple[np.nda
 
 _TOKEN = re.compile(r"\S+")
 _ANY = re.compile(r"[0-9@=]|\bdot\b", re.IGNORECASE)
-#: An entity's token is short: longer runs without white space take no part.
+#: A longer run without white space (minified code, a long URL, a CSV line, text in scripts without spaces) is read in pieces.
 _WIDEST = 200
+#: A piece with the quotes, brackets and points beside it, as a word has them; ASCII and other letters apart.
+_PIECE = re.compile(r"""["'(\[{<]*[^\s"'()\[\]{}<>=,;:&?|\x80-\U0010ffff]+["')\]}>]*[,;:]*|=|[\x80-\U0010ffff]+""")
+#: Tokens that are decoded at once, beside an overlap.
+_STRETCH = 400
+
+
+def _places(text: str) -> list[Span]:
+    """Where the tokens are: runs without white space, long ones in pieces."""
+    out = []
+    for m in _TOKEN.finditer(text):
+        i, j = m.span()
+        out += [(i, j)] if j - i <= _WIDEST else [p.span() for p in _PIECE.finditer(text, i, j)]
+    return out
+
+
+def _scored_as(token: str) -> str:
+    """A token as it is scored: of a very long one evenly spaced characters, and what makes it a trigger."""
+    if len(token) <= _WIDEST:
+        return token
+    some, trigger = token[:: len(token) // _WIDEST + 1], _TRIGGER.search(token)
+    return some if not trigger or _TRIGGER.search(some) else some + trigger[0]
 
 
 def added_spans(text: str, weights: np.ndarray, moves: np.ndarray) -> list[Span]:
     """The field's spans. Only runs of tokens around triggers are decoded; nothing farther off can be in an entity."""
     if not _ANY.search(text):
         return []
-    places = [m.span() for m in _TOKEN.finditer(text)]
-    hot = [k for k, (i, j) in enumerate(places) if j - i <= _WIDEST and _TRIGGER.search(text[i:j])]
+    places = _places(text)
+    hot = [k for k, (i, j) in enumerate(places) if _TRIGGER.search(text[i:j])]
     out: list[Span] = []
     n = 0
     while n < len(hot):
@@ -344,11 +365,15 @@ def added_spans(text: str, weights: np.ndarray, moves: np.ndarray) -> list[Span]
             last = hot[n] + LONGEST
             n += 1
         own = places[first : last + 1]
-        tokens = [text[i:j] if j - i <= _WIDEST else "x" for i, j in own]
-        for at in range(0, len(tokens), 400):  # a long list of figures is decoded in overlapping stretches
-            some = tokens[max(0, at - 2 * LONGEST) : at + 400]
-            skip = max(0, at - 2 * LONGEST)
+        tokens = [_scored_as(text[i:j]) for i, j in own]
+        for at in range(0, len(tokens), _STRETCH):  # a long list of figures is decoded in overlapping stretches
+            skip, stop = max(0, at - 2 * LONGEST), at + _STRETCH
+            some = tokens[skip:stop]
+            # a stretch decides what begins from LONGEST before it to LONGEST before its end: it sees all of that
+            least, most = at - LONGEST if at else 0, stop - LONGEST if stop < len(tokens) else len(tokens)
             for i, j, kind in best_path(some, weights, moves):
+                if not least <= skip + i < most:
+                    continue
                 begin, end = own[skip + i][0], own[skip + j - 1][1]
                 while end > begin and not text[end - 1].isalnum():
                     end -= 1

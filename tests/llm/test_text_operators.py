@@ -99,6 +99,28 @@ def test_pii_rows(spark):
     assert pii.redact(docs).columns == docs.columns and pii.redact(docs.where("false")).collect() == []
 
 
+def test_secrets_in_long_runs():
+    rng = random.Random(5)
+    some = lambda n, chars="abcdefghijkABCDEFGHIJK0123456789": "".join(rng.choice(chars) for _ in range(n))
+    word = lambda: some(6, "abcdefgh")
+    for secret, text in [
+        (k := some(40), "see {" + ",".join(f'"{word()}":"{word()}"' for _ in range(20)) + f',"api_key":"{k}","{word()}":"{word()}"}} end'),
+        (k := some(32, "0123456789abcdef"), f"get https://h.example/{'/'.join(word() for _ in range(40))}?a=b&token={k}&x=yes end"),
+        (k := some(300), f"the key {k} is"),
+        (k := "eyJ" + some(33) + "." + some(180) + "." + some(43), f"bearer {k} now"),
+        (k := some(24), f"row {','.join(word() for _ in range(40))},{k},{word()} end"),
+        (k := some(32), f"{'这是' * 120}密码{k}{'谢谢' * 30}"),
+    ]:
+        assert [text[i:j] for i, j, _ in pii.added_spans(text, *pii.field())] == [secret]
+    assert pii.added_spans("word," * 100 + "这是" * 200, *pii.field()) == []
+
+
+def test_entities_at_the_ends_of_stretches_stay_whole():
+    for lead in range(370, 412):
+        text = " ".join([*["7,"] * lead, "call", "(030) 123 4567 890", "now", *["7,"] * 30])
+        assert [text[i:j] for i, j, _ in pii.added_spans(text, *pii.field())] == ["(030) 123 4567"]
+
+
 # ---- sharding
 
 
