@@ -92,7 +92,6 @@ def parse(page: str) -> Node:
     """The page's tree. Scripts, styles, titles and other raw elements are left out; open tags end where they must."""
     root = Node("html")
     stack, at = [root], 0
-    low = None
     while True:
         m = _MARK.search(page, at)
         text = page[at : m.start()] if m else page[at:]
@@ -113,9 +112,9 @@ def parse(page: str) -> Node:
                     break
             continue
         if tag in _RAW:
-            low = low or page.lower()
-            end = low.find(f"</{tag}", at)
-            end = len(page) if end < 0 and tag in ("script", "style") else end
+            # in the page itself: a lowered copy is longer where it holds a dotted capital I
+            close = re.compile(f"</{tag}", re.IGNORECASE | re.ASCII).search(page, at)
+            end = close.start() if close else len(page) if tag in ("script", "style") else -1
             if end >= 0:
                 at = page.find(">", end) + 1 or len(page)
             continue

@@ -295,6 +295,12 @@ def wanted(k, words):
     return "\n".join([f"Title {k}", *(" ".join(f"Para {k}-{i} {'word ' * (k * 3 + i)}& more".split()) for i in range(words))])
 
 
+def test_letters_that_grow_when_lowered_before_a_script():
+    for n in (1, 20, 60):
+        text = "\u0130" * n
+        assert html_extract.extract([f"<p>{text}</p><script>x</SCRIPT><p>hello world</p><p>z</p>"]) == [f"{text}\nhello world\nz"]
+
+
 def test_wrapper_finds_the_slot():
     texts = html_extract.extract([page(k, 2 + k % 3) for k in range(1, 8)] + [None, ""])
     assert texts == [wanted(k, 2 + k % 3) for k in range(1, 8)] + ["", ""]
