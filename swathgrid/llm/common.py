@@ -32,13 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def per_batch(df: DataFrame, schema: T.StructType | str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """Apply work to each Arrow batch; batches without rows give none."""
+def per_batch(df: DataFrame, schema: T.StructType | str, work: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int | None = None) -> DataFrame:
+    """Apply work to each Arrow batch, or to `rows` of it at a time; batches without rows give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield work(batch)
+            for at in range(0, batch.num_rows, rows or batch.num_rows):
+                yield work(batch.slice(at, rows or batch.num_rows))
 
     return df.mapInArrow(run, schema)
 

@@ -49,10 +49,14 @@ def shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:
 
 def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     """SimHash over the hashes of all shingles of a text; 0 without words."""
-    hashes = shingle_hashes(text, words, seed)
-    if not hashes:
+    return fingerprint_of(np.array(shingle_hashes(text, words, seed), np.uint64))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 if there are none."""
+    if not len(hashes):
         return 0
-    octets = np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
+    octets = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(octets), 1 << 16):  # a very long text takes bounded memory
         ones += np.unpackbits(octets[k : k + (1 << 16)], axis=1).sum(0, dtype=np.int64)
@@ -330,12 +334,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, share: tuple[int, int] | None = (4, 5), **how) -> DataFrame:
     """The rows of docs without near duplicates: of each group the row with the smallest id stays.
 
-    Rows with a null id are all kept. Of rows that repeat an id all are kept or none.
+    share: the Jaccard similarity of shingle sets, as a fraction, from which two texts are linked. SimHash finds
+    most links, an exact join those that lie beyond its radius (near_sets.py). None: texts are linked by their
+    fingerprints alone, as near_duplicates() says. Rows with a null id are all kept. Of rows that repeat an id
+    all are kept or none. Null and empty texts are copies of each other. An empty table stays empty; other
+    columns stay, whatever their names.
     """
-    name = free_name(docs.columns, "component_id")
-    classes = near_duplicates(docs, id_col, text_col, words, radius).where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id")))
-    gone = classes.select(F.col(id_col).alias(name)).distinct()
+    if share is None:
+        classes = near_duplicates(docs, id_col, text_col, words, **how).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col("component_id").alias("component"))
+    else:
+        from .near_sets import near_sets  # it takes this module's search
+
+        classes = near_sets(docs, id_col, text_col, words, share, **how)
+    name = free_name(docs.columns, "gone_id")
+    least = classes.groupBy("component").agg(F.min("_id").alias("_least"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows")
+    gone = classes.join(least, "component").where("_id != _least").select(F.col("_id").alias(name)).distinct()
     return docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")

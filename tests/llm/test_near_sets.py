@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
-from swathgrid.llm import jaccard_dedup
+from swathgrid.llm import near_sets, simhash_dedup
 
 
 def brute_kept(docs, words=5):
@@ -47,10 +47,10 @@ def copies():
     return docs
 
 
-@pytest.mark.parametrize("block", [3, 2048])
-def test_keep_one(spark, copies, block):
+@pytest.mark.parametrize(("block", "radius"), [(3, 1), (2048, 6)])
+def test_keep_one(spark, copies, block, radius):
     d = spark.createDataFrame([*copies, (None, copies[9][1])], "doc_id long, text string")
-    got = [r.doc_id for r in jaccard_dedup.keep_one(d, block=block).collect()]
+    got = [r.doc_id for r in simhash_dedup.keep_one(d, block=block, radius=radius).collect()]
     assert got.count(None) == 1 and sorted(i for i in got if i is not None) == sorted(brute_kept(copies))
 
 
@@ -64,7 +64,7 @@ def test_parities_pass_every_near_pair():
     for _ in range(2000):
         a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 400), dtype=np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.uniform(0.6, 1)], rng.integers(0, 1 << 63, rng.integers(0, 80), dtype=np.uint64)]))
-        may = jaccard_dedup.may_be_near(jaccard_dedup.parities(a), jaccard_dedup.parities(b), len(a) + len(b))
-        assert may or not jaccard_dedup.near(a, b)
+        may = near_sets.may_be_near(near_sets.parities(a), near_sets.parities(b), len(a) + len(b))
+        assert may or not near_sets.near(a, b)
         passed += may
     assert passed < 1500
