@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from swathgrid.llm import decontaminate, jaccard_dedup, packing, pii, quality
+from swathgrid.llm import decontaminate, packing, pii, quality, simhash_dedup
 from swathgrid.llm.common import shared_folder, table
 
 
@@ -21,8 +21,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (similarity of five-word shingles from 0.8) the text with the smallest id stays."""
-    return jaccard_dedup.keep_one(docs)
+    """Operator 1: of each group of near copies (similarity of five-word shingles from 0.8) the smallest id stays."""
+    return simhash_dedup.keep_one(docs, words=5, share=(4, 5))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
