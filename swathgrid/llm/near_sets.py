@@ -1,10 +1,10 @@
 """Links between texts by the Jaccard similarity of their shingle sets, SimHash first and then what it misses.
 
-SimHash fingerprints of the sets are searched by the pigeonhole principle; each link it gives is counted exactly.
-That ties most groups of near copies together at the cost of a few rows a text. But a near copy at similarity
-0.8 is 9 of 64 bits away on average and may be farther, too far for any radius that a search can afford, so an
-exact join completes the links: the shingles of all texts are put into one order, the frequent ones (by a
-sample) last. Two sets of similarity >= s then share a shingle among the first n - ceil(s n) + 1 of each:
+SimHash fingerprints of the sets are searched by the pigeonhole principle, and compared within a wider radius
+where texts share one of a few shingles; each link that this gives is counted exactly. It ties most groups of
+near copies together at the cost of a few rows a text. But a near copy at similarity 0.8 is 9 of 64 bits away
+on average and may be farther, too far for any radius that a search can afford, so an exact join completes the
+links: the shingles of all texts are put into one order, the frequent ones (by a sample) last. Two sets of similarity >= s then share a shingle among the first n - ceil(s n) + 1 of each:
 whatever the order, no pair is missed, and the order only decides how many candidates come up. Pairs that
 SimHash has tied already are never made; most others go by a lower bound of the sets' difference (the bits in
 which their parities differ); what is left is counted exactly before it is linked.
@@ -27,8 +27,10 @@ from .simhash_dedup import fingerprint_of, near_links, shingle_hashes
 
 #: Similarity from which two texts are near copies, as a fraction: 4 of 5.
 SHARE = (4, 5)
-#: Bits within which SimHash looks for links first.
-RADIUS = 6
+#: Bits within which SimHash looks for links everywhere, and among texts that share one of LEAST shingles.
+RADIUS, WIDE, LEAST = 4, 16, 8
+#: Of those that share a shingle, so many are tried for each text before the join.
+NEAREST = 6
 #: Rows of one shingle that meet in one task; a longer list is dealt out in pairs of chunks.
 BLOCK = 2048
 #: Nodes that are broadcast at once (about 40 bytes each).
@@ -132,6 +134,57 @@ def _candidates(share: tuple[int, int]):
     return run
 
 
+def _stars(share: tuple[int, int], radius: int, block: int):
+    """For mapInArrow over (key, node, n, fp) sorted by (key, node): pairs (a, b) of one list within the radius.
+
+    Each node is laid to the nearest of those before it and to the NEAREST of all, so a list gives a few pairs a
+    row at most. A list of more than `block` rows is read in pieces: these pairs come first, not instead of the join's.
+    """
+    num, den = share
+
+    def nearest(node, n, fp) -> list[np.ndarray]:
+        out, at = [], np.arange(len(node))
+        for k in range(0, len(node), 256):
+            own = at[k : k + 256, None]
+            far = np.bitwise_count(fp[own] ^ fp)
+            far[(np.minimum(n[own], n) * den < num * np.maximum(n[own], n)) | (own == at)] = 255
+            for some in (np.where(at < own, far, 255), *[far] * min(NEAREST, len(node) - 1)):
+                best = some.argmin(1)
+                ok = some[at[: len(best)], best] <= radius
+                out.append(np.sort(np.stack([node[own[:, 0]][ok], node[best[ok]]], 1), 1))
+                some[at[: len(best)], best] = 255
+        return out
+
+    def met(key, node, n, fp) -> pa.RecordBatch:
+        fp, out = fp.view(np.uint64), [np.empty((0, 2), np.int64)]
+        first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+        ends = np.append(first[1:], len(key))
+        for i, j in zip(first[ends - first > 1].tolist(), ends[ends - first > 1].tolist(), strict=True):
+            for at in range(i, j, block):
+                own = slice(at, min(at + block, j))
+                out += nearest(node[own], n[own], fp[own])
+        found = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            if not len(rows[0]):
+                continue
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            last = last or (len(rows[0]) if len(rows[0]) > 4 * block else 0)  # a long list needn't be whole
+            if last:
+                yield met(*(x[:last] for x in rows))
+            held = [x[last:] for x in rows] if last < len(rows[0]) else None
+        if held is not None:
+            yield met(*held)
+
+    return run
+
+
 def _few(nodes: DataFrame, most: int = BROADCAST) -> DataFrame:
     """nodes, broadcast if they are counted to be few."""
     return F.broadcast(nodes) if nodes.count() <= most else nodes
@@ -192,16 +245,19 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         both = some.join(first, "a").join(second, "b").select("a", "b", "set_a", "set_b")
         return cut(both.mapInArrow(verified, "a long, b long"))
 
-    # SimHash: nodes of one fingerprint, and forests of what lies within the radius
+    # SimHash: nodes of one fingerprint, forests of what lies within the radius, and stars of what shares a shingle
     prints = cut(one.groupBy("fp").agg(F.min("node").alias("node")))
     same = one.join(prints.withColumnRenamed("node", "b"), "fp").where("node != b").select(F.col("node").alias("a"), "b")
-    links = linked(cut(near_links(prints.select("node", "fp"), radius).select("a", "b").union(same).distinct()))
+    single = held.join(one.select("node", "_id"), ["node", "_id"], "left_semi").dropDuplicates(["node"])
+    least = single.select(F.explode(F.slice(F.array_sort("firsts"), 1, LEAST)).alias("key"), "node", "n", "fp")
+    parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stars = least.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_stars(share, WIDE, block), "a long, b long")
+    links = linked(cut(near_links(prints.select("node", "fp"), radius).select("a", "b").union(same).union(stars).distinct()))
     tied = cut(connected_components(links))
 
     # the rest: lists of the first shingles, of each node once
     group = one.join(_few(tied), "node", "left").select("node", F.coalesce("component", "node").alias("tied"))
-    lists = held.join(one.select("node", "_id"), ["node", "_id"], "left_semi").select("node", "n", "firsts").dropDuplicates(["node"])
-    lists = lists.join(group, "node")
+    lists = single.select("node", "n", "odd", "firsts").join(group, "node")
     lists.write.parquet(f"{folder}-lists")
     lists = spark.read.parquet(f"{folder}-lists")
     rows = lists.agg(F.sum(F.size("firsts"))).first()[0] or 0
@@ -216,8 +272,7 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         parted = listed.join(_few(long), "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         parted = parted.select("key", (F.least("own", "other") * 65536 + F.greatest("own", "other")).cast("int").alias("pair"), "own", "n", "node", "tied", "pos")
         whole = whole.join(_few(long.select("key")), "key", "left_anti").unionByName(parted)
-    parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ROWS)
-    ready = whole.repartition(parts, "key", "pair").sortWithinPartitions("key", "pair", "n", "node")
+    ready = whole.repartition(max(parts, rows // ROWS), "key", "pair").sortWithinPartitions("key", "pair", "n", "node")
     met = cut(ready.mapInArrow(_candidates(share), "a long, b long").distinct())
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,17 +281,9 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             ok = [may_be_near(np.frombuffer(x[k].as_buffer(), np.uint8), np.frombuffer(y[k].as_buffer(), np.uint8), sizes[k], share) for k in range(batch.num_rows)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    odd = held.select("node", "n", "odd").join(_few(met.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi").dropDuplicates(["node"])
-    odd = cut(odd)
-    first, second = (odd.select(F.col("node").alias(x), F.col("odd").alias(f"odd_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    first, second = (lists.select(F.col("node").alias(x), F.col("odd").alias(f"odd_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
     both = met.join(first, "a").join(second, "b").select("a", "b", "odd_a", "odd_b", F.col("n_a") + F.col("n_b"))
     pairs = cut(both.mapInArrow(likely, "a long, b long"))
 
-    # each node against its least partner first: that links most of a group, and only what is still apart is left
-    links = cut(links.union(linked(cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))))
-    found = cut(connected_components(links))
-    side = [found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab"]
-    apart = cut(pairs.join(side[0], "a", "left").join(side[1], "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
-    if not apart.isEmpty():
-        found = cut(connected_components(links.union(linked(apart))))
+    found = connected_components(links.union(linked(pairs)))
     return held.select("_id", "node").join(found, "node", "left").select("_id", F.coalesce("component", "node").alias("component"))

@@ -47,7 +47,7 @@ def copies():
     return docs
 
 
-@pytest.mark.parametrize(("block", "radius"), [(3, 1), (2048, 6)])
+@pytest.mark.parametrize(("block", "radius"), [(3, 1), (2048, 4)])
 def test_keep_one(spark, copies, block, radius):
     d = spark.createDataFrame([*copies, (None, copies[9][1])], "doc_id long, text string")
     got = [r.doc_id for r in simhash_dedup.keep_one(d, block=block, radius=radius).collect()]
