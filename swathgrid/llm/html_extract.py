@@ -3,8 +3,8 @@
 Pages of one host are dealt into groups of a bounded size. In a group the pages' DOM trees are aligned
 by simple tree matching, one after another, into one tree of what they share; what a page has beside it
 is added to that tree. Nodes whose text stays the same from page to page are template; what varies is a
-slot. The slot that holds most of the varying text outside menus, headers, footers, adverts, forms and
-the like is where the host keeps its articles, and each page's text is read from its own node there.
+slot. The innermost node that holds all slots outside menus, headers, footers, adverts, forms and the like is
+where the host keeps its articles, and each page's text is read from its own node there, less the template.
 
 A page alone in its group has no neighbours to compare with: all its text counts as varying then.
 """
@@ -28,8 +28,6 @@ from .common import cut
 GROUP = 32
 #: A node is template if one text is on at least this share of the different pages that have it.
 CONSTANT = 0.8
-#: The way to the article goes on to a child that holds at least this share of the varying text.
-MOST = 0.7
 
 #: Hosts of which a list is broadcast (about 50 bytes each).
 BROADCAST = 200_000
@@ -52,10 +50,11 @@ _CLOSES = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd",
 _LIMITS = frozenset("article aside body button div footer form header li main nav section table td th ul ol dl".split())
 _REPEATED = frozenset("p li tr dt dd".split())
 _WAY = frozenset("html body div section article main center table tbody tr td".split())
+_MENUS = frozenset("div section ul ol table p".split())
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL
 )
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _CUE = re.compile(
@@ -63,24 +62,26 @@ _CUE = re.compile(
     r"cookies?|consent|gdpr|notices?|alerts?|newsletters?|subscribe|subscription|social|share|sharing|related|recommended|comments?|disqus|respond|replies|popup|modal|overlay|login|signup|widgets?|toolbar|pagination|pager|search|skip)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: A slash at the end of a tag that isn't the end of a value without quotes.
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 _OFF_TAGS = frozenset("nav aside footer form button dialog menu fieldset".split())
 _OFF_ROLES = re.compile(r"(?:^|\s)(?:navigation|banner|contentinfo|complementary|search|dialog|alert|menu)(?:\s|$)", re.IGNORECASE)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
 class Node:
-    __slots__ = ("tag", "label", "off", "parts", "seen", "texts", "kids", "own")
+    __slots__ = ("tag", "label", "off", "cue", "parts", "seen", "texts", "kids", "own", "shape", "mass", "menu")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.parts = tag, []  # parts: child nodes and strings in page order
-        self.kids, self.own, self.seen, self.texts = None, "", 0, None
-        name, self.off = "", tag in _OFF_TAGS
+        self.kids, self.own, self.seen, self.texts, self.mass = None, "", 0, None, 0.0
+        name, self.off, self.cue, self.menu = "", tag in _OFF_TAGS, False, False
         for key, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
             value, key = values[0] or values[1] or values[2], key.lower()
             if key in ("class", "id"):
                 name = name or re.sub(r"\d+", "0", value.strip().split(" ")[0].lower())
                 # a page often tells on its body or article which boxes it has: only inner boxes are cues
-                self.off |= tag not in ("html", "body", "article", "main") and bool(_CUE.search(value))
+                self.cue |= tag not in ("html", "body", "article", "main") and bool(_CUE.search(value))
             elif key == "role":
                 self.off |= bool(_OFF_ROLES.search(value))
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
@@ -134,10 +135,41 @@ def parse(page: str) -> Node:
                     break
         node = Node(tag, m[3] or m[6] or "")
         stack[-1].parts.append(node)
-        if tag not in _VOID and not (m[3] or m[6] or "").endswith("/") and len(stack) < DEEPEST:
+        if tag not in _VOID and not _CLOSED.search(m[3] or m[6] or "") and len(stack) < DEEPEST:
             stack.append(node)
 
 
+def _weigh_cues(root: Node) -> None:
+    """Boxes whose class or id says that they are beside the article are off, but never the bulk of a page.
+
+    A box with half of the page's text stays if it holds a first heading, article or main part, or if there is
+    neither one outside it nor more than a quarter of the text. Boxes whose text is links, two at least, are
+    marked as menus: these don't count where the slot is looked for, but stay if they lie inside it.
+    """
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo += [p for p in n.parts if not isinstance(p, str) and not p.off]
+    mass, heads, linked = {}, {}, {}
+    for n in reversed(order):
+        inner = [p for p in n.parts if not isinstance(p, str) and not p.off]
+        mass[id(n)] = sum(len(p) - p.count(" ") for p in n.parts if isinstance(p, str) and not p.isspace()) + sum(mass[id(p)] for p in inner)
+        heads[id(n)] = (n.tag in ("h1", "article", "main")) + sum(heads[id(p)] for p in inner)
+        own = [(mass[id(n)], 1)] if n.tag == "a" else [linked[id(p)] for p in inner]
+        linked[id(n)] = (sum(x for x, _ in own), sum(x for _, x in own))
+        n.menu = n.tag in _MENUS and linked[id(n)][1] > 1 and 5 * linked[id(n)][0] >= 4 * mass[id(n)]
+    total, every = mass[id(root)], heads[id(root)]
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        own = mass[id(n)]
+        if n.cue and not (2 * own >= total and (heads[id(n)] or not every and 4 * (total - own) <= total)):
+            n.off = True
+        else:
+            todo += [p for p in n.parts if not isinstance(p, str) and not p.off]
+
+
 def _settle(node: Node) -> None:
     """Set kids (child nodes, with runs of like paragraphs, items or rows as one) and own (text beside them)."""
     todo = [node]
@@ -192,6 +224,12 @@ def _in_order(one: list[Node], two: list[Node]) -> Iterator[tuple[Node, Node]]:
             yield n, two[at]
 
 
+def _shape(node: Node) -> int:
+    """Set shape on every node of the tree: equal for trees of the same labels."""
+    node.shape = hash((node.label, tuple(map(_shape, node.kids))))
+    return node.shape
+
+
 def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: the most pairs of nodes of the same label, in order, under pairs; with the pairs."""
     if a.label != b.label:
@@ -199,7 +237,8 @@ def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     m, n = len(a.kids), len(b.kids)
     if not m or not n:
         return 1, [(a, b)]
-    if m * n > WIDEST or [k.label for k in a.kids] == [k.label for k in b.kids]:
+    # trees of one shape match whole, and children of different labels only where they agree: no pairing is better
+    if m * n > WIDEST or a.shape == b.shape or [k.label for k in a.kids] == [k.label for k in b.kids] and len({k.label for k in a.kids}) == m:
         found = [matching(x, y) for x, y in _in_order(a.kids, b.kids)]
         return 1 + sum(f[0] for f in found), [(a, b), *(p for f in found for p in f[1])]
     best = [[0] * (n + 1) for _ in range(m + 1)]
@@ -224,7 +263,7 @@ def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
 
 def _copy(node: Node) -> Node:
     out = Node(node.tag)
-    out.label, out.off, out.seen, out.texts = node.label, node.off, 0, {}
+    out.label, out.off, out.menu, out.seen, out.texts = node.label, node.off, node.menu, 0, {}
     out.kids = [_copy(k) for k in node.kids]
     return out
 
@@ -236,6 +275,8 @@ def induce(pages: list[Node], different: list[bool]) -> tuple[Node, list[dict[in
     """
     tree, maps = _copy(pages[0]), []
     for page, counts in zip(pages, different, strict=True):
+        _shape(tree)
+        _shape(page)
         pairs = matching(tree, page)[1]
         at = {id(t): p for t, p in pairs}
         back = {id(p): t for t, p in pairs}
@@ -254,11 +295,17 @@ def induce(pages: list[Node], different: list[bool]) -> tuple[Node, list[dict[in
                         at[id(x)] = y
                         todo += zip(x.kids, y.kids, strict=True)
         if counts:
+            size, todo = 0, [page]
+            while todo:
+                t = todo.pop()
+                size += len(t.own)
+                todo += t.kids
             todo = [tree]
             while todo:
                 t = todo.pop()
                 if id(t) in at:
                     t.seen += 1
+                    t.mass += len(at[id(t)].own) / max(1, size)
                     t.texts[at[id(t)].own] = t.texts.get(at[id(t)].own, 0) + 1
                     todo += t.kids
         maps.append(at)
@@ -271,22 +318,22 @@ def constant(t: Node) -> bool:
 
 
 def _varying(t: Node, inside: bool = False) -> float:
-    """Characters of varying text in the subtree, for all pages."""
-    if t.off or t.tag == "header" and not inside:
+    """Varying text in the subtree, as shares of the pages' text, so that each page counts alike."""
+    if t.off or t.menu or t.tag == "header" and not inside:
         return 0.0
     inside = inside or t.tag in ("article", "main")
-    own = 0.0 if constant(t) else float(sum(len(x) * n for x, n in (t.texts or {}).items()))
+    own = 0.0 if constant(t) else t.mass
     return own + sum(_varying(k, inside) for k in t.kids)
 
 
 def slot(tree: Node) -> Node:
-    """The node of the aligned tree that holds the articles."""
+    """The innermost node of the aligned tree that holds all varying text."""
     at = tree
     while True:
         inner = [k for k in at.kids if k.tag in _WAY]
         mass = [_varying(k, at.tag in ("article", "main")) for k in inner]
         total = _varying(at, at.tag in ("article", "main"))
-        if not inner or not total or max(mass) < MOST * total or at.tag == "article":
+        if not inner or not total or max(mass) < total * (1 - 1e-9) or at.tag == "article":  # a sibling varies too
             return at
         at = inner[int(np.argmax(mass))]
 
@@ -331,11 +378,22 @@ def blocks(node: Node, left_out: set[int] = frozenset()) -> list[str]:
     return out
 
 
+def _without_cues(page: Node) -> Node:
+    """The page, of whose boxes only those are off that their tag or role says so."""
+    todo = [page]
+    while todo:
+        n = todo.pop()
+        n.off &= not n.cue or n.tag in _OFF_TAGS
+        todo += [p for p in n.parts if not isinstance(p, str)]
+    return page
+
+
 def extract(pages: list[str | None]) -> list[str]:
     """The main text of each page of a host, by the wrapper of all of them. Null and empty pages give an empty text."""
     trees = []
     for page in pages:
         tree = parse(page or "")
+        _weigh_cues(tree)
         _settle(tree)
         trees.append(tree)
     known: set[int] = set()
@@ -357,6 +415,8 @@ def extract(pages: list[str | None]) -> list[str]:
         if not text:  # this page keeps its text elsewhere: read it by itself
             alone, (mine,) = induce([page], [True])
             text = blocks(mine[id(slot(alone))])
+        if not text:  # or in boxes that seemed to be beside the article
+            text = blocks(_without_cues(page))
         out.append("\n".join(text))
     return out
 

@@ -331,8 +331,40 @@ def test_matching_against_all_alignments():
     rng = random.Random(6)
     for _ in range(60):
         a, b = tree(rng, 2), tree(rng, 2)
+        for t in (a, b):
+            html_extract._shape(t)
         n, pairs = html_extract.matching(a, b)
-        assert n == len(pairs) and (n == brute(a, b) or [k.label for k in a.kids] == [k.label for k in b.kids])
+        assert n == len(pairs) == brute(a, b)
+
+
+def words_of(k, n, start=0):
+    return " ".join(f"w{k}x{i}" for i in range(start, start + n))
+
+
+@pytest.mark.parametrize("box", ['div class="related work"', 'section class="comments-policy"', 'div id="share"'])
+@pytest.mark.parametrize("pages", [1, 6])
+def test_cue_words_on_the_bulk_of_a_page(box, pages):
+    htmls = [f"<body><nav>menu</nav><{box}><p>{words_of(k, 40)}</p></{box.split()[0]}><footer>foot</footer>" for k in range(pages)]
+    assert html_extract.extract(htmls) == [words_of(k, 40) for k in range(pages)]
+
+
+def test_long_comments_stay_out():
+    htmls = [f"<body><div><h1>t{k}</h1><p>{words_of(k, 20)}</p></div><div class='comments'><p>{words_of(k, 200, 500)}</p></div>" for k in range(5)]
+    assert html_extract.extract(htmls) == [f"t{k}\n{words_of(k, 20)}" for k in range(5)]
+
+
+def test_quotes_of_any_length():
+    html = f'<article><p>before</p><img alt="{"a > b " * 2000}"><p>after</p></article>'
+    assert html_extract.extract([html]) == ["before\nafter"]
+
+
+def test_all_varying_slots_stay():
+    htmls = [f"<body><div class='top'>the same</div><div class='a'><h1>title {k}</h1><div class='lead'>{words_of(k, 30)}</div><div class='rest'>{words_of(k, 70, 100)}</div></div><div class='b'>{words_of(k, 9, 300)}</div>" for k in range(8)]
+    assert html_extract.extract(htmls) == [f"title {k}\n{words_of(k, 30)}\n{words_of(k, 70, 100)}\n{words_of(k, 9, 300)}" for k in range(8)]
+
+
+def test_page_that_is_all_cues_is_read_without_them():
+    assert html_extract.extract(["<body><div class='menu'>a b c</div><div class='ads'>d e f</div><h1></h1>"]) == ["a b c\nd e f"]
 
 
 def test_broken_pages():
