@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, free_name
 
-#: Fixed masks of the SQL: 7 of 11 words are compared.
+#: Masks of which two agree in few places: 7 of 11 words are compared.
 MASKS = ("11101001011", "11010110011", "10111010101")
-#: Rows of benchmark hashes that are broadcast at once (about 30 bytes each).
-BLOCK = 400_000
+#: Rows of benchmark hashes that are broadcast at once (about 50 bytes each).
+BLOCK = 1_000_000
+#: Words of the benchmark up to which its items are broadcast for the count.
+WORDS = 4_000_000
 
 
 def words(text: str) -> Column:
@@ -37,10 +39,15 @@ def _laid(rows: DataFrame, key: str, size: int) -> DataFrame:
 
     Only numbers go from row to row: the hash of each word, laid beside those of the words that follow it.
     """
-    hashed = rows.select(key, F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"))
+    hashed = rows.select(key, *_along(rows), F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"))
     count = F.size("_h") - size + 1
     beside = [F.slice("_h", k + 1, count).alias(f"_{k}") for k in range(size)]
-    return hashed.where(F.size("_h") >= size).select(key, F.inline(F.arrays_zip(F.sequence(F.lit(0), count - 1).alias("_at"), *beside)))
+    return hashed.where(F.size("_h") >= size).select(key, *_along(rows), F.inline(F.arrays_zip(F.sequence(F.lit(0), count - 1).alias("_at"), *beside)))
+
+
+def _along(rows: DataFrame) -> list[str]:
+    """The words of the text, where they have to go along with its windows: by reference, until a window is hit."""
+    return ["_text_words"] if "_text_words" in rows.columns else []
 
 
 def _whole(size: int) -> Column:
@@ -50,9 +57,9 @@ def _whole(size: int) -> Column:
 def _windows(rows: DataFrame, key: str, masks: tuple[str, ...], short: list[int]) -> DataFrame:
     """(key, _at, _seed): each window of rows' `_w`, hashed once for each mask, and whole windows of the short lengths."""
     seeds = [F.xxhash64(F.lit(k), *(f"_{i}" for i, c in enumerate(mask) if c == "1")) for k, mask in enumerate(masks)]
-    out = _laid(rows, key, len(masks[0])).select(key, "_at", F.array(*seeds).alias("_s")).select(key, "_at", F.explode("_s").alias("_seed"))
+    out = _laid(rows, key, len(masks[0])).select(key, *_along(rows), "_at", F.explode(F.array(*seeds)).alias("_seed"))
     for size in short:
-        out = out.union(_laid(rows, key, size).select(key, "_at", _whole(size).alias("_seed")))
+        out = out.union(_laid(rows, key, size).select(key, *_along(rows), "_at", _whole(size).alias("_seed")))
     return out
 
 
@@ -82,13 +89,13 @@ def _item_blocks(items: DataFrame, share: float) -> tuple[DataFrame, list[int]]:
 def _text_windows(rows: DataFrame, key: str, sizes: list[int]) -> DataFrame:
     """(key, _at, _seed): each window of rows' `_w` of each length, from one pass over the words."""
     if not sizes:
-        return rows.where("false").select(key, F.lit(0).alias("_at"), F.lit(0).cast("long").alias("_seed"))
-    hashed = rows.select(key, F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"))
+        return rows.where("false").select(key, *_along(rows), F.lit(0).alias("_at"), F.lit(0).cast("long").alias("_seed"))
+    hashed = rows.select(key, *_along(rows), F.transform("_w", lambda x: F.xxhash64(x)).alias("_h"))
     # arrays_zip lays NULL beside the last words: a window that has one is not whole
     beside = [F.slice("_h", k + 1, F.greatest(F.size("_h") - k, F.lit(0))).alias(f"_{k}") for k in range(sizes[-1])]
-    laid = hashed.where(F.size("_h") >= sizes[0]).select(key, F.inline(F.arrays_zip(F.sequence(F.lit(0), F.size("_h") - 1).alias("_at"), *beside)))
+    laid = hashed.where(F.size("_h") >= sizes[0]).select(key, *_along(rows), F.inline(F.arrays_zip(F.sequence(F.lit(0), F.size("_h") - 1).alias("_at"), *beside)))
     seeds = [F.when(F.col(f"_{size - 1}").isNotNull(), _whole(size)) for size in sizes]
-    return laid.select(key, "_at", F.explode(F.array(*seeds)).alias("_seed")).where("_seed is not null")
+    return laid.select(key, *_along(rows), "_at", F.explode(F.array(*seeds)).alias("_seed")).where("_seed is not null")
 
 
 def contaminated(
@@ -114,27 +121,27 @@ def contaminated(
         for n in short:  # longer than a mask or not, an item of n words has one window of n words
             hashes = hashes.union(_windows(items.where(size == n), "_item", masks, [n]))
         looked_up = lambda rows: _windows(rows, "_id", masks, short)
-    hashes = hashes.select(F.col("_seed").alias("_key"), "_item", F.col("_at").alias("_iat"))
+    counted = items.select(F.col("_item").alias("_i"), size.alias("_n")).distinct()
+    hashes = cut(hashes.join(counted, F.col("_item").eqNullSafe(F.col("_i"))).select(F.col("_seed").alias("_key"), "_item", F.col("_at").alias("_iat"), "_n").distinct())
     blocks = max(1, -(-hashes.count() // block))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    sides = items.select(F.col("_item").alias("_own"), F.col("_w").alias("_iw"))
+    sides = F.broadcast(sides) if (items.agg(F.sum(size)).first()[0] or 0) <= WORDS else sides
+    texts = docs.select(F.col(id_col).alias("_id"), words(text_col).alias("_w")).withColumn("_text_words", F.col("_w"))
+    begin, n = F.col("_begin"), F.col("_n")
     found = []
     for k in range(blocks):
-        own = F.pmod(F.xxhash64("_item"), F.lit(blocks)) == k
-        met = looked_up(texts.select("_id", words("_text").alias("_w"))).join(F.broadcast(hashes.where(own)), F.col("_seed") == F.col("_key"))
-        # where the item's first word would be in the text: the hits of one passage agree in that
-        hits = cut(met.select("_id", "_item", (F.col("_at") - F.col("_iat")).alias("_begin")).distinct())
-        told = hits.select(F.col("_id").alias("_hid"), F.col("_item").alias("_hitem"), "_begin")
-        told = F.broadcast(told) if told.count() <= block else told
-        told = texts.join(told, F.col("_id").eqNullSafe(F.col("_hid"))).select("_id", "_hitem", "_begin", words("_text").alias("_w"))
-        sides = items.where(own).select("_item", F.col("_w").alias("_iw"))
-        both = told.join(F.broadcast(sides), F.col("_hitem").eqNullSafe(F.col("_item")))
-        begin = F.col("_begin")
-        beside = F.slice("_w", F.greatest(begin, F.lit(0)) + 1, F.greatest(F.size("_iw") + F.least(begin, F.lit(0)), F.lit(0)))
+        own = hashes.where(F.pmod(F.xxhash64("_key"), F.lit(blocks)) == k)
+        met = looked_up(texts).join(F.broadcast(own), F.col("_seed") == F.col("_key")).withColumn("_begin", F.col("_at") - F.col("_iat"))
+        # the words where the item would be in the text, as far as the text reaches
+        beside = F.slice("_text_words", F.greatest(begin, F.lit(0)) + 1, F.greatest(n + F.least(begin, F.lit(0)), F.lit(0)))
+        met = met.select("_id", "_item", "_n", "_begin", beside.alias("_beside"))
+        both = met.join(sides, F.col("_item").eqNullSafe(F.col("_own")) & (F.size("_iw") == n))
         mine = F.slice("_iw", F.greatest(-begin, F.lit(0)) + 1, F.size("_iw"))
-        same = F.size(F.filter(F.zip_with(mine, beside, lambda a, b: a == b), lambda x: x))
-        found.append(both.select("_id", "_item", F.size("_iw").alias("item_words"), same.alias("matched")))
+        same = F.size(F.filter(F.zip_with(mine, "_beside", lambda a, b: a == b), lambda x: x))
+        enough = F.col("matched") >= F.ceil(F.lit(share) * F.col("item_words") - 1e-9)
+        found.append(both.select("_id", "_item", n.alias("item_words"), same.alias("matched")).where(enough))
     pairs = reduce(DataFrame.union, found).groupBy("_id", "_item").agg(F.max("item_words").alias("item_words"), F.max("matched").alias("matched"))
-    return pairs.where(F.col("matched") >= F.ceil(F.lit(share) * F.col("item_words") - 1e-9)).select(
+    return pairs.select(
         F.col("_id").alias(id_col), F.col("_item").alias(item_col), "item_words", "matched", F.round(F.col("matched") / F.col("item_words"), 6).alias("share")
     )
 
@@ -146,30 +153,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     return docs.join(gone, docs[id_col] == gone[name], "left_anti")
 
 
-def oracle(masks: tuple[str, ...] = MASKS, share: float = 0.8) -> str:
-    """The same by DuckDB over documents and benchmark, with the masked words themselves as keys (items shorter than a mask: all words)."""
-    span = len(masks[0])
+def oracle(share: float = 0.8) -> str:
+    """The same by DuckDB over documents and benchmark: agreeing words counted at every offset, without blocks or masks."""
     split = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
-
-    def keyed(rows: str, key: str) -> str:
-        cases = [
-            f"SELECT {key}, w, pos, concat_ws(' ', '{k}', {', '.join(f'w[pos + {i + 1}]' for i, c in enumerate(mask) if c == '1')}) AS seed "
-            f"FROM (SELECT {key}, w, unnest(range(0, len(w) - {span} + 1)) AS pos FROM {rows} WHERE len(w) >= {span})"
-            for k, mask in enumerate(masks)
-        ]
-        return " UNION ALL ".join(cases)
-
     return f"""
-WITH d AS (SELECT doc_id, {split} AS w FROM documents),
-b AS (SELECT DISTINCT item_id, {split} AS w FROM benchmark),
-dk AS ({keyed("d", "doc_id")}
-  UNION ALL SELECT doc_id, w, pos, concat_ws(' ', 'short', list_aggregate(w[pos + 1:pos + n], 'string_agg', ' ')) AS seed
-  FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS pos FROM d, (SELECT DISTINCT len(w) AS n FROM b WHERE len(w) BETWEEN 1 AND {span - 1}) WHERE len(w) >= n)),
-bk AS ({keyed("b", "item_id")}
-  UNION ALL SELECT item_id, w, 0, concat_ws(' ', 'short', list_aggregate(w, 'string_agg', ' ')) FROM b WHERE len(w) BETWEEN 1 AND {span - 1}),
-hit AS (SELECT DISTINCT doc_id, item_id, dk.w AS dw, bk.w AS iw, dk.pos - bk.pos AS begin_at FROM dk JOIN bk USING (seed)),
-told AS (SELECT doc_id, item_id, len(iw) AS item_words,
-  len(list_filter(range(0, len(iw)), lambda j: begin_at + j >= 0 AND begin_at + j < len(dw) AND iw[j + 1] = dw[begin_at + j + 1])) AS matched FROM hit)
-SELECT doc_id, item_id, CAST(max(item_words) AS INTEGER) AS item_words, CAST(max(matched) AS INTEGER) AS matched,
-  round(max(matched) / max(item_words)::DOUBLE, 6) AS share
-FROM told GROUP BY doc_id, item_id HAVING max(matched) >= ceil({share}::DOUBLE * max(item_words) - 1e-9)"""
+WITH b AS (SELECT item_id, w, row_number() OVER () AS k FROM (SELECT DISTINCT item_id, {split} AS w FROM benchmark)),
+d AS (SELECT doc_id, {split} AS w, row_number() OVER () AS r FROM documents),
+bw AS (SELECT k, item_id, len(w) AS n, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM b),
+dw AS (SELECT r, doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d),
+hit AS (SELECT doc_id, item_id, any_value(n) AS n, count(*) AS matched FROM dw JOIN bw USING (word) GROUP BY r, k, dw.pos - bw.pos, doc_id, item_id)
+SELECT doc_id, item_id, CAST(max(n) AS INTEGER) AS item_words, CAST(max(matched) AS INTEGER) AS matched, round(max(matched) / max(n)::DOUBLE, 6) AS share
+FROM hit WHERE matched >= ceil({share}::DOUBLE * n - 1e-9) GROUP BY doc_id, item_id"""
