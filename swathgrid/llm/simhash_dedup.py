@@ -322,13 +322,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows whose fingerprints differ in at most `radius` bits are linked; component_id is the smallest id
     reachable. Null and empty texts have fingerprint 0 and are linked like any other. Rows with a null
-    id are kept and have component_id of their fingerprint's group. Repeated rows stay repeated. Other
+    id are kept and have the component_id of their group, which they may tie together; it is null if no row of
+    the group has an id. Repeated rows stay repeated. Other
     columns are not read, whatever their names.
     """
     prints = cut(fingerprints(docs, id_col, text_col, words, seed).select(F.col(id_col).cast("long").alias("_id"), "fp"))
-    reps = cut(prints.groupBy("fp").agg(F.min("_id").alias("node")).where("node is not null").select("node", "fp"))
-    found = connected_components(near_links(reps, radius))
-    classes = reps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    reps = cut(prints.groupBy("fp").agg(F.min("_id").alias("_least")))
+    # fingerprints are the nodes, so that those of rows without an id link others, too
+    found = connected_components(near_links(reps.select(F.col("fp").alias("node"), "fp"), radius))
+    group = reps.join(found, F.col("fp") == F.col("node"), "left").select("fp", "_least", F.coalesce("component", "fp").alias("_group"))
+    least = group.groupBy("_group").agg(F.min("_least").alias("component_id"))
+    classes = group.join(least, "_group").select("fp", "component_id")
     return prints.join(classes, "fp", "left").select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

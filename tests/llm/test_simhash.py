@@ -113,3 +113,19 @@ def test_one_very_long_text(spark):
     text = "word " * 300_000
     got = sd.near_duplicates(spark.createDataFrame([(1, text), (2, "word word word word word")], "doc_id long, text string")).collect()
     assert {r.component_id for r in got} == {1}
+
+
+def test_a_row_without_an_id_ties_others(spark):
+    rng = random.Random(12)
+    while True:
+        text = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        a, c = list(text), list(text)
+        a[rng.randrange(60)], c[rng.randrange(60)] = "x", "y"
+        fps = [sd.fingerprint(" ".join(t)) for t in (a, text, c)]
+        ab, bc, ac = ((fps[i] ^ fps[j]).bit_count() for i, j in ((0, 1), (1, 2), (0, 2)))
+        if ac > max(ab, bc) > 0 and max(ab, bc) <= 6:
+            break
+    rows = [(5, " ".join(a)), (None, " ".join(text)), (9, " ".join(c))]
+    for kept, wanted in ((rows, {5: 5, None: 5, 9: 5}), (rows[::2], {5: 5, 9: 9}), (rows[1:2], {None: None})):
+        got = sd.near_duplicates(spark.createDataFrame(kept, "doc_id long, text string"), radius=max(ab, bc)).collect()
+        assert {r.doc_id: r.component_id for r in got} == wanted
