@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
@@ -56,19 +59,19 @@ def fold(doc_id: str, parts: int) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
-def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int, labels: list) -> DataFrame:
-    """At most per_label rows of each of the given labels: those whose hashed key comes first.
+def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int) -> DataFrame:
+    """At most per_label rows of each label: those whose hashed key comes first.
 
-    The same rows are chosen however the table is partitioned. `rows` has only key and label.
+    The same rows are chosen however the table is partitioned, and Spark ranks in each partition before it moves
+    any. `rows` has only key and label.
     """
-    parts = [
-        rows.where(F.col(label) == F.lit(x)).orderBy(F.xxhash64(F.col(key), F.lit(x).cast("string")), key).limit(per_label)
-        for x in labels
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    first = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.col(label).cast("string")), key)
+    return rows.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= per_label).drop("_rank")
+
+
+def one_text(data: DataFrame, *keys: str) -> DataFrame:
+    """(keys, _text): of rows that repeat the keys the first text, so that a sample of keys bounds the rows."""
+    return data.groupBy(*keys).agg(F.min("_text").alias("_text"))
 
 
 def train_once(rows: DataFrame, fit: Callable[[pa.Table | None], bytes]) -> bytes:

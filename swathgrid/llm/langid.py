@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashed_text as ht
-from .common import bounded_sample, fold, per_batch, train_once
+from .common import bounded_sample, fold, one_text, per_batch, train_once
 
 BITS = 16
 GRAMS = (2, 3, 4)
@@ -114,23 +114,23 @@ def _unpack(octets: bytes) -> dict[str, np.ndarray]:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", learn: F.Column | None = None, per_lang: int = 1200) -> dict[str, np.ndarray]:
-    """Fit on at most `per_lang` rows of each language, drawn by hashed id. Null languages, texts and ids are left out."""
+    """Fit on at most `per_lang` rows of each language, drawn by hashed id. Null languages, texts and ids
+    are left out; of rows that repeat id and language the first text in order counts."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (learn if learn is not None else F.lit(True)))
     rows = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    names = [r[0] for r in rows.groupBy("_lang").count().orderBy("_lang").collect()]
-    if not names:
+    if rows.isEmpty():
         return fit(pa.array([], pa.string()), [])
-    picked = bounded_sample(rows, "_id", "_lang", per_lang, names)
+    picked = bounded_sample(rows.distinct(), "_id", "_lang", per_lang)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_l"))
-    data = texts.join(F.broadcast(picked.distinct()), (texts["_id"] == picked["_id"]) & (F.col("_l") == F.col("_lang"))).select(texts["_id"].alias("_id"), "_text", "_lang")
+    data = texts.join(F.broadcast(picked), (texts["_id"] == picked["_id"]) & (F.col("_l") == F.col("_lang"))).select(texts["_id"].alias("_id"), "_text", "_lang")
 
     def run(table: pa.Table | None) -> bytes:
         if table is None:
             return _pack(fit(pa.array([], pa.string()), []))
-        table = table.sort_by([("_id", "ascending"), ("_text", "ascending")])
+        table = table.sort_by([("_id", "ascending"), ("_lang", "ascending")])
         return _pack(fit(table["_text"].combine_chunks(), table["_lang"].to_pylist()))
 
-    return _unpack(train_once(data, run))
+    return _unpack(train_once(one_text(data, "_id", "_lang").select("_id", "_text", "_lang"), run))
 
 
 def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", ambiguous: float = 0.1) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashed_text as ht
-from .common import bounded_sample, fold, free_name, per_batch, train_once
+from .common import bounded_sample, fold, free_name, one_text, per_batch, train_once
 
 BITS = 17
 GRAMS = (3, 4)
@@ -99,12 +99,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     """Fit on at most `per_label` rows of each label, drawn by hashed id from the labels that `learn` allows.
 
     The rows' weights restore how often each label is seen over all allowed rows. Null labels and ids are
-    left out; of an id with several labels the largest counts.
+    left out; of an id with several labels the largest counts, of one with several texts the first in order.
     """
     allowed = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & (learn if learn is not None else F.lit(True)))
     rows = allowed.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
     counts = {r[0]: r[1] for r in rows.groupBy("_y").count().collect()}
-    picked = bounded_sample(rows, "_id", "_y", per_label, [0, 1])
+    picked = bounded_sample(rows, "_id", "_y", per_label)
     data = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
     total = sum(counts.values()) or 1
     weight = {y: counts.get(y, 0) / total * 2 / max(1, min(per_label, counts.get(y, 0))) for y in (0, 1)}
@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
         w = np.array([weight[v] for v in y.tolist()])
         return fit(table["_text"].combine_chunks(), y, w / w.mean()).tobytes()
 
-    return np.frombuffer(train_once(data.select("_id", "_text", "_y"), run), np.float32)
+    return np.frombuffer(train_once(one_text(data, "_id", "_y").select("_id", "_text", "_y"), run), np.float32)
 
 
 def score(docs: DataFrame, model: np.ndarray, text_col: str = "text", out: str = "score") -> DataFrame:
