@@ -248,7 +248,8 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     # SimHash: nodes of one fingerprint, forests of what lies within the radius, and stars of what shares a shingle
     prints = cut(one.groupBy("fp").agg(F.min("node").alias("node")))
     same = one.join(prints.withColumnRenamed("node", "b"), "fp").where("node != b").select(F.col("node").alias("a"), "b")
-    single = held.join(one.select("node", "_id"), ["node", "_id"], "left_semi").dropDuplicates(["node"])
+    # joined by the node alone, so that rows of one node lie together for what follows
+    single = held.join(one.select("node", F.col("_id").alias("_keep")), "node").where("_id = _keep").drop("_keep").dropDuplicates(["node"])
     least = single.select(F.explode(F.slice(F.array_sort("firsts"), 1, LEAST)).alias("key"), "node", "n", "fp")
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     stars = least.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_stars(share, WIDE, block), "a long, b long")
