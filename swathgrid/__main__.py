@@ -10,7 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from . import config as cfg
-from .operators import neighbours
+from .catalog import QUALITY_FLAGS
+from .operators import neighbours, reconstruct
 from .plans import product, regrid
 from .sources import beam, swath
 
@@ -27,15 +28,27 @@ def overrides(pairs: list[str]) -> dict:
     return out
 
 
+#: Columns that every run reads, beside the variables asked for.
+ALWAYS = ("sample_id", "scan_number", "sample_number", "longitude", "latitude", "processing_scan_angle")
+
+
+def needed(config: cfg.Config) -> list[str]:
+    """The columns that a run uses: the others are not read, and a NULL in them drops nothing."""
+    out = [*ALWAYS, *config.variables_to_regrid]
+    if config.regridding_algorithm in ("BG", "RSIR", "LW", "CG"):
+        out += ["sub_satellite_lon", "sub_satellite_lat", *(reconstruct.GEOMETRY if config.source_antenna_method == "instrument" else ())]
+    return list(dict.fromkeys(out))
+
+
 def run(spark: SparkSession, config: cfg.Config) -> str:
     """Samples under config.path (Parquet, a folder for each band) to a product under config.output_path; its path."""
     grid = (config.grid_definition, config.projection_definition) if config.grid_type == "L1C" else (None, None)
 
     def band(name: str):
-        raw = swath.read_l1b(spark, f"{config.path}/{name}", config.type)
+        raw = swath.read_l1b(spark, f"{config.path}/{name}", config.type, [*needed(config), *QUALITY_FLAGS])
         if "sample_id" not in raw.columns:
             raise ValueError(f"the samples of band {name} need a sample_id")
-        return swath.normalise(raw, config.type, name, *grid, split=config.split_fore_aft, quality=config.quality_control)
+        return swath.normalise(raw, config.type, name, *grid, split=config.split_fore_aft, quality=config.quality_control, nedt=config.nedt, needed=needed(config))
 
     source = band(config.source_band[0])
     for name in config.source_band[1:]:
@@ -44,7 +57,11 @@ def run(spark: SparkSession, config: cfg.Config) -> str:
     if config.grid_type == "L1R":
         targets = neighbours.band_targets(band(config.target_band[0]))
     out = f"{config.output_path}/{product.file_name(config)}"
-    product.write_product(regrid.regrid(spark, source, config, targets), out, config)
+    made = regrid.regrid(spark, source, config, targets)
+    if not config.save_to_disk:  # a trial run: everything is computed, nothing is kept
+        made.write.format("noop").mode("overwrite").save()
+        return ""
+    product.write_product(made, out, config)
     return out
 
 

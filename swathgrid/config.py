@@ -98,12 +98,18 @@ class Config:
         one_of("source_antenna_method", ANTENNA)
         one_of("target_antenna_method", ANTENNA)
         one_of("polarisation_method", ("scalar", "mueller"))
+        # what has no effect in a run is refused, not passed over
+        must(self.polarisation_method == "scalar", "patterns are weighed by their scalar gain: polarisation_method must be scalar")
+        must(self.source_antenna_method != "gaussian_projected" and self.target_antenna_method != "gaussian_projected", "patterns that are Gaussian in director cosines can't be used in a run")
+        must(self.target_antenna_method == "gaussian" or self.grid_type == "L1C", "a target band has a Gaussian footprint")
+        must(not self.boresight_shift, "boresights are not shifted: boresight_shift must be false")
         bands = BANDS[self.type]
         for name in ("source_band", "target_band"):
             must(bool(getattr(self, name)) and all(b in bands for b in getattr(self, name)), f"{name} must be of {', '.join(bands)}")
         if self.grid_type == "L1C":
             must(self.source_band == self.target_band, "L1C needs the same source and target bands")
         else:
+            must(len(self.target_band) == 1, "L1R takes one target band a run")
             must(not set(self.source_band) & set(self.target_band), "L1R needs source bands that aren't target bands")
         must(self.search_radius is None or self.search_radius >= 0, "search_radius must not be negative")
         must(self.max_neighbours >= 1, "max_neighbours must be positive")

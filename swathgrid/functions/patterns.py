@@ -127,12 +127,15 @@ class Tabulated:
         return self._norm(*(self._at(t, phi, theta) for t in (self.hco, self.hcx, self.vco, self.vcx)))
 
     def mueller(self, phi: np.ndarray, theta: np.ndarray) -> np.ndarray:
-        """4 x 4 matrices (last axes) that take the Stokes vector (v, h, 3, 4) to what the antenna measures."""
+        """4 x 4 matrices (last axes) that take the Stokes vector (v, h, 3, 4) to what the antenna measures.
+
+        The third and fourth are twice the real and the imaginary part of E_v E_h*.
+        """
         hh, hv, vv, vh = (self._at(t, phi, theta) for t in (self.hco, self.hcx, self.vco, self.vcx))
         sq, re, im = (lambda x: np.abs(x) ** 2), np.real, np.imag
         rows = [
-            [sq(vv), sq(vh), re(vh * vv.conj()), -im(vh * vv.conj())],
-            [sq(hv), sq(hh), re(hh * hv.conj()), -im(hh * hv.conj())],
+            [sq(vv), sq(vh), re(vh * vv.conj()), im(vh * vv.conj())],
+            [sq(hv), sq(hh), re(hh * hv.conj()), im(hh * hv.conj())],
             [2 * re(vv * hv.conj()), 2 * re(vh * hh.conj()), re(vv * hh.conj() + vh * hv.conj()), -im(vv * hh.conj() - vh * hv.conj())],
             [2 * im(vv * hv.conj()), 2 * im(vh * hh.conj()), im(vv * hh.conj() + vh * hv.conj()), re(vv * hh.conj() - vh * hv.conj())],
         ]

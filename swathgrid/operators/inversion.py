@@ -20,7 +20,7 @@ from ..catalog import GRIDS, Grid
 from ..functions import geo
 from ..functions.geo import NUMPY
 from ..functions.patterns import gaussian_radius, gaussian_raw, normalised
-from .reconstruct import Footprints
+from .reconstruct import ANGLE, Footprints
 
 
 def landweber(a: np.ndarray, y: np.ndarray, damping: float = 1e-4, step: float | None = None, iterations: int = 1000, tolerance: float = 1e-5) -> tuple[np.ndarray, int]:
@@ -64,7 +64,7 @@ def invert(samples: DataFrame, variables: list[str], f: Footprints, method: str
     g, solve = GRIDS[f.grid], METHODS[method]
     rim = max(1, math.ceil(buffer * gaussian_radius(f.sigma_x, f.sigma_y, f.threshold) / g.res))
     row, col = geo.nearest_cell(g, *geo.lonlat_to_xy(g.projection, F.col("longitude"), F.col("latitude")))
-    own = samples.select("sample_id", *keys, "longitude", "latitude", *variables, row.cast("int").alias("_r"), col.cast("int").alias("_c")).where("_r is not null")
+    own = samples.select("sample_id", *keys, "longitude", "latitude", *variables, *((ANGLE,) if f.turned else ()), row.cast("int").alias("_r"), col.cast("int").alias("_c")).where("_r is not null")
     last_r, last_c = (g.n_rows - 1) // tile, (g.n_cols - 1) // tile
 
     def named(at: str, last: int):
@@ -85,7 +85,7 @@ def invert(samples: DataFrame, variables: list[str], f: Footprints, method: str
         rr, cc = (x.ravel() for x in np.meshgrid(np.arange(r0, r1 + 1), np.arange(c0, c1 + 1), indexing="ij"))
         lon, lat = geo.xy_to_lonlat(g.projection, *geo.cell_centre(g, rr, cc), NUMPY)
         s_lon, s_lat = (pdf[c].to_numpy(float)[:, None] for c in ("longitude", "latitude"))
-        a = normalised(gaussian_raw(lon[None, :], lat[None, :], s_lon, s_lat, f.sigma_x, f.sigma_y, f.alpha, NUMPY), f.threshold)
+        a = normalised(gaussian_raw(lon[None, :], lat[None, :], s_lon, s_lat, f.sigma_x, f.sigma_y, pdf[ANGLE].to_numpy(float)[:, None] if f.turned else f.alpha, NUMPY), f.threshold)
         keep = (rr // tile == tr) & (cc // tile == tc)
         out = {k: pdf[k].iloc[0] for k in keys} | {"cell_row": rr[keep], "cell_col": cc[keep]}
         for v in variables:

@@ -32,7 +32,7 @@ def grid_targets(spark, grid: str | Grid, projection: str | None = None, rows: t
 
 def band_targets(samples: DataFrame, num_samples: int | None = None) -> DataFrame:
     """Another band's samples as targets, keyed by their own id (cell_row is the scan, cell_col the sample)."""
-    return samples.select(F.col("sample_id").alias("target_id"), F.col("scan_number").alias("cell_row"), F.col("sample_number").alias("cell_col"), "longitude", "latitude")
+    return samples.select(F.col("sample_id").alias("target_id"), F.col("scan_number").alias("cell_row"), F.col("sample_number").alias("cell_col"), "longitude", "latitude", *(c for c in ("sub_satellite_lon", "sub_satellite_lat") if c in samples.columns))
 
 
 def _checked(radius: float, k: int) -> None:
@@ -87,15 +87,10 @@ def nearest(samples: DataFrame, targets: DataFrame, radius: float, k: int, keys:
     """(keys, target_id, sample_id, distance, carry, rank): for each target the k nearest samples within the radius.
 
     Equal distances (to the millimetre) go by sample_id. Targets without a sample don't appear. Spark ranks
-    in each partition before the shuffle, so at most k rows a partition and target are moved; for k = 1 the
-    ranking is a minimum, which needs no sort.
+    in each partition before the shuffle, so at most k rows a partition and target are moved.
     """
     _checked(radius, k)
     pairs = within_radius(samples, targets, radius, keys, carry, spread)
-    if k == 1:
-        first = F.min(F.struct(F.round("distance", 3).alias("_d"), "sample_id", "distance", *carry)).alias("_first")
-        got = pairs.groupBy(*keys, "target_id").agg(first)
-        return got.select(*keys, "target_id", *(F.col(f"_first.{c}").alias(c) for c in ("sample_id", "distance", *carry)), F.lit(1).alias("rank"))
     order = Window.partitionBy(*keys, "target_id").orderBy(F.round("distance", 3), "sample_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

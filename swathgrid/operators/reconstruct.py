@@ -1,7 +1,7 @@
 """Reconstructions that weigh a target's samples by their footprints: Backus-Gilbert and iterative (RSIR).
 
 Both need small dense algebra for each target: k samples by the cells of a local window. Spark brings each
-block of 32 x 32 targets together with their neighbours; in the task the block's targets are stacked and
+block of 1024 targets together with their neighbours; in the task the block's targets are stacked and
 solved at once. A block holds at most 1024 * k rows, whatever the size of the data.
 """
 
@@ -22,24 +22,33 @@ from ..functions import geo
 from ..functions.geo import NUMPY
 from ..functions.patterns import THRESHOLD, antenna_axes, attitude_from_motion, gaussian_radius, gaussian_raw, normalised, to_earth
 
-BLOCK = 32
+BLOCK = 1024
 #: Numbers in a stack of patterns (targets * samples * cells) that are worked on at once: what a core's cache holds.
 STACK = 60_000
 
 
 @dataclass(frozen=True)
 class Footprints:
-    """Gaussian footprints and the grid they are summed on. sigma_x/y: of a sample, metres; target: of a target."""
+    """Gaussian footprints and the grid they are summed on.
+
+    sigma_x/y: of a sample, metres. target: of a target, metres, or both its sigmas. turned: samples have their
+    ellipse's angle in the column ANGLE; target_turned: targets too. Without it all ellipses have `alpha`.
+    """
 
     grid: str = "EASE2_G9km"
     sigma_x: float = 20000.0
     sigma_y: float = 20000.0
-    target: float = 18000.0
+    target: float | tuple[float, float] = 18000.0
     alpha: float = 0.0
     threshold: float = THRESHOLD
+    target_threshold: float = THRESHOLD
+    turned: bool = False
+    target_turned: bool = False
     source: Projected | None = None  # an instrument's patterns instead of Gaussian ones for the samples
 
 
+#: The column of a footprint's angle, in radians (patterns.nadir_angle).
+ANGLE = "footprint_angle"
 #: Columns of a sample that a projected antenna pattern needs.
 GEOMETRY = ("x_position", "y_position", "z_position", "x_velocity", "y_velocity", "z_velocity", "processing_scan_angle", "feed_horn_number")
 
@@ -181,8 +190,8 @@ def _by_block(rows: DataFrame, keys: tuple[str, ...], variables: list[str], solv
             res[c] = column
         return res[out.names]
 
-    block = [F.floor(F.col("cell_row") / BLOCK).alias("_br"), F.floor(F.col("cell_col") / BLOCK).alias("_bc")]
-    return rows.groupBy(*keys, *block).applyInPandas(run, out)
+    # by the target's own number, which no two granules share: never more than BLOCK targets meet
+    return rows.groupBy(*keys, F.expr(f"target_id div {BLOCK}").alias("_block")).applyInPandas(run, out)
 
 
 def _prepared(neighbours: DataFrame, samples: DataFrame, targets: DataFrame, columns: list[str], keys: tuple[str, ...]) -> DataFrame:
@@ -191,7 +200,7 @@ def _prepared(neighbours: DataFrame, samples: DataFrame, targets: DataFrame, col
     else:
         s = samples.select("sample_id", *keys, F.col("longitude").alias("s_lon"), F.col("latitude").alias("s_lat"), *columns)
         rows = neighbours.select(*keys, "target_id", "sample_id", "distance", "rank").join(s, ["sample_id", *keys])
-    t = targets.select("target_id", F.col("cell_row").cast("long").alias("cell_row"), F.col("cell_col").cast("long").alias("cell_col"), F.col("longitude").alias("t_lon"), F.col("latitude").alias("t_lat"))
+    t = targets.select("target_id", F.col("cell_row").cast("long").alias("cell_row"), F.col("cell_col").cast("long").alias("cell_col"), F.col("longitude").alias("t_lon"), F.col("latitude").alias("t_lat"), *(F.col(c).alias(f"t_{c}") for c in (ANGLE,) if c in targets.columns))
     return rows.join(t, "target_id")
 
 
@@ -206,19 +215,33 @@ def _stacks(lon: np.ndarray, cells: int) -> Iterator[tuple[slice, int]]:
 
 
 def _reach(f: Footprints, radius: float) -> float:
-    return radius + (f.source.radius if f.source else gaussian_radius(f.sigma_x, f.sigma_y, f.threshold))
+    source = radius + (f.source.radius if f.source else gaussian_radius(f.sigma_x, f.sigma_y, f.threshold))
+    return max(source, gaussian_radius(*f.target, f.target_threshold)) if isinstance(f.target, tuple) else source
 
 
 def _sources(window: tuple, f: Footprints, stacked: Callable, at: slice, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
     """The samples' patterns on the windows of a stack."""
     if f.source:
         return f.source.on(*window, {c: stacked(c)[at, : lon.shape[1]] for c in GEOMETRY})
-    return np.nan_to_num(_gaussians(*window, lon, lat, f.sigma_x, f.sigma_y, f.alpha, f.threshold))
+    alpha = stacked(ANGLE)[at, : lon.shape[1], None] if f.turned else f.alpha
+    return np.nan_to_num(_gaussians(*window, lon, lat, f.sigma_x, f.sigma_y, alpha, f.threshold))
+
+
+def _aims(window: tuple, f: Footprints, stacked: Callable, at: slice, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+    """The targets' own patterns on the windows of a stack: targets x cells."""
+    sx, sy = f.target if isinstance(f.target, tuple) else (f.target, f.target)
+    alpha = stacked(f"t_{ANGLE}")[at, :1, None] if f.target_turned else 0.0
+    return _gaussians(*window, lon[:, None], lat[:, None], sx, sy, alpha, f.target_threshold)[:, 0]
+
+
+def _columns(f: Footprints) -> list[str]:
+    """What a footprint needs of its sample, beside the position."""
+    return list(GEOMETRY) if f.source else [ANGLE] if f.turned else []
 
 
 def backus_gilbert(neighbours: DataFrame, samples: DataFrame, targets: DataFrame, variables: list[str], f: Footprints, radius: float, smoothing: float = 0.0, noise: list[str] = (), uncertainty: float = 0.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, target_id, cell_row, cell_col, variables, noise). Targets without weights give NULL."""
-    rows = _prepared(neighbours, samples, targets, [*variables, *noise, *(GEOMETRY if f.source else ())], keys)
+    rows = _prepared(neighbours, samples, targets, [*variables, *noise, *_columns(f)], keys)
 
     def solve(t_lon: np.ndarray, t_lat: np.ndarray, stacked: Callable) -> dict[str, np.ndarray]:
         lon, lat = stacked("s_lon"), stacked("s_lat")
@@ -229,7 +252,7 @@ def backus_gilbert(neighbours: DataFrame, samples: DataFrame, targets: DataFrame
             window = _window(t_lon[at], t_lat[at], f, _reach(f, radius))
             there = np.ones(lon[at, :k].shape, bool)
             p = _sources(window, f, stacked, at, lon[at, :k], lat[at, :k])
-            t = _gaussians(*window, t_lon[at][:, None], t_lat[at][:, None], f.target, f.target, 0.0, THRESHOLD)[:, 0]
+            t = _aims(window, f, stacked, at, t_lon[at], t_lat[at])
             a = bg_weights(p, t, there, smoothing)
             none = np.isnan(a).any(-1)
             for c in variables:
@@ -245,7 +268,7 @@ def reconstruct_rsir(neighbours: DataFrame, samples: DataFrame, targets: DataFra
     """(keys, target_id, cell_row, cell_col, variables). With 0 iterations the start value is read through the target's pattern."""
     if iterations < 0:
         raise ValueError("the number of iterations must not be negative")
-    rows = _prepared(neighbours, samples, targets, [*variables, *(GEOMETRY if f.source else ())], keys)
+    rows = _prepared(neighbours, samples, targets, [*variables, *_columns(f)], keys)
 
     def solve(t_lon: np.ndarray, t_lat: np.ndarray, stacked: Callable) -> dict[str, np.ndarray]:
         lon, lat = stacked("s_lon"), stacked("s_lat")
@@ -255,7 +278,7 @@ def reconstruct_rsir(neighbours: DataFrame, samples: DataFrame, targets: DataFra
         for at, k in _stacks(lon, cells):
             window = _window(t_lon[at], t_lat[at], f, _reach(f, radius))
             p = _sources(window, f, stacked, at, lon[at, :k], lat[at, :k])
-            t = _gaussians(*window, t_lon[at][:, None], t_lat[at][:, None], f.target, f.target, 0.0, THRESHOLD)[:, 0]
+            t = _aims(window, f, stacked, at, t_lon[at], t_lat[at])
             for c in variables:
                 out[c][at] = rsir(p, t, held[c][at, :k], iterations)
         return out

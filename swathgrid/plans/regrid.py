@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import GRIDS
 from ..config import Config
-from ..functions.patterns import footprint_radius
+from ..functions.patterns import THRESHOLD, footprint_radius, nadir_angle
 from ..operators import inversion, neighbours, reconstruct, simple
 from ..sources import beam, swath
 
@@ -35,7 +35,9 @@ def _simple(reduce: Callable) -> Callable[[Task], DataFrame]:
     def run(t: Task) -> DataFrame:
         keys = ["scan_direction", "target_id"]
         rows = neighbours.with_values(t.neighbours, t.samples, [*t.variables, *t.noise], ("scan_direction",))
-        if reduce is simple.ids:
+        if reduce is simple.nn and t.config.max_neighbours == 1:  # the search has left one row for each target
+            out = rows.select(*keys, *t.variables, *t.noise, F.lit(1).cast("long").alias("regridding_n_samples"))
+        elif reduce is simple.ids:
             out = simple.ids(rows, keys, t.variables, t.noise, count=True)
         else:
             out = reduce(rows, keys, [*t.variables, *t.noise], count=True)
@@ -58,8 +60,14 @@ HEIGHT = {"CIMR": 830000.0, "SMAP": 685000.0}
 
 
 def _footprints(spark: SparkSession, c: Config, band: str, target: float) -> reconstruct.Footprints:
-    """Gaussian footprints, or an instrument's patterns from config.antenna_patterns_path projected to the ground."""
-    source = None
+    """Gaussian footprints, or an instrument's patterns from config.antenna_patterns_path projected to the ground.
+
+    A target of another band (L1R) has that band's own Gaussian footprint, a cell one of its size.
+    """
+    source, aim, least = None, target, THRESHOLD
+    if c.grid_type == "L1R":
+        # a threshold over 1 can't be a share of the largest gain: it is in decibels below it
+        aim, least = c.target_gaussian_params, c.target_antenna_threshold if c.target_antenna_threshold < 1 else 10 ** (-c.target_antenna_threshold / 10)
     if c.source_antenna_method == "instrument":
         if c.polarisation_method != "scalar":
             raise ValueError("patterns are weighed by their scalar gain")
@@ -67,7 +75,20 @@ def _footprints(spark: SparkSession, c: Config, band: str, target: float) -> rec
         tilt = math.radians(TILT[c.type])
         reach = max(footprint_radius(tilt, HEIGHT[c.type], p.widest()) for p in held.values())
         source = reconstruct.Projected({k: p.scalar for k, p in held.items()}, tilt, reach, body_scan=c.type != "SMAP")
-    return reconstruct.Footprints(c.MRF_grid_definition, *c.source_gaussian_params, target, threshold=c.source_antenna_threshold, source=source)
+    return reconstruct.Footprints(c.MRF_grid_definition, *c.source_gaussian_params, aim, threshold=c.source_antenna_threshold, target_threshold=least, turned=_turned(c), target_turned=c.grid_type == "L1R" and c.target_gaussian_params[0] != c.target_gaussian_params[1], source=source)
+
+
+def _turned(c: Config) -> bool:
+    """Whether the samples' footprints are ellipses, whose angle counts."""
+    return c.source_antenna_method == "gaussian" and c.source_gaussian_params[0] != c.source_gaussian_params[1]
+
+
+def with_angle(df: DataFrame) -> DataFrame:
+    """df with the angle by which each row's footprint is turned, from its nadir point."""
+    if missing := {"sub_satellite_lon", "sub_satellite_lat"} - set(df.columns):
+        raise ValueError(f"elliptical footprints are turned towards the nadir point: {', '.join(sorted(missing))} is missing")
+    angle = nadir_angle(F.col("longitude"), F.col("latitude"), F.col("sub_satellite_lon"), F.col("sub_satellite_lat"))
+    return df.withColumn(reconstruct.ANGLE, angle)
 
 
 def _bg(t: Task) -> DataFrame:
@@ -136,6 +157,12 @@ def regrid(spark: SparkSession, samples: DataFrame, config: Config, targets: Dat
         raise ValueError("L1R needs another band's positions as targets")
     if c.search_radius is None and c.grid_type == "L1C" and c.regridding_algorithm in ("NN", "DIB", "IDS"):
         return _without_search(samples, c, variables, noise)
+    weighed = c.regridding_algorithm in ("BG", "RSIR")
+    turned = _turned(c) and c.regridding_algorithm in ("BG", "RSIR", "LW", "CG")
+    if turned:
+        samples = with_angle(samples)
+    if weighed and c.grid_type == "L1R" and c.target_gaussian_params[0] != c.target_gaussian_params[1]:
+        targets = with_angle(targets)
     out = None
     for band in c.source_band:
         own = samples.where(F.col("band") == band) if "band" in samples.columns else samples
@@ -143,7 +170,7 @@ def regrid(spark: SparkSession, samples: DataFrame, config: Config, targets: Dat
         near = None
         if c.regridding_algorithm not in ("LW", "CG"):
             # what the algorithm needs of a sample goes along with the search, and the smaller side is spread
-            carried = dict.fromkeys([*variables, *noise, *(("longitude", "latitude") if c.regridding_algorithm in ("BG", "RSIR") else ()), *(reconstruct.GEOMETRY if c.regridding_algorithm in ("BG", "RSIR") and c.source_antenna_method == "instrument" else ())])
+            carried = dict.fromkeys([*variables, *noise, *(("longitude", "latitude") if weighed else ()), *((reconstruct.ANGLE,) if weighed and turned else ()), *(reconstruct.GEOMETRY if weighed and c.source_antenna_method == "instrument" else ())])
             near = neighbours.nearest(own, aims, c.search_radius, c.max_neighbours, ("scan_direction",), tuple(carried), neighbours.smaller_side(own, aims))
         got = REGISTRY[c.regridding_algorithm](Task(c, own, aims, near, variables, noise, band))
         got = got.withColumn("band", F.lit(band))
@@ -163,7 +190,15 @@ def _without_search(samples: DataFrame, c: Config, variables: list[str], noise:
 
 
 def unused(spark: SparkSession, samples: DataFrame, config: Config, targets: DataFrame | None = None) -> DataFrame:
-    """samples with used: 1 if a target took the sample."""
+    """samples with used: 1 if a target took the sample. Without a radius a cell takes what falls into it, for NN the nearest."""
+    if config.search_radius is None and targets is None:
+        cells = neighbours.assign_cells(samples, config.grid_definition, config.projection_definition).where("cell_row is not null and cell_col is not null")
+        if config.rows:
+            cells = cells.where(F.col("cell_row").between(*config.rows) & F.col("cell_col").between(*config.cols))
+        if config.regridding_algorithm == "NN":
+            keys = [k for k in ("band", "scan_direction") if k in samples.columns]
+            cells = simple.nn(cells.withColumn("_sample", F.col("sample_id")), [*keys, "cell_row", "cell_col"], ["_sample"]).select(*keys, F.col("_sample").alias("sample_id"))
+        return neighbours.used_samples(samples, cells, tuple(k for k in ("scan_direction",) if k in samples.columns))
     aims = targets if targets is not None else neighbours.grid_targets(spark, config.grid_definition, config.projection_definition, config.rows, config.cols)
     near = neighbours.nearest(samples, aims, config.search_radius, config.max_neighbours, ("scan_direction",))
     return neighbours.used_samples(samples, near, ("scan_direction",))

@@ -181,17 +181,20 @@ def low_frequency(df: DataFrame, a: float, b: float, scan: str = "scan_number",
     return rows.select(scan, F.col("_pair").alias(sample), F.when(good, lon).otherwise(FILL).alias("longitude"), F.when(good, lat).otherwise(FILL).alias("latitude"))
 
 
-def normalise(df: DataFrame, instrument: str, band: str, grid: str | None = None, projection: str | None = None, split: bool = True, quality: bool = True) -> DataFrame:
-    """The whole chain: fills, quality, bounds (for a grid), direction, listwise deletion."""
+def normalise(df: DataFrame, instrument: str, band: str, grid: str | None = None, projection: str | None = None, split: bool = True, quality: bool = True, nedt: dict[str, float] | None = None, needed: list[str] | None = None) -> DataFrame:
+    """The whole chain: fills, quality, bounds (for a grid), direction, listwise deletion.
+
+    needed: the columns in which a NULL drops the row; those that nobody asked for don't count. All, if not given.
+    """
     out = fill_to_null(df.withColumn("band", F.lit(band)))
     if quality and instrument == "SMAP":
         out = quality_filter(out)
     if instrument == "CIMR" and "nedt_h" not in out.columns:
-        out = with_nedt(out)
+        out = with_nedt(out, nedt)
     if grid:
         out = in_bounds(out, grid, projection or GRIDS[grid].projection)
     out = split_fore_aft(out, instrument) if split else out.withColumn("scan_direction", F.lit("all"))
-    return listwise(out)
+    return listwise(out, None if needed is None else [c for c in out.columns if c in needed])
 
 
 # ---- a swath made from the events table, for queries and tests
