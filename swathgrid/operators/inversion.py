@@ -4,10 +4,16 @@ The image on the inversion grid is cut into square tiles. A tile's samples, with
 so wide as a footprint, give the rows of a matrix (footprints on the tile's cells and the rim's), which is
 solved in a task; the rim's cells are dropped afterwards. The samples are dealt to the tiles by an
 equi-join-free explode: each sample names the few tiles whose rim it lies in.
+
+A tile's samples grow with the data, its cells don't. A tile of more than PIECE samples is therefore dealt
+to pieces by the samples' hash; each piece gives its share of the normal equations A'A x = A'y, the shares
+are summed FOLD at a time, and both methods run on the sum. No task holds more than FOLD of these matrices,
+of (tile + 2 * rim) ** 4 numbers each, however many samples a place has.
 """
 
 from __future__ import annotations
 
+import io
 import math
 
 import numpy as np
@@ -22,29 +28,46 @@ from ..functions.geo import NUMPY
 from ..functions.patterns import gaussian_radius, gaussian_raw, normalised
 from .reconstruct import ANGLE, Footprints
 
+#: Samples of a tile that are put into one matrix.
+PIECE = 4096
+#: Shares of a tile's normal equations that are summed at once, and the rounds of sums: up to FOLD ** ROUNDS pieces.
+FOLD, ROUNDS = 8, 4
+
 
 def landweber(a: np.ndarray, y: np.ndarray, damping: float = 1e-4, step: float | None = None, iterations: int = 1000, tolerance: float = 1e-5) -> tuple[np.ndarray, int]:
     """Gradient steps on |Ax - y|^2 + damping |x|^2 until the relative residual is below tolerance; (x, steps taken)."""
-    x = np.full((a.shape[1], *y.shape[1:]), 1e-20)
-    square = a.T @ a
+    return landweber_normal(a.T @ a, a.T @ y, float((y * y).sum()), damping, step, iterations, tolerance)
+
+
+def landweber_normal(square: np.ndarray, right: np.ndarray, size: float, damping: float = 1e-4, step: float | None = None, iterations: int = 1000, tolerance: float = 1e-5) -> tuple[np.ndarray, int]:
+    """The same from A'A, A'y and y'y: |Ax - y|^2 is y'y - 2 x'A'y + x'A'Ax."""
+    x = np.full(right.shape, 1e-20)
     step = step if step is not None else 1 / max(np.linalg.norm(square), 1e-300)
-    right, size = a.T @ y, max(np.linalg.norm(y), 1e-300)
     for k in range(iterations):
-        if np.linalg.norm(y - a @ x) / size < tolerance:
+        seen = square @ x
+        if max(size - 2 * float((x * right).sum()) + float((x * seen).sum()), 0.0) < tolerance**2 * max(size, 1e-300):
             return x, k
-        x = x + step * (right - square @ x - damping * x)
+        x = x + step * (right - seen - damping * x)
     return x, iterations
 
 
 def conjugate_gradient(a: np.ndarray, y: np.ndarray, damping: float = 1e-4, iterations: int = 1000, tolerance: float = 1e-5) -> tuple[np.ndarray, int]:
     """(A'A + damping I) x = A'y by conjugate gradients; (x, steps taken)."""
-    right = a.T @ y
+    return _conjugate(lambda p: a.T @ (a @ p), a.T @ y, damping, iterations, tolerance)
+
+
+def conjugate_normal(square: np.ndarray, right: np.ndarray, size: float, damping: float = 1e-4, iterations: int = 1000, tolerance: float = 1e-5) -> tuple[np.ndarray, int]:
+    """The same from A'A and A'y."""
+    return _conjugate(lambda p: square @ p, right, damping, iterations, tolerance)
+
+
+def _conjugate(times, right: np.ndarray, damping: float, iterations: int, tolerance: float) -> tuple[np.ndarray, int]:
     x, r = np.zeros_like(right), right.copy()
     p, rr, size = r.copy(), float((r * r).sum()), max(np.linalg.norm(right), 1e-300)
     for k in range(iterations):
         if math.sqrt(rr) / size < tolerance:
             return x, k
-        q = a.T @ (a @ p) + damping * p
+        q = times(p) + damping * p
         alpha = rr / float((p * q).sum())
         x, r = x + alpha * p, r - alpha * q
         new = float((r * r).sum())
@@ -52,16 +75,50 @@ def conjugate_gradient(a: np.ndarray, y: np.ndarray, damping: float = 1e-4, iter
     return x, iterations
 
 
-METHODS = {"LW": landweber, "CG": conjugate_gradient}
+#: By method: from a matrix, and from the normal equations.
+METHODS = {"LW": (landweber, landweber_normal), "CG": (conjugate_gradient, conjugate_normal)}
+
+
+def normal_equations(a: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """A'A over the rows without a missing value, what else each column of y (rows x variables) adds to it, A'y and y'y."""
+    there = ~np.isnan(y)
+    whole = there.all(1)
+    held = np.where(there, y, 0.0)
+    out = {"square": a[whole].T @ a[whole], "right": a.T @ held, "size": (held * held).sum(0)}
+    for v in range(y.shape[1]):
+        if (own := there[:, v] & ~whole).any():
+            out[f"square{v}"] = a[own].T @ a[own]
+    return out
+
+
+def _summed(parts) -> dict[str, np.ndarray]:
+    total: dict[str, np.ndarray] = {}
+    for part in parts:
+        for k, x in part.items():
+            total[k] = total[k] + x if k in total else x
+    return total
 
 
-def invert(samples: DataFrame, variables: list[str], f: Footprints, method: str = "CG", tile: int = 32, buffer: float = 1.3, damping: float = 1e-4, iterations: int = 1000, tolerance: float = 1e-5, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+def _packed(arrays: dict[str, np.ndarray]) -> bytes:
+    held = io.BytesIO()
+    np.savez(held, **arrays)
+    return held.getvalue()
+
+
+def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(data)) as held:
+        return {k: held[k] for k in held.files}
+
+
+def invert(samples: DataFrame, variables: list[str], f: Footprints, method: str = "CG", tile: int = 32, buffer: float = 1.3, damping: float = 1e-4, iterations: int = 1000, tolerance: float = 1e-5, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None, keys: tuple[str, ...] = (), piece: int = PIECE) -> DataFrame:
     """(keys, cell_row, cell_col, variables) on the grid f.grid, for the tiles that have samples.
 
     buffer: the rim's width in footprint radii. Cells that no footprint reaches are NULL. rows, cols: an
-    inclusive block that is asked for. Samples with a NULL variable are left out for that variable.
+    inclusive block that is asked for. Samples with a NULL variable are left out for that variable. piece: the
+    samples of a tile that a task takes at once; it changes the image by rounding only, which conjugate gradients
+    that are stopped long before they converge can magnify.
     """
-    g, solve = GRIDS[f.grid], METHODS[method]
+    g, (solve, solve_normal) = GRIDS[f.grid], METHODS[method]
     rim = max(1, math.ceil(buffer * gaussian_radius(f.sigma_x, f.sigma_y, f.threshold) / g.res))
     row, col = geo.nearest_cell(g, *geo.lonlat_to_xy(g.projection, F.col("longitude"), F.col("latitude")))
     own = samples.select("sample_id", *keys, "longitude", "latitude", *variables, *((ANGLE,) if f.turned else ()), row.cast("int").alias("_r"), col.cast("int").alias("_c")).where("_r is not null")
@@ -75,28 +132,75 @@ def invert(samples: DataFrame, variables: list[str], f: Footprints, method: str
         dealt = dealt.where(F.col("_tr").between(rows[0] // tile, rows[1] // tile))
     if cols:
         dealt = dealt.where(F.col("_tc").between(cols[0] // tile, cols[1] // tile))
-    schema = T.StructType([*(samples.schema[k] for k in keys), T.StructField("cell_row", T.LongType()), T.StructField("cell_col", T.LongType()), *(T.StructField(v, T.DoubleType()) for v in variables)])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_id")
-        tr, tc = int(pdf["_tr"].iloc[0]), int(pdf["_tc"].iloc[0])
+    place = [*keys, "_tr", "_tc"]
+    # the few tiles with more samples than one matrix takes; no hint, since Spark sees their size
+    full = dealt.groupBy(*place).agg(F.least(F.ceil(F.count("*") / piece), F.lit(FOLD**ROUNDS)).cast("int").alias("_pieces")).where("_pieces > 1")
+    full = full.select(*(F.col(k).alias(f"_f{k}") for k in place), "_pieces")
+    met = dealt.join(full, [F.col(k).eqNullSafe(F.col(f"_f{k}")) for k in place], "left").drop(*(f"_f{k}" for k in place))
+    pieces = F.coalesce("_pieces", F.lit(1))
+    met = met.withColumns({"_pieces": pieces, "_piece": F.pmod(F.xxhash64("sample_id", "longitude", "latitude", *variables), pieces).cast("int")})
+
+    def cells(tr: int, tc: int) -> tuple[np.ndarray, np.ndarray]:
         r0, r1 = max(0, tr * tile - rim), min(g.n_rows - 1, tr * tile + tile - 1 + rim)
         c0, c1 = max(0, tc * tile - rim), min(g.n_cols - 1, tc * tile + tile - 1 + rim)
-        rr, cc = (x.ravel() for x in np.meshgrid(np.arange(r0, r1 + 1), np.arange(c0, c1 + 1), indexing="ij"))
-        lon, lat = geo.xy_to_lonlat(g.projection, *geo.cell_centre(g, rr, cc), NUMPY)
+        rr, cc = np.meshgrid(np.arange(r0, r1 + 1), np.arange(c0, c1 + 1), indexing="ij")
+        return rr.ravel(), cc.ravel()
+
+    def matrix(pdf: pd.DataFrame, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
         s_lon, s_lat = (pdf[c].to_numpy(float)[:, None] for c in ("longitude", "latitude"))
-        a = normalised(gaussian_raw(lon[None, :], lat[None, :], s_lon, s_lat, f.sigma_x, f.sigma_y, pdf[ANGLE].to_numpy(float)[:, None] if f.turned else f.alpha, NUMPY), f.threshold)
+        alpha = pdf[ANGLE].to_numpy(float)[:, None] if f.turned else f.alpha
+        return normalised(gaussian_raw(lon[None, :], lat[None, :], s_lon, s_lat, f.sigma_x, f.sigma_y, alpha, NUMPY), f.threshold)
+
+    def image(solved: list[np.ndarray], seen: list[np.ndarray]) -> dict[str, np.ndarray]:
+        return {"image": np.stack([np.where(s > 0, x, np.nan) for x, s in zip(solved, seen, strict=True)]) if solved else np.zeros((0, 0))}
+
+    def begin(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A tile's image if it has one piece, else the normal equations of a piece."""
+        pdf = pdf.sort_values("sample_id")
+        first = pdf.iloc[:1]
+        rr, cc = cells(int(first["_tr"].iloc[0]), int(first["_tc"].iloc[0]))
+        lon, lat = geo.xy_to_lonlat(g.projection, *geo.cell_centre(g, rr, cc), NUMPY)
+        if first["_pieces"].iloc[0] == 1:
+            a, solved, seen = matrix(pdf, lon, lat), [], []
+            for v in variables:
+                y = pdf[v].to_numpy(float)
+                there = ~np.isnan(y)
+                solved.append(solve(a[there], y[there], damping, iterations=iterations, tolerance=tolerance)[0])
+                seen.append(a[there].sum(0))
+            return first.assign(_data=[_packed(image(solved, seen))])[shares.names]
+        cut = (pdf.iloc[i : i + PIECE] for i in range(0, len(pdf), PIECE))
+        return first.assign(_data=[_packed(_summed(normal_equations(matrix(p, lon, lat), p[list(variables)].to_numpy(float)) for p in cut))])[shares.names]
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[:1]
+        if len(pdf) == 1:
+            return first.assign(_piece=first["_piece"] // FOLD)[shares.names]
+        data = _packed(_summed(_unpacked(d) for d in pdf.sort_values("_piece")["_data"]))
+        return first.assign(_piece=first["_piece"] // FOLD, _data=[data])[shares.names]
+
+    def end(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        tr, tc = int(first["_tr"]), int(first["_tc"])
+        rr, cc = cells(tr, tc)
+        held = _summed(_unpacked(d) for d in pdf.sort_values("_piece")["_data"])
+        if "image" not in held:
+            solved, seen = [], []
+            for v in range(len(variables)):
+                square = held["square"] + held.get(f"square{v}", 0.0)
+                solved.append(solve_normal(square, held["right"][:, v], float(held["size"][v]), damping, iterations=iterations, tolerance=tolerance)[0])
+                seen.append(square.diagonal())  # shares aren't negative: a cell that none reaches has no square
+            held = image(solved, seen)
         keep = (rr // tile == tr) & (cc // tile == tc)
-        out = {k: pdf[k].iloc[0] for k in keys} | {"cell_row": rr[keep], "cell_col": cc[keep]}
-        for v in variables:
-            y = pdf[v].to_numpy(float)
-            there = ~np.isnan(y)
-            x, _ = solve(a[there], y[there], damping, iterations=iterations, tolerance=tolerance)
-            out[v] = np.where(a[there].sum(0) > 0, x, np.nan)[keep]
-        return pd.DataFrame(out)[schema.names]
-
-    solved = dealt.groupBy(*keys, "_tr", "_tc").applyInPandas(run, schema)
-    return _block(solved, rows, cols)
+        out = {k: first[k] for k in keys} | {"cell_row": rr[keep], "cell_col": cc[keep]}
+        return pd.DataFrame(out | {v: held["image"][i][keep] for i, v in enumerate(variables)})[schema.names]
+
+    named_keys = [samples.schema[k] for k in keys]
+    shares = T.StructType([*named_keys, *(T.StructField(c, T.IntegerType()) for c in ("_tr", "_tc", "_piece", "_pieces")), T.StructField("_data", T.BinaryType())])
+    schema = T.StructType([*named_keys, T.StructField("cell_row", T.LongType()), T.StructField("cell_col", T.LongType()), *(T.StructField(v, T.DoubleType()) for v in variables)])
+    part = met.groupBy(*place, "_piece").applyInPandas(begin, shares)
+    for _ in range(ROUNDS - 1):
+        part = part.groupBy(*place, F.floor(F.col("_piece") / FOLD).alias("_group")).applyInPandas(fold, shares)
+    return _block(part.groupBy(*place).applyInPandas(end, schema), rows, cols)
 
 
 def _block(df: DataFrame, rows: tuple[int, int] | None, cols: tuple[int, int] | None) -> DataFrame:

@@ -258,3 +258,34 @@ def test_bg_with_projected_patterns(spark):
     assert got.regridding_n_samples == 3 and abs(got.bt_h - 200) < 6
     again = reconstruct.reconstruct_rsir(n, s, t, ["bt_h"], f, 150000.0, 3).first()
     assert 190 < again.bt_h < 225
+
+
+def test_normal_equations_of_pieces():
+    random = np.random.default_rng(5)
+    a, y = random.random((40, 6)), random.random((40, 2))
+    y[3, 0] = y[7, 1] = y[9, 1] = np.nan
+    held = inversion._summed(inversion.normal_equations(a[i : i + 9], y[i : i + 9]) for i in range(0, 40, 9))
+    for v in range(2):
+        there = ~np.isnan(y[:, v])
+        square = held["square"] + held.get(f"square{v}", 0.0)
+        assert square == pytest.approx(a[there].T @ a[there])
+        assert held["right"][:, v] == pytest.approx(a[there].T @ y[there, v]) and held["size"][v] == pytest.approx((y[there, v] ** 2).sum())
+        for whole, normal in inversion.METHODS.values():
+            x, steps = whole(a[there], y[there, v], 1e-3, iterations=60, tolerance=1e-2)
+            again, taken = normal(square, held["right"][:, v], float(held["size"][v]), 1e-3, iterations=60, tolerance=1e-2)
+            assert steps == taken and again == pytest.approx(x, rel=1e-6)
+
+
+@pytest.mark.parametrize("method", ["CG", "LW"])
+def test_a_full_tile_goes_in_pieces(spark, method):
+    """A place with many samples gives the same image however it is cut; samples without a value count for the others."""
+    rows = [(k, "fore" if k % 3 else None, 0.3 * (k % 17), 75.0 + 0.11 * (k % 13), 200.0 + k % 7, None if k % 5 == 0 else 150.0 + k % 4) for k in range(120)]
+    s = spark.createDataFrame(rows, "sample_id long, scan_direction string, longitude double, latitude double, bt_h double, bt_v double")
+    f = reconstruct.Footprints("EASE2_N36km", 30000.0, 30000.0, 36000.0)
+    at = ["scan_direction", "cell_row", "cell_col"]
+    got = [inversion.invert(s, ["bt_h", "bt_v"], f, method, 16, 1.0, 1e-3, 400 if method == "CG" else 30, 1e-11, keys=("scan_direction",), piece=n).toPandas().sort_values(at).reset_index(drop=True) for n in (4096, 5, 1)]
+    assert len(got[0]) > 200 and got[0]["bt_v"].notna().any() and got[0]["bt_h"].isna().any()
+    for other in got[1:]:
+        assert other[at].equals(got[0][at])
+        for v in ("bt_h", "bt_v"):
+            assert np.allclose(other[v], got[0][v], rtol=1e-6, equal_nan=True)
