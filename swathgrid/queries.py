@@ -534,7 +534,26 @@ def integration_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.window_bounds(s, ["sample_id"], "EASE2_N36km", 100000.0)
 
 
-@query()
+def _window_cells_sql() -> str:
+    g, angle = GRIDS[GRID], math.degrees(50000.0 / geo.R_VINCENTY)
+    kept = lambda e, n: f"CAST(least(greatest({e},0),{n - 1}) AS INTEGER)"
+    x0, y0 = forward_sql("G", "lf", "s")
+    x1, y1 = forward_sql("G", "rt", "n")
+    col, up = lambda e: f"({e}-({g.first('x')!r}e0))/{g.step('x')!r}e0", lambda e: f"({e}-({g.first('y') - (g.n_rows - 1) * g.step('y')!r}e0))/{g.step('y')!r}e0"
+    lon, lat = inverse_sql("G", *centre_sql(g))
+    return f"""WITH {S}, f AS (SELECT sample_id, longitude + a*{angle!r}e0 AS lon, latitude + b*{angle!r}e0 AS lat FROM s, (VALUES (1, 0), (0, 1), (-1, 0), (0, -1)) v(a, b)),
+o AS (SELECT sample_id, lat, CASE WHEN lon > 180 THEN lon-360 WHEN lon < -180 THEN lon+360 ELSE lon END AS lon FROM f),
+e AS (SELECT sample_id, min(lon) AS w, max(lon) AS e, min(CASE WHEN lon > 0 THEN lon END) AS we, max(CASE WHEN lon < 0 THEN lon END) AS ew, min(lat) AS s, max(lat) AS n FROM o GROUP BY 1),
+a AS (SELECT *, e-w > coalesce(180e0-we, 0e0)+coalesce(ew+180e0, 0e0) AS wraps FROM e),
+d AS (SELECT sample_id, s, n, CASE WHEN wraps THEN we ELSE w END AS lf, CASE WHEN wraps THEN ew ELSE e END AS rt FROM a),
+b AS (SELECT sample_id, {kept(f"ceil({col(x0)})-1", g.n_cols)} AS i0, {kept(f"ceil({col(x1)})", g.n_cols)} AS i1, {g.n_rows - 1}-{kept(f"ceil({up(y1)})", g.n_rows)} AS j0, {g.n_rows - 1}-{kept(f"ceil({up(y0)})-1", g.n_rows)} AS j1 FROM d),
+r AS (SELECT sample_id, i0, i1, unnest(range(j0, j1+1)) AS j FROM b),
+k AS (SELECT sample_id, j, unnest(range(i0, (CASE WHEN i1 < i0 THEN i1+{g.n_cols} ELSE i1 END)+1)) AS i FROM r),
+q AS (SELECT sample_id, CAST(j AS INTEGER) AS cell_row, CAST(i % {g.n_cols} AS INTEGER) AS cell_col FROM k)
+SELECT sample_id, cell_row, cell_col, {r(lon, 6, "lon")}, {r(lat, 6, "lat")} FROM q"""
+
+
+@query(_window_cells_sql())
 def integration_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of each sample's window on the global grid, across the date line where that is nearer."""
     s = samples(spark, sf_dir).select("sample_id", "longitude", "latitude")
@@ -555,6 +574,38 @@ def bg_one_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("scan_direction", "target_id", "bt_h", "nedt_h"), 4, "bt_h", "nedt_h")
 
 
+def _bg_sql() -> str:
+    """With two samples the weights solve a system of two equations: the sums of products of patterns give it."""
+    g, half = GRIDS[GRID], math.ceil((RADIUS + patterns.gaussian_radius(60000.0, 60000.0)) / GRIDS[GRID].res)
+    lon, lat = inverse_sql("G", *centre_sql(g, "i", "i"))
+    wide = f"2e0*{geo.R_VINCENTY}e0"
+    parts = lambda lon0, lat0, sigma: (f"exp(-pow({wide}*asin(cos(radians({lat0}))*sin(radians(w.lon-{lon0})/2e0)),2)/(2e0*{sigma}e0*{sigma}e0))", f"exp(-pow(radians(w.lat-{lat0})*{geo.R_VINCENTY}e0,2)/(2e0*{sigma}e0*{sigma}e0))")
+    (x1, y1), (x2, y2), (xt, yt) = parts("lon1", "lat1", 60000.0), parts("lon2", "lat2", 60000.0), parts("lont", "latt", 36032.22)
+    raw = ", ".join(f"({x})*({y}) AS r{n}" for n, (x, y) in (("1", (x1, y1)), ("2", (x2, y2)), ("t", (xt, yt))))
+    cut = ", ".join(f"CASE WHEN r{n} < 0.001e0*max(r{n}) OVER v THEN 0e0 ELSE r{n} END AS k{n}" for n in "12t")
+    sums = ", ".join(f"sum({e}) AS {n}" for n, e in (("s1", "k1"), ("s2", "k2"), ("st", "kt"), ("g11", "k1*k1"), ("g12", "k1*k2"), ("g22", "k2*k2"), ("v1", "k1*kt"), ("v2", "k2*kt")))
+    return f"""WITH {S}, {_near_sql(RADIUS, 2)}, lo AS (SELECT i, {lon} AS lon FROM range({g.n_cols}) t(i)), la AS (SELECT i, {lat} AS lat FROM range({g.n_rows}) t(i)),
+m AS (SELECT n.scan_direction, target_id, cell_row, cell_col, rank, longitude, latitude, bt_h, nedt_h FROM n JOIN c USING (sample_id)),
+p AS (SELECT a.scan_direction, a.target_id, a.cell_row, a.cell_col, a.longitude AS lon1, a.latitude AS lat1, a.bt_h AS b1, a.nedt_h AS e1, b.longitude AS lon2, b.latitude AS lat2, b.bt_h AS b2, b.nedt_h AS e2
+ FROM (SELECT * FROM m WHERE rank = 1) a LEFT JOIN (SELECT * FROM m WHERE rank = 2) b ON a.scan_direction = b.scan_direction AND a.target_id = b.target_id),
+d AS (SELECT p.*, lo.lon AS lont, la.lat AS latt FROM p JOIN lo ON lo.i = cell_col JOIN la ON la.i = cell_row),
+z AS (SELECT d.*, cell_row + h AS row, (cell_col + q + {g.n_cols}) % {g.n_cols} AS col FROM d, range({-half}, {half + 1}) x(h), range({-half}, {half + 1}) y(q) WHERE lon2 IS NOT NULL),
+w AS (SELECT z.*, lo.lon, la.lat FROM z JOIN lo ON lo.i = z.col JOIN la ON la.i = z.row),
+f AS (SELECT scan_direction, target_id, {raw} FROM w), k AS (SELECT scan_direction, target_id, {cut} FROM f WINDOW v AS (PARTITION BY scan_direction, target_id)),
+s8 AS (SELECT scan_direction, target_id, {sums} FROM k GROUP BY 1, 2),
+e AS (SELECT scan_direction, target_id, g11/(s1*s1) + 0.01e0 AS a, g12/(s1*s2) AS b, g22/(s2*s2) + 0.01e0 AS d, v1/(s1*st) AS v1, v2/(s2*st) AS v2 FROM s8),
+i AS (SELECT scan_direction, target_id, (d-b)/(a*d-b*b) AS u1, (a-b)/(a*d-b*b) AS u2, (d*v1-b*v2)/(a*d-b*b) AS h1, (a*v2-b*v1)/(a*d-b*b) AS h2 FROM e),
+o AS (SELECT scan_direction, target_id, h1 + u1*(1e0-h1-h2)/(u1+u2) AS a1, h2 + u2*(1e0-h1-h2)/(u1+u2) AS a2 FROM i)
+SELECT p.scan_direction, p.target_id, {r("CASE WHEN lon2 IS NULL THEN b1 ELSE a1*b1+a2*b2 END", 4, "bt_h")}, {r("CASE WHEN lon2 IS NULL THEN e1 ELSE a1*a1*e1+a2*a2*e2 END", 4, "nedt_h")} FROM p LEFT JOIN o ON p.scan_direction = o.scan_direction AND p.target_id = o.target_id"""
+
+
+@query(_bg_sql())
+def bg_two_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, t, n = near(spark, sf_dir, 2, ("longitude", "latitude", "bt_h", "nedt_h"))
+    out = reconstruct.backus_gilbert(n, s, t, ["bt_h"], FOOT, RADIUS, 0.01, ["nedt_h"], 0.0, WAY)
+    return rounded(out.select("scan_direction", "target_id", "bt_h", "nedt_h"), 4, "bt_h", "nedt_h")
+
+
 @query()
 def bg(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, t, n = near(spark, sf_dir, K, ("longitude", "latitude", "bt_h", "nedt_h"))
@@ -671,12 +722,30 @@ def beam_rows(spark: SparkSession) -> DataFrame:
     return beam.beam_points(texts)
 
 
-@query()
+#: The two beams of beam_rows(): places, gains of nine digits as in the text, and the shift of the largest one to the centre.
+_BEAMS = """p AS (SELECT 'C' AS band, CAST(horn AS INTEGER) AS horn, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, -0.1e0+0.01e0*i AS u, -0.1e0+0.01e0*j AS v, cu, cv FROM range(21) a(i), range(21) b(j), (VALUES (2, 0.03e0, -0.02e0), (3, 0e0, 0e0)) c(horn, cu, cv)),
+q AS (SELECT *, exp(-((u-cu)*(u-cu)+(v-cv)*(v-cv))/0.002e0) AS g FROM p),
+k AS (SELECT band, horn, i, j, u, v, round(g, 9) AS co_re, round(0.2e0*g, 9) AS co_im, round(0.1e0*g, 9) AS cross_re, 0e0 AS cross_im FROM q),
+m AS (SELECT horn, arg_max(u, co_re*co_re+co_im*co_im) AS du, arg_max(v, co_re*co_re+co_im*co_im) AS dv FROM k GROUP BY 1),
+b AS (SELECT band, horn, i, j, u-du AS u, v-dv AS v, co_re, co_im, cross_re, cross_im FROM k JOIN m USING (horn))"""
+
+
+def _beam_polar_sql() -> str:
+    gains = ("co_re", "co_im", "cross_re", "cross_im")
+    out = ", ".join(r(f"sum(coalesce({c}, 0e0)*w)", 6, f"g{k}{p}") for p in "hv" for k, c in enumerate(gains, 1))
+    return f"""WITH {_BEAMS}, l AS (SELECT CAST(t AS INTEGER) AS i_theta, CAST(f AS INTEGER) AS i_phi, t*0.5e0 AS theta, f*10e0 AS phi FROM range(11) a(t), range(37) b(f)),
+o AS (SELECT band, horn, min(u-i*0.01e0) AS u0, min(v-j*0.01e0) AS v0 FROM b GROUP BY 1, 2),
+a AS (SELECT band, horn, i_theta, i_phi, theta, phi, (sin(radians(theta))*cos(radians(phi))-u0)/0.01e0 AS x, (sin(radians(theta))*sin(radians(phi))-v0)/0.01e0 AS y FROM l, o),
+c AS (SELECT *, CAST(floor(x) AS INTEGER) + s AS i, CAST(floor(y) AS INTEGER) + t AS j, (CASE WHEN s=1 THEN x-floor(x) ELSE 1e0-(x-floor(x)) END)*(CASE WHEN t=1 THEN y-floor(y) ELSE 1e0-(y-floor(y)) END) AS w FROM a, range(2) e(s), range(2) h(t))
+SELECT c.band, c.horn, i_theta, i_phi, {r("theta", 6, "theta")}, {r("phi", 6, "phi")}, {out} FROM c LEFT JOIN b ON b.horn = c.horn AND b.i = c.i AND b.j = c.j GROUP BY c.band, c.horn, i_theta, i_phi, theta, phi"""
+
+
+@query(f"WITH {_BEAMS} SELECT band, horn, i, j, {r('u', 6, 'u')}, {r('v', 6, 'v')}, {r('co_re', 6, 'co_re')}, {r('co_im', 6, 'co_im')} FROM b")
 def beam_recentred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(beam.recentre(beam_rows(spark)).select("band", "horn", "i", "j", "u", "v", "co_re", "co_im"), 6, "u", "v", "co_re", "co_im")
 
 
-@query()
+@query(_beam_polar_sql())
 def beam_polar(spark: SparkSession, sf_dir: str) -> DataFrame:
     polar = beam.to_polar(beam.recentre(beam_rows(spark)), 5.0, 0.5, 10.0)
     table = beam.pattern_table(polar)
