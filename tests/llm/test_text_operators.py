@@ -405,3 +405,34 @@ def test_main_text(spark):
     assert all(r.text == wanted(r.page_id, 2) and r.n_chars == len(r.text) for r in got if r.page_id < 90)
     assert {r.page_id: r.text for r in got if r.page_id >= 100} == {100: wanted(1, 1), 101: "", 102: ""}
     assert html_extract.main_text(pages.where("false")).collect() == []
+
+
+def test_shards_against_plain_loops(spark):
+    """Every key's slot and shard as loops over shards and slots give them: nulls, repeated and negative keys too."""
+    import struct
+    import zlib
+
+    import xxhash
+
+    shards, size = ["a", "b", "c"], 101
+    free, owner = set(range(size)), {}
+    orders = {s: [(zlib.crc32(f"offset {s}".encode()) + k * (zlib.crc32(f"step {s}".encode()) % (size - 1) + 1)) % size for k in range(size)] for s in shards}
+    while free:
+        for s in shards:
+            if free:
+                slot = next(x for x in orders[s] if x in free)
+                owner[slot] = s
+                free.discard(slot)
+    keys = [*range(-50, 300), 7, 7, 2**62, None, None]
+    rows = spark.createDataFrame([(k, "extra") for k in keys], "doc_id long, slot string")
+    got = sharding.assign(rows, "doc_id", shards, size).collect()
+
+    def expected(k):
+        h = 42 if k is None else xxhash.xxh64(struct.pack("<q", k), seed=42).intdigest()
+        return ((h - 2**64 if h >= 2**63 else h) % size, owner[(h - 2**64 if h >= 2**63 else h) % size])
+
+    def order(x):
+        return (x[0] is None, x[0] or 0)
+
+    assert sorted(((r.doc_id, r[2], r[3]) for r in got), key=order) == sorted(((k, *expected(k)) for k in keys), key=order)
+    assert {r.slot for r in got} == {"extra"}
