@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, langid, media, packing, pii, quality, sharding, simhash_dedup, toxicity
+from . import decontaminate, fill_middle, html_extract, langid, media, packing, pii, quality, ranked_search, sharding, simhash_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -56,9 +57,30 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+#: What the contract of operator 11 blocks and allows.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=42, fim=50, spm=80)
+    back = fill_middle.restored(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_sharding, op3_pii, op4_quality, op5_packing, op6_decontamination, op7_langid, op8_toxicity, op9_html, op10_media, pipeline)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op2_sharding, op3_pii, op4_quality, op5_packing, op6_decontamination, op7_langid, op8_toxicity, op9_html, op10_media, op11_url_filter, op12_fill_middle, op13_ranked_search, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_packing": packing.oracle(16, 32768), "op6_decontamination": decontaminate.oracle()}
+    return {
+        "op5_packing": packing.oracle(16, 32768), "op6_decontamination": decontaminate.oracle(), "op11_url_filter": url_filter.oracle(URL_RULES),
+        "op12_fill_middle": fill_middle.oracle(), "op13_ranked_search": ranked_search.oracle(10),
+    }
