@@ -53,9 +53,9 @@ _WAY = frozenset("html body div section article main center table tbody tr td".s
 _MENUS = frozenset("div section ul ol table p".split())
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL
-)
+#: A comment, a declaration, or the beginning of a tag up to its attributes.
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.DOTALL)
+_QUOTE_OR_END = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _CUE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|banners?|sponsor(?:ed)?|promos?|promotions?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|footers?|site-?header|page-?header|masthead|topbar|"
@@ -64,35 +64,64 @@ _CUE = re.compile(
 )
 #: A slash at the end of a tag that isn't the end of a value without quotes.
 _CLOSED = re.compile(r"(?:^|[\s\"'])/$")
-_OFF_TAGS = frozenset("nav aside footer form button dialog menu fieldset".split())
-_OFF_ROLES = re.compile(r"(?:^|\s)(?:navigation|banner|contentinfo|complementary|search|dialog|alert|menu)(?:\s|$)", re.IGNORECASE)
+#: Of boxes of readers' words.
+_TALK = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|respond|replies)(?:$|[\s_-])", re.IGNORECASE)
+#: What is beside the article by its tag or role: always, or unless it is the bulk of the page.
+_ALWAYS_OFF, _OFF_TAGS = frozenset("nav aside footer".split()), frozenset("form button dialog menu fieldset".split())
+_ALWAYS_OFF_ROLES = re.compile(r"(?:^|\s)(?:navigation|contentinfo|complementary)(?:\s|$)", re.IGNORECASE)
+_OFF_ROLES = re.compile(r"(?:^|\s)(?:banner|search|dialog|alert|menu)(?:\s|$)", re.IGNORECASE)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
 class Node:
-    __slots__ = ("tag", "label", "off", "cue", "parts", "seen", "texts", "kids", "own", "shape", "mass", "menu")
+    __slots__ = ("tag", "label", "off", "cue", "talk", "parts", "seen", "texts", "kids", "own", "shape", "mass", "menu", "offs")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.parts = tag, []  # parts: child nodes and strings in page order
         self.kids, self.own, self.seen, self.texts, self.mass = None, "", 0, None, 0.0
-        name, self.off, self.cue, self.menu = "", tag in _OFF_TAGS, False, False
+        # off: left out; cue, talk: left out unless it is the bulk of the page
+        name, self.off, self.cue, self.talk, self.menu = "", tag in _ALWAYS_OFF, tag in _OFF_TAGS, False, False
         for key, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
             value, key = values[0] or values[1] or values[2], key.lower()
             if key in ("class", "id"):
                 name = name or re.sub(r"\d+", "0", value.strip().split(" ")[0].lower())
                 # a page often tells on its body or article which boxes it has: only inner boxes are cues
-                self.cue |= tag not in ("html", "body", "article", "main") and bool(_CUE.search(value))
+                if tag not in ("html", "body", "article", "main"):
+                    self.cue |= bool(_CUE.search(value))
+                    self.talk |= bool(_TALK.search(value))
             elif key == "role":
-                self.off |= bool(_OFF_ROLES.search(value))
+                self.off |= bool(_ALWAYS_OFF_ROLES.search(value))
+                self.cue |= bool(_OFF_ROLES.search(value))
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
-                self.off = True
+                self.talk = True
         self.label = f"{tag}.{name}"
 
 
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the tag whose attributes begin at `at` ends: at the next `>` outside quotes, or the next at all if there is none.
+
+    dead: opening quotes from which no end is found, so that broken quotes are followed to the end of the page only once.
+    """
+    place, opened = at, []
+    while (m := _QUOTE_OR_END.search(page, place)) and m.start() not in dead:
+        if m[0] == ">":
+            return m.start()
+        opened.append(m.start())
+        place = page.find(m[0], m.end()) + 1
+        if not place:
+            break
+    dead.update(opened)
+    return page.find(">", at)
+
+
 def parse(page: str) -> Node:
-    """The page's tree. Scripts, styles, titles and other raw elements are left out; open tags end where they must."""
+    """The page's tree. Scripts, styles, titles and other raw elements are left out; open tags end where they must.
+
+    What follows the last `>` is text. The time is in proportion to the page, however broken it is.
+    """
     root = Node("html")
     stack, at = [root], 0
+    dead, endless, last = set(), set(), page.rfind(">")
     while True:
         m = _MARK.search(page, at)
         text = page[at : m.start()] if m else page[at:]
@@ -100,11 +129,15 @@ def parse(page: str) -> Node:
             stack[-1].parts.append(entities.unescape(text) if "&" in text else text)
         if not m:
             return root
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        at, tag, attributes = m.end(), (m[2] or "").lower(), ""
         if not tag:
             continue
-        if m[1] or m[4]:
+        if at > last:
+            stack[-1].parts.append(page[m.start() :])
+            return root
+        end = _tag_end(page, at, dead)
+        attributes, at = page[at:end], end + 1
+        if m[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -114,14 +147,16 @@ def parse(page: str) -> Node:
             continue
         if tag in _RAW:
             # in the page itself: a lowered copy is longer where it holds a dotted capital I
-            close = re.compile(f"</{tag}", re.IGNORECASE | re.ASCII).search(page, at)
-            end = close.start() if close else len(page) if tag in ("script", "style") else -1
-            if end >= 0:
-                at = page.find(">", end) + 1 or len(page)
+            close = None if tag in endless else re.compile(f"</{tag}", re.IGNORECASE | re.ASCII).search(page, at)
+            if close:
+                at = page.find(">", close.start()) + 1 or len(page)
+            else:
+                endless.add(tag)
+                at = len(page) if tag in ("script", "style") else at
             continue
         if tag in ("html", "body", "head"):
             if tag == "body":
-                node = Node(tag, m[3] or m[6] or "")
+                node = Node(tag, attributes)
                 stack[0].parts.append(node)
                 stack = [stack[0], node]
             continue
@@ -133,41 +168,92 @@ def parse(page: str) -> Node:
                     break
                 if not closes or stack[k].tag in limits:
                     break
-        node = Node(tag, m[3] or m[6] or "")
+        node = Node(tag, attributes)
         stack[-1].parts.append(node)
-        if tag not in _VOID and not _CLOSED.search(m[3] or m[6] or "") and len(stack) < DEEPEST:
+        if tag not in _VOID and not _CLOSED.search(attributes) and len(stack) < DEEPEST:
             stack.append(node)
 
 
-def _weigh_cues(root: Node) -> None:
-    """Boxes whose class or id says that they are beside the article are off, but never the bulk of a page.
+def _inner(n: Node) -> list[Node]:
+    return [p for p in n.parts if not isinstance(p, str) and not p.off]
 
-    A box with half of the page's text stays if it holds a first heading, article or main part, or if there is
-    neither one outside it nor more than a quarter of the text. Boxes whose text is links, two at least, are
-    marked as menus: these don't count where the slot is looked for, but stay if they lie inside it.
+
+def _prose(root: Node) -> dict[int, tuple[int, int, int]]:
+    """For each node that is not off its text outside links, of that the text outside headings, and of that the text of articles and main parts."""
+    order: list[tuple[Node, int, bool, bool]] = [(root, -1, False, False)]
+    sums = []
+    for n, _, head, part in order:  # grows while it is read: the node after its parent
+        head, part, link = head or n.tag in _HEADS, part or n.tag in ("article", "main"), n.tag in ("a", "button")
+        own, up = 0, len(sums)
+        for p in n.parts if not link else ():
+            if isinstance(p, str):
+                own += 0 if p.isspace() else len(p) - p.count(" ")
+            elif not p.off:
+                order.append((p, up, head, part))
+        sums.append([own, 0 if head else own, own if part and not head else 0])
+    for (_, up, _, _), own in zip(reversed(order[1:]), reversed(sums[1:]), strict=True):
+        above = sums[up]
+        above[0] += own[0]
+        above[1] += own[1]
+        above[2] += own[2]
+    return {id(n): tuple(x) for (n, *_), x in zip(order, sums, strict=True)}
+
+
+def _drop(root: Node, prose: dict[int, tuple[int, int, int]], talk: bool) -> None:
+    """Set boxes off that are beside the article by a cue (or as readers' words or hidden), but never the bulk of a page.
+
+    The bulk is a box with half of the page's text outside links, unless an article or main part elsewhere has text of its
+    own (around the box: a twentieth of the page); readers' words and hidden boxes go, too, if the rest has a twentieth outside headings.
     """
-    order, todo = [], [root]
+    total, body, part = prose[id(root)]
+    todo = [(root, False)]
     while todo:
-        n = todo.pop()
-        order.append(n)
-        todo += [p for p in n.parts if not isinstance(p, str) and not p.off]
-    mass, heads, linked = {}, {}, {}
+        n, inside = todo.pop()
+        own = prose.get(id(n), (0, 0, 0))
+        if n.talk if talk else n.cue and not n.talk:
+            bulk = own[0] > 0 and 2 * own[0] >= total and (part - own[2]) * 20 < (total if inside else 1)
+            if not bulk or talk and (body - own[1]) * 20 >= total:
+                n.off = True
+                continue
+        todo += [(p, inside or n.tag in ("article", "main")) for p in _inner(n)]
+
+
+def _weigh_cues(root: Node) -> None:
+    """Settle which boxes are off: readers' words and hidden boxes first, then the others, of the text that is left.
+
+    If less than a twentieth of the text is left then, and no article, boxes by class or id stay after all. A header that is the bulk of a page is no header.
+    Boxes whose text is links, two at least, are marked as menus: these don't count where the slot is looked for, but
+    stay if they lie inside it.
+    """
+    order = [root]
+    for n in order:
+        order += _inner(n)
+    prose = _prose(root)
+    if any(n.talk for n in order):
+        _drop(root, prose, True)
+        prose = _prose(root)
+    before = prose[id(root)][1]
+    if any(n.cue for n in order):
+        _drop(root, prose, False)
+        prose = _prose(root)
+        if 20 * prose[id(root)][1] < before and not prose[id(root)][2]:
+            for n in order:
+                n.off &= not n.cue or n.talk or n.tag in _OFF_TAGS or n.tag in _ALWAYS_OFF
+            prose = _prose(root)
+    total, _, part = prose[id(root)]
+    for n in order:
+        own = prose.get(id(n), (0, 0, 0))
+        if n.tag == "header" and own[1] > 0 and 2 * own[0] >= total and part == own[2]:
+            n.tag = "section"
+    mass, linked = {}, {}
     for n in reversed(order):
-        inner = [p for p in n.parts if not isinstance(p, str) and not p.off]
+        if n.off:
+            continue
+        inner = _inner(n)
         mass[id(n)] = sum(len(p) - p.count(" ") for p in n.parts if isinstance(p, str) and not p.isspace()) + sum(mass[id(p)] for p in inner)
-        heads[id(n)] = (n.tag in ("h1", "article", "main")) + sum(heads[id(p)] for p in inner)
         own = [(mass[id(n)], 1)] if n.tag == "a" else [linked[id(p)] for p in inner]
         linked[id(n)] = (sum(x for x, _ in own), sum(x for _, x in own))
         n.menu = n.tag in _MENUS and linked[id(n)][1] > 1 and 5 * linked[id(n)][0] >= 4 * mass[id(n)]
-    total, every = mass[id(root)], heads[id(root)]
-    todo = [root]
-    while todo:
-        n = todo.pop()
-        own = mass[id(n)]
-        if n.cue and not (2 * own >= total and (heads[id(n)] or not every and 4 * (total - own) <= total)):
-            n.off = True
-        else:
-            todo += [p for p in n.parts if not isinstance(p, str) and not p.off]
 
 
 def _settle(node: Node) -> None:
@@ -176,6 +262,7 @@ def _settle(node: Node) -> None:
     while todo:
         n = todo.pop()
         kids, own, last = [], [], None
+        runs: dict[int, list[str]] = {}
         for p in n.parts:
             if isinstance(p, str):
                 if not p.isspace():
@@ -184,15 +271,17 @@ def _settle(node: Node) -> None:
             elif p.tag not in _BLOCK:
                 own.append(_flat(p))
             elif last is not None and p.label == last and p.tag in _REPEATED:
-                kids[-1].own += "\n" + _flat(p)
+                runs[len(kids) - 1].append(_flat(p))
                 continue
             else:
                 last = p.label if p.tag in _REPEATED else None
                 kids.append(p)
                 if last:
-                    p.kids, p.own = [], _flat(p)
+                    p.kids, runs[len(kids) - 1] = [], [_flat(p)]
                 else:
                     todo.append(p)
+        for k, texts in runs.items():
+            kids[k].own = "\n".join(texts)
         n.kids, n.own = kids, " ".join(" ".join(own).split())
 
 
@@ -263,7 +352,7 @@ def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
 
 def _copy(node: Node) -> Node:
     out = Node(node.tag)
-    out.label, out.off, out.menu, out.seen, out.texts = node.label, node.off, node.menu, 0, {}
+    out.label, out.off, out.menu, out.seen, out.texts, out.offs = node.label, node.off, node.menu, 0, {}, 0
     out.kids = [_copy(k) for k in node.kids]
     return out
 
@@ -281,19 +370,20 @@ def induce(pages: list[Node], different: list[bool]) -> tuple[Node, list[dict[in
         at = {id(t): p for t, p in pairs}
         back = {id(p): t for t, p in pairs}
         for t, p in pairs:
-            place = -1
+            after, last = {None: []}, None
             for k in p.kids:  # what the tree lacks is added after the last matched neighbour
                 if id(k) in back:
-                    place = next(i for i, x in enumerate(t.kids) if x is back[id(k)])
-                else:
-                    new = _copy(k)
-                    place += 1
-                    t.kids.insert(place, new)
-                    todo = [(new, k)]
-                    while todo:
-                        x, y = todo.pop()
-                        at[id(x)] = y
-                        todo += zip(x.kids, y.kids, strict=True)
+                    last = id(back[id(k)])
+                    continue
+                new = _copy(k)
+                after.setdefault(last, []).append(new)
+                todo = [(new, k)]
+                while todo:
+                    x, y = todo.pop()
+                    at[id(x)] = y
+                    todo += zip(x.kids, y.kids, strict=True)
+            if len(after) > 1 or after[None]:
+                t.kids = [*after[None], *(y for x in t.kids for y in (x, *after.get(id(x), ())))]
         if counts:
             size, todo = 0, [page]
             while todo:
@@ -305,10 +395,20 @@ def induce(pages: list[Node], different: list[bool]) -> tuple[Node, list[dict[in
                 t = todo.pop()
                 if id(t) in at:
                     t.seen += 1
+                    t.offs += at[id(t)].off
                     t.mass += len(at[id(t)].own) / max(1, size)
                     t.texts[at[id(t)].own] = t.texts.get(at[id(t)].own, 0) + 1
                     todo += t.kids
         maps.append(at)
+    todo = [tree]
+    while todo:  # what most pages keep, all keep: a page with a short article has the same boxes
+        t = todo.pop()
+        t.off = 2 * t.offs > t.seen
+        todo += t.kids
+        if t.offs and not t.off and t.seen >= 3:
+            for at in maps:
+                if id(t) in at:
+                    at[id(t)].off = False
     return tree, maps
 
 
@@ -317,25 +417,29 @@ def constant(t: Node) -> bool:
     return t.seen >= 3 and max(t.texts.values()) >= CONSTANT * t.seen
 
 
-def _varying(t: Node, inside: bool = False) -> float:
-    """Varying text in the subtree, as shares of the pages' text, so that each page counts alike."""
-    if t.off or t.menu or t.tag == "header" and not inside:
-        return 0.0
-    inside = inside or t.tag in ("article", "main")
-    own = 0.0 if constant(t) else t.mass
-    return own + sum(_varying(k, inside) for k in t.kids)
+def _varying(tree: Node) -> dict[int, float]:
+    """Varying text under each node, as shares of the pages' text, so that each page counts alike. Boxes beside the article have none."""
+    order, out = [(tree, False)], {}
+    for t, inside in order:
+        inside = inside or t.tag in ("article", "main")
+        if not (t.off or t.menu or t.tag == "header" and not inside):
+            order += [(k, inside) for k in t.kids]
+            out[id(t)] = 0.0 if constant(t) else t.mass
+    for t, _ in reversed(order):
+        if id(t) in out:
+            out[id(t)] += sum(out.get(id(k), 0.0) for k in t.kids)
+    return out
 
 
 def slot(tree: Node) -> Node:
     """The innermost node of the aligned tree that holds all varying text."""
-    at = tree
+    at, mass = tree, _varying(tree)
     while True:
         inner = [k for k in at.kids if k.tag in _WAY]
-        mass = [_varying(k, at.tag in ("article", "main")) for k in inner]
-        total = _varying(at, at.tag in ("article", "main"))
-        if not inner or not total or max(mass) < total * (1 - 1e-9) or at.tag == "article":  # a sibling varies too
+        own, total = [mass.get(id(k), 0.0) for k in inner], mass.get(id(at), 0.0)
+        if not inner or not total or max(own) < total * (1 - 1e-9) or at.tag == "article":  # a sibling varies too
             return at
-        at = inner[int(np.argmax(mass))]
+        at = inner[int(np.argmax(own))]
 
 
 # ---- text of a page
@@ -383,7 +487,7 @@ def _without_cues(page: Node) -> Node:
     todo = [page]
     while todo:
         n = todo.pop()
-        n.off &= not n.cue or n.tag in _OFF_TAGS
+        n.off &= not n.cue and not n.talk or n.tag in _OFF_TAGS or n.tag in _ALWAYS_OFF
         todo += [p for p in n.parts if not isinstance(p, str)]
     return page
 
@@ -425,8 +529,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(id, url, text, n_chars) for every page, from its whole HTML.
 
     Pages without a host in their url (or without url) are a host of their own kind. Null HTML gives an
-    empty text. Hosts with many pages are dealt into groups of about `group` by the pages' hashed ids, so
-    no host is ever in one task. Repeated rows stay repeated. Other columns are not read.
+    empty text. Hosts with many pages are dealt into groups of about `group` by their hashed rows, so
+    no host is ever in one task, with ids or without. Repeated rows stay repeated, repeated and null ids are ids like others.
+    An empty table gives an empty result. Other columns are not read, so their names can't clash.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host.alias("_host"))
@@ -435,7 +540,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     # counted first: a short list is broadcast, so that the pages are shuffled once; a longer one is joined by a shuffle
     large = F.broadcast(large) if large.count() <= BROADCAST else large
     met = rows.join(large, F.col("_host") == F.col("_large"), "left")
-    dealt = met.withColumn("_group", F.coalesce(F.pmod(F.xxhash64("_id"), F.col("_groups")), F.lit(0)).cast("int"))
+    # the page is hashed, too, so that rows without an id don't fall together
+    dealt = met.withColumn("_group", F.coalesce(F.pmod(F.xxhash64("_id", "_url", "_html"), F.col("_groups")), F.lit(0)).cast("int"))
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = dealt.select("_host", "_group", "_id", "_url", "_html").repartition(n, "_host", "_group").sortWithinPartitions("_host", "_group", "_id")
     schema = T.StructType(

@@ -374,6 +374,62 @@ def test_long_comments_stay_out():
     assert html_extract.extract(htmls) == [f"t{k}\n{words_of(k, 20)}" for k in range(5)]
 
 
+ARTICLE_BOXES = {
+    "form": "<body><nav>menu</nav><form action=/x><h1>t{k}</h1><p>{text}</p><input></form><footer>foot</footer>",
+    "form around all": "<body><form id=aspnet><header><h2>site</h2></header><nav>menu menu</nav><div class=content><h1>t{k}</h1><p>{text}</p></div><aside>side</aside></form>",
+    "fieldset": "<body><h1>t{k}</h1><fieldset><p>{text}</p></fieldset>",
+    "search": '<body><h1>t{k}</h1><div class="search results"><p>{text}</p></div>',
+    "related": '<body><h1>t{k}</h1><div class="related work"><p>{text}</p></div><div class="comments">so says a reader</div>',
+    "role": '<body><h1>t{k}</h1><div role="banner"><p>{text}</p></div>',
+    "inside": '<body><article><h1>t{k}</h1><div class="share box"><p>{text}</p></div></article>',
+    "header": "<body><header><h1>t{k}</h1><p>{text}</p></header><footer>foot</footer>",
+    "hidden until drawn": '<body><div style="visibility:hidden"><h1>t{k}</h1><p>{text}</p></div>',
+    "thirds": '<body><h1>t{k}</h1><div class="widget"><p>{one}</p></div><div class="promo"><p>{two}</p></div><div class="share"><p>{three}</p></div>',
+}
+
+
+@pytest.mark.parametrize("pages", [1, 6])
+@pytest.mark.parametrize("box", ARTICLE_BOXES)
+def test_a_box_never_takes_the_bulk(box, pages):
+    thirds = [[words_of(k, 20, at) for at in (10, 30, 50)] for k in range(pages)]
+    htmls = [ARTICLE_BOXES[box].format(k=k, text=" ".join(x), one=x[0], two=x[1], three=x[2]) for k, x in enumerate(thirds)]
+    join = "\n" if box == "thirds" else " "
+    assert html_extract.extract(htmls) == [f"t{k}\n{join.join(x)}" for k, x in enumerate(thirds)]
+
+
+@pytest.mark.parametrize("box", ["<form><p>{}</p></form>", "<div class='comments'><p>{}</p></div>", "<div class='related'><p>{}</p></div>", "<aside><p>{}</p></aside>", "<footer>{}</footer>", "<div hidden>{}</div>"])
+def test_an_article_beside_long_boxes(box):
+    """An article or main part with text of its own is kept, and what stands beside it goes, however long that is."""
+    htmls = [f"<body><main><h1>t{k}</h1><p>{words_of(k, 20)}</p></main>{box.format(words_of(k, 300, 500))}" for k in range(4)]
+    assert html_extract.extract(htmls) == [f"t{k}\n{words_of(k, 20)}" for k in range(4)]
+    assert html_extract.extract(htmls[:1]) == [f"t0\n{words_of(0, 20)}"]
+
+
+def test_a_short_article_has_the_boxes_of_its_host():
+    sizes = [40, 50, 3, 60, 45]
+    htmls = [f"<body><h1>t{k}</h1><p>by some author of a long name {k}</p><div class='search results'><p>{words_of(k, n)}</p></div>" for k, n in enumerate(sizes)]
+    assert html_extract.extract(htmls) == [f"t{k}\nby some author of a long name {k}\n{words_of(k, n)}" for k, n in enumerate(sizes)]
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a ">"', "<a '\">", "<a \"'>", "<!--", "<!", "<textarea>", "<svg>", "<iframe ", "</", "</p", "<", "&amp", "<li>x", "<p><b>", "<div>", "<td>", "<a href='>", "</div>", "<div hidden class='ads'>x"])
+def test_long_broken_markup(unit):
+    import time
+
+    began = time.process_time()
+    (text,) = html_extract.extract(["<p>before</p>" + unit * (300_000 // len(unit))])
+    assert time.process_time() - began < 8 and isinstance(text, str)
+
+
+def test_pages_without_ids_are_spread(spark):
+    """Repeated rows, null ids and clashing names; pages of a host without ids fall into many groups."""
+    rows = [(None, "http://h.example/", page(1 + k % 30, 2), "x", "y") for k in range(200)] + [(5, "http://h.example/", page(5, 2), "x", "y")] * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, _host string, _group string")
+    got = html_extract.main_text(pages).collect()
+    assert sorted(r.text for r in got) == sorted([wanted(1 + k % 30, 2) for k in range(200)] + [wanted(5, 2)] * 3)
+    group = F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(7))
+    assert pages.where("page_id is null").select(group).distinct().count() > 4
+
+
 def test_quotes_of_any_length():
     html = f'<article><p>before</p><img alt="{"a > b " * 2000}"><p>after</p></article>'
     assert html_extract.extract([html]) == ["before\nafter"]
