@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -266,8 +267,34 @@ def test_contaminated(spark, leaks, block):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in got}
 
 
+def test_masks_cover_every_placement():
+    """Every length has masks that pass over words from 5 words on, and no placement of replaced words hits all their windows."""
+    for n in range(1, 300):
+        masks, lost = decontaminate.masks_for(n, 0.8), n // 5
+        assert all("0" in m for m in masks) if lost else masks == ("1" * n,)  # none may differ in up to four words
+        windows = [{at + i for i, c in enumerate(m) if c == "1"} for m in masks for at in range(n - len(m) + 1)]
+        if math.comb(n, lost) <= 60_000:
+            places = itertools.combinations(range(n), lost)
+        else:  # every sixth, every fifth and random placements
+            places = [range(a, n, step) for step in (5, 6) for a in range(step)] + [random.Random(k).sample(range(n), lost) for k in range(200)]
+        assert all(any(not w & set(p) for w in windows) for p in places if len(p) <= lost)
+    for share in (1.0, 0.9, 0.6, 0.5, 0.34, 0.01):
+        for n in range(1, 60):
+            lost = n - math.ceil(share * n - 1e-9)
+            assert decontaminate.tolerance(n, decontaminate.masks_for(n, share)) >= lost
+
+
+def test_repeated_rows_give_one_pair(spark):
+    d = spark.createDataFrame([(1, "A b, c d e f")] * 3 + [(None, "a b c x e f")] * 2 + [(1, "nothing")], "doc_id long, text string")
+    b = spark.createDataFrame([(7, "a b c d e f")] * 2 + [(None, "c d e")], "item_id long, text string")
+    want = {(1, 7, 6, 6, 1.0), (None, 7, 6, 5, round(5 / 6, 6)), (1, None, 3, 3, 1.0)}
+    for block in (10**6, 1):
+        got = decontaminate.contaminated(d, b, block=block).collect()
+        assert len(got) == 3 and set(map(tuple, got)) == want
+
+
 def test_contaminated_finds_every_placement_of_replaced_words(spark):
-    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in (1, 4, 5, 8, 10, 11, 12, 15, 20, 33)]
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in (1, 4, 5, 6, 7, 8, 10, 11, 12, 13, 15, 20, 33)]
     rng, docs, wanted = random.Random(4), [], set()
     for n, item in items:
         places = list(itertools.combinations(range(n), n // 5))
