@@ -4,9 +4,12 @@ A text is the set of its hashed terms: its words (letters and digits, lower-case
 so that an insult is met in all its endings. Its score is the logistic of
 bias + sum of the terms' weights + sum over pairs of terms of the product of their factor vectors, so a
 pair such as an insult with a mention of a group can weigh more than its two terms alone. Trained by
-AdaGrad in numpy, in one task, on a bounded sample of labelled rows. Terms seen in fewer than `least`
-sampled texts, or about as often under both labels (less than `apart` standard errors), have no weight,
-so that a long text isn't judged by the sum of what its common words weigh by chance.
+AdaGrad in numpy, in one task, on a bounded sample of labelled rows.
+
+Terms get weight and factors if they tell the labels apart by themselves (`apart` standard errors, seen in `least` sampled
+texts), or in a pair: of the `paired` terms seen most, all pairs are tested for texts whose label single terms don't
+explain, so that both terms of a pair may be as common under either label. Other terms have no weight, so that a long
+text isn't judged by the sum of what its common words weigh by chance.
 """
 
 from __future__ import annotations
@@ -40,7 +43,44 @@ def terms(s: ht.Slice) -> tuple[np.ndarray, np.ndarray]:
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def fit(texts: pa.Array, labels: np.ndarray, weights: np.ndarray, least: int = 3, apart: float = 3.0, epochs: int = 12, rate: float = 0.1, decay: float = 2e-4, seed: int = 3) -> dict[str, np.ndarray]:
+def _linear(docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, size: int, bias: float, rng: np.random.Generator, epochs: int = 3, rate: float = 0.1) -> np.ndarray:
+    """The probability of label 1 for each text by its terms' weights alone."""
+    w, seen = np.zeros(size, np.float32), np.full(size, 1e-4, np.float32)
+    for epoch in range(epochs):
+        for i in rng.permutation(len(docs)):
+            ids = docs[i]
+            g = (1 / (1 + np.exp(-np.clip(bias + w[ids].sum(), -30, 30))) - labels[i]) * weights[i]
+            seen[ids] += g * g
+            w[ids] -= rate * (1 - epoch / epochs) * g / np.sqrt(seen[ids])
+    return 1 / (1 + np.exp(-np.clip([bias + w[ids].sum() for ids in docs], -30, 30)))
+
+
+def interacting(docs: list[np.ndarray], labels: np.ndarray, p: np.ndarray, terms: np.ndarray, size: int, apart: float, block: int = 2048) -> np.ndarray:
+    """Those of the terms that meet another one in texts whose label is not what single terms say (p), by `apart` standard errors.
+
+    Exact over all pairs of the terms: what is left of the labels, summed over the texts that hold both, against its
+    standard error.
+    """
+    place = np.full(size, -1)
+    place[terms] = np.arange(len(terms))
+    rest, spread = np.zeros((len(terms), len(terms)), np.float32), np.zeros((len(terms), len(terms)), np.float32)
+    for at in range(0, len(docs), block):
+        own = docs[at : at + block]
+        held = np.zeros((len(own), len(terms)), np.float32)
+        for row, ids in enumerate(own):
+            held[row, place[ids][place[ids] >= 0]] = 1
+        expected = p[at : at + block]
+        rest += (held * (labels[at : at + block] - expected)[:, None].astype(np.float32)).T @ held
+        spread += (held * (expected * (1 - expected))[:, None].astype(np.float32)).T @ held
+    z = np.abs(rest) / np.sqrt(np.maximum(spread, 0.5))
+    np.fill_diagonal(z, 0)
+    return terms[(z >= apart).any(axis=1)]
+
+
+def fit(
+    texts: pa.Array, labels: np.ndarray, weights: np.ndarray, least: int = 3, apart: float = 3.0, paired: int = 3072, pair_apart: float = 6.0,
+    epochs: int = 12, rate: float = 0.1, decay: float = 2e-4, seed: int = 3,
+) -> dict[str, np.ndarray]:
     """{slot: of each bucket, 0 for none; w, v: of each slot; bias}."""
     docs = []
     for s in ht.slices(texts, lower=True):
@@ -48,20 +88,31 @@ def fit(texts: pa.Array, labels: np.ndarray, weights: np.ndarray, least: int = 3
         ends = np.searchsorted(doc, np.arange(len(s) + 1))
         docs += [ids[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
     seen = [np.bincount(np.concatenate([np.zeros(0, int), *(d for d, y in zip(docs, labels, strict=True) if y == k)]), minlength=1 << BITS) for k in (0, 1)]
-    n = [max(1, int((labels == k).sum())) for k in (0, 1)]
-    even = (seen[0] + seen[1]) / (n[0] + n[1])
+    n, both = [max(1, int((labels == k).sum())) for k in (0, 1)], seen[0] + seen[1]
+    even = both / (n[0] + n[1])
     z = (seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(np.maximum(even * (1 - even), 1e-12) * (1 / n[0] + 1 / n[1]))
-    slot = np.zeros(1 << BITS, np.int32)
-    known = np.flatnonzero((seen[0] + seen[1] >= least) & (np.abs(z) >= apart))
-    slot[known] = np.arange(1, len(known) + 1)
+    known = np.flatnonzero((both >= least) & (np.abs(z) >= apart))
     rng = np.random.default_rng(seed)
+    share = float(np.average(labels, weights=weights)) if len(labels) else 0.5
+    bias = np.log((share + 1e-3) / (1 - share + 1e-3))
+    learns = len(set(labels.tolist())) == 2
+
+    def chosen(kept: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        slot = np.zeros(1 << BITS, np.int32)
+        slot[kept] = np.arange(1, len(kept) + 1)
+        return slot, [(x := slot[d])[x > 0] for d in docs]
+
+    if learns:
+        # beside the terms that tell labels apart by themselves, those that do so in pairs
+        p = _linear(chosen(known)[1], labels, weights, len(known) + 1, bias, rng)
+        often = np.argsort(np.where(both >= max(least, 2 * pair_apart), -both, 0), kind="stable")[:paired]
+        often = often[both[often] >= max(least, 2 * pair_apart)]
+        known = np.union1d(known, interacting(docs, labels, p, often, 1 << BITS, pair_apart))
+    slot, docs = chosen(known)
     w = np.zeros(len(known) + 1, np.float32)
     v = rng.normal(0, 0.01, (len(known) + 1, FACTORS)).astype(np.float32)
     v[0] = 0
-    share = float(np.average(labels, weights=weights)) if len(labels) else 0.5
-    bias = np.log((share + 1e-3) / (1 - share + 1e-3))
-    if len(set(labels.tolist())) == 2:
-        docs = [(s := slot[d])[s > 0] for d in docs]
+    if learns:
         seen_w, seen_v, seen_b = np.full(len(w), 1e-4, np.float32), np.full(v.shape, 1e-4, np.float32), 1e-4
         for epoch in range(epochs):
             step = rate * (1 - epoch / epochs)

@@ -28,7 +28,7 @@ def test_run_gives_every_kept_document_once(spark):
 
 def test_all_queries_are_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)] + ["pipeline"]
     assert set(queries.oracle_sql()) <= set(names)
 
 
