@@ -45,6 +45,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
+#: A token: what stands between white space, cut at the marks that join names and values in URLs, JSON, CSV and code; with the quotes,
+#: brackets and points beside it, as a word has them. ASCII and other letters apart.
+_PIECE = re.compile(r"""["'(\[{<]*[^\s"'()\[\]{}<>=,;:&?|\x80-\U0010ffff]+["')\]}>]*[,;:]*|=|[\x80-\U0010ffff]+""")
+
 
 def _emails(text: str) -> list[Span]:
     """Leftmost matches, one after another: the run of local characters before an @, then the domain."""
@@ -96,67 +100,105 @@ def _sorted(spans: list[Span]) -> list[Span]:
 _SECRET_WORDS = frozenset("token key secret password passwd pwd api_key apikey access_key auth bearer credential".split())
 _PHONE_WORDS = frozenset("call phone tel telephone mobile fax cell dial".split())
 _MAIL_WORDS = frozenset("mail email e-mail write contact".split())
+#: And those before numbers and digests that are nobody's.
+_DIGEST_WORDS = frozenset("sha1 sha256 sha512 md5 sha checksum digest hash commit revision etag fingerprint".split())
+_ID_WORDS = frozenset("order invoice ticket no nr number ref reference id isbn issn doi version page chapter line case article item batch serial model year code".split())
 _TRIGGER = re.compile(r"[0-9@=]|^[(\[]?dot[)\]]?$", re.IGNORECASE)
 _EDGES = ".,;:!?\"'()[]{}<>"
 _FIGURES = re.compile(r"[0-9()+./-]+")
+_DATE, _DECIMAL, _HEX = re.compile(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}"), re.compile(r"\d+[.,]\d+"), re.compile(r"[0-9a-fA-F]+")
 
 FEATURES = (
     "bias", "tokens1", "tokens2", "tokens3", "tokens4", "tokens5+", "digits0", "digits1-6", "digits7-8", "digits9-11", "digits12-15", "digits16+",
-    "long", "hex", "upper_mix", "lower_mix", "mix", "quoted", "equals_inside", "only_equals", "at", "at_word", "dot_word", "at_and_dot", "all_figures",
-    "plus", "dashes", "points", "slash_or_colon", "date", "money", "decimal", "first_has_digit", "last_has_digit", "first_edge", "inner_edge",
-    "secret_before", "phone_before", "mail_before", "secret_inside", "equals_before", "digit_before", "digit_after", "word_ends", "plain_inside",
+    "long", "hex", "upper_mix", "lower_mix", "case_mix", "mix", "quoted", "only_equals", "at", "at_word", "dot_word", "at_and_dot", "all_figures",
+    "plus", "dashes", "points", "slash_or_colon", "path", "date", "money", "decimal", "first_has_digit", "last_has_digit", "first_edge", "inner_edge",
+    "secret_before", "phone_before", "mail_before", "digest_before", "id_before", "equals_before", "digit_before", "digit_after", "word_ends", "plain_inside",
 )
-_PLACE = {f: i for i, f in enumerate(FEATURES)}
+_DIGITS = (0, 1, 7, 9, 12, 16)
 
 
 def _word(token: str) -> str:
     return token.strip(_EDGES + "=").lower()
 
 
+class _Tokens:
+    """What the features of all segments need to know of each token, as sums up to each place."""
+
+    def __init__(self, tokens: list[str]) -> None:
+        n = self.n = len(tokens)
+        cores, words = [t.strip(_EDGES) for t in tokens], [_word(t) for t in tokens]
+        flag = lambda test: np.fromiter(map(test, tokens, cores, words), bool, n)
+        some = [any(c in string.digits for c in x) and any(c.isalpha() for c in x) for x in cores]
+        self.digits = np.concatenate([[0], np.cumsum([sum(map(t.count, string.digits)) for t in tokens], dtype=np.int64)])
+        self.flags = {
+            "long": flag(lambda t, c, w: len(c) >= 16), "hex": flag(lambda t, c, w: len(c) >= 16 and _HEX.fullmatch(c) is not None),
+            "mix": np.array(some, bool), "upper_mix": np.array([x and c.isalnum() and c.isupper() for x, c in zip(some, cores, strict=True)], bool),
+            "lower_mix": np.array([x and c.isalnum() and c.islower() for x, c in zip(some, cores, strict=True)], bool),
+            "case_mix": np.array([x and len(c) >= 16 and c.lower() != c and c.upper() != c for x, c in zip(some, cores, strict=True)], bool),
+            "quoted": flag(lambda t, c, w: t[0] in "\"'" and len(c) > 1), "only_equals": flag(lambda t, c, w: c in ("=", ":=")),
+            "date": flag(lambda t, c, w: _DATE.fullmatch(c) is not None), "decimal": flag(lambda t, c, w: _DECIMAL.fullmatch(c) is not None),
+            "path": flag(lambda t, c, w: c.count("/") > 0 and any(x.isalpha() for x in c)), "at": flag(lambda t, c, w: "@" in t),
+            "at_word": flag(lambda t, c, w: w == "at"), "dot_word": flag(lambda t, c, w: w == "dot"),
+            "figures": flag(lambda t, c, w: _FIGURES.fullmatch(t.strip(",;:!?")) is not None), "figures_only": flag(lambda t, c, w: _FIGURES.fullmatch(t) is not None),
+            "figures_after": flag(lambda t, c, w: _FIGURES.fullmatch(t.rstrip(".,;")) is not None), "plus": flag(lambda t, c, w: t[0] == "+"),
+            "dashes": flag(lambda t, c, w: "-" in c), "points": flag(lambda t, c, w: "." in c), "slash_or_colon": flag(lambda t, c, w: "/" in c or ":" in c),
+            "money": flag(lambda t, c, w: any(x in t for x in "$€£%")), "digit": self.digits[1:] > self.digits[:-1], "edge": flag(lambda t, c, w: t[-1] in ".,;:!?"),
+            "secret": flag(lambda t, c, w: w in _SECRET_WORDS), "phone": flag(lambda t, c, w: w in _PHONE_WORDS), "mail": flag(lambda t, c, w: w in _MAIL_WORDS),
+            "digest": flag(lambda t, c, w: w in _DIGEST_WORDS), "id": flag(lambda t, c, w: w in _ID_WORDS), "equals": flag(lambda t, c, w: t[-1] == "="),
+            "plain": flag(lambda t, c, w: w.isalpha() and w not in ("at", "dot")), "hot": flag(lambda t, c, w: _TRIGGER.search(t) is not None),
+        }
+        self.sums = {k: np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for k, x in self.flags.items()}
+        later = np.full(n + 1, n)
+        for i in range(n - 1, -1, -1):
+            later[i] = i if self.flags["at_word"][i] else later[i + 1]
+        self.next_at = later
+
+    def features(self, size: int) -> np.ndarray:
+        """(start, feature) of all segments of so many tokens: whole-span features, True where they hold."""
+        n, flags, sums = self.n - size + 1, self.flags, self.sums
+        i = np.arange(n)
+        j = i + size
+
+        def among(name: str, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+            begin, end = np.minimum(np.maximum(begin, 0), self.n), np.minimum(np.maximum(end, 0), self.n)
+            return np.maximum(sums[name][end] - sums[name][begin], 0)
+
+        digits, single = self.digits[j] - self.digits[i], size == 1
+        f = {"bias": np.ones(n, bool), f"tokens{size}" if size < 5 else "tokens5+": np.ones(n, bool)}
+        for name, least, most in zip(FEATURES[6:12], _DIGITS, (*_DIGITS[1:], 1 << 62), strict=True):
+            f[name] = (digits >= least) & (digits < most)
+        for name in ("long", "hex", "upper_mix", "lower_mix", "case_mix", "mix", "quoted", "only_equals", "date", "decimal") if single else ():
+            f[name] = flags[name]
+        for name in ("at", "dashes", "points", "slash_or_colon", "path", "money"):
+            f[name] = among(name, i, j) > 0
+        f["at_word"], f["dot_word"] = among("at_word", i + 1, j - 1) > 0, among("dot_word", i + 1, j - 1) > 0
+        f["at_and_dot"] = f["at_word"] & (among("dot_word", self.next_at[np.minimum(i + 1, self.n)] + 1, j - 1) > 0)
+        f["all_figures"], f["plus"] = among("figures", i, j) == size, flags["plus"][i]
+        f["first_has_digit"], f["last_has_digit"], f["word_ends"] = flags["digit"][i], flags["digit"][j - 1], flags["edge"][j - 1]
+        f["first_edge"], f["inner_edge"] = flags["edge"][i] & (not single), among("edge", i, j - 1) > 0
+        for name in ("secret", "phone", "mail", "digest", "id"):
+            f[f"{name}_before"] = among(name, i - 3, i) > 0
+        f["equals_before"], f["digit_before"] = (i > 0) & flags["equals"][i - 1], (i > 0) & flags["figures_only"][i - 1]
+        f["digit_after"] = (j < self.n) & flags["figures_after"][np.minimum(j, self.n - 1)]
+        f["plain_inside"] = among("plain", i + 1, j - 1) > 0
+        return np.stack([f.get(x, np.zeros(n, bool)) for x in FEATURES], axis=1)
+
+
 def segment_features(tokens: list[str], i: int, j: int) -> list[int]:
     """The features that hold for tokens[i:j] among its neighbours."""
-    own = tokens[i:j]
-    joined = "".join(own)
-    core = joined.strip(_EDGES)
-    digits = sum(c in string.digits for c in joined)
-    letters = sum(c.isalpha() for c in core)
-    words = [_word(t) for t in own]
-    before = [_word(t) for t in tokens[max(0, i - 3) : i]]
-    f = ["bias", f"tokens{j - i}" if j - i < 5 else "tokens5+"]
-    f.append("digits" + ("0" if not digits else "1-6" if digits < 7 else "7-8" if digits < 9 else "9-11" if digits < 12 else "12-15" if digits < 16 else "16+"))
-    if j - i == 1:
-        value = core.split("=", 1)[-1].strip(_EDGES)
-        some = digits and letters
-        f += ["long"] * (len(value) >= 16) + ["hex"] * bool(len(value) >= 16 and re.fullmatch(r"[0-9a-fA-F]+", value))
-        f += ["upper_mix"] * bool(some and value.isalnum() and value.isupper()) + ["lower_mix"] * bool(some and value.isalnum() and value.islower())
-        f += ["mix"] * bool(some) + ["quoted"] * (own[0][0] in "\"'" and len(core) > 1)
-        f += ["equals_inside"] * (0 < own[0].find("=") < len(own[0]) - 1) + ["only_equals"] * (core in ("=", ":="))
-    f += ["at"] * ("@" in joined) + ["at_word"] * ("at" in words[1:-1]) + ["dot_word"] * ("dot" in words[1:-1])
-    f += ["at_and_dot"] * ("at" in words[1:-1] and "dot" in words[words.index("at") + 1 : -1] if "at" in words else False)
-    f += ["all_figures"] * all(_FIGURES.fullmatch(t.strip(",;:!?")) for t in own) + ["plus"] * joined.startswith("+")
-    f += ["dashes"] * ("-" in core) + ["points"] * ("." in core) + ["slash_or_colon"] * ("/" in core or ":" in core)
-    f += ["date"] * bool(re.fullmatch(r"\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}", core)) + ["money"] * any(c in joined for c in "$€£%")
-    f += ["decimal"] * bool(re.fullmatch(r"\d+[.,]\d+", core))
-    f += ["first_has_digit"] * bool(_DIGIT.search(own[0])) + ["last_has_digit"] * bool(_DIGIT.search(own[-1]))
-    f += ["first_edge"] * (own[0][-1] in ",;:!?" or own[0].endswith(".") if j - i > 1 else False) + ["inner_edge"] * any(t[-1] in ".,;:!?" for t in own[:-1])
-    f += ["secret_before"] * any(w in _SECRET_WORDS for w in before) + ["phone_before"] * any(w in _PHONE_WORDS for w in before)
-    f += ["mail_before"] * any(w in _MAIL_WORDS for w in before) + ["secret_inside"] * any(w.split("=")[0] in _SECRET_WORDS for w in words)
-    f += ["equals_before"] * bool(i and tokens[i - 1].endswith("=")) + ["digit_before"] * bool(i and _FIGURES.fullmatch(tokens[i - 1]))
-    f += ["digit_after"] * bool(j < len(tokens) and _FIGURES.fullmatch(tokens[j].rstrip(".,;"))) + ["word_ends"] * (own[-1][-1] in ".,;:!?")
-    f += ["plain_inside"] * any(w.isalpha() and w not in ("at", "dot") for w in words[1:-1])
-    return [_PLACE[x] for x in dict.fromkeys(f)]
+    return np.flatnonzero(_Tokens(tokens).features(j - i)[i]).tolist()
 
 
 # ---- the field: weights[kind, feature] of entities, moves[before, kind]; kind 0 is outside with score 0
 
 
-def _segments(tokens: list[str]) -> list[tuple[int, int, list[int]]]:
-    """All segments that may be an entity: at most LONGEST tokens, a trigger among them."""
-    hot = [bool(_TRIGGER.search(t)) for t in tokens]
-    return [
-        (i, j, segment_features(tokens, i, j))
-        for i in range(len(tokens)) for j in range(i + 1, min(len(tokens), i + LONGEST) + 1) if any(hot[i:j])
-    ]
+def _segments(tokens: list[str]) -> list[tuple[int, int, np.ndarray]]:
+    """All segments that may be an entity, with their features: at most LONGEST tokens, a trigger among them."""
+    known, out = _Tokens(tokens), []
+    for size in range(1, min(len(tokens), LONGEST) + 1):
+        held, hot = known.features(size), known.sums["hot"]
+        out += [(i, i + size, np.flatnonzero(held[i])) for i in range(len(held)) if hot[i + size] > hot[i]]
+    return sorted(out, key=lambda x: x[:2])
 
 
 def _scored(segments: list, weights: np.ndarray) -> list[list[tuple[int, int, np.ndarray]]]:
@@ -207,25 +249,33 @@ def _likelihood(size: int, segments: list, weights: np.ndarray, moves: np.ndarra
 
 
 def best_path(tokens: list[str], weights: np.ndarray, moves: np.ndarray) -> list[tuple[int, int, int]]:
-    """The entities (start, end, kind) of the best segmentation."""
-    end, size, k = _scored(_segments(tokens), weights), len(tokens), len(moves)
-    score = np.full((size + 1, k), -np.inf)
-    score[0, 0] = 0
-    back: dict[tuple[int, int], tuple[int, int]] = {}
-    for j in range(1, size + 1):
-        at = score[j - 1] + moves[:, 0]
-        score[j, 0], back[j, 0] = at.max(), (j - 1, int(at.argmax()))
-        for _, i, s in end.get(j, ()):
-            at = score[i][:, None] + moves[:, 1:]
-            value = at.max(0) + s
-            for y in np.flatnonzero(value > score[j, 1:]):
-                score[j, y + 1], back[j, int(y) + 1] = value[y], (i, int(at[:, y].argmax()))
-    out, j, y = [], size, int(score[size].argmax())
+    """The entities (start, end, kind) of the best segmentation: all sizes and kinds that end at a place are weighed at once."""
+    n, k, known = len(tokens), len(moves), _Tokens(tokens)
+    if not n:
+        return []
+    # worth[j, size - 1]: of the segment of so many tokens that ends at j, for each entity kind
+    worth = np.full((n + 1, LONGEST, k - 1), -np.inf)
+    for size in range(1, min(n, LONGEST) + 1):
+        hot = known.sums["hot"][size:] > known.sums["hot"][: n - size + 1]
+        worth[size:, size - 1][hot] = known.features(size)[hot] @ weights.T
+    come = np.full((LONGEST + n + 1, k), -np.inf)  # the best way to a place, by the kind that begins there; in front nothing
+    come[LONGEST], before = moves[0], np.zeros((n + 1, k), np.int64)
+    chosen = np.zeros((n + 1, k - 1), np.int64)
+    score = np.full(k, -np.inf)
+    for j in range(1, n + 1):
+        score[0] = come[LONGEST + j - 1, 0]
+        value = come[j : LONGEST + j, 1:][::-1] + worth[j]
+        chosen[j] = value.argmax(0)
+        score[1:] = value[chosen[j], np.arange(k - 1)]
+        ways = score[:, None] + moves
+        before[j] = ways.argmax(0)
+        come[LONGEST + j] = ways[before[j], np.arange(k)]
+    out, j, y = [], n, int(score.argmax())
     while j:
-        i, before = back[j, y]
+        i = j - 1 - int(chosen[j, y - 1]) if y else j - 1
         if y:
             out.append((i, j, y))
-        j, y = i, before
+        j, y = i, int(before[i, y])
     return out[::-1]
 
 
@@ -248,14 +298,12 @@ def _made(rng: random.Random) -> tuple[list[str], list[tuple[int, int, int]]]:
             [lambda: some(rng.choice([32, 40, 64]), "0123456789abcdef"), lambda: some(rng.randint(12, 40), mixed) + digits(1), lambda: some(4, string.ascii_uppercase) + some(16, string.ascii_uppercase + string.digits) + "7",
              lambda: word(2, 3) + digits(2) + word(1, 3) + digits(1)]
         )()
-        shape = rng.randrange(4) if len(value) >= 16 else rng.choice([0, 3])
+        shape = rng.randrange(3) if len(value) >= 16 else 0
         if shape == 0:
             return [name, "="], [f'"{value}"' if rng.random() < 0.7 else value]
         if shape == 1:
             return [], [value]
-        if shape == 2:
-            return [name + rng.choice(["", ":"])], [value]
-        return [], [f"{name}={value}"]
+        return [name + rng.choice(["", ":"])], [value]
 
     def number() -> tuple[list[str], list[str]]:
         cut = rng.choice([(3, 3, 4), (2, 4, 4), (4, 3, 3), (2, 2, 2, 2, 2), (3, 7), (5, 6)])
@@ -281,7 +329,11 @@ def _made(rng: random.Random) -> tuple[list[str], list[tuple[int, int, int]]]:
         return rng.choice(
             [lambda: [f"{rng.randint(1900, 2030)}"], lambda: [f"{rng.randint(1, 28)}/{rng.randint(1, 12)}/{rng.randint(1990, 2030)}"], lambda: [f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}"],
              lambda: [f"${digits(rng.randint(1, 5))}"], lambda: [digits(rng.randint(1, 6))], lambda: [f"{digits(2)}.{digits(2)}"], lambda: [f"v{digits(1)}.{digits(1)}"], lambda: ["page", digits(2), "of", digits(3)], lambda: ["at", digits(2) + ":" + digits(2)],
-             lambda: [digits(3), digits(3)], lambda: ["the", "dot", "on", word()], lambda: [word() + digits(1)], lambda: [f"{word(1, 1)}={digits(1)}"], lambda: ["isbn", digits(13)], lambda: [f"{rng.randint(1, 99)},{digits(3)}"], lambda: [digits(2) + "%"]]
+             lambda: [rng.choice(sorted(_DIGEST_WORDS)) + rng.choice(["", ":"]), some(rng.choice([32, 40, 64, 128]), "0123456789abcdef")], lambda: [rng.choice(sorted(_ID_WORDS)), some(rng.randint(1, 3), string.ascii_uppercase) + "-" + digits(4) + "-" + digits(5)],
+             lambda: [rng.choice(sorted(_ID_WORDS)) + rng.choice(["", ":", "."]), digits(rng.randint(5, 13))], lambda: [rng.choice(sorted(_ID_WORDS)), "#" + digits(rng.randint(4, 10))], lambda: ["/" + "/".join(word() for _ in range(rng.randint(1, 5))) + "/" + word() + digits(rng.randint(1, 8))],
+             lambda: ["https:", f"//{word()}.{word(2, 3)}/{word()}/{word()}-{digits(rng.randint(2, 9))}"], lambda: ["-".join(some(m, "0123456789abcdef") for m in (8, 4, 4, 4, 12))], lambda: [f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{digits(2)}:{digits(2)}:{digits(2)}Z"],
+             lambda: [f'"{word()}":', f"{digits(rng.randint(1, 9))},"], lambda: [word(), "=", digits(rng.randint(1, 7))], lambda: [word(), "=", f'"{word()}"'],
+             lambda: [digits(3), digits(3)], lambda: ["the", "dot", "on", word()], lambda: [word() + digits(1)], lambda: ["isbn", digits(13)], lambda: [f"{rng.randint(1, 99)},{digits(3)}"], lambda: [digits(2) + "%"]]
         )(), []
 
     tokens, gold = [], []
@@ -295,12 +347,15 @@ def _made(rng: random.Random) -> tuple[list[str], list[tuple[int, int, int]]]:
                 own[-1] += rng.choice([".", ",", "!!", "###"])
         tokens += own
     tokens += [word() for _ in range(rng.randint(1, 4))]
+    pieces = [_PIECE.findall(t) for t in tokens]  # as texts are read
+    at = np.concatenate([[0], np.cumsum([len(x) for x in pieces], dtype=np.int64)]).tolist()
+    tokens, gold = [x for own in pieces for x in own], [(at[i], at[j], kind) for i, j, kind in gold]
     inside = {k for i, j, _ in gold for k in range(i, j)}
     return tokens, sorted([*gold, *((k, k + 1, 0) for k in range(len(tokens)) if k not in inside)])
 
 
 @functools.lru_cache
-def field(sentences: int = 500, epochs: int = 5, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+def field(sentences: int = 600, epochs: int = 5, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
     """(weights, moves), learnt from made sentences; the same in every process."""
     rng, k = random.Random(seed), len(ADDED) + 1
     made = [_made(rng) for _ in range(sentences)]
@@ -323,39 +378,22 @@ def field(sentences: int = 500, epochs: int = 5, seed: int = 17) -> tuple[np.nda
 
 # ---- spans of whole texts
 
-_TOKEN = re.compile(r"\S+")
 _ANY = re.compile(r"[0-9@=]|\bdot\b", re.IGNORECASE)
-#: A longer run without white space (minified code, a long URL, a CSV line, text in scripts without spaces) is read in pieces.
-_WIDEST = 200
-#: A piece with the quotes, brackets and points beside it, as a word has them; ASCII and other letters apart.
-_PIECE = re.compile(r"""["'(\[{<]*[^\s"'()\[\]{}<>=,;:&?|\x80-\U0010ffff]+["')\]}>]*[,;:]*|=|[\x80-\U0010ffff]+""")
 #: Tokens that are decoded at once, beside an overlap.
-_STRETCH = 400
-
-
-def _places(text: str) -> list[Span]:
-    """Where the tokens are: runs without white space, long ones in pieces."""
-    out = []
-    for m in _TOKEN.finditer(text):
-        i, j = m.span()
-        out += [(i, j)] if j - i <= _WIDEST else [p.span() for p in _PIECE.finditer(text, i, j)]
-    return out
-
-
-def _scored_as(token: str) -> str:
-    """A token as it is scored: of a very long one evenly spaced characters, and what makes it a trigger."""
-    if len(token) <= _WIDEST:
-        return token
-    some, trigger = token[:: len(token) // _WIDEST + 1], _TRIGGER.search(token)
-    return some if not trigger or _TRIGGER.search(some) else some + trigger[0]
+_STRETCH = 4000
 
 
 def added_spans(text: str, weights: np.ndarray, moves: np.ndarray) -> list[Span]:
     """The field's spans. Only runs of tokens around triggers are decoded; nothing farther off can be in an entity."""
     if not _ANY.search(text):
         return []
-    places = _places(text)
-    hot = [k for k, (i, j) in enumerate(places) if _TRIGGER.search(text[i:j])]
+    places, hot, marks = [m.span() for m in _PIECE.finditer(text)], [], _ANY.finditer(text)
+    mark = next(marks).start()
+    for k, (i, j) in enumerate(places):  # only pieces with a sign of a trigger are looked into
+        while mark < i:
+            mark = next((m.start() for m in marks), len(text))
+        if mark < j and _TRIGGER.search(text[i:j]):
+            hot.append(k)
     out: list[Span] = []
     n = 0
     while n < len(hot):
@@ -365,7 +403,7 @@ def added_spans(text: str, weights: np.ndarray, moves: np.ndarray) -> list[Span]
             last = hot[n] + LONGEST
             n += 1
         own = places[first : last + 1]
-        tokens = [_scored_as(text[i:j]) for i, j in own]
+        tokens = [text[i:j] for i, j in own]
         for at in range(0, len(tokens), _STRETCH):  # a long list of figures is decoded in overlapping stretches
             skip, stop = max(0, at - 2 * LONGEST), at + _STRETCH
             some = tokens[skip:stop]
@@ -386,8 +424,14 @@ def added_spans(text: str, weights: np.ndarray, moves: np.ndarray) -> list[Span]
 
 def all_spans(text: str, weights: np.ndarray, moves: np.ndarray) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans): what the field adds must not touch a base span."""
-    base = base_spans(text)
-    more = [s for s in added_spans(text, weights, moves) if all(s[1] <= b[0] or b[1] <= s[0] for b in base)]
+    base, more = base_spans(text), []
+    at, reach = 0, 0  # base spans that begin before the end of an added one, and how far these reach
+    for span in added_spans(text, weights, moves):
+        while at < len(base) and base[at][0] < span[1]:
+            reach = max(reach, base[at][1])
+            at += 1
+        if reach <= span[0]:
+            more.append(span)
     return base, _sorted(base + more) if more else base
 
 
