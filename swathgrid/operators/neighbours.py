@@ -2,11 +2,14 @@
 
 Nearness is a distance on a sphere, which no join key expresses. Both sides are put into cubes of the
 sphere's space that are as wide as the search radius; a target looks into its cube and the 26 around it,
-so the join is an equi-join on the cube, without special cases at the poles or the date line.
+so the join is an equi-join on the cube, without special cases at the poles or the date line. For a radius
+that is wide beside the samples' spacing a pyramid of counts over ever finer cubes tells which of them matter.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,29 +98,95 @@ def nearest(samples: DataFrame, targets: DataFrame, radius: float, k: int, keys:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def smaller_side(samples: DataFrame, targets: DataFrame) -> str:
-    """Which side a search should list under its cubes; counts both."""
-    return "targets" if targets.count() < samples.count() else "samples"
+def smaller_side(samples: int, targets: int) -> str:
+    """Which side a search should list under its cubes, by the numbers of rows."""
+    return "targets" if targets < samples else "samples"
+
+
+def spacing(samples: int, k: int) -> float:
+    """Width of cubes that hold some k samples (fewer than 2 k in a swath over a tenth of the sphere), in metres."""
+    return 0.25 * math.sqrt(4 * math.pi * geo.R_SEARCH**2 * k / max(1, samples))
+
+
+def _cubes(df: DataFrame, side: float, *columns: str) -> DataFrame:
+    """columns, position in space (_x, _y, _z) and cube (_cx, _cy, _cz) of the rows that have a position."""
+    x, y, z = geo.to_sphere(F.col("longitude"), F.col("latitude"))
+    own = df.where(F.col("longitude").between(-360, 360) & F.col("latitude").between(-90, 90)).select(*columns, x.alias("_x"), y.alias("_y"), z.alias("_z"))
+    return own.withColumns({f"_c{a}": F.floor(F.col(f"_{a}") / side).cast("long") for a in "xyz"})
 
 
-def nearest_widening(samples: DataFrame, targets: DataFrame, radius: float, k: int, start: float, keys: tuple[str, ...] = (), factor: float = 2.0) -> DataFrame:
-    """nearest() for a radius so large that its cubes would hold everything.
+def _levels(cubes: DataFrame, keys: list[str], n: str, levels: int) -> DataFrame:
+    """The pyramid: (keys, _level, _cx, _cy, _cz, n), where a cube of a level is eight of the level below. Only the finest level counts rows."""
+    up = {f"_c{a}": F.expr(f"shiftright(_c{a}, _level)") for a in "xyz"}
+    every = cubes.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumns(up)
+    return every.groupBy(*keys, "_level", "_cx", "_cy", "_cz").agg(F.sum(n).alias(n))
 
-    Begins with the radius `start`; targets that find k samples are done (no sample outside can be nearer),
-    the others search again with a wider radius, up to `radius`. Each round's rows are planned, not collected.
+
+def near_cubes(samples: DataFrame, targets: DataFrame, radius: float, k: int, keys: tuple[str, ...], levels: int) -> DataFrame:
+    """(keys, _bx, _by, _bz, _cx, _cy, _cz): for each cube with targets (_b) the cubes whose samples may be among the k nearest of any of them.
+
+    samples and targets: from _cubes(), with cubes of width radius / 2**levels. A pyramid of counts is gone down from cubes as
+    wide as the radius. At each level, cubes that surely hold k samples say how far the k-th can be; those
+    that begin beyond it are left out with all that is in them. What is left are some tens of cubes around each cube
+    near samples, and the nearest edge of the swath for those far from it, whatever the radius.
+    """
+    keys, side = list(keys), radius / 2**levels
+    counts = samples.groupBy(*keys, "_cx", "_cy", "_cz").agg(F.count("*").alias("_n"))
+    counts = _levels(counts, keys, "_n", levels)
+    blocks = _levels(targets.select("_cx", "_cy", "_cz").distinct().withColumn("_t", F.lit(1)), [], "_t", levels)
+    blocks = blocks.select("_level", *(F.col(f"_c{a}").alias(f"_b{a}") for a in "xyz"))
+    top = blocks.where(F.col("_level") == levels)
+    for a in "xyz":
+        top = top.withColumn(f"_c{a}", F.explode(F.array(*(F.col(f"_b{a}") + d for d in (-1, 0, 1)))))
+    pairs = top.join(counts, ["_level", "_cx", "_cy", "_cz"])
+    for level in range(levels, -1, -1):
+        if level < levels:
+            parent = [F.expr(f"shiftright(_b{a}, 1)").alias(f"_p{a}") for a in "xyz"]
+            finer = blocks.where(F.col("_level") == level).select(*(f"_b{a}" for a in "xyz"), *parent)
+            held = counts.where(F.col("_level") == level).select(*keys, "_n", *(f"_c{a}" for a in "xyz"), *(F.expr(f"shiftright(_c{a}, 1)").alias(f"_q{a}") for a in "xyz"))
+            above = pairs.select(*keys, *(F.col(f"_b{a}").alias(f"_p{a}") for a in "xyz"), *(F.col(f"_c{a}").alias(f"_q{a}") for a in "xyz"))
+            pairs = above.join(held, [*keys, "_qx", "_qy", "_qz"]).join(finer, ["_px", "_py", "_pz"])
+        width = side * 2**level
+        off = [F.abs(F.col(f"_c{a}") - F.col(f"_b{a}")) for a in "xyz"]
+        least = width * F.sqrt(sum((F.pow(F.greatest(d - 1, F.lit(0)), F.lit(2.0)) for d in off), F.lit(0.0)))
+        most = width * F.sqrt(sum((F.pow(d + 1, F.lit(2.0)) for d in off), F.lit(0.0)))
+        own = Window.partitionBy(*keys, "_bx", "_by", "_bz")
+        sure = F.sum("_n").over(own.orderBy("_most").rangeBetween(Window.unboundedPreceding, 0))
+        pairs = pairs.withColumns({"_least": least, "_most": most}).where(F.col("_least") <= radius + 0.01).withColumn("_sure", sure)
+        bound = F.min(F.when(F.col("_sure") >= k, F.col("_most"))).over(own)
+        pairs = pairs.withColumn("_bound", bound).where(F.col("_bound").isNull() | (F.col("_least") <= F.col("_bound") + 0.01))
+    return pairs.select(*keys, *(f"_b{a}" for a in "xyz"), *(f"_c{a}" for a in "xyz"))
+
+
+def nearest_any(
+    samples: DataFrame, targets: DataFrame, radius: float, k: int, keys: tuple[str, ...] = (), carry: tuple[str, ...] = (),
+    n_samples: int | None = None, n_targets: int | None = None, candidates: bool = False,
+) -> DataFrame:
+    """nearest() for any radius, even one around the whole sphere: what is compared grows with k times the targets and not with the radius.
+
+    A radius that is not much wider than the samples' spacing is searched as nearest() does; else near_cubes() finds the cubes that matter.
+    n_samples and n_targets: the numbers of rows where they are known, or they are counted. candidates: return all
+    compared pairs instead, without rank.
     """
     _checked(radius, k)
-    found, reach, left = None, min(start, radius), targets
-    while True:
-        now = nearest(samples, left, reach, k, keys)
-        if reach >= radius:
-            return now if found is None else found.unionByName(now)
-        if keys:
-            raise ValueError("a widening search takes no keys: search each part by itself")
-        full = now.groupBy("target_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select("target_id")
-        done = now.join(full, "target_id", "left_semi")
-        found = done if found is None else found.unionByName(done)
-        left, reach = left.join(full, "target_id", "left_anti"), min(reach * factor, radius)
+    n_samples = samples.count() if n_samples is None else n_samples
+    wide = radius / spacing(n_samples, k)
+    if wide <= 2:
+        n_targets = targets.count() if n_targets is None else n_targets
+        spread = smaller_side(n_samples, n_targets)
+        return within_radius(samples, targets, radius, keys, carry, spread) if candidates else nearest(samples, targets, radius, k, keys, carry, spread)
+    levels = round(math.log2(wide))
+    side = radius / 2**levels
+    s, t = _cubes(samples, side, "sample_id", *keys, *carry), _cubes(targets, side, "target_id")
+    pairs = near_cubes(s, t, radius, k, keys, levels)
+    t = t.select("target_id", *(F.col(f"_{a}").alias(f"_t{a}") for a in "xyz"), *(F.col(f"_c{a}").alias(f"_b{a}") for a in "xyz"))
+    met = t.join(pairs, ["_bx", "_by", "_bz"]).drop("_bx", "_by", "_bz").join(s, [*keys, "_cx", "_cy", "_cz"])
+    square = sum(((F.col(f"_{a}") - F.col(f"_t{a}")) ** 2 for a in "xyz"), F.lit(0.0))
+    met = met.select(*keys, "target_id", "sample_id", F.sqrt(square).alias("distance"), *carry)
+    if candidates:
+        return met
+    order = Window.partitionBy(*keys, "target_id").orderBy(F.round("distance", 3), "sample_id")
+    return met.where(F.col("distance") <= radius).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def assign_cells(samples: DataFrame, grid: str | Grid, projection: str | None = None) -> DataFrame:

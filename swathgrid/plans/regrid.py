@@ -171,13 +171,20 @@ def regrid(spark: SparkSession, samples: DataFrame, config: Config, targets: Dat
         if c.regridding_algorithm not in ("LW", "CG"):
             # what the algorithm needs of a sample goes along with the search, and the smaller side is spread
             carried = dict.fromkeys([*variables, *noise, *(("longitude", "latitude") if weighed else ()), *((reconstruct.ANGLE,) if weighed and turned else ()), *(reconstruct.GEOMETRY if weighed and c.source_antenna_method == "instrument" else ())])
-            near = neighbours.nearest(own, aims, c.search_radius, c.max_neighbours, ("scan_direction",), tuple(carried), neighbours.smaller_side(own, aims))
+            near = neighbours.nearest_any(own, aims, c.search_radius, c.max_neighbours, ("scan_direction",), tuple(carried), n_targets=None if targets is not None else _cells(c))
         got = REGISTRY[c.regridding_algorithm](Task(c, own, aims, near, variables, noise, band))
         got = got.withColumn("band", F.lit(band))
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def _cells(c: Config) -> int:
+    """Cells of the grid, or of its block."""
+    g = GRIDS[c.grid_definition]
+    (r0, r1), (c0, c1) = c.rows or (0, g.n_rows - 1), c.cols or (0, g.n_cols - 1)
+    return (r1 - r0 + 1) * (c1 - c0 + 1)
+
+
 def _without_search(samples: DataFrame, c: Config, variables: list[str], noise: list[str]) -> DataFrame:
     placed = neighbours.assign_cells(samples, c.grid_definition, c.projection_definition)
     if c.rows:
@@ -200,7 +207,7 @@ def unused(spark: SparkSession, samples: DataFrame, config: Config, targets: Dat
             cells = simple.nn(cells.withColumn("_sample", F.col("sample_id")), [*keys, "cell_row", "cell_col"], ["_sample"]).select(*keys, F.col("_sample").alias("sample_id"))
         return neighbours.used_samples(samples, cells, tuple(k for k in ("scan_direction",) if k in samples.columns))
     aims = targets if targets is not None else neighbours.grid_targets(spark, config.grid_definition, config.projection_definition, config.rows, config.cols)
-    near = neighbours.nearest(samples, aims, config.search_radius, config.max_neighbours, ("scan_direction",))
+    near = neighbours.nearest_any(samples, aims, config.search_radius, config.max_neighbours, ("scan_direction",), n_targets=None if targets is not None else _cells(config))
     return neighbours.used_samples(samples, near, ("scan_direction",))
 
 

@@ -41,13 +41,50 @@ def test_nearest_everywhere(spark, radius, k, spread):
     assert found == brute(s_lon, s_lat, t_lon, t_lat, radius, k)
 
 
-def test_widening_search_is_the_same(spark):
+@pytest.mark.parametrize("radius,k", [(1_000_000.0, 6), (10_000_000.0, 3), (13_000_000.0, 1), (200_000.0, 4)])
+def test_any_radius_is_the_same(spark, radius, k):
+    """A swath and targets all over the sphere, near and far, poles and date line included; two scan directions, equal places."""
     rng = np.random.default_rng(4)
-    s = points(spark, rng.uniform(-180, 180, 60), rng.uniform(-80, 80, 60))
-    t = points(spark, rng.uniform(-180, 180, 40), rng.uniform(-80, 80, 40), name="target_id")
-    want = {(r.target_id, r.sample_id, r["rank"]) for r in neighbours.nearest(s, t, 5e6, 4).collect()}
-    got = {(r.target_id, r.sample_id, r["rank"]) for r in neighbours.nearest_widening(s, t, 5e6, 4, 4e5).collect()}
-    assert got == want
+    along, across = rng.uniform(-80, 80, 3000), rng.normal(0, 4, 3000)
+    s_lon, s_lat = (along / 2 + across + 170 + 180) % 360 - 180, along
+    s_lon[100:140], s_lat[100:140] = s_lon[0], s_lat[0]
+    t_lon, t_lat = np.concatenate([rng.uniform(-180, 180, 150), [0, 180, -180, 10], s_lon[:20]]), np.concatenate([rng.uniform(-90, 90, 150), [90, -90, 0, 89.9], s_lat[:20]])
+    s = points(spark, s_lon, s_lat).withColumn("scan_direction", F.when(F.col("sample_id") % 3 == 0, "aft").otherwise("fore"))
+    t = points(spark, t_lon, t_lat, name="target_id")
+    got: dict = {"aft": {}, "fore": {}}
+    rows = neighbours.nearest_any(s, t, radius, k, ("scan_direction",), ("longitude",)).orderBy("target_id", "rank").collect()
+    assert all(r.longitude == s_lon[r.sample_id] for r in rows)
+    for r in rows:
+        got[r.scan_direction].setdefault(r.target_id, []).append(r.sample_id)
+    for way, own in (("aft", np.arange(3000) % 3 == 0), ("fore", np.arange(3000) % 3 > 0)):
+        number = np.flatnonzero(own)
+        want = brute(s_lon[own], s_lat[own], t_lon, t_lat, radius, k)
+        assert got[way] == {i: [number[j] for j in js] for i, js in want.items()}
+
+
+def test_what_a_wide_search_compares(spark):
+    """Pairs grow with k times the targets, not with the radius or the samples."""
+    rng = np.random.default_rng(6)
+
+    def pairs(n, targets, radius, k):
+        lat = rng.uniform(-70, 70, n)
+        s = points(spark, lat / 2 + rng.uniform(-8, 8, n), lat)
+        t_lat = rng.uniform(-70, 70, targets)
+        t = points(spark, t_lat / 2 + rng.uniform(-8, 8, targets), t_lat, name="target_id")
+        return neighbours.nearest_any(s, t, radius, k, candidates=True).count() / (targets * k)
+
+    for n in (3000, 24_000):
+        near, far = (pairs(n, 1500, radius, 6) for radius in (1e6, 1e7))
+        assert near < 100 and far < 100
+
+
+def test_any_radius_with_nothing_to_find(spark):
+    s = points(spark, [0.0], [0.0])
+    bad = spark.createDataFrame([(1, None, 0.0), (2, 0.0, 99.0)], "sample_id long, longitude double, latitude double")
+    t = s.withColumnRenamed("sample_id", "target_id")
+    assert neighbours.nearest_any(bad, t, 1e7, 1).collect() == [] == neighbours.nearest_any(s.where("false"), t, 1e7, 1, n_samples=9).collect()
+    got = neighbours.nearest_any(s, t, 1e7, 5, n_samples=10**6).collect()
+    assert [(r.target_id, r.sample_id, r["rank"]) for r in got] == [(0, 0, 1)]
 
 
 def test_search_refuses_nonsense(spark):
