@@ -81,15 +81,14 @@ class Projected:
         return out
 
 
-def _window(lon: np.ndarray, lat: np.ndarray, f: Footprints, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lon, lat, inside) of the cells around each target: targets x cells."""
-    g = GRIDS[f.grid]
+def _window(lon: np.ndarray, lat: np.ndarray, f: Footprints, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lon, lat, inside) of the cells around each target, as many rows and columns to each side as `halves` says: targets x cells."""
+    g, half = GRIDS[f.grid], halves.max(0)
     row, col = geo.nearest_cell(g, *geo.lonlat_to_xy(g.projection, lon, lat, NUMPY), NUMPY)
-    half = math.ceil(reach / g.res)
-    step = np.arange(-half, half + 1)
-    rows = row[:, None, None] + step[None, :, None] + 0 * step[None, None, :]
-    cols = col[:, None, None] + 0 * step[None, :, None] + step[None, None, :]
-    inside = (rows >= 0) & (rows < g.n_rows)
+    down, step = np.arange(-half[0], half[0] + 1), np.arange(-half[1], half[1] + 1)
+    rows = row[:, None, None] + down[None, :, None] + 0 * step[None, None, :]
+    cols = col[:, None, None] + 0 * down[None, :, None] + step[None, None, :]
+    inside = (rows >= 0) & (rows < g.n_rows) & (np.abs(down)[None, :, None] <= halves[:, 0, None, None]) & (np.abs(step)[None, None, :] <= halves[:, 1, None, None])
     if g.projection == "G":
         cols = cols % g.n_cols
     else:
@@ -204,33 +203,51 @@ def _prepared(neighbours: DataFrame, samples: DataFrame, targets: DataFrame, col
     return rows.join(t, "target_id")
 
 
-def _stacks(lon: np.ndarray, cells: int) -> Iterator[tuple[slice, int]]:
-    """(targets, number of samples) of each stack; targets come in order of their number of samples, so none is padded."""
-    counts = (~np.isnan(lon)).sum(1)
-    for k in np.unique(counts).tolist():
-        first, last = np.searchsorted(counts, [k, k + 1]).tolist()
-        size = max(1, STACK // max(1, k * cells))
-        for i in range(first, last, size):
-            yield slice(i, min(i + size, last)), k
+def _halves(f: Footprints, t_lon: np.ndarray, t_lat: np.ndarray, s_lon: np.ndarray, s_lat: np.ndarray) -> np.ndarray:
+    """(rows, columns) to each side of each target's cell: to its farthest neighbours and a footprint's radius beyond.
+
+    However wide the search was, a window is as wide as the neighbours that were found. The radius is laid out in cells of the
+    map, at all latitudes alike.
+    """
+    g = GRIDS[f.grid]
+    row, col = geo.nearest_cell(g, *geo.lonlat_to_xy(g.projection, t_lon, t_lat, NUMPY), NUMPY)
+    none = np.isnan(s_lon) | np.isnan(s_lat)
+    s_row, s_col = geo.nearest_cell(g, *geo.lonlat_to_xy(g.projection, np.where(none, t_lon[:, None], s_lon), np.where(none, t_lat[:, None], s_lat), NUMPY), NUMPY)
+    off = [np.abs(s_row - row[:, None]), np.abs(s_col - col[:, None])]
+    if g.projection == "G":
+        off[1] = np.minimum(off[1], g.n_cols - off[1])
+    source = f.source.radius if f.source else gaussian_radius(f.sigma_x, f.sigma_y, f.threshold)
+    target = gaussian_radius(*(f.target if isinstance(f.target, tuple) else (f.target, f.target)), f.target_threshold)
+    around, own = (math.ceil(x / g.res) + 1 for x in (source, target))
+    halves = np.stack([np.maximum(x.max(1) + around, own) for x in off], axis=1)
+    return np.minimum(halves, [g.n_rows, (g.n_cols - 1) // 2 if g.projection == "G" else g.n_cols]).astype(int)
 
 
-def _reach(f: Footprints, radius: float) -> float:
-    source = radius + (f.source.radius if f.source else gaussian_radius(f.sigma_x, f.sigma_y, f.threshold))
-    return max(source, gaussian_radius(*f.target, f.target_threshold)) if isinstance(f.target, tuple) else source
+def _stacks(lon: np.ndarray, halves: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """(targets, number of samples) of each stack: targets with equally many samples and windows of about one size."""
+    counts = (~np.isnan(lon)).sum(1)
+    # sizes in steps of a quarter, so that few sizes come up and no window is much larger than it must be
+    step = np.ceil(np.log(halves) / math.log(1.25)).astype(int)
+    kinds, code = np.unique(np.stack([counts, *step.T], axis=1), axis=0, return_inverse=True)
+    for kind, (k, *_) in enumerate(kinds.tolist()):
+        own = np.flatnonzero(code.ravel() == kind)
+        size = max(1, STACK // max(1, k * int((2 * halves[own].max(0) + 1).prod())))
+        for i in range(0, len(own), size):
+            yield own[i : i + size], k
 
 
-def _sources(window: tuple, f: Footprints, stacked: Callable, at: slice, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+def _sources(window: tuple, f: Footprints, stacked: Callable, at: np.ndarray, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
     """The samples' patterns on the windows of a stack."""
     if f.source:
-        return f.source.on(*window, {c: stacked(c)[at, : lon.shape[1]] for c in GEOMETRY})
-    alpha = stacked(ANGLE)[at, : lon.shape[1], None] if f.turned else f.alpha
+        return f.source.on(*window, {c: stacked(c)[at][:, : lon.shape[1]] for c in GEOMETRY})
+    alpha = stacked(ANGLE)[at][:, : lon.shape[1], None] if f.turned else f.alpha
     return np.nan_to_num(_gaussians(*window, lon, lat, f.sigma_x, f.sigma_y, alpha, f.threshold))
 
 
-def _aims(window: tuple, f: Footprints, stacked: Callable, at: slice, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+def _aims(window: tuple, f: Footprints, stacked: Callable, at: np.ndarray, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
     """The targets' own patterns on the windows of a stack: targets x cells."""
     sx, sy = f.target if isinstance(f.target, tuple) else (f.target, f.target)
-    alpha = stacked(f"t_{ANGLE}")[at, :1, None] if f.target_turned else 0.0
+    alpha = stacked(f"t_{ANGLE}")[at][:, :1, None] if f.target_turned else 0.0
     return _gaussians(*window, lon[:, None], lat[:, None], sx, sy, alpha, f.target_threshold)[:, 0]
 
 
@@ -239,7 +256,7 @@ def _columns(f: Footprints) -> list[str]:
     return list(GEOMETRY) if f.source else [ANGLE] if f.turned else []
 
 
-def backus_gilbert(neighbours: DataFrame, samples: DataFrame, targets: DataFrame, variables: list[str], f: Footprints, radius: float, smoothing: float = 0.0, noise: list[str] = (), uncertainty: float = 0.0, keys: tuple[str, ...] = ()) -> DataFrame:
+def backus_gilbert(neighbours: DataFrame, samples: DataFrame, targets: DataFrame, variables: list[str], f: Footprints, smoothing: float = 0.0, noise: list[str] = (), uncertainty: float = 0.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, target_id, cell_row, cell_col, variables, noise). Targets without weights give NULL."""
     rows = _prepared(neighbours, samples, targets, [*variables, *noise, *_columns(f)], keys)
 
@@ -247,24 +264,24 @@ def backus_gilbert(neighbours: DataFrame, samples: DataFrame, targets: DataFrame
         lon, lat = stacked("s_lon"), stacked("s_lat")
         held = {c: stacked(c) for c in [*variables, *noise]}
         out = {c: np.full(len(t_lon), np.nan) for c in held}
-        cells = (2 * math.ceil(_reach(f, radius) / GRIDS[f.grid].res) + 1) ** 2
-        for at, k in _stacks(lon, cells):
-            window = _window(t_lon[at], t_lat[at], f, _reach(f, radius))
-            there = np.ones(lon[at, :k].shape, bool)
-            p = _sources(window, f, stacked, at, lon[at, :k], lat[at, :k])
+        halves = _halves(f, t_lon, t_lat, lon, lat)
+        for at, k in _stacks(lon, halves):
+            window = _window(t_lon[at], t_lat[at], f, halves[at])
+            there = np.ones((len(at), k), bool)
+            p = _sources(window, f, stacked, at, lon[at][:, :k], lat[at][:, :k])
             t = _aims(window, f, stacked, at, t_lon[at], t_lat[at])
             a = bg_weights(p, t, there, smoothing)
             none = np.isnan(a).any(-1)
             for c in variables:
-                out[c][at] = np.where(none, np.nan, np.nansum(a * held[c][at, :k], -1))
+                out[c][at] = np.where(none, np.nan, np.nansum(a * held[c][at][:, :k], -1))
             for c in noise:
-                out[c][at] = np.where(none, np.nan, np.sqrt(np.nansum(a * a * held[c][at, :k], -1) ** 2 + uncertainty**2))
+                out[c][at] = np.where(none, np.nan, np.sqrt(np.nansum(a * a * held[c][at][:, :k], -1) ** 2 + uncertainty**2))
         return out
 
     return _by_block(rows, keys, variables, solve, list(noise))
 
 
-def reconstruct_rsir(neighbours: DataFrame, samples: DataFrame, targets: DataFrame, variables: list[str], f: Footprints, radius: float, iterations: int, keys: tuple[str, ...] = ()) -> DataFrame:
+def reconstruct_rsir(neighbours: DataFrame, samples: DataFrame, targets: DataFrame, variables: list[str], f: Footprints, iterations: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, target_id, cell_row, cell_col, variables). With 0 iterations the start value is read through the target's pattern."""
     if iterations < 0:
         raise ValueError("the number of iterations must not be negative")
@@ -274,13 +291,13 @@ def reconstruct_rsir(neighbours: DataFrame, samples: DataFrame, targets: DataFra
         lon, lat = stacked("s_lon"), stacked("s_lat")
         held = {c: stacked(c) for c in variables}
         out = {c: np.full(len(t_lon), np.nan) for c in variables}
-        cells = (2 * math.ceil(_reach(f, radius) / GRIDS[f.grid].res) + 1) ** 2
-        for at, k in _stacks(lon, cells):
-            window = _window(t_lon[at], t_lat[at], f, _reach(f, radius))
-            p = _sources(window, f, stacked, at, lon[at, :k], lat[at, :k])
+        halves = _halves(f, t_lon, t_lat, lon, lat)
+        for at, k in _stacks(lon, halves):
+            window = _window(t_lon[at], t_lat[at], f, halves[at])
+            p = _sources(window, f, stacked, at, lon[at][:, :k], lat[at][:, :k])
             t = _aims(window, f, stacked, at, t_lon[at], t_lat[at])
             for c in variables:
-                out[c][at] = rsir(p, t, held[c][at, :k], iterations)
+                out[c][at] = rsir(p, t, held[c][at][:, :k], iterations)
         return out
 
     return _by_block(rows, keys, variables, solve, [])

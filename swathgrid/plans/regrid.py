@@ -94,7 +94,7 @@ def with_angle(df: DataFrame) -> DataFrame:
 def _bg(t: Task) -> DataFrame:
     c = t.config
     f = _footprints(t.samples.sparkSession, c, t.band, GRIDS[c.grid_definition].res)
-    return reconstruct.backus_gilbert(t.neighbours, t.samples, t.targets, t.variables, f, c.search_radius, c.bg_smoothing, t.noise, c.antenna_pattern_uncertainty, ("scan_direction",))
+    return reconstruct.backus_gilbert(t.neighbours, t.samples, t.targets, t.variables, f, c.bg_smoothing, t.noise, c.antenna_pattern_uncertainty, ("scan_direction",))
 
 
 def _rsir(t: Task) -> DataFrame:
@@ -102,7 +102,7 @@ def _rsir(t: Task) -> DataFrame:
     c = t.config
     f = _footprints(t.samples.sparkSession, c, t.band, GRIDS[c.grid_definition].res / 10)
     main = [v for v in t.variables if v.startswith("bt_")]
-    out = reconstruct.reconstruct_rsir(t.neighbours, t.samples, t.targets, main, f, c.search_radius, c.rsir_iteration, ("scan_direction",))
+    out = reconstruct.reconstruct_rsir(t.neighbours, t.samples, t.targets, main, f, c.rsir_iteration, ("scan_direction",))
     rest = [v for v in t.variables if v not in main]
     if rest or t.noise:
         rows = neighbours.with_values(t.neighbours, t.samples, [*rest, *t.noise], ("scan_direction",))

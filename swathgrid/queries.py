@@ -592,13 +592,17 @@ FOOT = reconstruct.Footprints("EASE2_G36km", 60000.0, 60000.0, 36032.22)
 def bg_one_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With one sample its weight is one, whatever the patterns are."""
     s, t, n = near(spark, sf_dir, 1, ("longitude", "latitude", "bt_h", "nedt_h"))
-    out = reconstruct.backus_gilbert(n, s, t, ["bt_h"], FOOT, RADIUS, 0.0, ["nedt_h"], 0.2, WAY)
+    out = reconstruct.backus_gilbert(n, s, t, ["bt_h"], FOOT, 0.0, ["nedt_h"], 0.2, WAY)
     return rounded(out.select("scan_direction", "target_id", "bt_h", "nedt_h"), 4, "bt_h", "nedt_h")
 
 
 def _bg_sql() -> str:
     """With two samples the weights solve a system of two equations: the sums of products of patterns give it."""
-    g, half = GRIDS[GRID], math.ceil((RADIUS + patterns.gaussian_radius(60000.0, 60000.0)) / GRIDS[GRID].res)
+    g = GRIDS[GRID]
+    around, own = (math.ceil(patterns.gaussian_radius(sigma, sigma) / g.res) + 1 for sigma in (60000.0, g.res))
+    (fx1, fy1), (fx2, fy2) = forward_sql("G", "lon1", "lat1"), forward_sql("G", "lon2", "lat2")
+    (row1, col1), (row2, col2) = cell_sql(g, fx1, fy1), cell_sql(g, fx2, fy2)
+    across = lambda col: f"least(abs({col}-cell_col), {g.n_cols}-abs({col}-cell_col))"
     lon, lat = inverse_sql("G", *centre_sql(g, "i", "i"))
     wide = f"2e0*{geo.R_VINCENTY}e0"
     parts = lambda lon0, lat0, sigma: (f"exp(-pow({wide}*asin(cos(radians({lat0}))*sin(radians(w.lon-{lon0})/2e0)),2)/(2e0*{sigma}e0*{sigma}e0))", f"exp(-pow(radians(w.lat-{lat0})*{geo.R_VINCENTY}e0,2)/(2e0*{sigma}e0*{sigma}e0))")
@@ -610,8 +614,9 @@ def _bg_sql() -> str:
 m AS (SELECT n.scan_direction, target_id, cell_row, cell_col, rank, longitude, latitude, bt_h, nedt_h FROM n JOIN c USING (sample_id)),
 p AS (SELECT a.scan_direction, a.target_id, a.cell_row, a.cell_col, a.longitude AS lon1, a.latitude AS lat1, a.bt_h AS b1, a.nedt_h AS e1, b.longitude AS lon2, b.latitude AS lat2, b.bt_h AS b2, b.nedt_h AS e2
  FROM (SELECT * FROM m WHERE rank = 1) a LEFT JOIN (SELECT * FROM m WHERE rank = 2) b ON a.scan_direction = b.scan_direction AND a.target_id = b.target_id),
-d AS (SELECT p.*, lo.lon AS lont, la.lat AS latt FROM p JOIN lo ON lo.i = cell_col JOIN la ON la.i = cell_row),
-z AS (SELECT d.*, cell_row + h AS row, (cell_col + q + {g.n_cols}) % {g.n_cols} AS col FROM d, range({-half}, {half + 1}) x(h), range({-half}, {half + 1}) y(q) WHERE lon2 IS NOT NULL),
+d AS (SELECT p.*, lo.lon AS lont, la.lat AS latt, greatest(abs({row1}-cell_row)+{around}, abs({row2}-cell_row)+{around}, {own}) AS hr, greatest({across(col1)}+{around}, {across(col2)}+{around}, {own}) AS hc FROM p JOIN lo ON lo.i = cell_col JOIN la ON la.i = cell_row),
+y AS (SELECT *, unnest(range(-hr, hr + 1)) AS h FROM d WHERE lon2 IS NOT NULL),
+z AS (SELECT *, cell_row + h AS row, (cell_col + q + {g.n_cols}) % {g.n_cols} AS col FROM (SELECT *, unnest(range(-hc, hc + 1)) AS q FROM y)),
 w AS (SELECT z.*, lo.lon, la.lat FROM z JOIN lo ON lo.i = z.col JOIN la ON la.i = z.row),
 f AS (SELECT scan_direction, target_id, {raw} FROM w), k AS (SELECT scan_direction, target_id, {cut} FROM f WINDOW v AS (PARTITION BY scan_direction, target_id)),
 s8 AS (SELECT scan_direction, target_id, {sums} FROM k GROUP BY 1, 2),
@@ -624,20 +629,20 @@ SELECT p.scan_direction, p.target_id, {r("CASE WHEN lon2 IS NULL THEN b1 ELSE a1
 @query(_bg_sql())
 def bg_two_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, t, n = near(spark, sf_dir, 2, ("longitude", "latitude", "bt_h", "nedt_h"))
-    out = reconstruct.backus_gilbert(n, s, t, ["bt_h"], FOOT, RADIUS, 0.01, ["nedt_h"], 0.0, WAY)
+    out = reconstruct.backus_gilbert(n, s, t, ["bt_h"], FOOT, 0.01, ["nedt_h"], 0.0, WAY)
     return rounded(out.select("scan_direction", "target_id", "bt_h", "nedt_h"), 4, "bt_h", "nedt_h")
 
 
 @query()
 def bg(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, t, n = near(spark, sf_dir, K, ("longitude", "latitude", "bt_h", "nedt_h"))
-    return rounded(reconstruct.backus_gilbert(n, s, t, ["bt_h"], FOOT, RADIUS, 0.01, ["nedt_h"], 0.0, WAY), 4, "bt_h", "nedt_h")
+    return rounded(reconstruct.backus_gilbert(n, s, t, ["bt_h"], FOOT, 0.01, ["nedt_h"], 0.0, WAY), 4, "bt_h", "nedt_h")
 
 
 @query()
 def rsir(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, t, n = near(spark, sf_dir, K, ("longitude", "latitude", "bt_h"))
-    return rounded(reconstruct.reconstruct_rsir(n, s, t, ["bt_h"], FOOT, RADIUS, 15, WAY), 4, "bt_h")
+    return rounded(reconstruct.reconstruct_rsir(n, s, t, ["bt_h"], FOOT, 15, WAY), 4, "bt_h")
 
 
 COARSE = reconstruct.Footprints("EASE2_N36km", 60000.0, 60000.0, 36000.0)

@@ -177,9 +177,9 @@ def test_reconstructions_keep_a_constant_scene(spark):
     t = neighbours.grid_targets(spark, "EASE2_G36km", rows=(64, 70), cols=(500, 508))
     n = neighbours.nearest(s, t, 80000.0, 5, ("scan_direction",))
     f = reconstruct.Footprints("EASE2_G36km", 50000.0, 50000.0, 36032.22)
-    bg = reconstruct.backus_gilbert(n, s, t, ["bt_h"], f, 80000.0, 0.01, ["nedt_h"], 0.1, ("scan_direction",)).toPandas()
+    bg = reconstruct.backus_gilbert(n, s, t, ["bt_h"], f, 0.01, ["nedt_h"], 0.1, ("scan_direction",)).toPandas()
     assert len(bg) > 20 and np.allclose(bg["bt_h"].dropna(), 222.0) and (bg["nedt_h"].dropna() >= 0.1).all()
-    rs = reconstruct.reconstruct_rsir(n, s, t, ["bt_h"], f, 80000.0, 3, ("scan_direction",)).toPandas()
+    rs = reconstruct.reconstruct_rsir(n, s, t, ["bt_h"], f, 3, ("scan_direction",)).toPandas()
     assert len(rs) == len(bg) and np.allclose(rs["bt_h"].dropna(), 222.0)
     cg = inversion.invert(s, ["bt_h"], f, "CG", 16, 1.0, 1e-6, 200, 1e-8, keys=("scan_direction",)).toPandas().dropna()
     s_rows = s.toPandas()
@@ -244,6 +244,22 @@ def test_gaussian_patterns():
     assert patterns.footprint_radius(0.0, 100000.0, math.radians(2)) == pytest.approx(1.1 * 3492.1105641045438)
 
 
+def test_windows_follow_the_neighbours(spark):
+    """The same values however wide the search was, at any latitude, and windows no larger than the neighbours need."""
+    rng = np.random.default_rng(12)
+    lon, lat = np.concatenate([rng.uniform(-1, 1, 150), rng.uniform(-3, 3, 150)]), np.concatenate([rng.uniform(-1, 1, 150), rng.uniform(71, 72, 150)])
+    s = points(spark, lon, lat, bt_h=rng.uniform(150, 250, 300))
+    t = points(spark, np.concatenate([rng.uniform(-0.7, 0.7, 20), rng.uniform(-2, 2, 20)]), np.concatenate([rng.uniform(-0.7, 0.7, 20), rng.uniform(71.2, 71.8, 20)]), name="target_id").withColumns({"cell_row": F.lit(0), "cell_col": F.lit(0)})
+    f = reconstruct.Footprints("EASE2_G9km", 15000.0, 15000.0, 12000.0, threshold=0.05, target_threshold=0.05)
+    near, far = (neighbours.nearest_any(s, t, radius, 3) for radius in (90_000.0, 5e6))
+    for run in (lambda n: reconstruct.backus_gilbert(n, s, t, ["bt_h"], f, 0.01), lambda n: reconstruct.reconstruct_rsir(n, s, t, ["bt_h"], f, 3)):
+        one, two = ({r.target_id: r.bt_h for r in run(n).collect()} for n in (near, far))
+        assert len(one) == 40 and one == pytest.approx(two, rel=1e-9)
+    halves = reconstruct._halves(f, np.zeros(2), np.array([0.0, 71.0]), np.array([[0.2, np.nan], [0.2, 0.3]]), np.array([[0.1, np.nan], [71.0, 71.1]]))
+    around = math.ceil(patterns.gaussian_radius(15000.0, 15000.0, 0.05) / 9008.05) + 1
+    assert halves.tolist() == [[around + 2, around + 2], [around, around + 3]]
+
+
 def test_window_and_date_line(spark):
     df = spark.createDataFrame([(1, 179.9, 0.0), (1, -179.9, 0.0), (2, 0.0, 0.0)], "k long, longitude double, latitude double")
     got = {r.k: r for r in patterns.window_bounds(df, ["k"], "EASE2_G36km", 50000.0).collect()}
@@ -291,9 +307,9 @@ def test_bg_with_projected_patterns(spark):
     n = neighbours.nearest(s, t, 150000.0, 3)
     source = reconstruct.Projected({0: horn.scalar}, 0.0, 100000.0)
     f = reconstruct.Footprints("EASE2_G9km", target=15000.0, source=source)
-    got = reconstruct.backus_gilbert(n, s, t, ["bt_h"], f, 150000.0, 1e-4).first()
+    got = reconstruct.backus_gilbert(n, s, t, ["bt_h"], f, 1e-4).first()
     assert got.regridding_n_samples == 3 and abs(got.bt_h - 200) < 6
-    again = reconstruct.reconstruct_rsir(n, s, t, ["bt_h"], f, 150000.0, 3).first()
+    again = reconstruct.reconstruct_rsir(n, s, t, ["bt_h"], f, 3).first()
     assert 190 < again.bt_h < 225
 
 
