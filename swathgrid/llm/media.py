@@ -667,7 +667,7 @@ READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature stri
 def decode_media(rows: DataFrame, media_col: str = "media", tensor: bool = False, payload: bool = False) -> DataFrame:
     """rows with what the stored pictures hold, read back: READ; with tensor: height, width and RGB bytes; with payload: its bytes.
 
-    A null picture gives nulls. Columns of rows must not clash with these names.
+    A null picture gives nulls. All columns of rows stay; of the new names those that clash get underscores in front.
     """
     at = rows.columns.index(media_col)
     more = T.StructType(list(T.StructType.fromDDL(READ)))
@@ -675,7 +675,10 @@ def decode_media(rows: DataFrame, media_col: str = "media", tensor: bool = False
         more = T.StructType([*more, T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("rgb", T.BinaryType())])
     if payload:
         more = T.StructType([*more, T.StructField("payload", T.BinaryType())])
-    schema = T.StructType([*rows.schema.fields, *more.fields])
+    names = list(rows.columns)
+    for f in more:
+        names.append(free_name(names, f.name))
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, f.dataType) for n, f in zip(names[len(rows.columns) :], more, strict=True))])
 
     def read(media: list[bytes | None]) -> list[list]:
         out = []

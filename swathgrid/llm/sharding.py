@@ -54,14 +54,16 @@ def lookup(spark: SparkSession, shards: list[str], size: int = SIZE, weights: li
 
 
 def assign(rows: DataFrame, key_col: str, shards: list[str], size: int = SIZE, weights: list[int] | None = None, slot: str = "slot", shard: str = "shard") -> DataFrame:
-    """rows with their slot and shard. Equal keys go to one shard; a null key has a slot of its own (hash of nothing).
+    """rows with their slot and shard. Equal keys go to one shard; a null key
+    goes to the slot of the hash of nothing, which other keys may share.
 
     All columns stay, and names that clash get underscores in front. An empty table gives an empty result.
     """
     slot, shard = free_name(rows.columns, slot), free_name(rows.columns, shard)
-    table = lookup(rows.sparkSession, shards, size, weights).select(F.col("slot").alias("_slot_"), F.col("shard").alias(shard))
+    at = free_name([*rows.columns, slot, shard], "_slot_")
+    table = lookup(rows.sparkSession, shards, size, weights).select(F.col("slot").alias(at), F.col("shard").alias(shard))
     placed = rows.withColumn(slot, F.pmod(F.xxhash64(F.col(key_col)), F.lit(size)).cast("int"))
-    return placed.join(F.broadcast(table), F.col(slot) == F.col("_slot_")).drop("_slot_")
+    return placed.join(F.broadcast(table), F.col(slot) == F.col(at)).drop(at)
 
 
 def write_shards(rows: DataFrame, path: str, key_col: str, shards: list[str], files_per_shard: int = 4, **how) -> None:

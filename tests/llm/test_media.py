@@ -81,3 +81,10 @@ def test_digests(spark):
     assert rows.columns == ["doc_id", "text", "n_bytes", "_media"]
     full = media.decode_media(rows, "_media", tensor=True, payload=True).where("doc_id = 5").first()
     assert bytes(full.payload) == b"a" * 192 and len(full.rgb) == full.height * full.width * 3
+
+
+def test_columns_that_clash_with_what_is_read_back(spark):
+    rows = spark.createDataFrame([(1, "some text", "x", "y"), (2, None, "x", "y")], "doc_id long, text string, feature string, payload_bytes string")
+    got = media.decode_media(media.encode_texts(rows, "text")).collect()
+    assert [(r.feature, r.payload_bytes) for r in got] == [("x", "y")] * 2
+    assert {r["_payload_bytes"] for r in got} == {192} and all(r["_feature"] for r in got)

@@ -528,6 +528,26 @@ def test_main_text(spark):
     assert html_extract.main_text(pages.where("false")).collect() == []
 
 
+def test_rows_with_the_names_of_the_tables_inside(spark):
+    rows = spark.createDataFrame([(1, "x", "y", "z"), (None, "x", "y", "z")], "doc_id long, _slot_ string, slot string, shard string")
+    got = sharding.assign(rows, "doc_id", ["a", "b"], 101)
+    assert got.columns == ["doc_id", "_slot_", "slot", "shard", "_slot", "_shard"] and {tuple(r)[1:4] for r in got.collect()} == {("x", "y", "z")}
+    assert sharding.assign(rows.where("false"), "doc_id", ["a", "b"], 101).collect() == []
+
+
+@pytest.mark.parametrize("step", [4096, 3])
+def test_many_rows_of_one_id(spark, monkeypatch, step):
+    """Rows of one id, or without one, are laid out whole whatever the length of a step."""
+    monkeypatch.setattr(packing, "STEP", step)
+    docs = spark.createDataFrame([(None, "a b")] * 50 + [(1, "a b")] * 7 + [(1, "")] * 5 + [(2, None)], "doc_id long, text string")
+    got = packing.pack(docs, buckets=2, budget=20).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == sorted([(0, 2)] * 50 + [(1, 2)] * 7 + [(1, 0)] * 5 + [(2, 0)])
+    for b in {r.bucket for r in got}:
+        held = sorted(r.batch for r in got if r.bucket == b)
+        fit = max(1, 20 // next(r.padded_tokens for r in got if r.bucket == b))
+        assert held == [k // fit for k in range(len(held))]
+
+
 def test_shards_against_plain_loops(spark):
     """Every key's slot and shard as loops over shards and slots give them: nulls, repeated and negative keys too."""
     import struct
