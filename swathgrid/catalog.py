@@ -83,7 +83,7 @@ HORNS = {"L": 1, "C": 4, "X": 4, "K": 8, "KA": 8}
 #: Noise (K) of bands whose files have none.
 NEDT = {"L": 0.3, "C": 0.2, "X": 0.3, "KA": 0.4, "K": 0.7}
 
-#: Names in the instruments' files and their canonical names.
+#: Fixed values, all of them: names in the instruments' files and their canonical names.
 COLUMNS = {
     "SMAP": {
         "tb_lon": "longitude", "tb_lat": "latitude", "tb_h": "bt_h", "tb_v": "bt_v", "tb_3": "bt_3", "tb_4": "bt_4",
@@ -93,7 +93,7 @@ COLUMNS = {
         "x_vel": "x_velocity", "y_vel": "y_velocity", "z_vel": "z_velocity", "antenna_scan_qual_flag": "scan_quality_flag",
         "tb_qual_flag_h": "data_quality_h", "tb_qual_flag_v": "data_quality_v", "tb_qual_flag_3": "data_quality_3", "tb_qual_flag_4": "data_quality_4",
     },
-    "AMSR2": {"Earth Azimuth": "azimuth", "Sun Azimuth": "solar_azimuth", "Scan Time": "acq_time_utc"},
+    "AMSR2": {"Earth Azimuth": "azimuth", "Sun Azimuth": "solar_azimuth", "Scan Time": "scan_time", "Navigation Data": "navigation"},
     "CIMR": {
         "lon": "longitude", "lat": "latitude", "brightness_temperature_h": "bt_h", "brightness_temperature_v": "bt_v",
         "brightness_temperature_t3": "bt_3", "brightness_temperature_t4": "bt_4", "scan_angle": "processing_scan_angle", "earth_azimuth": "azimuth",
@@ -101,6 +101,14 @@ COLUMNS = {
     },
 }
 
+#: What canonical columns are made of where files hold vectors or parts of a time (see sources.swath.unfold).
+POSITION, VELOCITY = ("x_position", "y_position", "z_position"), ("x_velocity", "y_velocity", "z_velocity")
+VECTORS = {"satellite_position": POSITION, "satellite_velocity": VELOCITY, "navigation": POSITION + VELOCITY}
+PARTS = {
+    **{c: tuple(v for v, names in VECTORS.items() if c in names) for c in POSITION + VELOCITY}, "altitude": ("satellite_position",),
+    "acq_time_utc": ("days", "seconds", "microseconds", "scan_time"),
+}
+
 QUALITY_FLAGS = ("scan_quality_flag", "data_quality_h", "data_quality_v", "data_quality_3", "data_quality_4")
 FILL = -9999.0
 

@@ -297,6 +297,48 @@ def low_frequency_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(swath.low_frequency(samples(spark, sf_dir), 0.8, 0.1), 5, "longitude", "latitude")
 
 
+_CIMR = f"""WITH {S}, f AS (SELECT s.*, unnest(range(4)) AS horn, (event_id % 360) / 1e0 AS scan_angle FROM s JOIN events e ON e.event_id = s.sample_id)
+SELECT scan_number * 1048576 + sample_number * 16 + horn AS sample_id, CAST(horn AS INTEGER) AS feed_horn_number, scan_number, CAST(sample_number AS BIGINT) AS sample_number, {r("bt_h + horn", 6, "bt_h")}, {r("longitude + horn * 0.01e0", 6, "longitude")}, {r("latitude", 6, "latitude")},
+ CASE WHEN scan_angle BETWEEN 180 AND 360 THEN 'aft' ELSE 'fore' END AS scan_direction, 0.2e0 AS nedt_h, CAST(0 AS SMALLINT) AS processing_flag, {r("sqrt((7000000e0+sample_id)*(7000000e0+sample_id)+2e0) - 6371000e0", 3, "altitude")},
+ {r("scan_number * 86400e0 + sample_number + 0.25e0 + 946684800e0", 3, "acq_time_utc")} FROM f WHERE flag = 0 AND latitude BETWEEN -80 AND 80"""
+
+
+@query(_CIMR)
+def ingest_cimr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows with arrays over four feeds, a vector and a time in three parts, to samples in one call; a NULL drops a row."""
+    s = samples(spark, sf_dir)
+    raw = s.select(
+        "scan_number", "sample_number", F.array(*(F.when(F.col("scan_quality_flag") == 0, F.col("bt_h") + k) for k in range(4))).alias("brightness_temperature_h"), F.array(*(F.col("longitude") + k * 0.01 for k in range(4))).alias("lon"),
+        F.array(*(F.when(F.col("latitude").between(-80, 80), F.col("latitude")).otherwise(-9999.0) for _ in range(4))).alias("lat"), (F.col("sample_id") % 360).cast("double").alias("scan_angle"),
+        F.array(7e6 + F.col("sample_id"), F.lit(1.0), F.lit(1.0)).alias("satellite_position"), F.col("scan_number").alias("days"), F.col("sample_number").alias("seconds"), F.lit(250000.0).alias("microseconds"),
+    )
+    named = raw.withColumnsRenamed({"brightness_temperature_h": "bt_h", "lon": "longitude", "lat": "latitude", "scan_angle": "processing_scan_angle"})
+    out = swath.normalise(named, "CIMR", "C")
+    out = out.select("sample_id", "feed_horn_number", "scan_number", "sample_number", "bt_h", "longitude", "latitude", "scan_direction", "nedt_h", "processing_flag", "altitude", "acq_time_utc")
+    return rounded(rounded(out, 6, "bt_h", "longitude", "latitude"), 3, "altitude", "acq_time_utc")
+
+
+def _amsr2_sql() -> str:
+    positions = _low_frequency_sql().replace("WITH s AS", "s AS").replace(" ORDER BY 1", "")
+    split = positions.rindex("SELECT scan_number")
+    return f"""WITH {positions[:split].rstrip()}, lf AS ({positions[split:]}), k AS (SELECT min(scan_number) AS lo, max(scan_number) + 1 AS hi FROM s)
+SELECT s.scan_number * 1048576 + s.sample_number * 16 AS sample_id, s.scan_number, {r("bt_h * 0.01e0", 6, "bt_h")}, lf.longitude, lf.latitude, {r("s.scan_number * 1.5e0 + 725846363e0", 3, "acq_time_utc")}, 'all' AS scan_direction,
+ {r("7000000e0 + s.scan_number", 3, "x_position")}, {r("7500e0", 3, "z_velocity")} FROM s JOIN lf USING (scan_number, sample_number), k WHERE s.scan_number >= 3 AND s.scan_number < hi - 3"""
+
+
+@query(_amsr2_sql())
+def ingest_amsr2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain of a low-frequency band: overlap, positions beside pairs of high-frequency samples, values of each scan."""
+    s = samples(spark, sf_dir)
+    scans = s.select("scan_number").distinct().select("scan_number", (F.col("scan_number") * 1.5).alias("scan_time"), F.array(7e6 + F.col("scan_number"), *(F.lit(x) for x in (0.0, 0.0, 1.0, 2.0, 7500.0))).alias("navigation"))
+    count = s.agg(F.max("scan_number") + 1).first()[0]
+    raw, positions = s.select("scan_number", F.col("sample_number").cast("int").alias("sample_number"), "bt_h"), s.select("scan_number", "sample_number", "longitude", "latitude")
+    own = swath.amsr2(raw, scans, positions, "10", 3, count, "6G-0.5,7G-0.6,10G-0.8", "6G-0.2,7G--0.3,10G-0.1")
+    out = swath.normalise(own, "AMSR2", "10", split=False)
+    out = out.select("sample_id", "scan_number", "bt_h", "longitude", "latitude", "acq_time_utc", "scan_direction", "x_position", "z_velocity")
+    return rounded(rounded(rounded(out, 6, "bt_h"), 5, "longitude", "latitude"), 3, "acq_time_utc", "x_position", "z_velocity")
+
+
 @query("SELECT event_id AS sample_id, round(sqrt((7000000e0+event_id)*(7000000e0+event_id)+user_id*user_id) - 6371000e0, 3) AS altitude FROM events")
 def altitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")

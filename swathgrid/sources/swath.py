@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..catalog import AFT, COLUMNS, FILL, GRIDS, NEDT, QUALITY_FLAGS, Grid
+from ..catalog import AFT, BANDS, COLUMNS, FILL, GRIDS, HORNS, NEDT, PARTS, POSITION, QUALITY_FLAGS, VECTORS, Grid
 from ..functions import geo
 
 KEYS = ("sample_id", "scan_number", "sample_number", "feed_horn_number", "band", "scan_direction")
@@ -22,7 +22,8 @@ def read_l1b(spark: SparkSession, path: str, instrument: str, columns: list[str]
         raise ValueError(f"instrument {instrument} isn't one of {', '.join(COLUMNS)}")
     df = spark.read.parquet(path)
     df = df.withColumnsRenamed({k: v for k, v in COLUMNS[instrument].items() if k in df.columns})
-    return df.select(*(c for c in df.columns if c in columns)) if columns else df
+    wanted = {*(columns or df.columns), *(part for c in columns or () for part in PARTS.get(c, ()))}
+    return df.select(*(c for c in df.columns if c in wanted)) if columns else df
 
 
 def numeric(df: DataFrame, skip: tuple[str, ...] = KEYS) -> list[str]:
@@ -181,16 +182,70 @@ def low_frequency(df: DataFrame, a: float, b: float, scan: str = "scan_number",
     return rows.select(scan, F.col("_pair").alias(sample), F.when(good, lon).otherwise(FILL).alias("longitude"), F.when(good, lat).otherwise(FILL).alias("latitude"))
 
 
+# ---- whole chains
+
+
+def unfold(df: DataFrame, band: str) -> DataFrame:
+    """Raw rows of one scan and sample as samples: vectors to columns, a row for each feed horn, times to seconds, ids.
+
+    Arrays beside the vectors and the attitude (nine numbers, kept) hold a value for each feed. Columns that aren't there
+    are left out; what is canonical already stays.
+    """
+    vectors = [c for c in VECTORS if c in df.columns]
+    for c in vectors:
+        df = components(df, c, [n for n in VECTORS[c] if n not in df.columns])
+    feeds = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType) and f.name != "attitude"]
+    if feeds:
+        df = explode_feeds(df, feeds, HORNS.get(band, 1))
+    elif "feed_horn_number" not in df.columns:
+        df = df.withColumn("feed_horn_number", F.lit(0))
+    if "acq_time_utc" not in df.columns and {"days", "seconds", "microseconds"} <= set(df.columns):
+        df = df.withColumn("acq_time_utc", days_to_posix(F.col("days"), F.col("seconds"), F.col("microseconds"))).drop("days", "seconds", "microseconds")
+    if "acq_time_utc" not in df.columns and "scan_time" in df.columns:
+        df = df.withColumn("acq_time_utc", tai93_to_posix(F.col("scan_time"))).drop("scan_time")
+    if "altitude" not in df.columns and set(POSITION) <= set(df.columns):
+        df = df.withColumn("altitude", altitude(*(F.col(c) for c in POSITION)))
+    if "sample_id" not in df.columns and {"scan_number", "sample_number"} <= set(df.columns):
+        # scan, 16 bits for the sample, 4 for the feed: distinct in a granule, whatever its size
+        scan, sample = F.col("scan_number").cast("long"), F.col("sample_number").cast("long")
+        df = df.withColumn("sample_id", F.shiftleft(scan, 20) + F.shiftleft(sample, 4) + F.col("feed_horn_number").cast("long"))
+    return df
+
+
+def amsr2(raw: DataFrame, scans: DataFrame, positions: DataFrame, band: str, overlap: int, scan_count: int, coregistration_a: str, coregistration_b: str, scale: float = 0.01) -> DataFrame:
+    """A low- or high-frequency band of a granule as samples, before normalise(): overlap, positions, values of each scan.
+
+    raw: (scan_number, sample_number, bt_h, bt_v) as stored, to be scaled. scans: what is given once a scan (scan_time,
+    navigation, azimuths). positions: (scan_number, sample_number, longitude, latitude) of the high-frequency band; a lower one has
+    half as many samples, each beside a pair of these as the granule's two parameter lines say.
+    """
+    if band not in BANDS["AMSR2"]:
+        raise ValueError(f"band {band} isn't one of {', '.join(BANDS['AMSR2'])}")
+    raw, scans, positions = (trim_overlap(x, overlap, scan_count) for x in (raw, scans, positions))
+    if not band.startswith("89"):
+        k = BANDS["AMSR2"].index(band)
+        lines = raw.sparkSession.range(1).select(*(F.get(coregistration(F.lit(x)), F.lit(k)).alias(n) for n, x in (("a", coregistration_a), ("b", coregistration_b)))).first()
+        if lines.a is None or lines.b is None:
+            raise ValueError(f"the parameter lines have no number for band {band}")
+        positions = low_frequency(positions, lines.a, lines.b)
+    held = scaled(raw, {c: scale for c in ("bt_h", "bt_v") if c in raw.columns}).join(positions, ["scan_number", "sample_number"])
+    return unfold(per_scan(held, scans), band)
+
+
 def normalise(df: DataFrame, instrument: str, band: str, grid: str | None = None, projection: str | None = None, split: bool = True, quality: bool = True, nedt: dict[str, float] | None = None, needed: list[str] | None = None) -> DataFrame:
-    """The whole chain: fills, quality, bounds (for a grid), direction, listwise deletion.
+    """The whole chain: vectors, feeds, times and ids, fills, noise, quality, bounds (for a grid), direction, listwise deletion.
+
+    df: a granule's rows with canonical names, one for each sample, or with arrays over the feeds; for AMSR2 from amsr2().
 
     needed: the columns in which a NULL drops the row; those that nobody asked for don't count. All, if not given.
     """
-    out = fill_to_null(df.withColumn("band", F.lit(band)))
+    out = fill_to_null(unfold(df, band).withColumn("band", F.lit(band)))
     if quality and instrument == "SMAP":
         out = quality_filter(out)
     if instrument == "CIMR" and "nedt_h" not in out.columns:
         out = with_nedt(out, nedt)
+    if instrument == "CIMR" and "processing_flag" not in out.columns:
+        out = with_processing_flag(out)
     if grid:
         out = in_bounds(out, grid, projection or GRIDS[grid].projection)
     out = split_fore_aft(out, instrument) if split else out.withColumn("scan_direction", F.lit("all"))
