@@ -32,11 +32,13 @@ def overrides(pairs: list[str]) -> dict:
 ALWAYS = ("sample_id", "scan_number", "sample_number", "longitude", "latitude", "processing_scan_angle")
 
 
-def needed(config: cfg.Config) -> list[str]:
-    """The columns that a run uses: the others are not read, and a NULL in them drops nothing."""
+def needed(config: cfg.Config, target: bool = False) -> list[str]:
+    """The columns that a run uses of its source bands, or of its target band: the others are not read, and a NULL in them drops nothing."""
     out = [*ALWAYS, *config.variables_to_regrid]
     if config.regridding_algorithm in ("BG", "RSIR", "LW", "CG"):
-        out += ["sub_satellite_lon", "sub_satellite_lat", *(reconstruct.GEOMETRY if config.source_antenna_method == "instrument" else ())]
+        if regrid.is_turned(config) or target and regrid.is_target_turned(config):
+            out += ["sub_satellite_lon", "sub_satellite_lat"]
+        out += reconstruct.GEOMETRY if config.source_antenna_method == "instrument" and not target else ()
     return list(dict.fromkeys(out))
 
 
@@ -44,24 +46,27 @@ def run(spark: SparkSession, config: cfg.Config) -> str:
     """Samples under config.path (Parquet, a folder for each band) to a product under config.output_path; its path."""
     grid = (config.grid_definition, config.projection_definition) if config.grid_type == "L1C" else (None, None)
 
-    def band(name: str):
-        raw = swath.read_l1b(spark, f"{config.path}/{name}", config.type, [*needed(config), *QUALITY_FLAGS])
-        if "sample_id" not in raw.columns:
-            raise ValueError(f"the samples of band {name} need a sample_id")
-        return swath.normalise(raw, config.type, name, *grid, split=config.split_fore_aft, quality=config.quality_control, nedt=config.nedt, needed=needed(config))
+    def band(name: str, target: bool = False):
+        used = needed(config, target)
+        raw = swath.read_l1b(spark, f"{config.path}/{name}", config.type, [*used, "feed_horn_number", *QUALITY_FLAGS])
+        out = swath.normalise(raw, config.type, name, *grid, split=config.split_fore_aft, quality=config.quality_control, nedt=config.nedt, needed=used)
+        if "sample_id" not in out.columns:
+            raise ValueError(f"the samples of band {name} need a sample_id, or scan_number and sample_number")
+        return out
 
     source = band(config.source_band[0])
     for name in config.source_band[1:]:
         source = source.unionByName(band(name), allowMissingColumns=True)
     targets = None
     if config.grid_type == "L1R":
-        targets = neighbours.band_targets(band(config.target_band[0]))
+        targets = neighbours.band_targets(band(config.target_band[0], True))
     out = f"{config.output_path}/{product.file_name(config)}"
     made = regrid.regrid(spark, source, config, targets)
     if not config.save_to_disk:  # a trial run: everything is computed, nothing is kept
         made.write.format("noop").mode("overwrite").save()
         return ""
-    product.write_product(made, out, config)
+    asked = "regridding_l1b_orphans" in config.variables_to_regrid
+    product.write_product(made, out, config, orphans=regrid.orphan_flags(spark, source, config, targets) if asked else None)
     return out
 
 

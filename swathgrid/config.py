@@ -46,7 +46,7 @@ class Config:
     relative_tolerance: float = 1e-5
     regularisation_parameter: float = 1e-4
     MRF_grid_definition: str = "EASE2_G9km"
-    MRF_projection_definition: str = "G"
+    MRF_projection_definition: str = ""  # that of the grid
     bg_smoothing: float = 0.0
     antenna_pattern_uncertainty: float = 0.0
     nedt: dict[str, float] = field(default_factory=lambda: dict(NEDT))
@@ -74,6 +74,8 @@ class Config:
             object.__setattr__(self, "max_neighbours", 1)
         if self.search_radius is None and self.grid_type == "L1R":
             object.__setattr__(self, "search_radius", 31000.0 if self.type == "AMSR2" else 36500.0)
+        if not self.MRF_projection_definition and self.MRF_grid_definition in GRIDS:
+            object.__setattr__(self, "MRF_projection_definition", GRIDS[self.MRF_grid_definition].projection)
         if not self.variables_to_regrid:
             object.__setattr__(self, "variables_to_regrid", VARIABLES.get(self.type, ()))
         self.check()
@@ -94,7 +96,8 @@ class Config:
         one_of("grid_definition", tuple(GRIDS))
         one_of("projection_definition", FAMILIES[GRIDS[self.grid_definition].family])
         one_of("MRF_grid_definition", tuple(GRIDS))
-        one_of("MRF_projection_definition", ("G", "N", "S"))
+        own = GRIDS[self.MRF_grid_definition].projection
+        must(self.MRF_projection_definition == own, f"the integration grid {self.MRF_grid_definition} is laid out in {own}: MRF_projection_definition must be that")
         one_of("source_antenna_method", ANTENNA)
         one_of("target_antenna_method", ANTENNA)
         one_of("polarisation_method", ("scalar", "mueller"))

@@ -189,6 +189,30 @@ def nearest_any(
     return met.where(F.col("distance") <= radius).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def nearest_in_degrees(points: DataFrame, targets: DataFrame, carry: tuple[str, ...] = (), n_points: int | None = None) -> DataFrame:
+    """(target_id, sample_id, distance, carry): for each target the point nearest in plain degrees, longitude and latitude as a plane.
+
+    No radius: the pyramid of near_cubes() over the plane finds the cells that matter. Equal distances (their squares to nine digits) go by sample_id. Rows
+    without a position match nothing.
+    """
+    whole = 512.0  # wider than any distance on the plane of degrees
+    count = points.count() if n_points is None else n_points
+    levels = max(1, round(math.log2(whole / max(0.25 * math.sqrt(360 * 180 / max(1, count)), 1e-4))))
+
+    def laid(df: DataFrame, *columns: str) -> DataFrame:
+        good = F.col("longitude").isNotNull() & F.col("latitude").isNotNull() & ~F.isnan("longitude") & ~F.isnan("latitude")
+        own = df.where(good).select(*columns, F.col("longitude").alias("_x"), F.col("latitude").alias("_y"), F.lit(0.0).alias("_z"))
+        return own.withColumns({f"_c{a}": F.floor(F.col(f"_{a}") / (whole / 2**levels)).cast("long") for a in "xyz"})
+
+    s, t = laid(points, "sample_id", *carry), laid(targets, "target_id")
+    pairs = near_cubes(s, t, whole, 1, (), levels)
+    t = t.select("target_id", F.col("_x").alias("_tx"), F.col("_y").alias("_ty"), *(F.col(f"_c{a}").alias(f"_b{a}") for a in "xyz"))
+    met = t.join(pairs, ["_bx", "_by", "_bz"]).join(s, ["_cx", "_cy", "_cz"])
+    gap = (F.col("_x") - F.col("_tx")) ** 2 + (F.col("_y") - F.col("_ty")) ** 2
+    best = F.min_by(F.struct("sample_id", F.sqrt(gap).alias("distance"), *carry), F.struct(F.round(gap, 9), "sample_id"))
+    return met.groupBy("target_id").agg(best.alias("_b")).select("target_id", "_b.*")
+
+
 def assign_cells(samples: DataFrame, grid: str | Grid, projection: str | None = None) -> DataFrame:
     """samples with cell_row, cell_col and the arc to the centre of the cell they fall into: no join at all."""
     g = GRIDS[grid] if isinstance(grid, str) else grid

@@ -74,11 +74,14 @@ def global_attributes(config: Config, product: DataFrame, now: datetime | None =
     }
 
 
-def write_product(product: DataFrame, path: str, config: Config, mode: str = "errorifexists") -> None:
-    """product under path/data, partitioned by band, and its attributes under path/attributes."""
+def write_product(product: DataFrame, path: str, config: Config, mode: str = "errorifexists", orphans: DataFrame | None = None) -> None:
+    """product under path/data, partitioned by band, its attributes under path/attributes, and the samples' flags under path/orphans."""
     spark = product.sparkSession
     described = product.select(*(F.col(f.name).alias(f.name, metadata=variable_attributes(f.name, " ".join(config.target_band), resolution_km(config.grid_definition)) or {}) for f in product.schema))
     described.write.mode(mode).partitionBy("band").parquet(f"{path}/data")
+    if orphans is not None:
+        told = variable_attributes("regridding_l1b_orphans", " ".join(config.source_band), resolution_km(config.grid_definition))
+        orphans.select(*(F.col(c).alias(c, metadata=told) if c == "regridding_l1b_orphans" else c for c in orphans.columns)).write.mode(mode).partitionBy("band").parquet(f"{path}/orphans")
     text = json.dumps(global_attributes(config, product), indent=1)
     spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode(mode).text(f"{path}/attributes", lineSep="\n\n")
 

@@ -75,14 +75,19 @@ def _footprints(spark: SparkSession, c: Config, band: str, target: float) -> rec
         tilt = math.radians(TILT[c.type])
         reach = max(footprint_radius(tilt, HEIGHT[c.type], p.widest()) for p in held.values())
         source = reconstruct.Projected({k: p.scalar for k, p in held.items()}, tilt, reach, body_scan=c.type != "SMAP")
-    return reconstruct.Footprints(c.MRF_grid_definition, *c.source_gaussian_params, aim, threshold=c.source_antenna_threshold, target_threshold=least, turned=_turned(c), target_turned=c.grid_type == "L1R" and c.target_gaussian_params[0] != c.target_gaussian_params[1], source=source)
+    return reconstruct.Footprints(c.MRF_grid_definition, *c.source_gaussian_params, aim, threshold=c.source_antenna_threshold, target_threshold=least, turned=is_turned(c), target_turned=is_target_turned(c), source=source)
 
 
-def _turned(c: Config) -> bool:
+def is_turned(c: Config) -> bool:
     """Whether the samples' footprints are ellipses, whose angle counts."""
     return c.source_antenna_method == "gaussian" and c.source_gaussian_params[0] != c.source_gaussian_params[1]
 
 
+def is_target_turned(c: Config) -> bool:
+    """Whether a target band's footprints are."""
+    return c.grid_type == "L1R" and c.target_gaussian_params[0] != c.target_gaussian_params[1]
+
+
 def with_angle(df: DataFrame) -> DataFrame:
     """df with the angle by which each row's footprint is turned, from its nadir point."""
     if missing := {"sub_satellite_lon", "sub_satellite_lat"} - set(df.columns):
@@ -158,10 +163,10 @@ def regrid(spark: SparkSession, samples: DataFrame, config: Config, targets: Dat
     if c.search_radius is None and c.grid_type == "L1C" and c.regridding_algorithm in ("NN", "DIB", "IDS"):
         return _without_search(samples, c, variables, noise)
     weighed = c.regridding_algorithm in ("BG", "RSIR")
-    turned = _turned(c) and c.regridding_algorithm in ("BG", "RSIR", "LW", "CG")
+    turned = is_turned(c) and c.regridding_algorithm in ("BG", "RSIR", "LW", "CG")
     if turned:
         samples = with_angle(samples)
-    if weighed and c.grid_type == "L1R" and c.target_gaussian_params[0] != c.target_gaussian_params[1]:
+    if weighed and is_target_turned(c):
         targets = with_angle(targets)
     out = None
     for band in c.source_band:
@@ -197,18 +202,36 @@ def _without_search(samples: DataFrame, c: Config, variables: list[str], noise:
 
 
 def unused(spark: SparkSession, samples: DataFrame, config: Config, targets: DataFrame | None = None) -> DataFrame:
-    """samples with used: 1 if a target took the sample. Without a radius a cell takes what falls into it, for NN the nearest."""
+    """samples with used: 1 if a target took the sample. Without a radius a cell takes what falls into it, for NN the nearest.
+
+    Each band is searched by itself. Inversions use every sample.
+    """
+    if config.regridding_algorithm in ("LW", "CG"):
+        return samples.withColumn("used", F.lit(1))
     if config.search_radius is None and targets is None:
         cells = neighbours.assign_cells(samples, config.grid_definition, config.projection_definition).where("cell_row is not null and cell_col is not null")
         if config.rows:
             cells = cells.where(F.col("cell_row").between(*config.rows) & F.col("cell_col").between(*config.cols))
+        keys = [k for k in ("band", "scan_direction") if k in samples.columns]
         if config.regridding_algorithm == "NN":
-            keys = [k for k in ("band", "scan_direction") if k in samples.columns]
             cells = simple.nn(cells.withColumn("_sample", F.col("sample_id")), [*keys, "cell_row", "cell_col"], ["_sample"]).select(*keys, F.col("_sample").alias("sample_id"))
-        return neighbours.used_samples(samples, cells, tuple(k for k in ("scan_direction",) if k in samples.columns))
+        return neighbours.used_samples(samples, cells, tuple(keys))
     aims = targets if targets is not None else neighbours.grid_targets(spark, config.grid_definition, config.projection_definition, config.rows, config.cols)
-    near = neighbours.nearest_any(samples, aims, config.search_radius, config.max_neighbours, ("scan_direction",), n_targets=None if targets is not None else _cells(config))
-    return neighbours.used_samples(samples, near, ("scan_direction",))
+    out = None
+    for band in config.source_band:
+        own = samples.where(F.col("band") == band) if "band" in samples.columns else samples
+        near = neighbours.nearest_any(own, aims, config.search_radius, config.max_neighbours, ("scan_direction",), n_targets=None if targets is not None else _cells(config))
+        used = neighbours.used_samples(own, near, ("scan_direction",))
+        if "band" not in samples.columns:
+            return used
+        out = used if out is None else out.unionByName(used)
+    return out
+
+
+def orphan_flags(spark: SparkSession, samples: DataFrame, config: Config, targets: DataFrame | None = None) -> DataFrame:
+    """(band, scan_direction, scan_number, sample_number, feed_horn_number, regridding_l1b_orphans): 1 for each sample that a run used, else 0."""
+    place = [c for c in ("band", "scan_direction", "scan_number", "sample_number", "feed_horn_number") if c in samples.columns]
+    return unused(spark, samples, config, targets).select(*place, F.col("used").alias("regridding_l1b_orphans"))
 
 
 def as_samples(product: DataFrame, variables: list[str], keep: bool = False) -> DataFrame:

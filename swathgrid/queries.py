@@ -137,20 +137,19 @@ def cell_sql(g: Grid, x: str = "x", y: str = "y") -> tuple[str, str]:
 # ---- grids
 
 
+_AXES = [(g.name, a, n, g.first(a), g.step(a) * (1 if a == "x" else -1)) for g in GRIDS.values() for a, n in (("x", g.n_cols), ("y", g.n_rows))]
+
+
 @query(
-    "SELECT * FROM ("
-    + " UNION ALL ".join(
-        f"SELECT '{g.name}' AS grid, '{a}' AS axis, CAST(i AS BIGINT) AS idx, {r(f'{g.first(a)!r}e0{sign}i*{g.step(a)!r}e0', 3, 'centre')} FROM range({n}) t(i)"
-        for g in GRIDS.values() for a, n, sign in (("x", g.n_cols, "+"), ("y", g.n_rows, "-"))
-    )
-    + ")"
-)
+    f"SELECT event_id AS sample_id, grid, axis, event_id % n AS idx, {r('f + (event_id % n) * d', 3, 'centre')} FROM events, (VALUES "
+    + ", ".join(f"('{name}', '{axis}', {n}, {first!r}e0, {step!r}e0)" for name, axis, n, first, step in _AXES)
+    + ") t(grid, axis, n, f, d)"
+)
 def grid_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centres of the columns and rows of all twenty grids."""
-    rows = [(g.name, a, n, g.first(a), g.step(a) * (1 if a == "x" else -1)) for g in GRIDS.values() for a, n in (("x", g.n_cols), ("y", g.n_rows))]
-    axes = spark.createDataFrame(rows, "grid string, axis string, n int, first double, step double")
-    out = axes.select("grid", "axis", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("idx"), "first", "step")
-    return rounded(out.select("grid", "axis", "idx", (F.col("first") + F.col("idx") * F.col("step")).alias("centre")), 3, "centre")
+    """For each event a column and a row of each of the twenty grids by its number, and their centres."""
+    axes = F.array(*(F.struct(F.lit(name).alias("grid"), F.lit(axis).alias("axis"), F.lit(n).cast("long").alias("n"), F.lit(first).alias("first"), F.lit(step).alias("step")) for name, axis, n, first, step in _AXES))
+    out = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("sample_id"), F.inline(axes)).withColumn("idx", F.col("sample_id") % F.col("n"))
+    return rounded(out.select("sample_id", "grid", "axis", "idx", (F.col("first") + F.col("idx") * F.col("step")).alias("centre")), 3, "centre")
 
 
 def _area_sql() -> str:
@@ -158,15 +157,20 @@ def _area_sql() -> str:
     x, y = centre_sql(g)
     lat = inverse_sql("PS_N", "x", "y")[1]
     k = f"({geo._true_at(70)!r}e0*{t_sql('lat')}*sqrt(1e0-{geo._C2!r}e0*sin(radians(lat))*sin(radians(lat)))/(cos(radians(lat))*{geo.A}e0))"
-    return f"""WITH a AS (SELECT i // {g.n_cols} AS cell_row, i % {g.n_cols} AS cell_col FROM range({g.n_cols * g.n_rows}) t(i)),
+    fx, fy = forward_sql("PS_N")
+    row, col = cell_sql(g, "px", "py")
+    return f"""WITH {S}, p AS (SELECT sample_id, {fx} AS px, {fy} AS py FROM s WHERE latitude > 60), a AS (SELECT sample_id, {row} AS cell_row, {col} AS cell_col FROM p),
 b AS (SELECT *, {x} AS x, {y} AS y FROM a), l AS (SELECT *, {lat} AS lat FROM b)
-SELECT CAST(cell_row AS BIGINT) AS cell_row, CAST(cell_col AS BIGINT) AS cell_col, {r(f"{g.res * g.res}e0/({k}*{k})", 0, "area")} FROM l"""
+SELECT sample_id, CAST(cell_row AS BIGINT) AS cell_row, CAST(cell_col AS BIGINT) AS cell_col, {r(f"{g.res * g.res}e0/({k}*{k})", 0, "area")} FROM l"""
 
 
 @query(_area_sql())
 def grid_area_stereo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = neighbours.grid_targets(spark, "STEREO_N25km")
-    return rounded(t.select("cell_row", "cell_col", geo.cell_area("STEREO_N25km", F.col("latitude")).alias("area")), 0, "area")
+    """The area of the cell that each northern sample falls into."""
+    g = GRIDS["STEREO_N25km"]
+    placed = neighbours.assign_cells(samples(spark, sf_dir).where("latitude > 60"), g)
+    lat = geo.xy_to_lonlat("PS_N", *geo.cell_centre(g, F.col("cell_row"), F.col("cell_col")))[1]
+    return rounded(placed.select("sample_id", "cell_row", "cell_col", geo.cell_area(g.name, lat).alias("area")), 0, "area")
 
 
 @query(f"WITH {S}, p AS (SELECT sample_id, {forward_sql('G')[0]} AS x, {forward_sql('G')[1]} AS y FROM s) SELECT sample_id, {r('(405)/2e0-y/36032.22e0', 6, 'row')}, {r('(963)/2e0+x/36032.22e0', 6, 'col')} FROM p")
@@ -520,6 +524,18 @@ def l1r_ids_wide_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_l1r(spark, sf_dir, "IDS", ("bt_h",), 1e7).select("scan_direction", "target_id", "cell_row", "cell_col", "bt_h", "regridding_n_samples"), 4, "bt_h")
 
 
+@query(
+    f"""WITH {S}, d AS (SELECT a.sample_id AS target_id, b.sample_id, (a.longitude-b.longitude)*(a.longitude-b.longitude)+(a.latitude-b.latitude)*(a.latitude-b.latitude) AS g, b.bt_h
+ FROM s a JOIN s b ON a.scan_number % 2 = 1 AND b.scan_number % 2 = 0)
+SELECT target_id, arg_min(sample_id, {{'g': round(g, 9), 's': sample_id}}) AS sample_id, {r("sqrt(min(g))", 5, "distance")}, {r("arg_min(bt_h, {'g': round(g, 9), 's': sample_id})", 6, "bt_h")} FROM d GROUP BY target_id"""
+)
+def nearest_in_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest sample of the even scans for each sample of the odd ones, in plain degrees and without a radius."""
+    s = samples(spark, sf_dir)
+    out = neighbours.nearest_in_degrees(s.where("scan_number % 2 = 0"), s.where("scan_number % 2 = 1").withColumnRenamed("sample_id", "target_id"), ("bt_h",))
+    return rounded(rounded(out, 5, "distance"), 6, "bt_h")
+
+
 @query()
 def regrid_ids_wide_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All cells of the 36 km grid from six samples within 10 000 km: what the published runs do. For the benchmark: DuckDB needs minutes."""
@@ -772,7 +788,7 @@ def rotate_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s.select("sample_id", *(c.alias(n) for c, n in zip(unit, "xyz", strict=True))), 6, "x", "y", "z")
 
 
-# ---- beams: a small beam of Gaussian gain, written as text and read again
+# ---- beams: a small beam of Gaussian gain as text for tests, and beams of the events' values
 
 
 def beam_text(n: int = 21, centre: tuple[float, float] = (0.03, -0.02)) -> str:
@@ -786,14 +802,26 @@ def beam_text(n: int = 21, centre: tuple[float, float] = (0.03, -0.02)) -> str:
     return "\n".join(lines)
 
 
-def beam_rows(spark: SparkSession) -> DataFrame:
-    texts = spark.createDataFrame([(beam_text(), "beams/C2-12345-E-FR.grd"), (beam_text(centre=(0.0, 0.0)), "beams/C3-12345-E-FR.grd")], "value string, _path string")
-    return beam.beam_points(texts)
+def beam_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beams of four horns whose gains are sums over events, written as `.grd` text by Spark and read again."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    place = (F.col("event_id") % 441).cast("int")
+    sums = e.groupBy((F.col("user_id") % 4 + 1).alias("horn"), place.alias("at")).agg(F.sum("value").alias("g"))
+    held = sums.groupBy("horn").agg(F.map_from_entries(F.collect_list(F.struct("at", "g"))).alias("gains"))  # 441 places a horn
+
+    def line(at):
+        g = F.coalesce(F.element_at("gains", at), F.lit(0.0))
+        return F.format_string("%.9f 0.0 %.9f %.9f", g * 0.1, g, g * 0.2)
+
+    head = "made for a query\n++++\n1\n1 3 2 1\n0 0\n-0.1 -0.1 0.1 0.1\n21 21 0\n"
+    text = F.concat(F.lit(head), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(440)), line), "\n"))
+    return beam.beam_points(held.select(text.alias("value"), F.format_string("beams/C%d-12345-E-FR.grd", "horn").alias("_path")))
 
 
-#: The two beams of beam_rows(): places, gains of nine digits as in the text, and the shift of the largest one to the centre.
-_BEAMS = """p AS (SELECT 'C' AS band, CAST(horn AS INTEGER) AS horn, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, -0.1e0+0.01e0*i AS u, -0.1e0+0.01e0*j AS v, cu, cv FROM range(21) a(i), range(21) b(j), (VALUES (2, 0.03e0, -0.02e0), (3, 0e0, 0e0)) c(horn, cu, cv)),
-q AS (SELECT *, exp(-((u-cu)*(u-cu)+(v-cv)*(v-cv))/0.002e0) AS g FROM p),
+#: The beams of beam_rows(): places, gains, and the shift of the largest one to the centre.
+_BEAMS = """g AS (SELECT user_id % 4 + 1 AS horn, event_id % 441 AS at, sum(value) AS g FROM events GROUP BY 1, 2),
+p AS (SELECT 'C' AS band, CAST(horn AS INTEGER) AS horn, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, -0.1e0+0.01e0*i AS u, -0.1e0+0.01e0*j AS v FROM range(21) a(i), range(21) b(j), (SELECT DISTINCT horn FROM g)),
+q AS (SELECT p.*, coalesce(g.g, 0e0) AS g FROM p LEFT JOIN g ON g.horn = p.horn AND g.at = p.i + 21 * p.j),
 k AS (SELECT band, horn, i, j, u, v, round(g, 9) AS co_re, round(0.2e0*g, 9) AS co_im, round(0.1e0*g, 9) AS cross_re, 0e0 AS cross_im FROM q),
 m AS (SELECT horn, arg_max(u, co_re*co_re+co_im*co_im) AS du, arg_max(v, co_re*co_re+co_im*co_im) AS dv FROM k GROUP BY 1),
 b AS (SELECT band, horn, i, j, u-du AS u, v-dv AS v, co_re, co_im, cross_re, cross_im FROM k JOIN m USING (horn))"""
@@ -811,12 +839,12 @@ SELECT c.band, c.horn, i_theta, i_phi, {r("theta", 6, "theta")}, {r("phi", 6, "p
 
 @query(f"WITH {_BEAMS} SELECT band, horn, i, j, {r('u', 6, 'u')}, {r('v', 6, 'v')}, {r('co_re', 6, 'co_re')}, {r('co_im', 6, 'co_im')} FROM b")
 def beam_recentred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(beam.recentre(beam_rows(spark)).select("band", "horn", "i", "j", "u", "v", "co_re", "co_im"), 6, "u", "v", "co_re", "co_im")
+    return rounded(beam.recentre(beam_rows(spark, sf_dir)).select("band", "horn", "i", "j", "u", "v", "co_re", "co_im"), 6, "u", "v", "co_re", "co_im")
 
 
 @query(_beam_polar_sql())
 def beam_polar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    polar = beam.to_polar(beam.recentre(beam_rows(spark)), 5.0, 0.5, 10.0)
+    polar = beam.to_polar(beam.recentre(beam_rows(spark, sf_dir)), 5.0, 0.5, 10.0)
     table = beam.pattern_table(polar)
     return rounded(table, 6, *[c for c in table.columns if c.startswith("g")], "theta", "phi")
 
