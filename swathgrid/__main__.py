@@ -38,7 +38,8 @@ def needed(config: cfg.Config, target: bool = False) -> list[str]:
     if config.regridding_algorithm in ("BG", "RSIR", "LW", "CG"):
         if regrid.is_turned(config) or target and regrid.is_target_turned(config):
             out += ["sub_satellite_lon", "sub_satellite_lat"]
-        out += reconstruct.GEOMETRY if config.source_antenna_method == "instrument" and not target else ()
+        if (config.target_antenna_method if target else config.source_antenna_method) == "instrument":
+            out += [*reconstruct.GEOMETRY, "attitude"]
     return list(dict.fromkeys(out))
 
 

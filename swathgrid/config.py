@@ -104,7 +104,6 @@ class Config:
         # what has no effect in a run is refused, not passed over
         must(self.polarisation_method == "scalar", "patterns are weighed by their scalar gain: polarisation_method must be scalar")
         must(self.source_antenna_method != "gaussian_projected" and self.target_antenna_method != "gaussian_projected", "patterns that are Gaussian in director cosines can't be used in a run")
-        must(self.target_antenna_method == "gaussian" or self.grid_type == "L1C", "a target band has a Gaussian footprint")
         must(not self.boresight_shift, "boresights are not shifted: boresight_shift must be false")
         bands = BANDS[self.type]
         for name in ("source_band", "target_band"):

@@ -94,19 +94,22 @@ class Tabulated:
     below: float = field(default=0.0)  # share of the gain that the threshold took
 
     @classmethod
-    def of(cls, phi, theta, g, threshold: float | None = None, max_theta: float | None = None) -> Tabulated:
-        """g: the eight tables G1h..G4h, G1v..G4v (real and imaginary part of co-, then of cross-polar gain)."""
+    def of(cls, phi, theta, g, threshold: float | None = None, max_theta: float | None = None, total: float | None = None, most: float | None = None) -> Tabulated:
+        """g: the eight tables G1h..G4h, G1v..G4v (real and imaginary part of co-, then of cross-polar gain).
+
+        total, most: sum and maximum of the whole pattern's gain, where g is the part of it that matters.
+        """
         h, v = [g[f"G{k}h"] for k in range(1, 5)], [g[f"G{k}v"] for k in range(1, 5)]
         parts = [h[0] + 1j * h[1], h[2] + 1j * h[3], v[0] + 1j * v[1], v[2] + 1j * v[3]]
         norm = cls._norm(*parts)
-        total = norm.sum()
+        total = norm.sum() if total is None else total
         off = np.zeros(norm.shape, bool)
         if threshold is not None:
-            off |= norm < threshold * norm.max()
+            off |= norm < threshold * (norm.max() if most is None else most)
         if max_theta is not None:
             off |= (np.asarray(theta) > math.radians(max_theta))[None, :]
         out = cls(np.asarray(phi), np.asarray(theta), *(np.where(off, 0, p / total) for p in parts))
-        out.below = float(norm[off].sum() / total)
+        out.below = float(1 - norm[~off].sum() / total)
         return out
 
     @staticmethod
@@ -147,18 +150,21 @@ class Tabulated:
         return float(self.theta[int(none.argmax())] if none.any() and none.argmax() else self.theta[-1])
 
 
-def antenna_axes(tilt: float, scan: float, offset_phi: float = 0.0, offset_theta: float = 0.0) -> np.ndarray:
-    """Rows: x, y and z axis of the antenna (z: boresight) in the satellite's frame. Radians."""
-    t, s = tilt + offset_theta, scan + offset_phi
-    z = np.array([-math.sin(t) * math.cos(s), math.sin(t) * math.sin(s), -math.cos(t)])
-    y = np.array([-math.cos(t) * math.cos(s), math.cos(t) * math.sin(s), math.sin(t)])
-    return np.stack([np.cross(y, z), y, z])
+def antenna_axes(tilt, scan, offset_phi=0.0, offset_theta=0.0) -> np.ndarray:
+    """Rows: x, y and z axis of the antenna (z: boresight) in the satellite's frame, for one antenna or an array of them. Radians."""
+    t, s = np.broadcast_arrays(np.asarray(tilt + offset_theta, float), np.asarray(scan + offset_phi, float))
+    z = np.stack([-np.sin(t) * np.cos(s), np.sin(t) * np.sin(s), -np.cos(t)], -1)
+    y = np.stack([-np.cos(t) * np.cos(s), np.cos(t) * np.sin(s), np.sin(t)], -1)
+    return np.stack([np.cross(y, z), y, z], -2)
 
 
 def attitude_from_motion(position: np.ndarray, velocity: np.ndarray) -> np.ndarray:
-    """The satellite's frame (rows: axes in Earth-fixed coordinates) for flight along the velocity, z upwards."""
-    y, z = velocity / np.linalg.norm(velocity), position / np.linalg.norm(position)
-    return geo.change_of_frame(np.stack([np.cross(y, z), y, z]), np.eye(3))
+    """The satellite's frame (rows: axes in Earth-fixed coordinates) for flight along the velocity, z upwards; for one place or an array."""
+    y, z = velocity / np.linalg.norm(velocity, axis=-1, keepdims=True), position / np.linalg.norm(position, axis=-1, keepdims=True)
+    axes = np.stack([np.cross(y, z), y, z], -2)
+    if (np.abs(np.linalg.det(axes)) < 1e-12).any():
+        raise ValueError("a velocity points straight up or down")
+    return np.linalg.inv(np.swapaxes(axes, -1, -2))
 
 
 def boresight_to_earth(position: np.ndarray, attitude: np.ndarray, axes: np.ndarray) -> tuple[float, float]:
@@ -176,18 +182,19 @@ def boresight_to_earth(position: np.ndarray, attitude: np.ndarray, axes: np.ndar
 
 
 def to_earth(gain, lon: np.ndarray, lat: np.ndarray, position: np.ndarray, attitude: np.ndarray, axes: np.ndarray) -> np.ndarray:
-    """Shares of a pattern over places on the ground. gain(phi, theta): an antenna's gain, as Tabulated.scalar."""
+    """Shares of a pattern over places on the ground, for one sample or many (first axis of all). gain(phi, theta): as Tabulated.scalar."""
     ground = np.stack(geo.to_ecef(lon, lat, NUMPY), -1)
     normal = -ground / np.array([6378137.0, 6378137.0, 6356752.0]) ** 2
     normal /= np.linalg.norm(normal, axis=-1, keepdims=True)
-    ray = ground - position
+    ray = ground - position[..., None, :]
     ray /= np.linalg.norm(ray, axis=-1, keepdims=True)
     facing = (normal * ray).sum(-1)
-    x, y, z = np.moveaxis(np.clip(ray @ attitude.T @ axes.T, -1, 1), -1, 0)
+    x, y, z = np.moveaxis(np.clip(ray @ np.swapaxes(axes @ attitude, -1, -2), -1, 1), -1, 0)
     flat = np.hypot(x, y)
-    phi = np.sign(y) * np.arccos(np.divide(x, flat, out=np.ones_like(x), where=flat > 0))
+    phi = np.sign(y) * np.arccos(np.clip(np.divide(x, flat, out=np.ones_like(x), where=flat > 0), -1, 1))
     out = gain(np.where(phi < 0, phi + 2 * math.pi, phi), np.arccos(z)) * np.maximum(facing, 0)
-    return out / out.sum() if out.any() else out
+    total = out.sum(-1, keepdims=True)
+    return np.divide(out, total, out=np.zeros_like(out), where=total > 0)
 
 
 # ---- local windows of an integration grid

@@ -26,7 +26,7 @@ from ..catalog import GRIDS, Grid
 from ..functions import geo
 from ..functions.geo import NUMPY
 from ..functions.patterns import gaussian_radius, gaussian_raw, normalised
-from .reconstruct import ANGLE, Footprints
+from .reconstruct import ANGLE, Footprints, needed_columns
 
 #: Samples of a tile that are put into one matrix.
 PIECE = 4096
@@ -119,9 +119,10 @@ def invert(samples: DataFrame, variables: list[str], f: Footprints, method: str
     that are stopped long before they converge can magnify.
     """
     g, (solve, solve_normal) = GRIDS[f.grid], METHODS[method]
-    rim = max(1, math.ceil(buffer * gaussian_radius(f.sigma_x, f.sigma_y, f.threshold) / g.res))
+    reach = f.source.radius if f.source else gaussian_radius(f.sigma_x, f.sigma_y, f.threshold)
+    rim = max(1, math.ceil(buffer * reach / g.res))
     row, col = geo.nearest_cell(g, *geo.lonlat_to_xy(g.projection, F.col("longitude"), F.col("latitude")))
-    own = samples.select("sample_id", *keys, "longitude", "latitude", *variables, *((ANGLE,) if f.turned else ()), row.cast("int").alias("_r"), col.cast("int").alias("_c")).where("_r is not null")
+    own = samples.select("sample_id", *keys, "longitude", "latitude", *variables, *needed_columns(f), row.cast("int").alias("_r"), col.cast("int").alias("_c")).where("_r is not null")
     last_r, last_c = (g.n_rows - 1) // tile, (g.n_cols - 1) // tile
 
     def named(at: str, last: int):
@@ -147,6 +148,10 @@ def invert(samples: DataFrame, variables: list[str], f: Footprints, method: str
         return rr.ravel(), cc.ravel()
 
     def matrix(pdf: pd.DataFrame, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+        if f.source:  # an instrument's pattern: every sample on all cells of the tile
+            wide = (len(pdf), len(lon))
+            held = {c: pdf[c].to_numpy(float)[:, None] for c in f.source.columns}
+            return f.source.on(np.broadcast_to(lon, wide), np.broadcast_to(lat, wide), np.broadcast_to(True, wide), held)[:, 0]
         s_lon, s_lat = (pdf[c].to_numpy(float)[:, None] for c in ("longitude", "latitude"))
         alpha = pdf[ANGLE].to_numpy(float)[:, None] if f.turned else f.alpha
         return normalised(gaussian_raw(lon[None, :], lat[None, :], s_lon, s_lat, f.sigma_x, f.sigma_y, alpha, NUMPY), f.threshold)

@@ -33,9 +33,11 @@ def grid_targets(spark, grid: str | Grid, projection: str | None = None, rows: t
     return cells.select((F.col("cell_row") * g.n_cols + F.col("cell_col")).alias("target_id"), "cell_row", "cell_col", lon.alias("longitude"), lat.alias("latitude"))
 
 
-def band_targets(samples: DataFrame, num_samples: int | None = None) -> DataFrame:
-    """Another band's samples as targets, keyed by their own id (cell_row is the scan, cell_col the sample)."""
-    return samples.select(F.col("sample_id").alias("target_id"), F.col("scan_number").alias("cell_row"), F.col("sample_number").alias("cell_col"), "longitude", "latitude", *(c for c in ("sub_satellite_lon", "sub_satellite_lat") if c in samples.columns))
+def band_targets(samples: DataFrame) -> DataFrame:
+    """Another band's samples as targets, keyed by their own id (cell_row is the scan, cell_col the sample), with what their footprints need."""
+    more = ("sub_satellite_lon", "sub_satellite_lat", "x_position", "y_position", "z_position", "x_velocity", "y_velocity", "z_velocity", "processing_scan_angle", "feed_horn_number", "attitude")
+    place = F.col("sample_id").alias("target_id"), F.col("scan_number").alias("cell_row"), F.col("sample_number").alias("cell_col")
+    return samples.select(*place, "longitude", "latitude", *(c for c in more if c in samples.columns))
 
 
 def _checked(radius: float, k: int) -> None:

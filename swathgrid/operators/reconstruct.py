@@ -45,11 +45,13 @@ class Footprints:
     turned: bool = False
     target_turned: bool = False
     source: Projected | None = None  # an instrument's patterns instead of Gaussian ones for the samples
+    aim: Projected | None = None  # and for targets of another band
 
 
 #: The column of a footprint's angle, in radians (patterns.nadir_angle).
 ANGLE = "footprint_angle"
 #: Columns of a sample that a projected antenna pattern needs.
+ATTITUDE = tuple(f"attitude_{i}" for i in range(9))
 GEOMETRY = ("x_position", "y_position", "z_position", "x_velocity", "y_velocity", "z_velocity", "processing_scan_angle", "feed_horn_number")
 
 
@@ -59,6 +61,7 @@ class Projected:
 
     tilt and offsets (phi, theta of each horn) are in radians. radius: metres beyond which a footprint is
     nothing. body_scan: scan angles count from the flight direction; otherwise from a quarter turn off it.
+    attitude: samples have the satellite's frame in ATTITUDE; where an element is missing, and without it, the frame follows from the motion.
     """
 
     gains: dict[int, Callable[[np.ndarray, np.ndarray], np.ndarray]]
@@ -66,18 +69,34 @@ class Projected:
     radius: float
     offsets: dict[int, tuple[float, float]] | None = None
     body_scan: bool = True
+    attitude: bool = False
+
+    @property
+    def columns(self) -> tuple[str, ...]:
+        """What it needs of a sample."""
+        return GEOMETRY + ATTITUDE if self.attitude else GEOMETRY
 
     def on(self, lon: np.ndarray, lat: np.ndarray, inside: np.ndarray, sample: dict[str, np.ndarray]) -> np.ndarray:
         """Shares (targets x samples x cells) on windows; samples that don't exist have NaN in their columns."""
         shape = sample["x_position"].shape
         out = np.zeros((*shape, lon.shape[1]))
-        for t, k in zip(*np.nonzero(~np.isnan(sample["x_position"])), strict=True):
-            at = {c: sample[c][t, k] for c in GEOMETRY}
-            position, velocity = (np.array([at[f"{a}_{w}"] for a in "xyz"]) for w in ("position", "velocity"))
-            horn, scan = int(at["feed_horn_number"]), math.radians(at["processing_scan_angle"])
-            axes = antenna_axes(self.tilt, scan if self.body_scan else math.pi / 2 - scan, *(self.offsets or {}).get(horn, (0.0, 0.0)))
-            share = to_earth(self.gains[horn], lon[t], lat[t], position, attitude_from_motion(position, velocity), axes) * inside[t]
-            out[t, k] = share / share.sum() if share.any() else 0.0
+        t, k = np.nonzero(~np.isnan(sample["x_position"]))
+        at = {c: sample[c][t, k] for c in self.columns}
+        position, velocity = (np.stack([at[f"{a}_{w}"] for a in "xyz"], -1) for w in ("position", "velocity"))
+        frame, scan, horn = attitude_from_motion(position, velocity), np.radians(at["processing_scan_angle"]), at["feed_horn_number"].astype(int)
+        if self.attitude:
+            given = np.stack([at[c] for c in ATTITUDE], -1).reshape(-1, 3, 3)
+            whole = ~np.isnan(given).any((1, 2))
+            frame[whole] = given[whole]
+        for h in np.unique(horn).tolist():
+            own = np.flatnonzero(horn == h)
+            axes = antenna_axes(self.tilt, scan[own] if self.body_scan else math.pi / 2 - scan[own], *(self.offsets or {}).get(h, (0.0, 0.0)))
+            step = max(1, 4 * STACK // lon.shape[1])
+            for i in range(0, len(own), step):  # all samples of a stack at once, as far as a core's cache goes
+                some = own[i : i + step]
+                share = to_earth(self.gains[h], lon[t[some]], lat[t[some]], position[some], frame[some], axes[i : i + step]) * inside[t[some]]
+                total = share.sum(-1, keepdims=True)
+                out[t[some], k[some]] = np.divide(share, total, out=np.zeros_like(share), where=total > 0)
         return out
 
 
@@ -199,7 +218,8 @@ def _prepared(neighbours: DataFrame, samples: DataFrame, targets: DataFrame, col
     else:
         s = samples.select("sample_id", *keys, F.col("longitude").alias("s_lon"), F.col("latitude").alias("s_lat"), *columns)
         rows = neighbours.select(*keys, "target_id", "sample_id", "distance", "rank").join(s, ["sample_id", *keys])
-    t = targets.select("target_id", F.col("cell_row").cast("long").alias("cell_row"), F.col("cell_col").cast("long").alias("cell_col"), F.col("longitude").alias("t_lon"), F.col("latitude").alias("t_lat"), *(F.col(c).alias(f"t_{c}") for c in (ANGLE,) if c in targets.columns))
+    own = (*GEOMETRY, *ATTITUDE, ANGLE)
+    t = targets.select("target_id", F.col("cell_row").cast("long").alias("cell_row"), F.col("cell_col").cast("long").alias("cell_col"), F.col("longitude").alias("t_lon"), F.col("latitude").alias("t_lat"), *(F.col(c).alias(f"t_{c}") for c in own if c in targets.columns))
     return rows.join(t, "target_id")
 
 
@@ -217,7 +237,7 @@ def _halves(f: Footprints, t_lon: np.ndarray, t_lat: np.ndarray, s_lon: np.ndarr
     if g.projection == "G":
         off[1] = np.minimum(off[1], g.n_cols - off[1])
     source = f.source.radius if f.source else gaussian_radius(f.sigma_x, f.sigma_y, f.threshold)
-    target = gaussian_radius(*(f.target if isinstance(f.target, tuple) else (f.target, f.target)), f.target_threshold)
+    target = f.aim.radius if f.aim else gaussian_radius(*(f.target if isinstance(f.target, tuple) else (f.target, f.target)), f.target_threshold)
     around, own = (math.ceil(x / g.res) + 1 for x in (source, target))
     halves = np.stack([np.maximum(x.max(1) + around, own) for x in off], axis=1)
     return np.minimum(halves, [g.n_rows, (g.n_cols - 1) // 2 if g.projection == "G" else g.n_cols]).astype(int)
@@ -239,26 +259,28 @@ def _stacks(lon: np.ndarray, halves: np.ndarray) -> Iterator[tuple[np.ndarray, i
 def _sources(window: tuple, f: Footprints, stacked: Callable, at: np.ndarray, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
     """The samples' patterns on the windows of a stack."""
     if f.source:
-        return f.source.on(*window, {c: stacked(c)[at][:, : lon.shape[1]] for c in GEOMETRY})
+        return f.source.on(*window, {c: stacked(c)[at][:, : lon.shape[1]] for c in f.source.columns})
     alpha = stacked(ANGLE)[at][:, : lon.shape[1], None] if f.turned else f.alpha
     return np.nan_to_num(_gaussians(*window, lon, lat, f.sigma_x, f.sigma_y, alpha, f.threshold))
 
 
 def _aims(window: tuple, f: Footprints, stacked: Callable, at: np.ndarray, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
     """The targets' own patterns on the windows of a stack: targets x cells."""
+    if f.aim:
+        return f.aim.on(*window, {c: stacked(f"t_{c}")[at][:, :1] for c in f.aim.columns})[:, 0]
     sx, sy = f.target if isinstance(f.target, tuple) else (f.target, f.target)
     alpha = stacked(f"t_{ANGLE}")[at][:, :1, None] if f.target_turned else 0.0
     return _gaussians(*window, lon[:, None], lat[:, None], sx, sy, alpha, f.target_threshold)[:, 0]
 
 
-def _columns(f: Footprints) -> list[str]:
+def needed_columns(f: Footprints) -> list[str]:
     """What a footprint needs of its sample, beside the position."""
-    return list(GEOMETRY) if f.source else [ANGLE] if f.turned else []
+    return list(f.source.columns) if f.source else [ANGLE] if f.turned else []
 
 
 def backus_gilbert(neighbours: DataFrame, samples: DataFrame, targets: DataFrame, variables: list[str], f: Footprints, smoothing: float = 0.0, noise: list[str] = (), uncertainty: float = 0.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, target_id, cell_row, cell_col, variables, noise). Targets without weights give NULL."""
-    rows = _prepared(neighbours, samples, targets, [*variables, *noise, *_columns(f)], keys)
+    rows = _prepared(neighbours, samples, targets, [*variables, *noise, *needed_columns(f)], keys)
 
     def solve(t_lon: np.ndarray, t_lat: np.ndarray, stacked: Callable) -> dict[str, np.ndarray]:
         lon, lat = stacked("s_lon"), stacked("s_lat")
@@ -285,7 +307,7 @@ def reconstruct_rsir(neighbours: DataFrame, samples: DataFrame, targets: DataFra
     """(keys, target_id, cell_row, cell_col, variables). With 0 iterations the start value is read through the target's pattern."""
     if iterations < 0:
         raise ValueError("the number of iterations must not be negative")
-    rows = _prepared(neighbours, samples, targets, [*variables, *_columns(f)], keys)
+    rows = _prepared(neighbours, samples, targets, [*variables, *needed_columns(f)], keys)
 
     def solve(t_lon: np.ndarray, t_lat: np.ndarray, stacked: Callable) -> dict[str, np.ndarray]:
         lon, lat = stacked("s_lon"), stacked("s_lat")

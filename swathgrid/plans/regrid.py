@@ -59,23 +59,29 @@ TILT = {"CIMR": 46.886, "SMAP": 180 - 144.54}
 HEIGHT = {"CIMR": 830000.0, "SMAP": 685000.0}
 
 
-def _footprints(spark: SparkSession, c: Config, band: str, target: float) -> reconstruct.Footprints:
+def _footprints(t: Task, target: float) -> reconstruct.Footprints:
     """Gaussian footprints, or an instrument's patterns from config.antenna_patterns_path projected to the ground.
 
-    A target of another band (L1R) has that band's own Gaussian footprint, a cell one of its size.
+    A target of another band (L1R) has that band's own footprint, a cell a Gaussian one of its size.
     """
-    source, aim, least = None, target, THRESHOLD
+    spark, c, band = t.samples.sparkSession, t.config, t.band
+    attitude, target_attitude = (set(reconstruct.ATTITUDE) <= set(df.columns) for df in (t.samples, t.targets))
+    source, own, aim, least = None, None, target, THRESHOLD
     if c.grid_type == "L1R":
         # a threshold over 1 can't be a share of the largest gain: it is in decibels below it
         aim, least = c.target_gaussian_params, c.target_antenna_threshold if c.target_antenna_threshold < 1 else 10 ** (-c.target_antenna_threshold / 10)
-    if c.source_antenna_method == "instrument":
-        if c.polarisation_method != "scalar":
-            raise ValueError("patterns are weighed by their scalar gain")
-        held = beam.load_patterns(spark, c.antenna_patterns_path, band, c.source_antenna_threshold, c.max_theta_antenna_patterns)
+
+    def projected(of: str, threshold: float, attitude: bool) -> reconstruct.Projected:
+        held = beam.load_patterns(spark, c.antenna_patterns_path, of, threshold, c.max_theta_antenna_patterns)
         tilt = math.radians(TILT[c.type])
         reach = max(footprint_radius(tilt, HEIGHT[c.type], p.widest()) for p in held.values())
-        source = reconstruct.Projected({k: p.scalar for k, p in held.items()}, tilt, reach, body_scan=c.type != "SMAP")
-    return reconstruct.Footprints(c.MRF_grid_definition, *c.source_gaussian_params, aim, threshold=c.source_antenna_threshold, target_threshold=least, turned=is_turned(c), target_turned=is_target_turned(c), source=source)
+        return reconstruct.Projected({k: p.scalar for k, p in held.items()}, tilt, reach, body_scan=c.type != "SMAP", attitude=attitude)
+
+    if c.source_antenna_method == "instrument":
+        source = projected(band, c.source_antenna_threshold, attitude)
+    if c.grid_type == "L1R" and c.target_antenna_method == "instrument":
+        own = projected(c.target_band[0], least, target_attitude)
+    return reconstruct.Footprints(c.MRF_grid_definition, *c.source_gaussian_params, aim, threshold=c.source_antenna_threshold, target_threshold=least, turned=is_turned(c), target_turned=is_target_turned(c), source=source, aim=own)
 
 
 def is_turned(c: Config) -> bool:
@@ -85,7 +91,7 @@ def is_turned(c: Config) -> bool:
 
 def is_target_turned(c: Config) -> bool:
     """Whether a target band's footprints are."""
-    return c.grid_type == "L1R" and c.target_gaussian_params[0] != c.target_gaussian_params[1]
+    return c.grid_type == "L1R" and c.target_antenna_method == "gaussian" and c.target_gaussian_params[0] != c.target_gaussian_params[1]
 
 
 def with_angle(df: DataFrame) -> DataFrame:
@@ -96,16 +102,21 @@ def with_angle(df: DataFrame) -> DataFrame:
     return df.withColumn(reconstruct.ANGLE, angle)
 
 
+def with_attitude(df: DataFrame) -> DataFrame:
+    """df with the nine elements of the satellite's frame as columns, where there is an array of them."""
+    return df.withColumns({n: F.get("attitude", F.lit(i)) for i, n in enumerate(reconstruct.ATTITUDE)}) if "attitude" in df.columns else df
+
+
 def _bg(t: Task) -> DataFrame:
     c = t.config
-    f = _footprints(t.samples.sparkSession, c, t.band, GRIDS[c.grid_definition].res)
+    f = _footprints(t, GRIDS[c.grid_definition].res)
     return reconstruct.backus_gilbert(t.neighbours, t.samples, t.targets, t.variables, f, c.bg_smoothing, t.noise, c.antenna_pattern_uncertainty, ("scan_direction",))
 
 
 def _rsir(t: Task) -> DataFrame:
     """Brightness temperatures are reconstructed; all else, and the noise, follows inverse-square weights."""
     c = t.config
-    f = _footprints(t.samples.sparkSession, c, t.band, GRIDS[c.grid_definition].res / 10)
+    f = _footprints(t, GRIDS[c.grid_definition].res / 10)
     main = [v for v in t.variables if v.startswith("bt_")]
     out = reconstruct.reconstruct_rsir(t.neighbours, t.samples, t.targets, main, f, c.rsir_iteration, ("scan_direction",))
     rest = [v for v in t.variables if v not in main]
@@ -122,9 +133,7 @@ def _inverted(method: str) -> Callable[[Task], DataFrame]:
         c = t.config
         if c.grid_type != "L1C":
             raise ValueError("inversion works on a grid")
-        if c.source_antenna_method != "gaussian":
-            raise ValueError("inversion takes Gaussian footprints")
-        f = _footprints(t.samples.sparkSession, c, t.band, GRIDS[c.grid_definition].res)
+        f = _footprints(t, GRIDS[c.grid_definition].res)
         same = c.MRF_grid_definition == c.grid_definition
         image = inversion.invert(t.samples, t.variables, f, method, c.max_chunk_size, c.chunk_buffer, c.regularisation_parameter, c.max_iterations, c.relative_tolerance, c.rows if same else None, c.cols if same else None, ("scan_direction",))
         if same:
@@ -168,6 +177,12 @@ def regrid(spark: SparkSession, samples: DataFrame, config: Config, targets: Dat
         samples = with_angle(samples)
     if weighed and is_target_turned(c):
         targets = with_angle(targets)
+    instrument = c.source_antenna_method == "instrument" and c.regridding_algorithm in ("BG", "RSIR", "LW", "CG")
+    if instrument:
+        samples = with_attitude(samples)
+    if targets is not None and weighed and c.target_antenna_method == "instrument":
+        targets = with_attitude(targets)
+    geometry = [*reconstruct.GEOMETRY, *(x for x in reconstruct.ATTITUDE if x in samples.columns)] if weighed and instrument else []
     out = None
     for band in c.source_band:
         own = samples.where(F.col("band") == band) if "band" in samples.columns else samples
@@ -175,7 +190,7 @@ def regrid(spark: SparkSession, samples: DataFrame, config: Config, targets: Dat
         near = None
         if c.regridding_algorithm not in ("LW", "CG"):
             # what the algorithm needs of a sample goes along with the search, and the smaller side is spread
-            carried = dict.fromkeys([*variables, *noise, *(("longitude", "latitude") if weighed else ()), *((reconstruct.ANGLE,) if weighed and turned else ()), *(reconstruct.GEOMETRY if weighed and c.source_antenna_method == "instrument" else ())])
+            carried = dict.fromkeys([*variables, *noise, *(("longitude", "latitude") if weighed else ()), *((reconstruct.ANGLE,) if weighed and turned else ()), *geometry])
             near = neighbours.nearest_any(own, aims, c.search_radius, c.max_neighbours, ("scan_direction",), tuple(carried), n_targets=None if targets is not None else _cells(c))
         got = REGISTRY[c.regridding_algorithm](Task(c, own, aims, near, variables, noise, band))
         got = got.withColumn("band", F.lit(band))

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,7 +57,7 @@ def parse(text: str) -> Iterator[tuple]:
                 yield (n, i, j, xcen + xs + dx * i, ycen + ys + dy * j, xcen, ycen, dx, dy, nx, ny, xs, ys, f[2], f[3], f[0], f[1])
 
 
-def read_beams(spark: SparkSession, path: str) -> DataFrame:
+def read_beams(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(band, horn, half_space, POINTS) of all files under path. Points that a file leaves out have gain 0."""
     texts = spark.read.text(path, wholetext=True).withColumn("_path", F.input_file_name())
     return beam_points(texts)
@@ -131,23 +132,67 @@ def share_of_total(points: DataFrame) -> DataFrame:
     return points.withColumn("share", size / F.sum(size).over(Window.partitionBy(*BEAM)))
 
 
-def preprocess(spark: SparkSession, path: str, out: str, max_theta: float = 90.0, res_theta: float = 0.1, res_phi: float = 0.1, centred: bool = True, back: bool = False) -> None:
-    """Files under path to Parquet patterns under out, by band and horn. Backward half-spaces only if asked for."""
-    points = read_beams(spark, path)
-    points = points if back else points.where(F.col("half_space") == "FR")
-    polar = to_polar(recentre(points) if centred else points, max_theta, res_theta, res_phi)
-    pattern_table(polar).write.mode("ignore").partitionBy("band", "horn").parquet(out)
+MANIFEST = "_finished"
 
 
+def _files(spark: SparkSession, path: str, settings: str) -> DataFrame:
+    """(path, length, modificationTime, settings) of the files under path, their content unread."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime", F.lit(settings).alias("settings"))
+
+
+def preprocess(spark: SparkSession, path: str, out: str, max_theta: float = 90.0, res_theta: float = 0.1, res_phi: float = 0.1, centred: bool = True, back: bool = False) -> list[str]:
+    """Files under path to Parquet patterns under out, by band and horn; the paths that were worked on. Backward half-spaces only if asked for.
+
+    A second run does what is new or changed only: finished files stand in a manifest beside the patterns, with size, time
+    and settings. The patterns of a horn are replaced whole, and noted when they are written, so a run that broke off is
+    taken up again. ValueError if a horn has two files for one half-space.
+    """
+    files = _files(spark, path, f"{max_theta} {res_theta} {res_phi} {centred} {back}")
+    parts = name_parts(F.col("path"))
+    named = files.select("*", *(parts[k].alias(k) for k in ("band", "horn", "half_space")))
+    named = named if back else named.where(F.col("half_space") == "FR")
+    if twice := named.groupBy("band", "horn", "half_space").count().where("count > 1").first():
+        raise ValueError(f"band {twice.band} has {twice['count']} files for horn {twice.horn}, half-space {twice.half_space}")
+    try:
+        finished = spark.read.parquet(f"{out}/{MANIFEST}")
+        left = named.join(finished, ["path", "length", "modificationTime", "settings"], "left_anti")
+    except AnalysisException:  # the first run
+        left = named
+    # beams are counted in tens: their names may go to the driver
+    todo = [r[0] for r in named.join(left.select("band", "horn").distinct(), ["band", "horn"], "left_semi").select("path").collect()]
+    if todo:
+        points = read_beams(spark, todo)
+        polar = to_polar(recentre(points) if centred else points, max_theta, res_theta, res_phi)
+        pattern_table(polar).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("band", "horn").parquet(out)
+        files.where(F.col("path").isin(todo)).write.mode("append").parquet(f"{out}/{MANIFEST}")
+    return sorted(todo)
+
+
+#: Lattice points of a band's patterns that go to the driver and from there into the tasks.
+MOST = 4_000_000
+
 
 def load_patterns(spark: SparkSession, path: str, band: str, threshold: float | None = None, max_theta: float | None = None) -> dict[int, Tabulated]:
-    """The patterns of a band's horns that preprocess() wrote. An instrument's lattices are small: they go to the driver."""
-    rows = spark.read.parquet(path).where(F.col("band") == band).toPandas()
+    """The patterns of a band's horns that preprocess() wrote.
+
+    Only the part of the lattice that the threshold leaves goes to the driver (sums and maxima are made by Spark), and
+    not more than MOST points of it: ValueError says so.
+    """
+    rows = spark.read.parquet(path).where(F.col("band") == band)
+    size = lambda p: F.sqrt(sum(F.col(f"g{k}{p}") ** 2 for k in range(1, 5)))
+    norm = 0.5 * (size("h") + size("v"))
+    whole = rows.groupBy("horn").agg(F.sum(norm).alias("_total"), F.max(norm).alias("_most"))
+    held = rows.join(F.broadcast(whole), "horn")  # a row for each horn
+    kept = held.where(norm >= (threshold or 0.0) * F.col("_most"))
+    widest = kept.groupBy("horn").agg(F.max("i_theta").alias("_last"))
+    near = held.join(F.broadcast(widest), "horn").where((F.col("i_theta") <= F.col("_last") + 1) & (F.lit(max_theta is None) | (F.col("theta") <= F.lit(max_theta or 0.0) + 1.0)))
+    if (n := near.count()) > MOST:
+        raise ValueError(f"{n} lattice points of band {band} are too many: raise source_antenna_threshold, or write the patterns on a coarser lattice")
     out = {}
-    for horn, own in rows.groupby("horn"):
+    for horn, own in near.toPandas().groupby("horn"):
         own = own.sort_values(["i_phi", "i_theta"])
         n_phi, n_theta = own["i_phi"].nunique(), own["i_theta"].nunique()
         tables = {f"G{k}{p}": own[f"g{k}{p}"].to_numpy().reshape(n_phi, n_theta) for k in range(1, 5) for p in "hv"}
         phi, theta = np.radians(np.sort(own["phi"].unique())), np.radians(np.sort(own["theta"].unique()))
-        out[int(horn)] = Tabulated.of(phi, theta, tables, threshold, max_theta)
+        out[int(horn)] = Tabulated.of(phi, theta, tables, threshold, max_theta, float(own["_total"].iloc[0]), float(own["_most"].iloc[0]))
     return out

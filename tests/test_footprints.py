@@ -81,7 +81,7 @@ def test_columns_that_nobody_asked_for(spark, rows, tmp_path, capsys):
 
 
 def test_settings_without_effect_are_refused():
-    for wrong in ({"polarisation_method": "mueller"}, {"source_antenna_method": "gaussian_projected"}, {"type": "SMAP", "boresight_shift": True}, {"grid_type": "L1R", "target_band": ("C", "X")}, {"grid_type": "L1R", "target_band": ("C",), "target_antenna_method": "instrument"}):
+    for wrong in ({"polarisation_method": "mueller"}, {"source_antenna_method": "gaussian_projected"}, {"type": "SMAP", "boresight_shift": True}, {"grid_type": "L1R", "target_band": ("C", "X")}, {"MRF_grid_definition": "EASE2_N9km", "MRF_projection_definition": "G"}):
         with pytest.raises(ValueError):
             Config(**wrong)
 

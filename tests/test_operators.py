@@ -342,3 +342,98 @@ def test_a_full_tile_goes_in_pieces(spark, method):
         assert other[at].equals(got[0][at])
         for v in ("bt_h", "bt_v"):
             assert np.allclose(other[v], got[0][v], rtol=1e-6, equal_nan=True)
+
+
+@pytest.fixture(scope="module")
+def instrument():
+    phi, theta = np.linspace(0, 2 * np.pi, 37), np.linspace(0, np.radians(6), 31)
+    g = np.exp(-(theta[None, :] ** 2) / 0.0008) * (1 + 0.3 * np.cos(phi[:, None]))
+    return patterns.Tabulated.of(phi, theta, {f"G{k}{p}": g if k == 1 else 0 * g for k in range(1, 5) for p in "hv"}, threshold=0.05)
+
+
+def flown(n, tilt=math.radians(30), seed=3):
+    """(lon, lat, position, velocity, scan) of samples that a tilted antenna sees from a flight to the east."""
+    rng = np.random.default_rng(seed)
+    position = np.stack(geo.to_ecef(10 + rng.uniform(-1, 1, n), 45 + rng.uniform(-1, 1, n), NUMPY), 1) * (1 + 8e5 / 6.37e6)
+    lon = np.arctan2(position[:, 1], position[:, 0])
+    velocity, scan = np.stack([-np.sin(lon), np.cos(lon), 0 * lon], 1) * 7000, rng.uniform(0, 360, n)
+    frame = patterns.attitude_from_motion(position, velocity)
+    places = [patterns.boresight_to_earth(p, a, x) for p, a, x in zip(position, frame, patterns.antenna_axes(tilt, np.radians(scan)), strict=True)]
+    return *np.array(places).T, position, velocity, scan
+
+
+def columns_of(position, velocity, scan, attitude=None):
+    out = {f"{a}_{w}": x[:, i][:, None] for w, x in (("position", position), ("velocity", velocity)) for i, a in enumerate("xyz")}
+    out |= {"processing_scan_angle": scan[:, None], "feed_horn_number": np.zeros((len(scan), 1))}
+    return out | ({c: attitude.reshape(-1, 9)[:, i][:, None] for i, c in enumerate(reconstruct.ATTITUDE)} if attitude is not None else {})
+
+
+def test_projected_patterns_against_one_at_a_time(instrument):
+    """All samples of a stack at once give what each gives by itself, and the pattern's middle lies where the sample does."""
+    lon, lat, position, velocity, scan = flown(7)
+    cells = np.stack([x.ravel() for x in np.meshgrid(np.linspace(-0.6, 0.6, 25), np.linspace(-0.6, 0.6, 25))])
+    w_lon, w_lat = lon[:, None] + cells[0], lat[:, None] + cells[1]
+    inside = np.ones(w_lon.shape, bool)
+    source = reconstruct.Projected({0: instrument.scalar}, math.radians(30), 1e5)
+    got = source.on(w_lon, w_lat, inside, columns_of(position, velocity, scan))
+    for i in range(7):
+        axes = patterns.antenna_axes(math.radians(30), math.radians(scan[i]))
+        want = patterns.to_earth(instrument.scalar, w_lon[i], w_lat[i], position[i], patterns.attitude_from_motion(position[i], velocity[i]), axes)
+        assert got[i, 0] == pytest.approx(want, abs=1e-12) and got[i, 0].sum() == pytest.approx(1)
+        assert abs((got[i, 0] * w_lon[i]).sum() - lon[i]) < 0.2 and abs((got[i, 0] * w_lat[i]).sum() - lat[i]) < 0.2
+
+
+def test_attitude_of_each_sample(instrument):
+    """The frame from the motion changes nothing, a missing element falls back to it, and a rolled one moves the pattern to where its boresight goes."""
+    lon, lat, position, velocity, scan = flown(6)
+    frame = patterns.attitude_from_motion(position, velocity)
+    roll = math.radians(2)
+    turn = np.array([[math.cos(roll), 0, math.sin(roll)], [0, 1, 0], [-math.sin(roll), 0, math.cos(roll)]])
+    rolled = turn @ frame
+    tilt = math.radians(30)
+    moved = np.array([patterns.boresight_to_earth(p, a, x) for p, a, x in zip(position, rolled, patterns.antenna_axes(tilt, np.radians(scan)), strict=True)])
+    source = reconstruct.Projected({0: instrument.scalar}, tilt, 1e5, attitude=True)
+    plain = reconstruct.Projected({0: instrument.scalar}, tilt, 1e5)
+    cells = np.stack([x.ravel() for x in np.meshgrid(np.linspace(-0.9, 0.9, 37), np.linspace(-0.9, 0.9, 37))])
+
+    def centres(of, at, attitude):
+        w_lon, w_lat = at[:, :1] + cells[0], at[:, 1:] + cells[1]
+        share = of.on(w_lon, w_lat, np.ones(w_lon.shape, bool), columns_of(position, velocity, scan, attitude))[:, 0]
+        return share, np.stack([(share * w_lon).sum(1), (share * w_lat).sum(1)], 1)
+
+    at = np.stack([lon, lat], 1)
+    usual, middle = centres(plain, at, None)
+    same, _ = centres(source, at, frame)
+    assert same == pytest.approx(usual, abs=1e-12)
+    part = frame.copy()
+    part[:, 1, 2] = np.nan
+    assert centres(source, at, part)[0] == pytest.approx(usual, abs=1e-12)
+    _, shifted = centres(source, moved, rolled)
+    # the pattern isn't round, so its centre lies off the boresight: off the moved one by about as much
+    assert np.abs((shifted - moved) - (middle - at)).max() < 0.06 < np.abs(moved - at).max()
+
+
+@pytest.mark.parametrize("method", ["LW", "CG"])
+def test_inversion_with_instrument_patterns(spark, instrument, method):
+    lon, lat, position, velocity, scan = flown(120)
+    held = {c: x[:, 0] for c, x in columns_of(position, velocity, scan).items()}
+    s = points(spark, lon, lat, bt_h=200 + 10 * np.sin(3 * lon), **held)
+    f = reconstruct.Footprints("EASE2_G9km", source=reconstruct.Projected({0: instrument.scalar}, math.radians(30), 60000.0))
+    image = inversion.invert(s, ["bt_h"], f, method, 32, 1.0, 1e-6, 3000 if method == "LW" else 100, 1e-4).toPandas().set_index(["cell_row", "cell_col"])["bt_h"]
+    # of the many images that explain the samples the smallest is found: high where patterns overlap
+    row, col = geo.nearest_cell(GRIDS["EASE2_G9km"], *geo.lonlat_to_xy("G", lon, lat, NUMPY), NUMPY)
+    seen = image.reindex(list(zip(row.tolist(), col.tolist(), strict=True))).to_numpy()
+    assert np.isfinite(seen).all() and 100 < np.median(seen) < 400 and image.notna().sum() < 9000
+
+
+def test_instrument_targets_in_a_run(spark, instrument):
+    """Targets of another band with their own projected patterns: BG and RSIR see the field that both look at."""
+    lon, lat, position, velocity, scan = flown(150)
+    held = {c: x[:, 0] for c, x in columns_of(position, velocity, scan).items()}
+    s = points(spark, lon, lat, bt_h=200 + 0 * lon, **held)
+    t = points(spark, lon[:10], lat[:10], name="target_id", cell_row=np.arange(10), cell_col=np.zeros(10, int), **{c: x[:10] for c, x in held.items()})
+    one = reconstruct.Projected({0: instrument.scalar}, math.radians(30), 60000.0)
+    f = reconstruct.Footprints("EASE2_G9km", source=one, aim=one)
+    n = neighbours.nearest_any(s, t, 1e6, 4)
+    for got in (reconstruct.backus_gilbert(n, s, t, ["bt_h"], f, 1e-3), reconstruct.reconstruct_rsir(n, s, t, ["bt_h"], f, 3)):
+        assert [r.bt_h for r in got.collect()] == pytest.approx([200.0] * 10, rel=1e-6)

@@ -9,9 +9,11 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from swathgrid import __main__ as cli
 from swathgrid import config as cfg
 from swathgrid import queries as q
 from swathgrid.config import Config
+from swathgrid.operators import neighbours
 from swathgrid.plans import product, regrid
 from swathgrid.sources import beam
 from swathgrid.streaming import granules
@@ -149,6 +151,41 @@ def test_beams(spark, tmp_path):
         list(beam.parse(limited.replace("1 3 2 1", "1 3 2 7")))
 
 
+def test_beams_are_taken_up_again(spark, tmp_path):
+    """A second run does nothing, a new or changed file or another setting is worked on alone, two files of a horn are refused."""
+    given, out = tmp_path / "beams", tmp_path / "out"
+    given.mkdir()
+    (given / "C1-12345-E-FR.grd").write_text(q.beam_text())
+    (given / "C2-12345-E-FR.grd").write_text(q.beam_text(centre=(0.0, 0.0)))
+    (given / "C2-12345-E-BK.grd").write_text(q.beam_text())
+    run = lambda *more: [Path(p).name for p in beam.preprocess(spark, str(given), str(out), 3.0, 0.5, 30.0, *more)]
+    assert run() == ["C1-12345-E-FR.grd", "C2-12345-E-FR.grd"]
+    first = {p: p.stat().st_mtime_ns for p in out.rglob("*.parquet") if "band=" in str(p)}
+    assert run() == []
+    (given / "X1-12345-E-FR.grd").write_text(q.beam_text())
+    assert run() == ["X1-12345-E-FR.grd"] and all(p.stat().st_mtime_ns == t for p, t in first.items())
+    assert {(r.band, r.horn) for r in spark.read.parquet(str(out)).select("band", "horn").distinct().collect()} == {("C", 1), ("C", 2), ("X", 1)}
+    (given / "C1-12345-E-FR.grd").write_text(q.beam_text(n=11))
+    assert run() == ["C1-12345-E-FR.grd"] and spark.read.parquet(str(out)).count() == 3 * 91
+    assert len(run(False)) == 3
+    (given / "C1-99999-E-FR.grd").write_text(q.beam_text())
+    with pytest.raises(ValueError):
+        run()
+
+
+def test_unused_samples_in_the_product(spark, tmp_path):
+    """Asked for, each sample's flag is written beside the product, by band and for every method."""
+    rows = q.clean(spark, SMALLEST).where("latitude between 30 and 60").withColumn("band", F.lit("L"))
+    (rows.drop("band", "scan_direction").write.parquet(str(tmp_path / "in" / "L")))
+    c = Config(type="SMAP", path=str(tmp_path / "in"), output_path=str(tmp_path / "out"), grid_definition="EASE2_G36km", regridding_algorithm="IDS", search_radius=15000.0, max_neighbours=1, variables_to_regrid=("bt_h", "regridding_l1b_orphans"), suffix="x")
+    out = cli.run(spark, c)
+    flags = spark.read.parquet(f"{out}/orphans")
+    used = neighbours.nearest_any(rows, neighbours.grid_targets(spark, "EASE2_G36km"), 15000.0, 1, ("scan_direction",)).select("sample_id").distinct().count()
+    assert flags.count() == rows.count() and flags.agg(F.sum("regridding_l1b_orphans")).first()[0] == used and 0 < used < rows.count()
+    assert {"band", "scan_direction", "scan_number", "sample_number", "regridding_l1b_orphans"} <= set(flags.columns)
+    assert "regridding_l1b_orphans" not in spark.read.parquet(f"{out}/data").columns
+
+
 def test_granules_as_a_stream(spark, swath_rows, tmp_path):
     source = str(tmp_path / "in")
     swath_rows.where("sample_id % 2 = 0").coalesce(1).write.parquet(source)
@@ -203,5 +240,5 @@ def test_patterns_from_disk(spark, tmp_path):
     held = load_patterns(spark, str(tmp_path / "out"), "C", 0.001, 2.5)
     assert set(held) == {2} and held[2].hco.shape == (13, 7) and held[2].widest() <= 0.06
     c = Config(type="CIMR", source_band=("C",), target_band=("C",), search_radius=1.0, regridding_algorithm="BG", source_antenna_method="instrument", antenna_patterns_path=str(tmp_path / "out"), source_antenna_threshold=0.001)
-    f = regrid._footprints(spark, c, "C", 9000.0)
+    f = regrid._footprints(regrid.Task(c, spark.range(1), spark.range(1), None, [], [], "C"), 9000.0)
     assert f.source is not None and f.source.radius > 1000 and set(f.source.gains) == {2}
