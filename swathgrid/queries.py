@@ -703,6 +703,97 @@ def rsir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reconstruct.reconstruct_rsir(n, s, t, ["bt_h"], FOOT, 15, WAY), 4, "bt_h")
 
 
+def _rsir_sql() -> str:
+    """Two steps with two samples, cell by cell: means of the patterns, then each sample's factor up or down."""
+    sql = _bg_sql()
+    head = sql[: sql.index("s8 AS (")]
+    step = lambda n, z, x: f"(CASE WHEN {z}>={x} THEN 1e0/((1e0-1e0/sqrt({z}/{x}))/(2e0*{x})+1e0/sqrt({z}/{x})/a) ELSE 0.5e0*{x}*(1e0-sqrt({z}/{x}))+sqrt({z}/{x})*a END)"
+    rounds = ""
+    for n in (1, 2):
+        rounds += f""", f{n} AS (SELECT *, sum(h1*a) OVER v AS x1, sum(h2*a) OVER v AS x2 FROM a{n - 1} WINDOW v AS (PARTITION BY scan_direction, target_id)),
+a{n} AS (SELECT scan_direction, target_id, b1, b2, h1, h2, ht, (CASE WHEN h1>0 THEN h1*{step(n, "b1", "x1")} ELSE 0e0 END + CASE WHEN h2>0 THEN h2*{step(n, "b2", "x2")} ELSE 0e0 END)/(h1+h2) AS a FROM f{n})"""
+    return f"""{head}h AS (SELECT scan_direction, target_id, k1/sum(k1) OVER v AS h1, k2/sum(k2) OVER v AS h2, kt/sum(kt) OVER v AS ht FROM k WINDOW v AS (PARTITION BY scan_direction, target_id)),
+a0 AS (SELECT h.*, b1, b2, (h1*b1+h2*b2)/(h1+h2) AS a FROM h JOIN p USING (scan_direction, target_id) WHERE h1+h2 > 0){rounds},
+o AS (SELECT scan_direction, target_id, sum(ht*a)/sum(ht) AS bt_h FROM a2 GROUP BY 1, 2)
+SELECT p.scan_direction, p.target_id, {r("CASE WHEN lon2 IS NULL THEN b1 ELSE o.bt_h END", 4, "bt_h")} FROM p LEFT JOIN o ON p.scan_direction = o.scan_direction AND p.target_id = o.target_id"""
+
+
+@query(_rsir_sql())
+def rsir_two_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, t, n = near(spark, sf_dir, 2, ("longitude", "latitude", "bt_h"))
+    out = reconstruct.reconstruct_rsir(n, s, t, ["bt_h"], FOOT, 2, WAY)
+    return rounded(out.select("scan_direction", "target_id", "bt_h"), 4, "bt_h")
+
+
+def _inversion_sql(steps: str, last: str) -> str:
+    """Footprints of the northern samples on their tiles' cells as rows, and `steps` over them; `last` names the image."""
+    g, tile, lam = GRIDS["EASE2_N36km"], 32, "0.001e0"
+    reach = patterns.gaussian_radius(60000.0, 60000.0)
+    rim, half = math.ceil(reach / g.res), math.ceil(1.5 * reach / g.res) + 1
+    fx, fy = forward_sql("N")
+    row, col = cell_sql(g, "px", "py")
+    lon, lat = inverse_sql("N", *centre_sql(g))
+    tiles = lambda at, n: f"unnest(range(greatest(CAST(floor(({at}-{rim})/{tile}e0) AS BIGINT),0), least(CAST(floor(({at}+{rim})/{tile}e0) AS BIGINT),{(n - 1) // tile})+1))"
+    inside = lambda at, t, n: f"{at} BETWEEN greatest(0,{t}*{tile}-{rim}) AND least({n - 1},{t}*{tile}+{tile - 1 + rim})"
+    wide = f"2e0*{geo.R_VINCENTY}e0"
+    raw = f"exp(-pow({wide}*asin(cos(radians(latitude))*sin(radians(lon-longitude)/2e0)),2)/(2e0*60000e0*60000e0))*exp(-pow(radians(lat-latitude)*{geo.R_VINCENTY}e0,2)/(2e0*60000e0*60000e0))"
+    return f"""WITH {S}, i0 AS (SELECT *, {fx} AS px, {fy} AS py FROM c WHERE latitude > 0),
+i1 AS (SELECT scan_direction, sample_id, longitude, latitude, bt_h AS y, {row} AS r0, {col} AS c0 FROM i0),
+i2 AS (SELECT *, {tiles("r0", g.n_rows)} AS tr FROM i1), i3 AS (SELECT *, {tiles("c0", g.n_cols)} AS tc FROM i2),
+i4 AS (SELECT *, r0 + unnest(range({-half}, {half + 1})) AS cell_row FROM i3), i5 AS (SELECT *, c0 + unnest(range({-half}, {half + 1})) AS cell_col FROM i4 WHERE {inside("cell_row", "tr", g.n_rows)}),
+i6 AS (SELECT *, {lon} AS lon, {lat} AS lat FROM i5 WHERE {inside("cell_col", "tc", g.n_cols)}), i7 AS (SELECT *, {raw} AS raw FROM i6),
+i8 AS (SELECT *, CASE WHEN raw < 0.001e0*max(raw) OVER v THEN 0e0 ELSE raw END AS k FROM i7 WINDOW v AS (PARTITION BY scan_direction, tr, tc, sample_id)),
+m AS (SELECT scan_direction, tr, tc, sample_id, cell_row, cell_col, y, k/sum(k) OVER v AS a FROM i8 WHERE k > 0 WINDOW v AS (PARTITION BY scan_direction, tr, tc, sample_id)),
+b AS (SELECT scan_direction, tr, tc, cell_row, cell_col, sum(a*y) AS b FROM m GROUP BY 1, 2, 3, 4, 5),
+{steps.replace("LAMBDA", lam)},
+grid AS (SELECT scan_direction, tr, tc, tr*{tile}+i AS cell_row, tc*{tile}+j AS cell_col FROM (SELECT DISTINCT scan_direction, tr, tc FROM i3), range({tile}) q(i), range({tile}) w(j) WHERE tr*{tile}+i < {g.n_rows} AND tc*{tile}+j < {g.n_cols})
+SELECT scan_direction, CAST(cell_row AS BIGINT) AS cell_row, CAST(cell_col AS BIGINT) AS cell_col, {r("v", 2, "bt_h")} FROM grid LEFT JOIN {last} USING (scan_direction, tr, tc, cell_row, cell_col)"""
+
+
+def _seen_sql(name: str, v: str) -> str:
+    """A'A v as CTE `name`, from `v`."""
+    return f"""{name}s AS (SELECT scan_direction, tr, tc, sample_id, sum(a*v) AS s FROM m JOIN {v} USING (scan_direction, tr, tc, cell_row, cell_col) GROUP BY 1, 2, 3, 4),
+{name} AS (SELECT scan_direction, tr, tc, cell_row, cell_col, sum(a*s) AS n FROM m JOIN {name}s USING (scan_direction, tr, tc, sample_id) GROUP BY 1, 2, 3, 4, 5)"""
+
+
+def _landweber_sql() -> str:
+    place = "scan_direction, tr, tc, cell_row, cell_col"
+    steps = f"""pair AS (SELECT scan_direction, tr, tc, m.sample_id, n.sample_id AS other, sum(m.a*n.a) AS g FROM m JOIN (SELECT {place}, sample_id, a FROM m) n USING ({place}) GROUP BY 1, 2, 3, 4, 5),
+w AS (SELECT scan_direction, tr, tc, 1e0/sqrt(sum(g*g)) AS w FROM pair GROUP BY 1, 2, 3),
+x1 AS (SELECT {place}, w*b AS v FROM b JOIN w USING (scan_direction, tr, tc))"""
+    for k in (1, 2):
+        steps += f""",
+{_seen_sql(f"n{k}", f"x{k}")},
+x{k + 1} AS (SELECT {place}, v + w*(b - n - LAMBDA*v) AS v FROM x{k} JOIN n{k} USING ({place}) JOIN b USING ({place}) JOIN w USING (scan_direction, tr, tc))"""
+    return _inversion_sql(steps, "x3")
+
+
+def _conjugate_sql() -> str:
+    place, tile = "scan_direction, tr, tc, cell_row, cell_col", "scan_direction, tr, tc"
+    steps = f"""p1 AS (SELECT {place}, b AS v FROM b), {_seen_sql("n1", "p1")},
+q1 AS (SELECT {place}, v, n + LAMBDA*v AS q FROM p1 JOIN n1 USING ({place})), s1 AS (SELECT {tile}, sum(v*v) AS rr, sum(v*v)/sum(v*q) AS alpha FROM q1 GROUP BY 1, 2, 3),
+e1 AS (SELECT {place}, v AS p, alpha*v AS x, v - alpha*q AS r, rr FROM q1 JOIN s1 USING ({tile})), t1 AS (SELECT {tile}, sum(r*r) AS new FROM e1 GROUP BY 1, 2, 3),
+p2 AS (SELECT {place}, r + new/rr*p AS v, x, r, new FROM e1 JOIN t1 USING ({tile})), {_seen_sql("n2", "p2")},
+q2 AS (SELECT {place}, v, x, new, n + LAMBDA*v AS q FROM p2 JOIN n2 USING ({place})), s2 AS (SELECT {tile}, max(new)/sum(v*q) AS alpha FROM q2 GROUP BY 1, 2, 3),
+x2 AS (SELECT {place}, x + alpha*v AS v FROM q2 JOIN s2 USING ({tile}))"""
+    return _inversion_sql(steps, "x2")
+
+
+def _few_steps(spark: SparkSession, sf_dir: str, method: str, steps: int) -> DataFrame:
+    s = clean(spark, sf_dir).where("latitude > 0")
+    return rounded(inversion.invert(s, ["bt_h"], COARSE, method, 32, 1.0, 1e-3, steps, 0.0, keys=WAY), 2, "bt_h")
+
+
+@query(_landweber_sql())
+def landweber_three_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _few_steps(spark, sf_dir, "LW", 3)
+
+
+@query(_conjugate_sql())
+def conjugate_gradient_two_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _few_steps(spark, sf_dir, "CG", 2)
+
+
 COARSE = reconstruct.Footprints("EASE2_N36km", 60000.0, 60000.0, 36000.0)
 
 
