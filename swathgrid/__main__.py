@@ -13,6 +13,7 @@ from . import config as cfg
 from .catalog import QUALITY_FLAGS
 from .operators import neighbours, reconstruct
 from .plans import product, regrid
+from .plans.watch import Watch
 from .sources import beam, swath
 
 
@@ -46,11 +47,13 @@ def needed(config: cfg.Config, target: bool = False) -> list[str]:
 def run(spark: SparkSession, config: cfg.Config) -> str:
     """Samples under config.path (Parquet, a folder for each band) to a product under config.output_path; its path."""
     grid = (config.grid_definition, config.projection_definition) if config.grid_type == "L1C" else (None, None)
+    # counts keep filters from being moved, so each band of several would be read for every other one
+    watch = Watch() if config.save_to_disk and len(config.source_band) == 1 else None
 
     def band(name: str, target: bool = False):
         used = needed(config, target)
         raw = swath.read_l1b(spark, f"{config.path}/{name}", config.type, [*used, "feed_horn_number", *QUALITY_FLAGS])
-        out = swath.normalise(raw, config.type, name, *grid, split=config.split_fore_aft, quality=config.quality_control, nedt=config.nedt, needed=used)
+        out = swath.normalise(raw, config.type, name, *grid, split=config.split_fore_aft, quality=config.quality_control, nedt=config.nedt, needed=used, **({"watch": watch.values} if watch else {}))
         if "sample_id" not in out.columns:
             raise ValueError(f"the samples of band {name} need a sample_id, or scan_number and sample_number")
         return out
@@ -67,7 +70,7 @@ def run(spark: SparkSession, config: cfg.Config) -> str:
         made.write.format("noop").mode("overwrite").save()
         return ""
     asked = "regridding_l1b_orphans" in config.variables_to_regrid
-    product.write_product(made, out, config, orphans=regrid.orphan_flags(spark, source, config, targets) if asked else None)
+    product.write_product(made, out, config, orphans=regrid.orphan_flags(spark, source, config, targets) if asked else None, watch=watch)
     return out
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import GRIDS
 from ..config import Config
+from .watch import Watch, missing
 
 #: What each variable is, by the product's four groups. {way} and {band} are filled in.
 ATTRIBUTES = {
@@ -74,15 +75,22 @@ def global_attributes(config: Config, product: DataFrame, now: datetime | None =
     }
 
 
-def write_product(product: DataFrame, path: str, config: Config, mode: str = "errorifexists", orphans: DataFrame | None = None) -> None:
-    """product under path/data, partitioned by band, its attributes under path/attributes, and the samples' flags under path/orphans."""
+def write_product(product: DataFrame, path: str, config: Config, mode: str = "errorifexists", orphans: DataFrame | None = None, watch: Watch | None = None) -> None:
+    """product under path/data, partitioned by band, its attributes under path/attributes, and the samples' flags under path/orphans.
+
+    watch: its counts, and the product's own rows and missing values, go to the attributes.
+    """
     spark = product.sparkSession
     described = product.select(*(F.col(f.name).alias(f.name, metadata=variable_attributes(f.name, " ".join(config.target_band), resolution_km(config.grid_definition)) or {}) for f in product.schema))
+    if watch:
+        used = [F.sum("regridding_n_samples").alias("samples_used")] if "regridding_n_samples" in product.columns else []
+        described = watch.values(described, "product", *missing(product), *used)
     described.write.mode(mode).partitionBy("band").parquet(f"{path}/data")
     if orphans is not None:
         told = variable_attributes("regridding_l1b_orphans", " ".join(config.source_band), resolution_km(config.grid_definition))
         orphans.select(*(F.col(c).alias(c, metadata=told) if c == "regridding_l1b_orphans" else c for c in orphans.columns)).write.mode(mode).partitionBy("band").parquet(f"{path}/orphans")
-    text = json.dumps(global_attributes(config, product), indent=1)
+    counts = {"counts": watch.told()} if watch else {}
+    text = json.dumps(global_attributes(config, product) | counts, indent=1)
     spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode(mode).text(f"{path}/attributes", lineSep="\n\n")
 
 

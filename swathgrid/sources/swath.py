@@ -6,6 +6,8 @@ aggregates skip them; nothing later sees NaN.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -232,24 +234,25 @@ def amsr2(raw: DataFrame, scans: DataFrame, positions: DataFrame, band: str, ove
     return unfold(per_scan(held, scans), band)
 
 
-def normalise(df: DataFrame, instrument: str, band: str, grid: str | None = None, projection: str | None = None, split: bool = True, quality: bool = True, nedt: dict[str, float] | None = None, needed: list[str] | None = None) -> DataFrame:
+def normalise(df: DataFrame, instrument: str, band: str, grid: str | None = None, projection: str | None = None, split: bool = True, quality: bool = True, nedt: dict[str, float] | None = None, needed: list[str] | None = None, watch: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
     """The whole chain: vectors, feeds, times and ids, fills, noise, quality, bounds (for a grid), direction, listwise deletion.
 
     df: a granule's rows with canonical names, one for each sample, or with arrays over the feeds; for AMSR2 from amsr2().
 
     needed: the columns in which a NULL drops the row; those that nobody asked for don't count. All, if not given.
+    watch: is given the rows after each rule that drops some, such as Watch.values.
     """
-    out = fill_to_null(unfold(df, band).withColumn("band", F.lit(band)))
+    out = watch(fill_to_null(unfold(df, band).withColumn("band", F.lit(band))), f"{band} read")
     if quality and instrument == "SMAP":
-        out = quality_filter(out)
+        out = watch(quality_filter(out), f"{band} good")
     if instrument == "CIMR" and "nedt_h" not in out.columns:
         out = with_nedt(out, nedt)
     if instrument == "CIMR" and "processing_flag" not in out.columns:
         out = with_processing_flag(out)
     if grid:
-        out = in_bounds(out, grid, projection or GRIDS[grid].projection)
+        out = watch(in_bounds(out, grid, projection or GRIDS[grid].projection), f"{band} in bounds")
     out = split_fore_aft(out, instrument) if split else out.withColumn("scan_direction", F.lit("all"))
-    return listwise(out, None if needed is None else [c for c in out.columns if c in needed])
+    return watch(listwise(out, None if needed is None else [c for c in out.columns if c in needed]), f"{band} samples")
 
 
 # ---- a swath made from the events table, for queries and tests

@@ -15,7 +15,7 @@ from swathgrid import queries as q
 from swathgrid.config import Config
 from swathgrid.operators import neighbours
 from swathgrid.plans import product, regrid
-from swathgrid.sources import beam
+from swathgrid.sources import beam, swath
 from swathgrid.streaming import granules
 
 REPO = Path(__file__).resolve().parents[1]
@@ -186,6 +186,20 @@ def test_unused_samples_in_the_product(spark, tmp_path):
     assert "regridding_l1b_orphans" not in spark.read.parquet(f"{out}/data").columns
 
 
+def test_counts_of_a_run(spark, tmp_path):
+    """What the run itself counts equals counts made apart."""
+    rows = q.samples(spark, SMALLEST).withColumn("bt_h", F.when(F.col("sample_id") % 7 == 0, -9999.0).otherwise(F.col("bt_h")))
+    rows.drop("scan_direction").write.parquet(str(tmp_path / "in" / "L"))
+    c = Config(type="SMAP", quality_control=True, path=str(tmp_path / "in"), output_path=str(tmp_path / "out"), grid_definition="EASE2_N36km", projection_definition="N", regridding_algorithm="IDS", search_radius=200000.0, max_neighbours=3, variables_to_regrid=("bt_h",), suffix="x", reduced_grid_inds=(100, 400, 100, 400))
+    made, told = product.read_product(spark, cli.run(spark, c))
+    good = rows.where("scan_quality_flag = 0")
+    inside = swath.in_bounds(good, "EASE2_N36km", "N")
+    want = {"L read": rows.count(), "L good": good.count(), "L in bounds": inside.count(), "L samples": inside.where("bt_h != -9999").count()}
+    assert {k: told["counts"][k]["rows"] for k in want} == want
+    held = told["counts"]["product"]
+    assert held["rows"] == made.count() > 0 and held["no_bt_h"] == made.where("bt_h is null").count() and held["samples_used"] == made.agg(F.sum("regridding_n_samples")).first()[0]
+
+
 def test_granules_as_a_stream(spark, swath_rows, tmp_path):
     source = str(tmp_path / "in")
     swath_rows.where("sample_id % 2 = 0").coalesce(1).write.parquet(source)
