@@ -62,11 +62,16 @@ def fold(doc_id: str, parts: int) -> F.Column:
 def bounded_sample(rows: DataFrame, key: str, label: str, per_label: int) -> DataFrame:
     """At most per_label rows of each label: those whose hashed key comes first.
 
-    The same rows are chosen however the table is partitioned, and Spark ranks in each partition before it moves
-    any. `rows` has only key and label.
+    The same rows are chosen however the table is partitioned. Of a label with many rows only those go into the ranking
+    whose hash lies in the lowest part that holds per_label of them with certainty (ten standard deviations more), so
+    that no task ranks more than that, however large the table is. `rows` has only key and label.
     """
-    first = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.col(label).cast("string")), key)
-    return rows.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= per_label).drop("_rank")
+    h = F.xxhash64(F.col(key), F.col(label).cast("string"))
+    counts = rows.groupBy(F.col(label).alias("_label")).agg(((per_label + 10 * per_label**0.5 + 100) / F.count("*")).alias("_part"))
+    # a row for each label, which are few beside the rows: a model holds a part for each of them anyway
+    low = rows.join(F.broadcast(counts), F.col(label).eqNullSafe(F.col("_label"))).where(h / 2.0**64 + 0.5 <= F.col("_part")).select(*rows.columns)
+    first = Window.partitionBy(label).orderBy(h, key)
+    return low.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= per_label).drop("_rank")
 
 
 def one_text(data: DataFrame, *keys: str) -> DataFrame:
