@@ -6,11 +6,13 @@ import json
 import re
 from datetime import UTC, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import GRIDS
+from ..catalog import GRIDS, HORNS
 from ..config import Config
+from ..sources import beam
 from .watch import Watch, missing
 
 #: What each variable is, by the product's four groups. {way} and {band} are filled in.
@@ -60,14 +62,51 @@ def file_name(config: Config, now: datetime | None = None) -> str:
     return f"{config.type}_{'_'.join(parts)}"
 
 
-def global_attributes(config: Config, product: DataFrame, now: datetime | None = None) -> dict:
+def covered(counts: dict) -> dict:
+    """Times, box and sizes that a product covers, from what a run counted of it (see described_by)."""
+    told = {k: v for k, v in counts.items() if v is not None}
+    out = {name: told[k] for name, k in (("geospatial_lon_min", "lon_min"), ("geospatial_lon_max", "lon_max"), ("geospatial_lat_min", "lat_min"), ("geospatial_lat_max", "lat_max")) if k in told}
+    if "time_min" in told:
+        start, end = (datetime.fromtimestamp(told[k], UTC) for k in ("time_min", "time_max"))
+        out |= {"time_coverage_start": start.isoformat(), "time_coverage_end": end.isoformat(), "time_coverage_duration": f"PT{(end - start).total_seconds():.3f}S"}
+    return out
+
+
+def described_by(product: DataFrame) -> list[Column]:
+    """The aggregates that covered() and the sizes of dimensions need, for the columns that are there."""
+    there = set(product.columns)
+    out = [F.max(c).alias(f"last_{c}") for c in ("cell_row", "cell_col") if c in there]
+    for c, name in (("longitude", "lon"), ("latitude", "lat"), ("acq_time_utc", "time")):
+        if c in there:
+            value = F.col(c).cast("double")
+            out += [F.min(value).alias(f"{name}_min"), F.max(value).alias(f"{name}_max")]
+    return out
+
+
+def antenna_files(spark: SparkSession, config: Config) -> list[str]:
+    """Names of the beam files that the patterns of the run's bands were made of, if it uses an instrument's patterns."""
+    if "instrument" not in (config.source_antenna_method, config.target_antenna_method) or not config.antenna_patterns_path:
+        return []
+    try:
+        made = spark.read.parquet(f"{config.antenna_patterns_path}/{beam.MANIFEST}")
+    except AnalysisException:  # patterns that came without a manifest
+        return []
+    bands = [*config.source_band, *config.target_band]
+    own = made.where(beam.name_parts(F.col("path"))["band"].isin(bands))
+    return sorted(r[0] for r in own.select(F.element_at(F.split("path", "/"), -1)).distinct().collect())  # tens of files
+
+
+def global_attributes(config: Config, product: DataFrame, now: datetime | None = None, counts: dict | None = None) -> dict:
+    counts = counts or {}
+    sizes = {"scan": counts.get("last_cell_row"), "sample": counts.get("last_cell_col")}
     g = GRIDS[config.grid_definition]
     return {
         "title": f"{config.type} {config.grid_type} product", "instrument": config.type, "processing_level": config.grid_type, "algorithm": config.regridding_algorithm,
         "grid": config.grid_definition, "projection": config.projection_definition, "epsg": g.epsg, "spatial_resolution": f"{resolution_km(config.grid_definition)} km",
         "input": config.path, "antenna_patterns": config.antenna_patterns_path, "creator_name": config.creator_name, "creator_email": config.creator_email,
         "creator_institution": config.creator_institution, "version": config.version, "date_created": (now or datetime.now(UTC)).isoformat(timespec="seconds"),
-        "dimensions": {"y": g.n_rows, "x": g.n_cols} if config.grid_type == "L1C" else ["scan", "sample", "feed"],
+        "dimensions": {"y": g.n_rows, "x": g.n_cols} if config.grid_type == "L1C" else {k: None if v is None else v + 1 for k, v in sizes.items()} | {"feed": HORNS.get(config.target_band[0], 1)},
+        **covered(counts),
         "variables": {
             f.name: (variable_attributes(f.name, " ".join(config.target_band), resolution_km(config.grid_definition)) or {}) | {"type": TYPE_CODES.get(f.dataType.simpleString(), "str")}
             for f in product.schema
@@ -84,13 +123,14 @@ def write_product(product: DataFrame, path: str, config: Config, mode: str = "er
     described = product.select(*(F.col(f.name).alias(f.name, metadata=variable_attributes(f.name, " ".join(config.target_band), resolution_km(config.grid_definition)) or {}) for f in product.schema))
     if watch:
         used = [F.sum("regridding_n_samples").alias("samples_used")] if "regridding_n_samples" in product.columns else []
-        described = watch.values(described, "product", *missing(product), *used)
+        described = watch.values(described, "product", *missing(product), *used, *described_by(product))
     described.write.mode(mode).partitionBy("band").parquet(f"{path}/data")
     if orphans is not None:
         told = variable_attributes("regridding_l1b_orphans", " ".join(config.source_band), resolution_km(config.grid_definition))
         orphans.select(*(F.col(c).alias(c, metadata=told) if c == "regridding_l1b_orphans" else c for c in orphans.columns)).write.mode(mode).partitionBy("band").parquet(f"{path}/orphans")
-    counts = {"counts": watch.told()} if watch else {}
-    text = json.dumps(global_attributes(config, product) | counts, indent=1)
+    counts = watch.told() if watch else {}
+    attributes = global_attributes(config, product, counts=counts.get("product")) | {"antenna_files": antenna_files(spark, config)} | ({"counts": counts} if watch else {})
+    text = json.dumps(attributes, indent=1)
     spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode(mode).text(f"{path}/attributes", lineSep="\n\n")
 
 
