@@ -1,14 +1,14 @@
 """Regularised linear inversion of whole regions: Landweber and conjugate gradients.
 
 The image on the inversion grid is cut into square tiles. A tile's samples, with those of a rim around it
-so wide as a footprint, give the rows of a matrix (footprints on the tile's cells and the rim's), which is
-solved in a task; the rim's cells are dropped afterwards. The samples are dealt to the tiles by an
+so wide as a footprint, give the rows of a matrix (footprints on the tile's cells and the rim's), held by the
+entries that aren't zero and solved in a task by steps of A'(A x), without A'A; the rim's cells are dropped afterwards. The samples are dealt to the tiles by an
 equi-join-free explode: each sample names the few tiles whose rim it lies in.
 
 A tile's samples grow with the data, its cells don't. A tile of more than PIECE samples is therefore dealt
-to pieces by the samples' hash; each piece gives its share of the normal equations A'A x = A'y, the shares
-are summed FOLD at a time, and both methods run on the sum. No task holds more than FOLD of these matrices,
-of (tile + 2 * rim) ** 4 numbers each, however many samples a place has.
+to pieces by the samples' hash, which are put together FOLD at a time: as rows while these are smaller than A'A, and
+beyond that as shares of the normal equations A'A x = A'y, which add up. So no task holds more than FOLD
+times (tile + 2 * rim) ** 4 numbers, however many samples a place has, and far less where samples are few.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from ..functions import geo
 from ..functions.geo import NUMPY
 from ..functions.patterns import gaussian_radius, gaussian_raw, normalised
 from .reconstruct import ANGLE, Footprints, needed_columns
+from .sparse import STRETCH, Rows, square_of
 
 #: Samples of a tile that are put into one matrix.
 PIECE = 4096
@@ -34,24 +35,29 @@ PIECE = 4096
 FOLD, ROUNDS = 8, 4
 
 
-def landweber(a: np.ndarray, y: np.ndarray, damping: float = 1e-4, step: float | None = None, iterations: int = 1000, tolerance: float = 1e-5) -> tuple[np.ndarray, int]:
+def landweber(a: np.ndarray | Rows, y: np.ndarray, damping: float = 1e-4, step: float | None = None, iterations: int = 1000, tolerance: float = 1e-5) -> tuple[np.ndarray, int]:
     """Gradient steps on |Ax - y|^2 + damping |x|^2 until the relative residual is below tolerance; (x, steps taken)."""
-    return landweber_normal(a.T @ a, a.T @ y, float((y * y).sum()), damping, step, iterations, tolerance)
+    times, norm = square_of(a)
+    return _gradient(times, a.T @ y, float((y * y).sum()), damping, step if step is not None else 1 / max(norm, 1e-300), iterations, tolerance)
 
 
 def landweber_normal(square: np.ndarray, right: np.ndarray, size: float, damping: float = 1e-4, step: float | None = None, iterations: int = 1000, tolerance: float = 1e-5) -> tuple[np.ndarray, int]:
-    """The same from A'A, A'y and y'y: |Ax - y|^2 is y'y - 2 x'A'y + x'A'Ax."""
+    """The same from A'A, A'y and y'y."""
+    return _gradient(lambda x: square @ x, right, size, damping, step if step is not None else 1 / max(np.linalg.norm(square), 1e-300), iterations, tolerance)
+
+
+def _gradient(times, right: np.ndarray, size: float, damping: float, step: float, iterations: int, tolerance: float) -> tuple[np.ndarray, int]:
+    """|Ax - y|^2 is y'y - 2 x'A'y + x'A'Ax."""
     x = np.full(right.shape, 1e-20)
-    step = step if step is not None else 1 / max(np.linalg.norm(square), 1e-300)
     for k in range(iterations):
-        seen = square @ x
+        seen = times(x)
         if max(size - 2 * float((x * right).sum()) + float((x * seen).sum()), 0.0) < tolerance**2 * max(size, 1e-300):
             return x, k
         x = x + step * (right - seen - damping * x)
     return x, iterations
 
 
-def conjugate_gradient(a: np.ndarray, y: np.ndarray, damping: float = 1e-4, iterations: int = 1000, tolerance: float = 1e-5) -> tuple[np.ndarray, int]:
+def conjugate_gradient(a: np.ndarray | Rows, y: np.ndarray, damping: float = 1e-4, iterations: int = 1000, tolerance: float = 1e-5) -> tuple[np.ndarray, int]:
     """(A'A + damping I) x = A'y by conjugate gradients; (x, steps taken)."""
     return _conjugate(lambda p: a.T @ (a @ p), a.T @ y, damping, iterations, tolerance)
 
@@ -99,6 +105,28 @@ def _summed(parts) -> dict[str, np.ndarray]:
     return total
 
 
+def together(parts: list[dict[str, np.ndarray]], width: int) -> dict[str, np.ndarray]:
+    """Pieces of a tile as one: rows (count, cell, share, y) while these are smaller than A'A, else normal equations."""
+    rows, rest = [p for p in parts if "count" in p], [p for p in parts if "count" not in p]
+    if not rest and sum(p[k].nbytes for p in rows for k in ("count", "cell", "share")) <= 8 * width**2:
+        return {k: np.concatenate([p[k] for p in rows]) for k in ("count", "cell", "share", "y")}
+    return _summed(rest + [_normal_of(p, width) for p in rows])
+
+
+def _normal_of(held: dict[str, np.ndarray], width: int) -> dict[str, np.ndarray]:
+    """Normal equations of rows, from at most PIECE // 8 rows in full at a time."""
+    total: dict[str, np.ndarray] = {}
+    full, done = [], 0
+    stretches = list(range(0, len(held["count"]), STRETCH))
+    for i, a in zip(stretches, Rows(held["count"], held["cell"], held["share"], width).stretches(), strict=True):
+        full.append(a)
+        if len(full) == PIECE // 8 // STRETCH or i == stretches[-1]:
+            a = np.concatenate(full)
+            total = _summed([total, normal_equations(a, held["y"][done : done + len(a)])])
+            full, done = [], done + len(a)
+    return total
+
+
 def _packed(arrays: dict[str, np.ndarray]) -> bytes:
     held = io.BytesIO()
     np.savez(held, **arrays)
@@ -116,7 +144,7 @@ def invert(samples: DataFrame, variables: list[str], f: Footprints, method: str
     buffer: the rim's width in footprint radii. Cells that no footprint reaches are NULL. rows, cols: an
     inclusive block that is asked for. Samples with a NULL variable are left out for that variable. piece: the
     samples of a tile that a task takes at once; it changes the image by rounding only, which conjugate gradients
-    that are stopped long before they converge can magnify.
+    that are stopped long before they converge can magnify. The footprints' entries are held, not a matrix.
     """
     g, (solve, solve_normal) = GRIDS[f.grid], METHODS[method]
     reach = f.source.radius if f.source else gaussian_radius(f.sigma_x, f.sigma_y, f.threshold)
@@ -148,6 +176,7 @@ def invert(samples: DataFrame, variables: list[str], f: Footprints, method: str
         return rr.ravel(), cc.ravel()
 
     def matrix(pdf: pd.DataFrame, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+        """Footprints of some samples on all cells, in full."""
         if f.source:  # an instrument's pattern: every sample on all cells of the tile
             wide = (len(pdf), len(lon))
             held = {c: pdf[c].to_numpy(float)[:, None] for c in f.source.columns}
@@ -156,48 +185,47 @@ def invert(samples: DataFrame, variables: list[str], f: Footprints, method: str
         alpha = pdf[ANGLE].to_numpy(float)[:, None] if f.turned else f.alpha
         return normalised(gaussian_raw(lon[None, :], lat[None, :], s_lon, s_lat, f.sigma_x, f.sigma_y, alpha, NUMPY), f.threshold)
 
-    def image(solved: list[np.ndarray], seen: list[np.ndarray]) -> dict[str, np.ndarray]:
-        return {"image": np.stack([np.where(s > 0, x, np.nan) for x, s in zip(solved, seen, strict=True)]) if solved else np.zeros((0, 0))}
-
     def begin(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A tile's image if it has one piece, else the normal equations of a piece."""
+        """A piece of a tile as rows, or as normal equations where these are smaller."""
         pdf = pdf.sort_values("sample_id")
         first = pdf.iloc[:1]
         rr, cc = cells(int(first["_tr"].iloc[0]), int(first["_tc"].iloc[0]))
         lon, lat = geo.xy_to_lonlat(g.projection, *geo.cell_centre(g, rr, cc), NUMPY)
-        if first["_pieces"].iloc[0] == 1:
-            a, solved, seen = matrix(pdf, lon, lat), [], []
-            for v in variables:
-                y = pdf[v].to_numpy(float)
-                there = ~np.isnan(y)
-                solved.append(solve(a[there], y[there], damping, iterations=iterations, tolerance=tolerance)[0])
-                seen.append(a[there].sum(0))
-            return first.assign(_data=[_packed(image(solved, seen))])[shares.names]
-        cut = (pdf.iloc[i : i + PIECE] for i in range(0, len(pdf), PIECE))
-        return first.assign(_data=[_packed(_summed(normal_equations(matrix(p, lon, lat), p[list(variables)].to_numpy(float)) for p in cut))])[shares.names]
+        parts = []
+        for i in range(0, len(pdf), PIECE):
+            cut = pdf.iloc[i : i + PIECE]
+            a = Rows.of((matrix(cut.iloc[j : j + STRETCH], lon, lat) for j in range(0, len(cut), STRETCH)), len(lon))
+            parts = [together([*parts, {"count": a.count, "cell": a.cell, "share": a.share, "y": cut[list(variables)].to_numpy(float)}], len(lon))]
+        return first.assign(_data=[_packed(parts[0])])[shares.names]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[:1]
         if len(pdf) == 1:
             return first.assign(_piece=first["_piece"] // FOLD)[shares.names]
-        data = _packed(_summed(_unpacked(d) for d in pdf.sort_values("_piece")["_data"]))
+        width = len(cells(int(first["_tr"].iloc[0]), int(first["_tc"].iloc[0]))[0])
+        data = _packed(together([_unpacked(d) for d in pdf.sort_values("_piece")["_data"]], width))
         return first.assign(_piece=first["_piece"] // FOLD, _data=[data])[shares.names]
 
     def end(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
         tr, tc = int(first["_tr"]), int(first["_tc"])
         rr, cc = cells(tr, tc)
-        held = _summed(_unpacked(d) for d in pdf.sort_values("_piece")["_data"])
-        if "image" not in held:
-            solved, seen = [], []
-            for v in range(len(variables)):
+        held = together([_unpacked(d) for d in pdf.sort_values("_piece")["_data"]], len(rr))
+        solved, seen = [], []
+        for v in range(len(variables)):
+            if "count" in held:
+                there = ~np.isnan(held["y"][:, v])
+                a = Rows(held["count"], held["cell"], held["share"], len(rr)).chosen(there)
+                solved.append(solve(a, held["y"][there, v], damping, iterations=iterations, tolerance=tolerance)[0])
+                seen.append(a.column_sums())
+            else:
                 square = held["square"] + held.get(f"square{v}", 0.0)
                 solved.append(solve_normal(square, held["right"][:, v], float(held["size"][v]), damping, iterations=iterations, tolerance=tolerance)[0])
                 seen.append(square.diagonal())  # shares aren't negative: a cell that none reaches has no square
-            held = image(solved, seen)
+        image = [np.where(s > 0, x, np.nan) for x, s in zip(solved, seen, strict=True)]
         keep = (rr // tile == tr) & (cc // tile == tc)
         out = {k: first[k] for k in keys} | {"cell_row": rr[keep], "cell_col": cc[keep]}
-        return pd.DataFrame(out | {v: held["image"][i][keep] for i, v in enumerate(variables)})[schema.names]
+        return pd.DataFrame(out | {v: image[i][keep] for i, v in enumerate(variables)})[schema.names]
 
     named_keys = [samples.schema[k] for k in keys]
     shares = T.StructType([*named_keys, *(T.StructField(c, T.IntegerType()) for c in ("_tr", "_tc", "_piece", "_pieces")), T.StructField("_data", T.BinaryType())])

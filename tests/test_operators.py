@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from swathgrid.catalog import GRIDS
 from swathgrid.functions import geo, patterns
 from swathgrid.functions.geo import NUMPY
-from swathgrid.operators import inversion, metrics, neighbours, reconstruct, simple
+from swathgrid.operators import inversion, metrics, neighbours, reconstruct, simple, sparse
 
 
 def points(spark, lon, lat, start=0, name="sample_id", **more):
@@ -329,6 +329,65 @@ def test_normal_equations_of_pieces():
             assert steps == taken and again == pytest.approx(x, rel=1e-6)
 
 
+def test_rows_by_their_entries():
+    """Compressed rows give what the full matrix gives: products, norm of A'A, both methods; empty rows and stretches too."""
+    random = np.random.default_rng(8)
+    full = np.where(random.random((300, 50)) < 0.1, random.random((300, 50)), 0.0)
+    full[[0, 131, 299]] = 0.0
+    rows = sparse.Rows.of((full[i : i + 70] for i in range(0, 300, 70)), 50)
+    x, y = random.random(50), random.random(300)
+    assert rows.shape == (300, 50) and rows @ x == pytest.approx(full @ x) and rows.T @ y == pytest.approx(full.T @ y)
+    assert rows.square_norm() == pytest.approx(np.linalg.norm(full.T @ full)) and rows.column_sums() == pytest.approx(full.sum(0))
+    assert np.array_equal(np.concatenate(list(rows.stretches())), full)
+    there = random.random(300) < 0.5
+    assert np.array_equal(np.concatenate(list(rows.chosen(there).stretches())), full[there])
+    assert sparse.Rows.of([], 50) @ x == pytest.approx(np.zeros(0)) and sparse.Rows.of([], 50).square_norm() == 0
+    for whole, _ in inversion.METHODS.values():
+        a, steps = whole(full, y, 1e-3, iterations=40)
+        b, taken = whole(rows, y, 1e-3, iterations=40)
+        assert steps == taken and b == pytest.approx(a, rel=1e-8, abs=1e-8)
+
+
+def test_pieces_together():
+    """Rows stay rows while they are smaller than A'A; beyond that they add up to the same normal equations."""
+    random = np.random.default_rng(9)
+    full, y = np.where(random.random((900, 12)) < 0.3, 1.0, 0.0), random.random((900, 2))
+    y[::7, 1] = np.nan
+    parts = []
+    for i in range(0, 900, 300):
+        a = sparse.Rows.of([full[i : i + 300]], 12)
+        parts.append({"count": a.count, "cell": a.cell, "share": a.share, "y": y[i : i + 300]})
+    assert "count" in inversion.together(parts, 12000) and len(inversion.together(parts, 12000)["y"]) == 900
+    got, want = inversion.together(parts, 12), inversion.normal_equations(full, y)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_fine_integration_grid_needs_no_square(spark):
+    """On a 3 km grid with footprints of 20 km the rows of a tile are a small part of its A'A, and give the same image as a matrix
+    (once converged: conjugate gradients magnify rounding on the way)."""
+    random = np.random.default_rng(3)
+    n, g = 400, GRIDS["EASE2_N3km"]
+    lon, lat = random.uniform(10, 11.2, n), random.uniform(79, 79.4, n)
+    y = 200 + 20 * np.sin(3 * lon)
+    s = points(spark, lon, lat, bt_h=y)
+    f = reconstruct.Footprints(g.name, 20000.0, 20000.0, 20000.0)
+    image = inversion.invert(s, ["bt_h"], f, "CG", 32, 1.3, 1e-3, 400, 1e-12).toPandas()
+
+    rim = int(np.ceil(1.3 * patterns.gaussian_radius(20000.0, 20000.0, f.threshold) / g.res))
+    row, col = geo.nearest_cell(g, *geo.lonlat_to_xy(g.projection, lon, lat, geo.NUMPY), geo.NUMPY)
+    tr, tc = int(np.median(row)) // 32, int(np.median(col)) // 32
+    rr, cc = (x.ravel() for x in np.meshgrid(np.arange(tr * 32 - rim, tr * 32 + 32 + rim), np.arange(tc * 32 - rim, tc * 32 + 32 + rim), indexing="ij"))
+    near = (abs(row - tr * 32 - 15.5) <= 16 + rim) & (abs(col - tc * 32 - 15.5) <= 16 + rim)
+    c_lon, c_lat = geo.xy_to_lonlat(g.projection, *geo.cell_centre(g, rr, cc), geo.NUMPY)
+    full = patterns.normalised(patterns.gaussian_raw(c_lon[None], c_lat[None], lon[near, None], lat[near, None], 20000.0, 20000.0, 0.0, geo.NUMPY), f.threshold)
+    rows = sparse.Rows.of([full], len(rr))
+    assert near.sum() > 100 and 20 * rows.nbytes < 8 * len(rr) ** 2
+    want, _ = inversion.conjugate_gradient(full, y[near], 1e-3, 400, 1e-12)
+    keep = (rr // 32 == tr) & (cc // 32 == tc) & (full.sum(0) > 0)
+    got = image.set_index(["cell_row", "cell_col"])["bt_h"]
+    assert keep.sum() > 50 and np.allclose([got[r, c] for r, c in zip(rr[keep], cc[keep], strict=True)], want[keep], rtol=1e-6)
+
+
 @pytest.mark.parametrize("method", ["CG", "LW"])
 def test_a_full_tile_goes_in_pieces(spark, method):
     """A place with many samples gives the same image however it is cut; samples without a value count for the others."""
