@@ -78,6 +78,19 @@ def test_what_a_wide_search_compares(spark):
         assert near < 100 and far < 100
 
 
+def test_what_a_search_moves_and_takes_of_one_place(spark):
+    """No exchange carries pairs: samples, targets, counts and lists of cubes only. 5000 samples at one place, and more targets there than a task takes."""
+    s = points(spark, np.full(5000, 7.0), np.full(5000, 50.0)).withColumn("scan_direction", F.when(F.col("sample_id") % 2 == 0, "fore"))
+    t = points(spark, np.full(neighbours.DEAL + 50, 7.0), np.full(neighbours.DEAL + 50, 50.5), name="target_id")
+    found = neighbours.nearest_any(s, t, 1e6, 2, ("scan_direction",))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("FlatMapCoGroupsInArrow")  # nothing is ranked or moved after a block's search
+    rows = found.groupBy("scan_direction", "sample_id", "rank").count().collect()
+    assert {tuple(r) for r in rows} == {("fore", 0, 1, neighbours.DEAL + 50), ("fore", 2, 2, neighbours.DEAL + 50)}
+    at, of, d, rank = neighbours._closest(np.zeros((3, 3)), np.zeros((100, 3)), np.arange(100)[::-1], 4, 1.0, False, False)
+    assert of.tolist() == [99, 98, 97, 96] * 3 and rank.tolist() == [0, 1, 2, 3] * 3 and not d.any()
+
+
 def test_any_radius_with_nothing_to_find(spark):
     s = points(spark, [0.0], [0.0])
     bad = spark.createDataFrame([(1, None, 0.0), (2, 0.0, 99.0)], "sample_id long, longitude double, latitude double")
