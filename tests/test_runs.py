@@ -256,3 +256,16 @@ def test_patterns_from_disk(spark, tmp_path):
     c = Config(type="CIMR", source_band=("C",), target_band=("C",), search_radius=1.0, regridding_algorithm="BG", source_antenna_method="instrument", antenna_patterns_path=str(tmp_path / "out"), source_antenna_threshold=0.001)
     f = regrid._footprints(regrid.Task(c, spark.range(1), spark.range(1), None, [], [], "C"), 9000.0)
     assert f.source is not None and f.source.radius > 1000 and set(f.source.gains) == {2}
+
+
+def test_band_to_band_is_its_sql_where_samples_coincide(spark, tmp_path):
+    """A sample right at a target: the SQL's inverse squares give NaN there."""
+    import duckdb
+
+    rows = [(e, 7, "view", 50.0 + e) for e in (0, 1, 2, 3)] + [(118250 + e, 7 + 250, "view", 60.0 + e) for e in (0, 1, 7)]  # 118250 and 250 on is the same place
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").selectExpr("*", "timestamp'2024-01-01' AS ts").distinct().write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("l1r_ids", "l1r_ids_wide_radius"):
+        got = sorted(str(tuple(r)) for r in q.QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == sorted(str(r) for r in con.execute(q.ORACLES[name]).fetchall()) and any("nan" in r for r in got)
