@@ -269,3 +269,13 @@ def test_band_to_band_is_its_sql_where_samples_coincide(spark, tmp_path):
     for name in ("l1r_ids", "l1r_ids_wide_radius"):
         got = sorted(str(tuple(r)) for r in q.QUERIES[name](spark, str(tmp_path)).collect())
         assert got == sorted(str(r) for r in con.execute(q.ORACLES[name]).fetchall()) and any("nan" in r for r in got)
+
+
+def test_morton_beyond_its_bits(spark, tmp_path):
+    """Numbers that 20 bits don't hold."""
+    import duckdb
+
+    spark.createDataFrame([(k, 3 * k) for k in (0, 5, 2**20 - 1, 2**20, 2**20 + 77, 6_000_000, 2**33 + 9, -1, -(2**21) - 3)], "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in q.QUERIES["morton"](spark, str(tmp_path)).collect()) == sorted(con.execute(q.ORACLES["morton"]).fetchall())
