@@ -1,7 +1,7 @@
 """Packing into optimal length buckets.
 
-Texts are read once, for their lengths. The histogram of all lengths goes to the driver, length by length as
-long as there are no more than MOST different ones. Dynamic programming over it chooses the bucket boundaries
+Texts are read once, for their lengths. The histogram of all lengths goes to the driver, length by length: texts
+of T words in all have at most sqrt(2 T) different lengths. Dynamic programming over it chooses the bucket boundaries
 with the least padding in all. Inside a bucket every text takes the boundary's length, so a batch holds as many
 texts as the token budget allows; texts are numbered through a bucket in slices, without a sort of the whole
 bucket in one task. Rows of one id and length are counted before they are moved and numbered together.
@@ -10,6 +10,7 @@ bucket in one task. Rows of one id and length are counted before they are moved
 from __future__ import annotations
 
 import math
+from array import array
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +20,7 @@ from .common import cut
 
 #: Rows of one id and length that are laid out in one step.
 STEP = 4096
-#: Different lengths up to which each is a bin of its own and the padding is the least possible.
-MOST = 65_536
-#: With more of them, lengths below EXACT are bins of their own; longer ones share a bin within 1 part in EXACT / 2.
+#: Where a caller limits the number of bins, lengths below EXACT are bins of their own; longer ones share a bin within 1 part in EXACT / 2.
 EXACT = 4096
 
 
@@ -39,6 +38,11 @@ def length_bin(n: Column) -> Column:
     return (F.floor(n / unit) * unit).cast("long")
 
 
+def _held(costs: list[int]) -> array | list[int]:
+    """Costs in eight bytes each, unless one is larger."""
+    return array("q", costs) if max(costs) < 2**63 else costs
+
+
 def boundaries(histogram: list[tuple[int, int, int]], buckets: int) -> list[int]:
     """The upper ends of at most `buckets` buckets with the least padding.
 
@@ -65,6 +69,7 @@ def boundaries(histogram: list[tuple[int, int, int]], buckets: int) -> list[int]
             while k + 1 < len(hull) and hull[k + 1][0] * x + hull[k + 1][1] < hull[k][0] * x + hull[k][1]:
                 k += 1
             new[j] = hull[k][0] * x + hull[k][1] + x * count[j] - total[j]
+        layers[-1] = _held(best)
         layers.append(new)
     out, j = [], n
     for k in range(len(layers) - 1, -1, -1):
@@ -78,14 +83,15 @@ def boundaries(histogram: list[tuple[int, int, int]], buckets: int) -> list[int]
     return out[::-1]
 
 
-def histogram(lengths: DataFrame, col: str, rows: str | None = None, most: int = MOST) -> list[tuple[int, int, int]]:
+def histogram(lengths: DataFrame, col: str, rows: str | None = None, most: int | None = None) -> list[tuple[int, int, int]]:
     """(longest, texts, sum) of each bin of `col`, from all rows (`rows`: how often each counts).
 
-    A bin is one length. Of more than `most` lengths there are EXACT + EXACT / 2 * log2(longest) bins at most.
+    A bin is one length, whatever the input's size. Only a caller who gives `most` gets EXACT + EXACT / 2 * log2(longest)
+    bins at most where there are more lengths.
     """
     n = F.greatest(F.col(col), F.lit(1)).cast("long")
     each = cut(lengths.groupBy(n.alias("_n")).agg((F.sum(rows) if rows else F.count("*")).alias("_c")))
-    bins = each.groupBy((length_bin(F.col("_n")) if each.count() > most else F.col("_n")).alias("_bin"))
+    bins = each.groupBy((length_bin(F.col("_n")) if most is not None and each.count() > most else F.col("_n")).alias("_bin"))
     bins = bins.agg(F.max("_n"), F.sum("_c"), F.sum(F.col("_n") * F.col("_c")))
     return [(int(r[1]), int(r[2]), int(r[3])) for r in sorted(bins.collect())]
 
@@ -95,7 +101,7 @@ def _slice(key: Column, slices: int) -> Column:
     return F.coalesce(F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % slices, F.lit(0)).cast("int")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 16, budget: int = 32768, tokens: Column | None = None, slice_rows: int = 50_000, most: int = MOST) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 16, budget: int = 32768, tokens: Column | None = None, slice_rows: int = 50_000, most: int | None = None) -> DataFrame:
     """(id, n_tokens, bucket, padded_tokens, batch) for every row.
 
     bucket counts from 0 by length; padded_tokens is its boundary; batch counts from 0 inside a bucket and

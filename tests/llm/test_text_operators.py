@@ -252,6 +252,16 @@ def test_histogram_is_exact_up_to_a_number_of_lengths(spark):
     assert len(few) < 10_000 and sum(r[1] for r in few) == 20_000 and sum(r[2] for r in few) == sum(r[2] for r in exact)
 
 
+def test_histogram_is_exact_beyond_any_number_of_lengths(spark):
+    """70 000 different lengths, and the least padding over them; costs that eight bytes don't hold."""
+    lengths = spark.range(1, 70_001).select((F.col("id") + 5000).alias("n"))
+    assert packing.histogram(lengths, "n") == [(k, 1, k) for k in range(5001, 75_001)]
+    packed = packing.pack(lengths.select(F.col("n").alias("doc_id"), F.lit("").alias("text"), "n"), tokens=F.col("n"), buckets=2, budget=1)
+    assert sorted(r[0] for r in packed.select("padded_tokens").distinct().collect()) == [40_000, 75_000]
+    big = 10**15
+    assert packing.boundaries([(1, big, big), (10**6, big, 10**6 * big), (10**6 + 1, 1, 10**6 + 1)], 2) == [1, 10**6 + 1]
+
+
 def test_bins_hold_lengths_close_together(spark):
     rows = spark.range(1, 200_000, 37).select("id", packing.length_bin(F.col("id")).alias("b")).collect()
     assert all(r.b == r.id for r in rows if r.id < packing.EXACT)
