@@ -361,6 +361,22 @@ def test_rows_by_their_entries():
         assert steps == taken and b == pytest.approx(a, rel=1e-8, abs=1e-8)
 
 
+def test_many_rows_are_gone_through_once(monkeypatch):
+    """Norm and normal equations of more rows than cells take no pairs of stretches, and only the cells that a stretch reaches."""
+    rng = np.random.default_rng(12)
+    full = np.zeros((900, 60))
+    for i in range(900):
+        full[i, i // 20 : i // 20 + 6] = rng.uniform(0.1, 1, 6)
+    a = sparse.Rows.of([full], 60)
+    assert max(len(c) for c, _ in a.reached()) < 20
+    y = rng.normal(size=(900, 2))
+    y[::7, 1] = np.nan
+    monkeypatch.setattr(sparse.Rows, "stretches", None)
+    assert a.square_norm() == pytest.approx(np.linalg.norm(full.T @ full))
+    got, want = inversion._normal_of({"count": a.count, "cell": a.cell, "share": a.share, "y": y}, 60), inversion.normal_equations(full, y)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
 def test_pieces_together():
     """Rows stay rows while they are smaller than A'A; beyond that they add up to the same normal equations."""
     random = np.random.default_rng(9)
